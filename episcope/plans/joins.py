@@ -1,0 +1,22 @@
+"""Join helpers: broadcast only behind a size check, otherwise a shuffle join.
+
+``broadcast_if_small`` counts at most ``max_rows + 1`` rows of the candidate
+side (a bounded ``limit().count()``, cheap for a dimension table). Below the
+bound the side is broadcast; above it the join stays a shuffle join, which AQE
+may still convert at runtime from measured sizes, and AQE's skew-join handling
+splits a hot key's partition.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest side we ever broadcast from a row-count check.
+DEFAULT_BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -79,7 +79,7 @@ def mapped_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as news items: title from ``<title>``, summary from the page HTML."""
-    from episcope.functions.text import extract_title
+    from episcope.functions.text import extract_title, unescape_entities
     pages = table(spark, sf_dir, "pages")
     pid = F.col("page_id")
     instant = F.when(pid % 11 == 0, F.lit(None).cast("timestamp")).otherwise(
@@ -88,7 +88,7 @@ def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         (pid % 3).cast("int").alias("feed_pos"),
         pid.alias("item_pos"),
         F.concat(F.lit("feed-"), (pid % 3).cast("string")).alias("source"),
-        extract_title(F.col("html")).alias("title"),
+        F.trim(unescape_entities(extract_title(F.col("html")))).alias("title"),
         F.col("html").alias("description"),
         F.col("url"),
         instant.alias("instant"),

@@ -220,3 +220,279 @@ mj as (
 select coalesce(dj.sg_uf, mj.sg_uf) as sg_uf, daily_json::varchar as daily_json,
        monthly_json::varchar as monthly_json
 from dj full join mj on dj.sg_uf = mj.sg_uf"""
+
+
+# ------------------------------------------------------ risk, reports, checks
+
+from episcope.functions.pii import PII_RULES  # noqa: E402
+from episcope.operators import checks as _CH  # noqa: E402
+from episcope.operators import report as _REP  # noqa: E402
+from episcope.operators import risk as _R  # noqa: E402
+
+
+def q(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _cap(x: str) -> str:
+    return f"(upper(substr({x}, 1, 1)) || lower(substr({x}, 2)))"
+
+
+_G, _MO, _U, _V = ("coalesce(taxa_aumento_casos, 0.0)", "coalesce(taxa_mortalidade, 0.0)",
+                   "coalesce(taxa_ocupacao_uti, 0.0)", "coalesce(taxa_vacinacao, 0.0)")
+
+_FINDINGS = f""",
+f as (
+  select sg_uf,
+    case when {_G} > 10 then 'high' when {_G} < -10 then 'low' else 'moderate' end as s1,
+    case when {_G} > 10 then {q(_R.GROWTH_HIGH)} when {_G} < -10 then {q(_R.GROWTH_LOW)}
+         else {q(_R.GROWTH_STABLE)} end as m1,
+    case when {_MO} > 10 then 'high' when {_MO} >= 5 then 'moderate' else 'low' end as s2,
+    {q(_R.MORTALITY_MSG[0])} || printf('%.2f', {_MO}) || {q(_R.MORTALITY_MSG[1])} as m2,
+    case when {_U} > 30 then 'high' when {_U} >= 20 then 'moderate' else 'low' end as s3,
+    {q(_R.ICU_MSG[0])} || printf('%.2f', {_U}) || {q(_R.ICU_MSG[1])} as m3,
+    case when {_V} < 50 then 'high' when {_V} < 70 then 'moderate' else 'low' end as s4,
+    {q(_R.VACCINATION_MSG[0])} || printf('%.2f', {_V}) || {q(_R.VACCINATION_MSG[1])} as m4,
+    cast(({_G} > 10)::int * 2 + ({_MO} > 10)::int * 2 + ({_U} > 30)::int + ({_V} < 50)::int as integer)
+      as risk_score
+  from m
+)"""
+
+ORACLE["findings_by_uf"] = metrics_by_uf_cte() + _FINDINGS + """
+select sg_uf, 1 as pos, 'growth' as kind, s1 as severity, m1 as message from f
+union all select sg_uf, 2, 'mortality', s2, m2 from f
+union all select sg_uf, 3, 'uti', s3, m3 from f
+union all select sg_uf, 4, 'vaccination', s4, m4 from f"""
+
+_LEVEL = "case when risk_score >= 4 then 'alto' when risk_score >= 2 then 'moderado' else 'baixo' end"
+
+ORACLE["risk_by_uf"] = metrics_by_uf_cte() + _FINDINGS + f"""
+select sg_uf, risk_score, {_LEVEL} as risk_level from f"""
+
+_GROWTH_TEXT = f"""case when {_G} > 0 then {q(_REP.GROWTH_UP[0])} || printf('%.2f', {_G}) || {q(_REP.GROWTH_UP[1])}
+     when {_G} < 0 then {q(_REP.GROWTH_DOWN[0])} || printf('%.2f', abs({_G})) || {q(_REP.GROWTH_DOWN[1])}
+     else {q(_REP.GROWTH_FLAT)} end"""
+_RECS = f"""(case when {_MO} > 10 then {q(_REP.MORT_HIGH)} when {_MO} < 5 then {q(_REP.MORT_LOW)}
+      else {q(_REP.MORT_MID)} end || chr(10) ||
+ case when {_U} > 30 then {q(_REP.ICU_HIGH)} else {q(_REP.ICU_OK)} end || chr(10) ||
+ case when {_V} < 60 then {q(_REP.VACC_LOW)} else {q(_REP.VACC_OK)} end || chr(10))"""
+
+ORACLE["recommendations_by_uf"] = metrics_by_uf_cte() + f"""
+select sg_uf, {_GROWTH_TEXT} as growth_text, {_RECS} as recommendations from m"""
+
+
+def _report_sql(layout: str, news_sql: str = q(_REP.NO_NEWS), execution: str = "'exec-' || sg_uf",
+                key: str = "sg_uf") -> str:
+    stamp = q(_REP_TIME.strftime("%d/%m/%Y %H:%M"))
+    stamp2 = q(_REP_TIME.strftime("%d/%m/%Y às %H:%M"))
+    parts = [q(_REP.HEADER), q("**Data do Relatório:** "), stamp, q("\n**ID de Execução:** "),
+             execution, q("\n")]
+    if layout == "current":
+        parts += [q("**Nível de Risco:** "), f"upper({_LEVEL})", q("\n")]
+    parts += [q("\n" + _REP.METRICS_INTRO),
+              q(_REP.GROWTH_LINE[0]), f"printf('%.2f', {_G})", q(_REP.GROWTH_LINE[1]),
+              q(_REP.MORTALITY_LINE[0]), f"printf('%.2f', {_MO})", q(_REP.MORTALITY_LINE[1]),
+              q(_REP.ICU_LINE[0]), f"printf('%.2f', {_U})", q(_REP.ICU_LINE[1]),
+              q(_REP.VACC_LINE[0]), f"printf('%.2f', {_V})", q(_REP.VACC_LINE[1]),
+              q(_REP.CONTEXT), "format('{:,}', total_casos)",
+              q(_REP.CONTEXT_END if layout == "current" else _REP.CONTEXT_END_LEGACY),
+              _GROWTH_TEXT]
+    if layout == "current":
+        parts += [q(_REP.FINDINGS_TITLE)]
+        for i in range(1, 5):
+            parts += [q("- **"), _cap(f"s{i}"), q("**: "), f"m{i}", q("\n")]
+        parts += [q(_REP.NEWS_TITLE)]
+    else:
+        parts += [q(_REP.NEWS_TITLE_LEGACY)]
+    parts += [news_sql, q(_REP.CHARTS_TITLE + _REP.CONCLUSIONS_TITLE), _RECS]
+    if layout == "current":
+        parts += [q(_REP.SOURCE_TITLE + f"- Fonte: {_REP.DEFAULT_PROVIDER}\n"
+                    + f"- Tipo de fonte: {_REP.DEFAULT_SOURCE_TYPE}\n"
+                    + f"- Última atualização local: {_REP.DEFAULT_UPDATED}\n"
+                    + f"- Narrativa: {_REP.DETERMINISTIC}\n")]
+    parts += [q(_REP.FOOTER), stamp2, q(_REP.FOOTER_END)]
+    return f"select {key + ', ' if key else ''}(" + " || ".join(f"({p})" for p in parts) + ") as report"
+
+
+import datetime as _dt  # noqa: E402
+
+_REP_TIME = _dt.datetime(2026, 1, 1, 12, 0)
+_MF = metrics_by_uf_cte() + _FINDINGS + ",\nmf as (select * from m join f using (sg_uf))"
+
+ORACLE["report_by_uf"] = _MF + "\n" + _report_sql("current") + " from mf"
+ORACLE["report_legacy_by_uf"] = _MF + "\n" + _report_sql("legacy") + " from mf"
+
+_REPORT_MSG = "case when report is null or length(report) < 100 then " + q(_CH.SHORT_REPORT)
+for _s in _CH.REQUIRED_SECTIONS:
+    _REPORT_MSG += f" when not contains(report, {q(_s)}) then {q(_CH.MISSING_SECTION + _s)}"
+_REPORT_MSG += " else 'OK' end"
+ORACLE["report_checks"] = _MF + ",\nr as (" + _report_sql("current") + f""" from mf)
+select sg_uf, ({_REPORT_MSG}) = 'OK' as valid, {_REPORT_MSG} as message from r"""
+
+_METRIC_MSG = "case"
+for _name in _CH.REQUIRED_METRICS:
+    _METRIC_MSG += f" when {_name} is null then {q(_CH.MISSING_METRIC + _name)}"
+for _name, _lo, _hi, _msg in _CH.RANGE_RULES:
+    _METRIC_MSG += f" when not ({_name} >= {_lo} and {_name} <= {_hi}) or isnan({_name}) then {q(_msg)}"
+_METRIC_MSG += " else 'OK' end"
+ORACLE["metric_checks"] = metrics_by_uf_cte() + f"""
+select sg_uf, ({_METRIC_MSG}) = 'OK' as valid, {_METRIC_MSG} as message from m"""
+
+
+# ------------------------------------------------------------ text and privacy
+
+def _lp(expr: str, n: int) -> str:
+    return f"lpad(cast({expr} as varchar), {n}, '0')"
+
+
+_K = "c_custkey"
+_CPF = (f"{_lp(_K + ' % 1000', 3)} || '.' || {_lp('(' + _K + ' * 7) % 1000', 3)} || '.' || "
+        f"{_lp('(' + _K + ' * 13) % 1000', 3)} || '-' || {_lp(_K + ' % 100', 2)}")
+_RG = (f"{_lp(_K + ' % 100', 2)} || '.' || {_lp('(' + _K + ' * 3) % 1000', 3)} || '.' || "
+       f"{_lp('(' + _K + ' * 11) % 1000', 3)} || '-' || cast({_K} % 10 as varchar)")
+_PHONE = (f"'(' || {_lp(_K + ' % 90 + 10', 2)} || ') 9' || {_lp(_K + ' % 10000', 4)} || '-' || "
+          f"{_lp('(' + _K + ' * 17) % 10000', 4)}")
+_EMAIL = "lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) || '@example.com'"
+
+PII_TEXTS = f"""
+with t as (
+  select doc_id, text from documents
+  union all
+  select -{_K} as doc_id,
+    case when {_K} % 4 = 0 then 'Paciente ' || c_name || ', CPF ' || {_CPF} || ', telefone ' || {_PHONE}
+         when {_K} % 4 = 1 then 'Documento RG ' || {_RG} || ' do paciente ' || c_name
+         when {_K} % 4 = 2 then 'Contato: ' || {_EMAIL} || ' ou ' || {_PHONE}
+         else 'Registro sem dados pessoais de ' || c_name end as text
+  from customer
+)"""
+
+_TYPES = "concat_ws(',', " + ", ".join(
+    f"case when regexp_matches(text, {q(p)}) then {q(label)} end" for label, p, _ in PII_RULES) + ")"
+_ANY = " or ".join(f"regexp_matches(text, {q(p)})" for _, p, _ in PII_RULES)
+_MASKED = "text"
+for _label, _p, _mask in PII_RULES:
+    _MASKED = f"regexp_replace({_MASKED}, {q(_p)}, {q(_mask)}, 'g')"
+
+ORACLE["detect_pii"] = PII_TEXTS + f"""
+select doc_id, ({_ANY}) as has_pii, {_TYPES} as pii_types from t"""
+
+ORACLE["anonymize_documents"] = PII_TEXTS + f"""
+select doc_id, ({_ANY}) as pii_detected, {_TYPES} as pii_types,
+       case when {_ANY} then {_MASKED} else text end as scrubbed from t"""
+
+ORACLE["sanitize_text"] = """
+select doc_id, substring(regexp_replace(text, '[<>"''%;()&+]', '', 'g'), 1, 200) as sanitized
+from documents"""
+
+# Entity decoding restricted to the entities present in the test pages.
+_ENTITIES = (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+
+
+def _unescape_sql(x: str) -> str:
+    for ent, ch in _ENTITIES:
+        x = f"replace({x}, {q(ent)}, {q(ch)})"
+    return x
+
+
+def _visible_text_sql(x: str) -> str:
+    for pat in (r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>",
+                r"(?is)<template\b[^>]*>.*?</template\s*>", r"(?s)<!--.*?-->", r"(?is)<!doctype[^>]*>"):
+        x = f"regexp_replace({x}, {q(pat)}, ' ', 'g')"
+    x = f"regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g')"
+    return _unescape_sql(x)
+
+
+def _collapse_sql(x: str) -> str:
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def _summary_sql(x: str) -> str:
+    t = _collapse_sql(_visible_text_sql(x))
+    return (f"case when {x} is null or {x} = '' then '' when length({t}) > 320 "
+            f"then rtrim(substring({t}, 1, 320), ' ') || '…' else {t} end")
+
+
+ORACLE["clean_html"] = f"""
+select page_id, {_summary_sql('html')} as summary,
+       cast(length({_collapse_sql(_visible_text_sql('html'))}) as integer) as text_chars
+from pages"""
+
+
+# ------------------------------------------------------------------------ news
+
+_PAGE_TERMS = ("the", "und", "les", "que", "tion", "ein", "ou", "uti", "gripe")
+
+NEWS_CTE = f"""
+with raw_items as (
+  select cast(page_id % 3 as integer) as feed_pos, page_id as item_pos,
+         'feed-' || cast(page_id % 3 as varchar) as source,
+         trim({_unescape_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}) as title,
+         html as description, url,
+         case when page_id % 11 = 0 then null
+              else timestamp '2026-01-01 00:00:00' + to_days(cast(page_id % 40 as integer)) end as instant
+  from pages
+),
+items as (
+  select feed_pos, item_pos, source, title, {_summary_sql('description')} as summary,
+         coalesce(strftime(instant, '%Y-%m-%d'), '') as date, coalesce(url, '') as url, instant
+  from raw_items
+  where not (title is null or title = '' or starts_with(lower(title), 'nav.')
+             or starts_with(lower(title), 'navegação') or starts_with(lower(title), 'menu'))
+),
+keyed as (
+  select *, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) as k,
+         row_number() over (partition by trim(regexp_replace(lower(title), '\\s+', ' ', 'g'))
+                            order by feed_pos, item_pos) as rn
+  from items
+),
+dedup as (select * exclude (k, rn) from keyed where rn = 1),
+scored as (
+  select *, cast(""" + " + ".join(
+    f"cast(contains(lower(coalesce(title, '') || ' ' || coalesce(summary, '')), {q(t)}) as integer)"
+    for t in _PAGE_TERMS) + """ as integer) as score
+  from dedup
+)"""
+
+ORACLE["relevance_scores"] = NEWS_CTE.replace("dedup as (select * exclude (k, rn) from keyed where rn = 1)",
+                                              "dedup as (select * from items)") + """
+select item_pos, score from scored"""
+
+ORACLE["dedupe_titles"] = NEWS_CTE + """
+select feed_pos, item_pos, source, title, date from dedup"""
+
+_RANKED = NEWS_CTE + """,
+ranked as (
+  select cast(row_number() over (order by score desc, instant desc nulls last, feed_pos, item_pos)
+              as integer) as rank, *
+  from scored
+  qualify rank <= 5
+)"""
+
+ORACLE["rank_news"] = _RANKED + """
+select rank, title, source, date, url, score, summary from ranked"""
+
+_NEWS_TEXT = """coalesce((select string_agg('**' || cast(rank as varchar) || '. ' || title || '**  ' || chr(10)
+    || '*' || source || ' - ' || date || '*  ' || chr(10) || summary || chr(10) || chr(10), '' order by rank)
+    from ranked), """ + q(_REP.NO_NEWS) + ")"
+
+ORACLE["report_with_news"] = (_RANKED + ",\n" + (CASES_CTE + _fact()).removeprefix("with ")
+                              + f""",
+sums as (select {_metric_sums(30)} from fact),
+m as ({_metric_finish()} from sums),
+f as (
+  select *,
+    case when {_G} > 10 then 'high' when {_G} < -10 then 'low' else 'moderate' end as s1,
+    case when {_G} > 10 then {q(_R.GROWTH_HIGH)} when {_G} < -10 then {q(_R.GROWTH_LOW)}
+         else {q(_R.GROWTH_STABLE)} end as m1,
+    case when {_MO} > 10 then 'high' when {_MO} >= 5 then 'moderate' else 'low' end as s2,
+    {q(_R.MORTALITY_MSG[0])} || printf('%.2f', {_MO}) || {q(_R.MORTALITY_MSG[1])} as m2,
+    case when {_U} > 30 then 'high' when {_U} >= 20 then 'moderate' else 'low' end as s3,
+    {q(_R.ICU_MSG[0])} || printf('%.2f', {_U}) || {q(_R.ICU_MSG[1])} as m3,
+    case when {_V} < 50 then 'high' when {_V} < 70 then 'moderate' else 'low' end as s4,
+    {q(_R.VACCINATION_MSG[0])} || printf('%.2f', {_V}) || {q(_R.VACCINATION_MSG[1])} as m4,
+    cast(({_G} > 10)::int * 2 + ({_MO} > 10)::int * 2 + ({_U} > 30)::int + ({_V} < 50)::int as integer)
+      as risk_score
+  from m
+)
+""" + _report_sql("current", news_sql=_NEWS_TEXT, execution="'exec-national'", key="") + " from f")

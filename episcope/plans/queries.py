@@ -8,6 +8,7 @@ oracle SQL in ``plans.oracle``.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,15 @@ from pyspark.sql import types as T
 
 from episcope.operators import clean as C
 from episcope.operators import metrics as M
+from episcope.operators import checks as CH
+from episcope.operators import news as N
+from episcope.operators import privacy as PV
+from episcope.operators import report as REP
+from episcope.operators import risk as R
 from episcope.operators import series as TS
+from episcope.functions import text as TX
 from episcope.plans import fixtures as FX
+from episcope.session import materialize
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -53,7 +61,9 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact(spark: SparkSession, sf_dir: str, keys=()) -> DataFrame:
-    return M.daily_fact(cases(spark, sf_dir), keys)
+    # The fact is tiny (days x keys); materialising it once lets the anchor
+    # subquery and every aggregate read it instead of re-scanning the cases.
+    return materialize(M.daily_fact(cases(spark, sf_dir), keys))
 
 
 @query("clean_cases")
@@ -140,3 +150,119 @@ def q_monthly_cases_calendar(spark, sf_dir):
 @query("chart_series_by_uf")
 def q_chart_series_by_uf(spark, sf_dir):
     return TS.chart_series(fact(spark, sf_dir, ["sg_uf"]), ["sg_uf"], 30, 12)
+
+
+# ------------------------------------------------------ risk, reports, checks
+
+REPORT_TIME = dt.datetime(2026, 1, 1, 12, 0)
+
+
+def metrics_by_uf(spark, sf_dir):
+    return M.all_metrics(fact(spark, sf_dir, ["sg_uf"]), keys=["sg_uf"])
+
+
+def uf_execution_id():
+    return F.concat(F.lit("exec-"), F.col("sg_uf"))
+
+
+@query("findings_by_uf")
+def q_findings_by_uf(spark, sf_dir):
+    return R.findings(metrics_by_uf(spark, sf_dir), ["sg_uf"])
+
+
+@query("risk_by_uf")
+def q_risk_by_uf(spark, sf_dir):
+    return R.risk_levels(metrics_by_uf(spark, sf_dir), ["sg_uf"])
+
+
+@query("recommendations_by_uf")
+def q_recommendations_by_uf(spark, sf_dir):
+    return REP.recommendations_rows(metrics_by_uf(spark, sf_dir), ["sg_uf"])
+
+
+@query("report_by_uf")
+def q_report_by_uf(spark, sf_dir):
+    return REP.render_report(metrics_by_uf(spark, sf_dir), uf_execution_id(), REPORT_TIME,
+                             keys=["sg_uf"])
+
+
+@query("report_legacy_by_uf")
+def q_report_legacy_by_uf(spark, sf_dir):
+    return REP.render_report(metrics_by_uf(spark, sf_dir), uf_execution_id(), REPORT_TIME,
+                             layout="legacy", keys=["sg_uf"])
+
+
+@query("report_checks")
+def q_report_checks(spark, sf_dir):
+    reports = REP.render_report(metrics_by_uf(spark, sf_dir), uf_execution_id(), REPORT_TIME,
+                                keys=["sg_uf"])
+    return CH.validate_report(reports, "report", ["sg_uf"])
+
+
+@query("metric_checks")
+def q_metric_checks(spark, sf_dir):
+    return CH.validate_metrics(metrics_by_uf(spark, sf_dir), ["sg_uf"])
+
+
+# ------------------------------------------------------------ text and privacy
+
+@query("detect_pii")
+def q_detect_pii(spark, sf_dir):
+    out = PV.detect_pii(FX.pii_texts(spark, sf_dir), "text", ["doc_id"])
+    return out.select("doc_id", "has_pii", F.concat_ws(",", "pii_types").alias("pii_types"))
+
+
+@query("anonymize_documents")
+def q_anonymize_documents(spark, sf_dir):
+    out = PV.scrub_texts(FX.pii_texts(spark, sf_dir), "text")
+    return out.select("doc_id", "pii_detected", F.concat_ws(",", "pii_types").alias("pii_types"),
+                      F.col("text").alias("scrubbed"))
+
+
+@query("sanitize_text")
+def q_sanitize_text(spark, sf_dir):
+    docs = FX.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return CH.sanitize(docs, "text").select("doc_id", "sanitized")
+
+
+@query("clean_html")
+def q_clean_html(spark, sf_dir):
+    pages = FX.table(spark, sf_dir, "pages").select("page_id", "html")
+    return pages.select("page_id", TX.clean_summary(F.col("html"), 320).alias("summary"),
+                        F.length(TX.collapse_ws(TX.html_text(F.col("html")))).alias("text_chars"))
+
+
+# ------------------------------------------------------------------------ news
+
+# Terms for the synthetic pages: the default surveillance terms barely occur there.
+PAGE_TERMS = ("the", "und", "les", "que", "tion", "ein", "ou", "uti", "gripe")
+
+
+def page_news(spark, sf_dir):
+    return N.prepare_items(FX.news_items(spark, sf_dir))
+
+
+@query("relevance_scores")
+def q_relevance_scores(spark, sf_dir):
+    items = page_news(spark, sf_dir)
+    return items.select("item_pos", N.relevance_score(F.col("title"), F.col("summary"),
+                                                      PAGE_TERMS).alias("score"))
+
+
+@query("dedupe_titles")
+def q_dedupe_titles(spark, sf_dir):
+    return N.dedupe_titles(page_news(spark, sf_dir)).select(
+        "feed_pos", "item_pos", "source", "title", "date")
+
+
+@query("rank_news")
+def q_rank_news(spark, sf_dir):
+    return N.rank_news(page_news(spark, sf_dir), 5, PAGE_TERMS).select(
+        "rank", "title", "source", "date", "url", "score", "summary")
+
+
+@query("report_with_news")
+def q_report_with_news(spark, sf_dir):
+    news = N.ranked_news_text(N.rank_news(page_news(spark, sf_dir), 5, PAGE_TERMS))
+    return REP.render_report(M.all_metrics(fact(spark, sf_dir)), F.lit("exec-national"),
+                             REPORT_TIME, news_text=news)

@@ -69,3 +69,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for derived files."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/episcope/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Reliable lineage cut: write ``df`` to the shared checkpoint folder and read it back.
+
+    Used for small shared intermediates (the daily fact) that several branches of
+    one plan read; unlike a cache, the files survive the loss of an executor.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)

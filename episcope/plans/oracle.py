@@ -496,3 +496,118 @@ f as (
   from m
 )
 """ + _report_sql("current", news_sql=_NEWS_TEXT, execution="'exec-national'", key="") + " from f")
+
+
+# -------------------------------------------------------- job ledger and audit
+
+JOBS_CTE = """
+with ch as (
+  select 'job-' || cast(user_id as varchar) as job_id, event_id, ts,
+    case event_type when 'click' then 'queued' when 'view' then 'running'
+                    when 'purchase' then 'succeeded' when 'error' then 'failed' end as status,
+    case when event_type = 'signup' then 'exec-' || cast(event_id as varchar) end as execution_id,
+    case when event_type = 'purchase' then 'reports/' || cast(event_id as varchar) || '.md' end as report_path,
+    case when event_type = 'purchase' then value * 100 end as duration_ms,
+    case when event_type = 'error' then 'error at event ' || cast(event_id as varchar) end as error,
+    props as payload
+  from events
+),
+jobs as (
+  select job_id, min(ts) as created_at, max(ts) as updated_at,
+    arg_max(status, (ts, event_id)) filter (where status is not null) as status,
+    arg_max(execution_id, (ts, event_id)) filter (where execution_id is not null) as execution_id,
+    arg_max(report_path, (ts, event_id)) filter (where report_path is not null) as report_path,
+    arg_max(duration_ms, (ts, event_id)) filter (where duration_ms is not null) as duration_ms,
+    arg_max_null(error, (ts, event_id)) filter (where status in ('failed', 'succeeded')) as error,
+    arg_min(payload, (ts, event_id)) as payload
+  from ch group by job_id
+)"""
+
+
+def _ts(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+
+ORACLE["latest_job_state"] = JOBS_CTE + f"""
+select job_id, {_ts('created_at')} as created_at, {_ts('updated_at')} as updated_at, status,
+       execution_id, report_path, duration_ms, error, payload from jobs"""
+
+ORACLE["status_counts"] = JOBS_CTE + """,
+counts as (select status, count(*) as n from jobs group by status),
+dim as (select * from (values (0, 'queued'), (1, 'running'), (2, 'succeeded'), (3, 'failed')) t(pos, status))
+select dim.status, cast(coalesce(n, 0) as bigint) as jobs,
+       cast(sum(coalesce(n, 0)) over () as bigint) as total_jobs
+from dim left join counts using (status)"""
+
+ORACLE["recent_jobs"] = JOBS_CTE + f"""
+select job_id, status, {_ts('created_at')} as created_at, execution_id from jobs
+order by jobs.created_at desc, job_id desc limit 20"""
+
+ORACLE["recent_failures"] = JOBS_CTE + f"""
+select job_id, status, {_ts('created_at')} as created_at, error from jobs where status = 'failed'
+order by jobs.created_at desc, job_id desc limit 5"""
+
+ORACLE["backlog_head"] = JOBS_CTE + f"""
+select job_id, {_ts('created_at')} as created_at, payload from jobs where status = 'queued'
+order by jobs.created_at, job_id limit 1"""
+
+ORACLE["retry_plan"] = JOBS_CTE + """
+select job_id,
+  case when execution_id is null
+       then json_object('k', cast(json_extract(payload, '$.k') as integer))
+       else json_object('k', cast(json_extract(payload, '$.k') as integer), 'execution_id', execution_id)
+  end::varchar as retry_payload
+from jobs where status = 'failed'"""
+
+AUDIT_CTE = """
+with a as (
+  select cast(event_id as varchar) as event_id, ts,
+    case event_type when 'click' then 'tool_call' when 'view' then 'validation'
+                    when 'error' then 'error' else 'agent_decision' end as event_type,
+    'exec-' || cast(user_id as varchar) as execution_id,
+    case when event_type not in ('click', 'view', 'error') then event_type end as decision,
+    case when event_type = 'click' then 'database_query' end as tool_name,
+    case when event_type = 'click' then value end as duration_ms,
+    case when event_type = 'view' then 'metrics' end as validation_type,
+    case when event_type = 'view' then value < 50 end as valid,
+    case when event_type = 'view' then (case when value < 50 then 'OK' else 'out of range' end) end as message,
+    case when event_type = 'error' then 'RuntimeError' end as error_type,
+    case when event_type = 'error' then 'failure ' || cast(event_id as varchar) end as error_message
+  from events
+)"""
+
+ORACLE["flatten_events"] = AUDIT_CTE + f"""
+select event_id, event_type, execution_id, {_ts('ts')} as ts, decision, tool_name, duration_ms,
+       validation_type, valid, message, error_type, error_message from a"""
+
+ORACLE["execution_summary"] = AUDIT_CTE + """
+select execution_id,
+  (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000.0 as duration_ms,
+  cast(count_if(event_type = 'tool_call') as bigint) as total_tool_calls,
+  cast(count_if(event_type = 'validation') as bigint) as total_validations,
+  cast(count_if(event_type = 'validation' and not coalesce(valid, false)) as bigint) as failed_validations,
+  cast(count_if(event_type = 'error') as bigint) as total_errors,
+  count_if(event_type = 'error') = 0 as success
+from a group by execution_id"""
+
+# Recursive fold per user: (a1, a2) are the two latest admitted instants (K = 2).
+RATE_CTE = """
+with recursive c as (
+  select event_id, user_id, epoch_us(ts) as t,
+         row_number() over (partition by user_id order by ts, event_id) as rn
+  from events
+),
+r as (
+  select user_id, rn, event_id, true as admitted, cast(null as bigint) as a1, t as a2
+  from c where rn = 1
+  union all
+  select c.user_id, c.rn, c.event_id,
+         (r.a1 is null or c.t - r.a1 >= 21600000000) as admitted,
+         case when r.a1 is null or c.t - r.a1 >= 21600000000 then r.a2 else r.a1 end as a1,
+         case when r.a1 is null or c.t - r.a1 >= 21600000000 then c.t else r.a2 end as a2
+  from r join c on c.user_id = r.user_id and c.rn = r.rn + 1
+)"""
+
+ORACLE["rate_limit"] = RATE_CTE + "\nselect event_id, user_id, admitted from r"
+ORACLE["rate_limit_summary"] = RATE_CTE + """
+select admitted, cast(count(*) as bigint) as calls from r group by admitted"""

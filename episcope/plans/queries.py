@@ -19,6 +19,8 @@ from episcope.operators import clean as C
 from episcope.operators import metrics as M
 from episcope.operators import checks as CH
 from episcope.operators import news as N
+from episcope.operators import ops as OPS
+from episcope.operators import ratelimit as RL
 from episcope.operators import privacy as PV
 from episcope.operators import report as REP
 from episcope.operators import risk as R
@@ -266,3 +268,75 @@ def q_report_with_news(spark, sf_dir):
     news = N.ranked_news_text(N.rank_news(page_news(spark, sf_dir), 5, PAGE_TERMS))
     return REP.render_report(M.all_metrics(fact(spark, sf_dir)), F.lit("exec-national"),
                              REPORT_TIME, news_text=news)
+
+
+# -------------------------------------------------------- job ledger and audit
+
+def jobs(spark, sf_dir):
+    return OPS.latest_job_state(FX.job_changes(spark, sf_dir))
+
+
+@query("latest_job_state")
+def q_latest_job_state(spark, sf_dir):
+    return dates_as_text(jobs(spark, sf_dir))
+
+
+@query("status_counts")
+def q_status_counts(spark, sf_dir):
+    return OPS.status_counts(jobs(spark, sf_dir))
+
+
+@query("recent_jobs")
+def q_recent_jobs(spark, sf_dir):
+    return dates_as_text(OPS.recent_jobs(jobs(spark, sf_dir), 20).select(
+        "job_id", "status", "created_at", "execution_id"))
+
+
+@query("recent_failures")
+def q_recent_failures(spark, sf_dir):
+    return dates_as_text(OPS.recent_jobs(jobs(spark, sf_dir), 5, "failed").select(
+        "job_id", "status", "created_at", "error"))
+
+
+@query("backlog_head")
+def q_backlog_head(spark, sf_dir):
+    return dates_as_text(OPS.backlog_head(jobs(spark, sf_dir)).select("job_id", "created_at", "payload"))
+
+
+@query("retry_plan")
+def q_retry_plan(spark, sf_dir):
+    return OPS.retry_plan(jobs(spark, sf_dir))
+
+
+def audit(spark, sf_dir):
+    return OPS.flatten_events(FX.audit_events(spark, sf_dir))
+
+
+@query("flatten_events")
+def q_flatten_events(spark, sf_dir):
+    return dates_as_text(audit(spark, sf_dir).select(
+        "event_id", "event_type", "execution_id", "ts", "decision", "tool_name", "duration_ms",
+        "validation_type", "valid", "message", "error_type", "error_message"))
+
+
+@query("execution_summary")
+def q_execution_summary(spark, sf_dir):
+    return OPS.execution_summary(audit(spark, sf_dir))
+
+
+# Rate-limit fixture: one key per user, K = 2 calls per 6 hours.
+RATE_K, RATE_WINDOW_S = 2, 6 * 3600
+
+
+@query("rate_limit")
+def q_rate_limit(spark, sf_dir):
+    calls = FX.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    out = RL.rate_limit(calls, "user_id", "ts", "event_id", RATE_K, RATE_WINDOW_S)
+    return out.select("event_id", "user_id", "admitted")
+
+
+@query("rate_limit_summary")
+def q_rate_limit_summary(spark, sf_dir):
+    calls = FX.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    out = RL.rate_limit(calls, "user_id", "ts", "event_id", RATE_K, RATE_WINDOW_S)
+    return out.groupBy("admitted").agg(F.count(F.lit(1)).alias("calls"))

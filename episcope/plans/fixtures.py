@@ -179,3 +179,19 @@ def pii_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents plus the built texts (negative ids)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.unionByName(built_pii_texts(spark, sf_dir))
+
+
+def feed_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed date strings in five shapes built from ``events.ts``.
+
+    0: RFC 822 with weekday and a numeric zone, 1: RFC 822 without weekday in
+    GMT, 2: ISO 8601 with ``Z``, 3: ISO 8601 with an offset, 4: no date.
+    """
+    ev = table(spark, sf_dir, "events").select("event_id", "ts")
+    shape = F.col("event_id") % 5
+    raw = (F.when(shape == 0, F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" -0300")))
+           .when(shape == 1, F.concat(F.date_format("ts", "d MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+           .when(shape == 2, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+           .when(shape == 3, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+           .otherwise(F.lit("sem data")))
+    return ev.select("event_id", raw.alias("raw_date"))

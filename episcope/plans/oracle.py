@@ -611,3 +611,35 @@ r as (
 ORACLE["rate_limit"] = RATE_CTE + "\nselect event_id, user_id, admitted from r"
 ORACLE["rate_limit_summary"] = RATE_CTE + """
 select admitted, cast(count(*) as bigint) as calls from r group by admitted"""
+
+
+# The oracle states the expected parse from the generating rule, not by parsing.
+ORACLE["parse_feed_dates"] = """
+with s as (select event_id, ts, event_id % 5 as shape from events)
+select event_id,
+  case shape when 0 then strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' -0300'
+             when 1 then strftime(ts, '%-d %b %Y %H:%M:%S') || ' GMT'
+             when 2 then strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z'
+             when 3 then strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00'
+             else 'sem data' end as raw_date,
+  case when shape < 4 then strftime(ts, '%Y-%m-%d') else '' end as date,
+  case shape when 0 then strftime(date_trunc('second', ts) + interval 3 hour, '%Y-%m-%d %H:%M:%S')
+             when 1 then strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') end as instant
+from s"""
+
+
+# ------------------------------------------------- sources and sinks, round trips
+
+ORACLE["ingest_csv_cases"] = ORACLE["clean_cases"]
+ORACLE["curated_reload_metrics"] = ORACLE["all_metrics"]
+ORACLE["audit_log_roundtrip"] = ORACLE["execution_summary"]
+ORACLE["report_files"] = (_MF + "\nselect 'exec-' || sg_uf as execution_id, report from ("
+                          + _report_sql("current") + " from mf)")
+ORACLE["feed_items"] = f"""
+select page_id, 1 as item_pos,
+       trim({_unescape_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}) as title,
+       url,
+       strftime(timestamp '2026-01-01' + to_days(cast(page_id % 40 as integer)), '%Y-%m-%d') as date
+from pages
+where page_id % 50 <> 7
+  and trim({_unescape_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}) <> ''"""

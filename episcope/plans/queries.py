@@ -27,7 +27,11 @@ from episcope.operators import risk as R
 from episcope.operators import series as TS
 from episcope.functions import text as TX
 from episcope.plans import fixtures as FX
-from episcope.session import materialize
+from episcope.functions import dates as DT
+from episcope.session import materialize, shared_dir
+from episcope.sources import audit as SA
+from episcope.sources import cases as SC
+from episcope.sources import feeds as SF
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -340,3 +344,78 @@ def q_rate_limit_summary(spark, sf_dir):
     calls = FX.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     out = RL.rate_limit(calls, "user_id", "ts", "event_id", RATE_K, RATE_WINDOW_S)
     return out.groupBy("admitted").agg(F.count(F.lit(1)).alias("calls"))
+
+
+@query("parse_feed_dates")
+def q_parse_feed_dates(spark, sf_dir):
+    from episcope.functions.dates import normalize_date, sort_instant
+    stamps = FX.feed_stamps(spark, sf_dir)
+    return stamps.select(
+        "event_id", "raw_date",
+        F.coalesce(normalize_date(F.col("raw_date")), F.lit("")).alias("date"),
+        F.date_format(sort_instant(F.col("raw_date")), "yyyy-MM-dd HH:mm:ss").alias("instant"))
+
+
+# ------------------------------------------------- sources and sinks, round trips
+
+@query("ingest_csv_cases")
+def q_ingest_csv_cases(spark, sf_dir):
+    """SRC-1 + CLEAN: mapped rows written as ';' Latin-1 CSV, read back and cleaned."""
+    path = shared_dir(spark, "raw-cases")
+    (FX.mapped_cases(spark, sf_dir).write.mode("overwrite").option("sep", ";")
+     .option("encoding", "ISO-8859-1").option("header", True).csv(path))
+    return dates_as_text(C.clean_cases(SC.read_cases_csv(spark, path), year=FIXTURE_YEAR))
+
+
+@query("curated_reload_metrics")
+def q_curated_reload_metrics(spark, sf_dir):
+    """SNK-3 + year-partition pruning: atomic reload, then the flagship metrics."""
+    root = shared_dir(spark, "curated")
+    SC.replace_curated(cases(spark, sf_dir), root)
+    curated = SC.read_curated(spark, root, year=FIXTURE_YEAR)
+    return M.all_metrics(materialize(M.daily_fact(curated)))
+
+
+@query("feed_items")
+def q_feed_items(spark, sf_dir):
+    """SRC-4: one RSS document per page (one per line), parsed back into items."""
+    path = shared_dir(spark, "feeds")
+    pages = FX.table(spark, sf_dir, "pages")
+    pid = F.col("page_id")
+    title = F.trim(TX.unescape_entities(TX.extract_title(F.col("html"))))
+    item = F.concat(
+        F.lit("<item><title>"), SF.xml_escape(title), F.lit("</title><link>"), SF.xml_escape(F.col("url")),
+        F.lit("</link><dc:date>"), F.date_format(F.timestamp_add("DAY", (pid % 40).cast("int"),
+                                                                 F.lit("2026-01-01").cast("timestamp")),
+                                                 "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit("</dc:date></item>"))
+    doc = F.concat(
+        F.lit('<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>page-'),
+        pid.cast("string"), F.lit("</title><item><title>nav. menu</title></item>"), item,
+        # every 50th document is cut short: a broken feed must yield no items
+        F.when(pid % 50 == 7, F.lit("")).otherwise(F.lit("</channel></rss>")))
+    pages.select(doc.alias("value")).write.mode("overwrite").text(path)
+    items = SF.parse_feed_documents(spark.read.text(path))
+    items = N.drop_navigation(items)
+    return items.select(
+        F.regexp_extract("channel_title", r"page-(\d+)", 1).cast("bigint").alias("page_id"),
+        "item_pos", "title", "url",
+        F.coalesce(DT.normalize_date(F.col("raw_date")), F.lit("")).alias("date"))
+
+
+@query("audit_log_roundtrip")
+def q_audit_log_roundtrip(spark, sf_dir):
+    """SNK-5 + SRC-5: audit rows appended as daily JSONL, read back, summarised."""
+    path = shared_dir(spark, "audit")
+    SA.append_audit(FX.audit_events(spark, sf_dir), path)
+    return OPS.execution_summary(OPS.flatten_events(SA.read_audit_log(spark, path)))
+
+
+@query("report_files")
+def q_report_files(spark, sf_dir):
+    """SNK-6: one Markdown file per execution, read back whole."""
+    path = shared_dir(spark, "reports")
+    reports = REP.render_report(metrics_by_uf(spark, sf_dir), uf_execution_id(), REPORT_TIME,
+                                keys=["sg_uf"]).select(uf_execution_id().alias("execution_id"), "report")
+    SA.write_reports(reports, path)
+    return SA.read_reports(spark, path)

@@ -643,3 +643,13 @@ select page_id, 1 as item_pos,
 from pages
 where page_id % 50 <> 7
   and trim({_unescape_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}) <> ''"""
+
+
+# ------------------------------------------------------------------ streaming
+
+ORACLE["stream_ingest_cases"] = ORACLE["clean_cases"]
+ORACLE["stream_daily_cases"] = CASES_CTE + """
+select strftime(dt_notific, '%Y-%m-%d') as date, cast(count(*) as bigint) as cases
+from cases group by dt_notific"""
+ORACLE["stream_execution_summary"] = ORACLE["execution_summary"]
+ORACLE["stream_rate_limit"] = ORACLE["rate_limit"]

@@ -32,6 +32,7 @@ from episcope.session import materialize, shared_dir
 from episcope.sources import audit as SA
 from episcope.sources import cases as SC
 from episcope.sources import feeds as SF
+from episcope.streaming import jobs as ST
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -419,3 +420,50 @@ def q_report_files(spark, sf_dir):
                                 keys=["sg_uf"]).select(uf_execution_id().alias("execution_id"), "report")
     SA.write_reports(reports, path)
     return SA.read_reports(spark, path)
+
+
+# ------------------------------------------------------------------ streaming
+
+def _stream_dirs(spark, name):
+    base = shared_dir(spark, name)
+    return f"{base}/in", f"{base}/out", f"{base}/checkpoint"
+
+
+@query("stream_ingest_cases")
+def q_stream_ingest_cases(spark, sf_dir):
+    """STR-1: landed raw CSV → streaming CLEAN → curated Parquet, read back."""
+    src, out, ckpt = _stream_dirs(spark, "stream-ingest")
+    (FX.mapped_cases(spark, sf_dir).write.mode("overwrite").option("sep", ";")
+     .option("encoding", "ISO-8859-1").option("header", True).csv(src))
+    ST.stream_ingest(spark, src, out, ckpt, year=FIXTURE_YEAR)
+    return dates_as_text(spark.read.parquet(out).drop("year"))
+
+
+@query("stream_daily_cases")
+def q_stream_daily_cases(spark, sf_dir):
+    """STR-2: curated cases landed as files, counted per day by a watermarked stream."""
+    src, out, ckpt = _stream_dirs(spark, "stream-daily")
+    curated = cases(spark, sf_dir)
+    curated.write.mode("overwrite").parquet(src)
+    ST.stream_daily_cases(spark, src, curated.schema, out, ckpt)
+    return ST.read_upsert_log(spark, out, ["date"])
+
+
+@query("stream_execution_summary")
+def q_stream_execution_summary(spark, sf_dir):
+    """STR-3: audit JSON lines replayed through the streaming execution summary."""
+    src, out, ckpt = _stream_dirs(spark, "stream-audit")
+    SA.append_audit(FX.audit_events(spark, sf_dir), src)
+    ST.stream_execution_summary(spark, src, out, ckpt)
+    return ST.read_upsert_log(spark, out, ["execution_id"])
+
+
+@query("stream_rate_limit")
+def q_stream_rate_limit(spark, sf_dir):
+    """STR-4: call files replayed through the stateful streaming rate limiter."""
+    src, out, ckpt = _stream_dirs(spark, "stream-rate")
+    calls = FX.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    calls.write.mode("overwrite").parquet(src)
+    ST.stream_rate_limit(spark, src, calls.schema, "user_id", "ts", "event_id", out, ckpt,
+                         RATE_K, RATE_WINDOW_S)
+    return spark.read.parquet(out).select("event_id", "user_id", "admitted")

@@ -21,8 +21,15 @@ def _col(c: Column | str) -> Column:
 
 
 def coerce_date(c: Column | str) -> Column:
-    """PRJ-2: text -> DATE; anything that does not parse becomes NULL."""
-    return F.try_to_date(_col(c).cast("string"), DATE_PATTERN)
+    """PRJ-2: text -> DATE; anything that does not parse becomes NULL.
+
+    The canonical ``yyyy-MM-dd`` shape takes the cast parser (no formatter);
+    any other text goes through the ``yyyy-M-d`` pattern. Both reject
+    impossible dates, so the result is the same as the pattern alone.
+    """
+    s = _col(c).cast("string")
+    canonical = s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    return F.when(canonical, s.try_cast("date")).otherwise(F.try_to_date(s, DATE_PATTERN))
 
 
 def coerce_code(c: Column | str) -> Column:

@@ -21,23 +21,38 @@ PII_RULES = (
     ("Telefone", PHONE_PATTERN, "(**) ****-****"),
     ("Email", EMAIL_PATTERN, "***@***.***"),
 )
+# Characters every match of a rule must contain: a cheap substring test skips the
+# regex on texts that cannot match (most texts have no '@', for example).
+REQUIRED_CHARS = {"CPF": (".", "-"), "RG": (".", "-"), "Telefone": ("(", ")"), "Email": ("@", ".")}
 
 
 def _u(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+def _may_match(text: Column, label: str) -> Column:
+    cond = None
+    for ch in REQUIRED_CHARS[label]:
+        c = text.contains(ch)
+        cond = c if cond is None else cond & c
+    return cond
+
+
+def _hit(text: Column, label: str, pattern: str) -> Column:
+    return F.when(_may_match(text, label), text.rlike(_u(pattern))).otherwise(F.lit(False))
+
+
 def pii_types(text: Column) -> Column:
     """PII-1: ARRAY<STRING> of the kinds found, in the order CPF, RG, Telefone, Email."""
     return F.array_compact(F.array(*[
-        F.when(text.rlike(_u(p)), F.lit(label)) for label, p, _ in PII_RULES
+        F.when(_hit(text, label, p), F.lit(label)) for label, p, _ in PII_RULES
     ]))
 
 
 def has_pii(text: Column) -> Column:
     out = None
-    for _, p, _ in PII_RULES:
-        hit = text.rlike(_u(p))
+    for label, p, _ in PII_RULES:
+        hit = _hit(text, label, p)
         out = hit if out is None else out | hit
     return out
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episcope.functions.pii import anonymize, has_pii, pii_types, scrub
+from episcope.functions.pii import anonymize, pii_types
 
 
 def detect_pii(df: DataFrame, column: str = "text", keys: Sequence[str] = ()) -> DataFrame:
@@ -26,7 +26,13 @@ def anonymize_column(df: DataFrame, column: str = "text", out: str | None = None
 
 
 def scrub_texts(df: DataFrame, column: str = "text") -> DataFrame:
-    """PII-3: detect, then mask only the rows where something was found."""
-    return (df.withColumn("pii_detected", has_pii(F.col(column)))
-            .withColumn("pii_types", pii_types(F.col(column)))
-            .withColumn(column, scrub(F.col(column))))
+    """PII-3: detect, then mask only the rows where something was found.
+
+    The kinds are computed once; detection is ``size(kinds) > 0``, so every
+    pattern is tested once per text before masking.
+    """
+    found = df.withColumn("pii_types", pii_types(F.col(column)))
+    detected = F.size("pii_types") > 0
+    return found.select(*[c for c in df.columns if c != column],
+                        detected.alias("pii_detected"), "pii_types",
+                        F.when(detected, anonymize(F.col(column))).otherwise(F.col(column)).alias(column))

@@ -32,7 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _ymd(c):
-    return F.date_format(c, "yyyy-MM-dd")
+    # DATE -> text is 'yyyy-MM-dd' without a formatter.
+    return F.to_date(c).cast("string")
 
 
 def mapped_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,8 @@ def mapped_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    nation = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
+                                source=f"{sf_dir}/nation")
 
     cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
     oc = orders.join(cust, orders.o_custkey == cust.c_custkey)
@@ -53,7 +55,8 @@ def mapped_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapped = {
         "DT_NOTIFIC": (F.when(ok % 97 == 0, F.lit("invalid"))
                        .when(ok % 89 == 0, F.lit(None).cast("string"))
-                       .when(F.date_format("l_shipdate", "yyyy-MM") == "2000-07", F.lit(None).cast("string"))
+                       .when((F.year("l_shipdate") == 2000) & (F.month("l_shipdate") == 7),
+                             F.lit(None).cast("string"))
                        .otherwise(_ymd("l_shipdate"))),
         "DT_SIN_PRI": _ymd("o_orderdate"),
         "SG_UF": F.col("n_name"),

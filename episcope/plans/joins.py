@@ -16,7 +16,22 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 100_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+# Size verdicts of immutable inputs already checked in this process (path -> small?).
+_CHECKED: dict[tuple[str, int], bool] = {}
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                       source: str | None = None) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged.
+
+    ``source`` names an immutable input (a path); its verdict is remembered so
+    repeated plans over the same input do not repeat the bounded count.
+    """
+    key = (source, max_rows) if source else None
+    if key is not None and key in _CHECKED:
+        small = _CHECKED[key]
+    else:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        if key is not None:
+            _CHECKED[key] = small
+    return F.broadcast(df) if small else df

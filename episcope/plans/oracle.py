@@ -653,3 +653,15 @@ select strftime(dt_notific, '%Y-%m-%d') as date, cast(count(*) as bigint) as cas
 from cases group by dt_notific"""
 ORACLE["stream_execution_summary"] = ORACLE["execution_summary"]
 ORACLE["stream_rate_limit"] = ORACLE["rate_limit"]
+
+ORACLE["load_history_latest"] = CASES_CTE + """
+select 'DATASUS/SIVEP-Gripe' as provider, 'parquet_table' as source_type,
+       cast(count(*) as bigint) as rows_processed from cases"""
+
+ORACLE["cases_half_open_range"] = CASES_CTE + """
+select sg_uf, cast(count(*) as bigint) as cases from cases
+where dt_notific >= date '2000-03-01' and dt_notific < date '2000-04-01' group by sg_uf"""
+
+ORACLE["cases_last_30_days"] = CASES_CTE + """
+select sg_uf, cast(count(*) as bigint) as cases, cast(sum(obito) as bigint) as deaths from cases
+where dt_notific >= (select max(dt_notific) from cases) - interval 30 day group by sg_uf"""

@@ -467,3 +467,31 @@ def q_stream_rate_limit(spark, sf_dir):
     ST.stream_rate_limit(spark, src, calls.schema, "user_id", "ts", "event_id", out, ckpt,
                          RATE_K, RATE_WINDOW_S)
     return spark.read.parquet(out).select("event_id", "user_id", "admitted")
+
+
+@query("load_history_latest")
+def q_load_history_latest(spark, sf_dir):
+    """SRC-1 → CLEAN → SNK-3 → SNK-4, then REP-5: the newest load-history row."""
+    base = shared_dir(spark, "ingest")
+    raw, table_root, history = f"{base}/raw", f"{base}/table", f"{base}/history"
+    (FX.mapped_cases(spark, sf_dir).write.mode("overwrite").option("sep", ";")
+     .option("encoding", "ISO-8859-1").option("header", True).csv(raw))
+    SC.ingest(spark, raw, table_root, year=FIXTURE_YEAR, metadata_path=history)
+    latest = REP.latest_source(spark.read.json(history))
+    return latest.select("provider", "source_type", F.col("rows_processed").cast("bigint"))
+
+
+@query("cases_half_open_range")
+def q_cases_half_open_range(spark, sf_dir):
+    """FIL-4: cases with ``2000-03-01 <= dt_notific < 2000-04-01``, per region."""
+    rows = C.half_open_range(cases(spark, sf_dir), "dt_notific",
+                             dt.date(2000, 3, 1), dt.date(2000, 4, 1))
+    return rows.groupBy("sg_uf").agg(F.count(F.lit(1)).alias("cases"))
+
+
+@query("cases_last_30_days")
+def q_cases_last_30_days(spark, sf_dir):
+    """FIL-3 on case rows: the last 31 calendar days before the newest case, per region."""
+    rows = C.last_n_days(cases(spark, sf_dir), 30)
+    return rows.groupBy("sg_uf").agg(F.count(F.lit(1)).alias("cases"),
+                                     F.sum("obito").cast("bigint").alias("deaths"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episcope import schema as S
-from episcope.plans.joins import broadcast_if_small
+from episcope.plans.joins import broadcast_if_small, spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -83,7 +83,8 @@ def mapped_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as news items: title from ``<title>``, summary from the page HTML."""
     from episcope.functions.text import extract_title, unescape_entities
-    pages = table(spark, sf_dir, "pages")
+    # Regex and entity work per page is heavy: spread a scan that under-fills the cluster.
+    pages = spread(table(spark, sf_dir, "pages"))
     pid = F.col("page_id")
     instant = F.when(pid % 11 == 0, F.lit(None).cast("timestamp")).otherwise(
         F.timestamp_add("DAY", (pid % 40).cast("int"), F.lit("2026-01-01 00:00:00").cast("timestamp")))

@@ -35,3 +35,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
         if key is not None:
             _CHECKED[key] = small
     return F.broadcast(df) if small else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster only when its scan under-fills it.
+
+    A scan of one large row group is a single task; CPU-heavy per-row work
+    (regex over whole texts) then runs on one core. When the scan already has
+    at least ``min_partitions`` (default: the cluster's parallelism) splits —
+    the normal case for a large table — ``df`` is returned unchanged, so no
+    shuffle is added. Reading the partition count plans the scan; it runs no job.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -27,6 +27,7 @@ from episcope.operators import risk as R
 from episcope.operators import series as TS
 from episcope.functions import text as TX
 from episcope.plans import fixtures as FX
+from episcope.plans.joins import spread
 from episcope.functions import dates as DT
 from episcope.session import materialize, shared_dir
 from episcope.sources import audit as SA
@@ -234,7 +235,7 @@ def q_sanitize_text(spark, sf_dir):
 
 @query("clean_html")
 def q_clean_html(spark, sf_dir):
-    pages = FX.table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = spread(FX.table(spark, sf_dir, "pages").select("page_id", "html"))
     return pages.select("page_id", TX.clean_summary(F.col("html"), 320).alias("summary"),
                         F.length(TX.collapse_ws(TX.html_text(F.col("html")))).alias("text_chars"))
 

@@ -2,14 +2,27 @@
 
 A call is admitted iff fewer than ``max_calls`` *admitted* calls of the same
 key lie within the window before it (``now - t < window``); denied calls are
-not remembered. Admission depends on earlier admissions, so the fold is
-sequential per key and cannot be a window function.
-
-Plan: hash-partition by key, sort within partitions by (key, time, seq), then
-one ``mapInPandas`` pass that walks the sorted Arrow batches keeping only the
-last ``max_calls`` admitted instants of the current key. Memory is O(max_calls)
-whatever a key's size; Spark's sort spills, so a key holding a third of all
-calls is streamed through one task rather than loaded.
+not remembered. Admission depends on earlier admissions, so within a key the
+rule is a sequential fold and cannot be a window function.
+
+Splitting hot keys: after a gap of at least one window since the key's
+previous call, nothing is inside the window, so the fold restarts from an
+empty state. A key's timeline therefore splits into independent *segments*.
+Segment starts are found without sorting a key's calls:
+
+1. bucket calls by ``floor(t / window)`` and aggregate ``(key, bucket) -> first,
+   last`` (partial aggregation, so a hot key costs one row per task and bucket);
+2. a bucket starts a segment iff the previous bucket is empty or its last call
+   is at least one window before this bucket's first call (only a bucket's
+   first call can follow such a gap);
+3. each bucket takes the latest segment start at or before it (a running
+   ``last`` over the key's *buckets* — at most span/window rows, not calls).
+
+Calls then hash-partition by (key, segment), sort within partitions, and one
+``mapInPandas`` pass folds each segment keeping only the last ``max_calls``
+admitted instants (O(max_calls) memory; Spark's sort spills). A hot key with
+gaps spreads over many tasks; only a key calling without any one-window pause
+stays a single sequential segment, which the rule itself requires.
 """
 
 from __future__ import annotations
@@ -19,28 +32,45 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_KEY, _T, _B, _SEG = "_rl_key", "_rl_t", "_rl_bucket", "_rl_seg"
+
+
 def _admit_batches(batches: Iterator[pd.DataFrame], max_calls: int, window_us: int):
-    cur_key = object()
+    current = None
     admitted: deque[int] = deque()
     for pdf in batches:
-        keys = pdf["_key"].to_numpy()
-        times = pdf["_t"].to_numpy(dtype=np.int64)
+        keys = pdf[_KEY].to_numpy()
+        segs = pdf[_SEG].to_numpy()
+        times = pdf[_T].to_numpy(dtype=np.int64)
         out = np.zeros(len(pdf), dtype=bool)
         for i in range(len(pdf)):
-            k, t = keys[i], int(times[i])
-            if k != cur_key:
-                cur_key, admitted = k, deque()
+            seg = (keys[i], segs[i])
+            t = int(times[i])
+            if seg != current:
+                current, admitted = seg, deque()
             while admitted and t - admitted[0] >= window_us:
                 admitted.popleft()
             if len(admitted) < max_calls:
                 admitted.append(t)
                 out[i] = True
-        yield pdf.drop(columns=["_key", "_t"]).assign(admitted=out)
+        yield pdf.drop(columns=[_KEY, _T, _B, _SEG]).assign(admitted=out)
+
+
+def segments(keyed: DataFrame, window_us: int) -> DataFrame:
+    """``(key, bucket) -> segment`` where the segment is its start bucket."""
+    buckets = keyed.groupBy(_KEY, _B).agg(F.min(_T).alias("_first"), F.max(_T).alias("_last"))
+    prev = buckets.select(_KEY, (F.col(_B) + 1).alias(_B), F.col("_last").alias("_prev_last"))
+    starts = buckets.join(prev, [_KEY, _B], "left").select(
+        _KEY, _B,
+        F.when(F.col("_prev_last").isNull() | (F.col("_first") - F.col("_prev_last") >= window_us),
+               F.col(_B)).alias("_start"))
+    running = Window.partitionBy(_KEY).orderBy(_B).rowsBetween(Window.unboundedPreceding, 0)
+    return starts.select(_KEY, _B, F.last("_start", ignorenulls=True).over(running).alias(_SEG))
 
 
 def rate_limit(calls: DataFrame, key: str, ts: str, seq: str, max_calls: int = 60,
@@ -53,11 +83,14 @@ def rate_limit(calls: DataFrame, key: str, ts: str, seq: str, max_calls: int = 6
     if max_calls < 1 or window_seconds <= 0:
         raise ValueError("max_calls must be >= 1 and window_seconds > 0")
     window_us = int(round(window_seconds * 1_000_000))
-    keyed = calls.select("*", F.col(key).alias("_key"),
-                         F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
-    parts = (keyed.repartition(num_partitions, "_key") if num_partitions
-             else keyed.repartition("_key"))
-    ordered = parts.sortWithinPartitions("_key", "_t", seq)
+    t_us = F.unix_micros(F.col(ts).cast("timestamp"))
+    keyed = (calls.select("*", F.col(key).alias(_KEY), t_us.alias(_T))
+             .withColumn(_B, F.expr(f"{_T} div {window_us}")))  # exact integer buckets
+    # One row per (key, bucket): AQE turns this into a broadcast join when it is small.
+    tagged = keyed.join(segments(keyed, window_us), [_KEY, _B])
+    parts = (tagged.repartition(num_partitions, _KEY, _SEG) if num_partitions
+             else tagged.repartition(_KEY, _SEG))
+    ordered = parts.sortWithinPartitions(_KEY, _SEG, _T, seq)
     out_schema = T.StructType(calls.schema.fields + [T.StructField("admitted", T.BooleanType())])
     # Rows pass through the fold, so no join back to the input is needed.
     return ordered.mapInPandas(lambda it: _admit_batches(it, max_calls, window_us), out_schema)

@@ -74,3 +74,34 @@ def test_rate_limit_keys_independent_and_partition_count_free(spark):
     a = sorted((r.seq, r.admitted) for r in rate_limit(calls, "key", "ts", "seq", 2, 60, 1).collect())
     b = sorted((r.seq, r.admitted) for r in rate_limit(calls, "key", "ts", "seq", 2, 60, 7).collect())
     assert a == b and len(a) == 60
+
+
+def _brute_force(times, k, window):
+    admitted, out = [], []
+    for t in times:
+        admitted = [a for a in admitted if t - a < window]
+        ok = len(admitted) < k
+        if ok:
+            admitted.append(t)
+        out.append(ok)
+    return out
+
+
+def test_rate_limit_segments_match_brute_force(spark):
+    import random
+    rnd = random.Random(7)
+    rows, expected = [], {}
+    seq = 0
+    for key in ("hot", "a", "b"):
+        t, times = 0.0, []
+        for _ in range(400 if key == "hot" else 40):
+            # bursts with pauses longer than the window split the key into segments
+            t += rnd.choice([0.5, 1.0, 3.0, 7.0, 95.0])
+            times.append(round(t, 3))
+        for ok, tt in zip(_brute_force(times, 3, 60.0), times):
+            rows.append((seq, key, T0 + dt.timedelta(seconds=tt)))
+            expected[seq] = ok
+            seq += 1
+    calls = spark.createDataFrame(rows, "seq BIGINT, key STRING, ts TIMESTAMP")
+    got = {r.seq: r.admitted for r in rate_limit(calls, "key", "ts", "seq", 3, 60, 5).collect()}
+    assert got == expected

@@ -65,7 +65,8 @@ def dates_as_text(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- case family
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.clean_cases(FX.mapped_cases(spark, sf_dir), year=FIXTURE_YEAR)
+    raw = FX.mapped_cases(spark, sf_dir, year=FIXTURE_YEAR)
+    return C.clean_cases(raw, year=FIXTURE_YEAR)
 
 
 def fact(spark: SparkSession, sf_dir: str, keys=()) -> DataFrame:

@@ -19,6 +19,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from episcope import schema as S
 from episcope.operators.clean import clean_cases, prune_columns
@@ -73,16 +74,19 @@ def replace_curated(curated: DataFrame, table_root: str) -> str:
     """
     spark = curated.sparkSession
     version = f"{table_root.rstrip('/')}/v={int(time.time() * 1000)}-{uuid.uuid4().hex[:6]}"
-    _curated_with_year(curated).write.mode("overwrite").partitionBy("year").parquet(version)
-    spark.createDataFrame([(version,)], "path STRING").coalesce(1).write.mode("overwrite") \
+    table = _curated_with_year(curated)
+    table.write.mode("overwrite").partitionBy("year").parquet(version)
+    # The pointer carries the schema, so an empty reload (no data files) still reads.
+    pointer = json.dumps({"path": version, "schema": table.schema.json()})
+    spark.createDataFrame([(pointer,)], "value STRING").coalesce(1).write.mode("overwrite") \
         .text(f"{table_root.rstrip('/')}/_current")
     return version
 
 
 def read_curated(spark: SparkSession, table_root: str, year: int | None = None) -> DataFrame:
     """Current version of a reloaded curated table; ``year`` prunes partitions."""
-    version = spark.read.text(f"{table_root.rstrip('/')}/_current").first()[0]
-    df = spark.read.parquet(version)
+    pointer = json.loads(spark.read.text(f"{table_root.rstrip('/')}/_current").first()[0])
+    df = spark.read.schema(T.StructType.fromJson(json.loads(pointer["schema"]))).parquet(pointer["path"])
     return df if year is None else df.where(F.col("year") == year)
 
 

@@ -58,3 +58,16 @@ def normalize_date(raw: Column) -> Column:
     rfc = _rfc_local_date(raw)
     iso = F.when(raw.rlike(_ISO), F.try_to_date(_g(raw, 1, _ISO), "yyyy-MM-dd"))
     return F.date_format(F.coalesce(rfc, iso), "yyyy-MM-dd")
+
+
+def epoch_micros(df_schema, column: str) -> Column:
+    """Microseconds since 1970-01-01 for a TIMESTAMP or TIMESTAMP_NTZ column.
+
+    A zone-less timestamp is measured on its wall clock (no session time zone
+    involved); a zoned one is an instant (``unix_micros``).
+    """
+    from pyspark.sql import types as T
+    if isinstance(df_schema[column].dataType, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, F.col(column))
+    return F.unix_micros(F.col(column).cast("timestamp"))

@@ -54,13 +54,14 @@ def latest_job_state(changes: DataFrame, order_cols: Sequence[str] = ORDER_COLUM
 def status_counts(jobs: DataFrame) -> DataFrame:
     """OPS-1: jobs per status, zero-filled over the four statuses, with the total.
 
-    The status dimension has four fixed rows and the counts at most one row
-    per status, so the left join and the total window are constant-sized.
+    Counts are taken over the four known statuses only, so the broadcast side
+    has at most four rows; the left join and the total window are constant-sized.
     """
     spark: SparkSession = jobs.sparkSession
     dim = spark.createDataFrame([(i, s) for i, s in enumerate(S.JOB_STATUSES)],
                                 "pos INT, status STRING")
-    counts = jobs.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    counts = (jobs.where(F.col("status").isin(*S.JOB_STATUSES))
+              .groupBy("status").agg(F.count(F.lit(1)).alias("n")))
     joined = dim.join(F.broadcast(counts), "status", "left")
     from pyspark.sql import Window
     return joined.select(

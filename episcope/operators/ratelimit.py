@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from episcope.functions.dates import epoch_micros
 
 _KEY, _T, _B, _SEG = "_rl_key", "_rl_t", "_rl_bucket", "_rl_seg"
 
@@ -83,7 +84,7 @@ def rate_limit(calls: DataFrame, key: str, ts: str, seq: str, max_calls: int = 6
     if max_calls < 1 or window_seconds <= 0:
         raise ValueError("max_calls must be >= 1 and window_seconds > 0")
     window_us = int(round(window_seconds * 1_000_000))
-    t_us = F.unix_micros(F.col(ts).cast("timestamp"))
+    t_us = epoch_micros(calls.schema, ts)
     keyed = (calls.select("*", F.col(key).alias(_KEY), t_us.alias(_T))
              .withColumn(_B, F.expr(f"{_T} div {window_us}")))  # exact integer buckets
     # One row per (key, bucket): AQE turns this into a broadcast join when it is small.

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from episcope import schema as S
+from episcope.functions.dates import epoch_micros
 from episcope.operators.clean import clean_cases
 from episcope.operators.ops import execution_summary, flatten_events
 
@@ -147,7 +148,7 @@ def stream_rate_limit(spark: SparkSession, calls_dir: str, schema: T.StructType,
     """STR-4: RATE-1 per key over arriving call files (RocksDB state store)."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     calls = (spark.readStream.schema(schema).parquet(calls_dir)
-             .withColumn(TIME_US, F.unix_micros(F.col(ts).cast("timestamp"))))
+             .withColumn(TIME_US, epoch_micros(schema, ts)))
     out_schema = T.StructType(schema.fields + [T.StructField("admitted", T.BooleanType())])
     flagged = calls.groupBy(key).transformWithStateInPandas(
         statefulProcessor=RateLimitProcessor(max_calls, int(window_seconds * 1_000_000), ts, seq),

@@ -665,3 +665,10 @@ where dt_notific >= date '2000-03-01' and dt_notific < date '2000-04-01' group b
 ORACLE["cases_last_30_days"] = CASES_CTE + """
 select sg_uf, cast(count(*) as bigint) as cases, cast(sum(obito) as bigint) as deaths from cases
 where dt_notific >= (select max(dt_notific) from cases) - interval 30 day group by sg_uf"""
+
+ORACLE["decode_job_columns"] = JOBS_CTE + """
+select job_id, cast(json_extract(payload, '$.k') as integer) as k, 0 as n_pii_types,
+       true as no_summary from jobs"""
+
+ORACLE["job_snapshots_merged"] = JOBS_CTE + """
+select job_id, status, case when status = 'failed' then '{}' else payload end as payload from jobs"""

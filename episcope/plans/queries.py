@@ -83,7 +83,7 @@ def q_clean_cases(spark, sf_dir):
 @query("sample_rows")
 def q_sample_rows(spark, sf_dir):
     # SRC-2: the first N raw rows, before cleaning; the limit is the feature.
-    return FX.mapped_cases(spark, sf_dir).limit(100)
+    return SC.sample_rows(FX.mapped_cases(spark, sf_dir), 100)
 
 
 @query("total_cases")
@@ -497,3 +497,24 @@ def q_cases_last_30_days(spark, sf_dir):
     rows = C.last_n_days(cases(spark, sf_dir), 30)
     return rows.groupBy("sg_uf").agg(F.count(F.lit(1)).alias("cases"),
                                      F.sum("obito").cast("bigint").alias("deaths"))
+
+
+@query("decode_job_columns")
+def q_decode_job_columns(spark, sf_dir):
+    """OPS-8: JSON text columns of the job rows decoded (NULL pii_types → [], payload struct)."""
+    js = jobs(spark, sf_dir).withColumn("pii_types", F.lit(None).cast("string")) \
+        .withColumn("summary", F.lit(None).cast("string"))
+    out = OPS.decode_json_columns(js)
+    return out.select("job_id", F.col("payload.k").alias("k"),
+                      F.size("pii_types").alias("n_pii_types"), F.col("summary").isNull().alias("no_summary"))
+
+
+@query("job_snapshots_merged")
+def q_job_snapshots_merged(spark, sf_dir):
+    """OPS-9: an old snapshot without ``payload`` and a new one with it, read together."""
+    base = shared_dir(spark, "job-snapshots")
+    js = jobs(spark, sf_dir).select("job_id", "status", "payload")
+    js.where(F.col("status") == "failed").drop("payload").write.parquet(f"{base}/old")
+    js.where(F.col("status") != "failed").write.parquet(f"{base}/new")
+    merged = spark.read.option("mergeSchema", True).parquet(f"{base}/old", f"{base}/new")
+    return OPS.evolve_schema(merged).select("job_id", "status", "payload")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from episcope import schema as S
 from episcope.functions.cases import age_years, any_flag, coerce_code, coerce_date, flag
+from episcope.functions.memo import columns_once
 
 
 def prune_columns(raw: DataFrame) -> DataFrame:
@@ -23,11 +24,10 @@ def prune_columns(raw: DataFrame) -> DataFrame:
     return raw.select(*S.RAW_COLUMNS)
 
 
-def type_columns(raw: DataFrame) -> DataFrame:
-    """PRJ-2 + code typing: dates parsed, codes cast to INT, text kept as text."""
+def _typing_exprs(present: tuple[str, ...]) -> list[Column]:
     exprs = []
     for c in S.RAW_COLUMNS:
-        if c not in raw.columns:
+        if c not in present:
             exprs.append(F.lit(None).cast("int").alias(c))
         elif c in S.DATE_COLUMNS:
             exprs.append(coerce_date(c).alias(c))
@@ -37,20 +37,29 @@ def type_columns(raw: DataFrame) -> DataFrame:
             exprs.append(F.col(c).cast("string").try_cast("double").alias(c))
         else:
             exprs.append(coerce_code(c).alias(c))
-    return raw.select(*exprs)
+    return exprs
 
 
-def derive_columns(typed: DataFrame) -> DataFrame:
-    """PRJ-3 + PRJ-4: age in years and the four 0/1 case flags."""
-    return typed.select(
-        "*",
+def type_columns(raw: DataFrame) -> DataFrame:
+    """PRJ-2 + code typing: dates parsed, codes cast to INT, text kept as text."""
+    present = tuple(c for c in S.RAW_COLUMNS if c in set(raw.columns))
+    return raw.select(*columns_once(("typing", present), lambda: _typing_exprs(present)))
+
+
+def _derived_exprs() -> list[Column]:
+    return [
         age_years("NU_IDADE_N", "TP_IDADE").alias("IDADE_ANOS"),
         flag("EVOLUCAO", S.DEATH).alias("OBITO"),
         flag("UTI", S.YES).alias("INTERNOU_UTI"),
         any_flag(F.col("VACINA").eqNullSafe(S.YES),
                  F.col("VACINA_COV").eqNullSafe(S.YES)).alias("VACINADO"),
         flag("HOSPITAL", S.YES).alias("HOSPITALIZADO"),
-    )
+    ]
+
+
+def derive_columns(typed: DataFrame) -> DataFrame:
+    """PRJ-3 + PRJ-4: age in years and the four 0/1 case flags."""
+    return typed.select("*", *columns_once("derived", _derived_exprs))
 
 
 def year_range(c: Column | str, year: int) -> Column:
@@ -66,7 +75,9 @@ def require_notification_date(df: DataFrame, column: str = "DT_NOTIFIC") -> Data
 
 def filter_year(df: DataFrame, year: int | None, column: str = "DT_NOTIFIC") -> DataFrame:
     """FIL-2: keep one calendar year (``None`` keeps everything)."""
-    return df if year is None else df.where(year_range(column, year))
+    if year is None:
+        return df
+    return df.where(columns_once(("year", column, year), lambda: year_range(column, year)))
 
 
 def half_open_range(df: DataFrame, column: str, start, end) -> DataFrame:
@@ -76,10 +87,11 @@ def half_open_range(df: DataFrame, column: str, start, end) -> DataFrame:
 
 def curate_columns(processed: DataFrame) -> DataFrame:
     """PRJ-5: the 22 lower-case columns of the curated table."""
-    return processed.select(*[
-        (F.col(src) if src in processed.columns else F.lit(None).cast("int")).alias(dst)
+    present = tuple(sorted(set(processed.columns) & {src for _, src in S.CURATED_COLUMNS}))
+    return processed.select(*columns_once(("curate", present), lambda: [
+        (F.col(src) if src in present else F.lit(None).cast("int")).alias(dst)
         for dst, src in S.CURATED_COLUMNS
-    ])
+    ]))
 
 
 def clean_cases(raw: DataFrame, year: int | None = 2024, curated: bool = True) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episcope import schema as S
+from episcope.functions.memo import columns_once
 from episcope.plans.joins import broadcast_if_small, spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -28,7 +29,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver test table; the (immutable) scan is listed and resolved once per context."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return columns_once(("table", path), lambda: spark.read.parquet(path))
 
 
 def _ymd(c):
@@ -63,6 +66,10 @@ def mapped_cases(spark: SparkSession, sf_dir: str, year: int | None = None) -> D
     oc = orders.join(cust, orders.o_custkey == cust.c_custkey)
     rows = li.join(oc, li.l_orderkey == oc.o_orderkey)
 
+    return rows.select(*columns_once("mapped_cases", _mapping_exprs))
+
+
+def _mapping_exprs() -> list:
     ok = F.col("l_orderkey")
     mapped = {
         "DT_NOTIFIC": (F.when(ok % 97 == 0, F.lit("invalid"))
@@ -87,9 +94,7 @@ def mapped_cases(spark: SparkSession, sf_dir: str, year: int | None = None) -> D
                        .when(F.col("c_mktsegment") == "HOUSEHOLD", 9).otherwise(2)),
         "HOSPITAL": F.when(F.col("l_discount") >= 0.05, 1).otherwise(2),
     }
-    return rows.select(*[
-        (mapped[c] if c in mapped else F.lit(None)).cast("string").alias(c) for c in S.RAW_COLUMNS
-    ])
+    return [(mapped[c] if c in mapped else F.lit(None)).cast("string").alias(c) for c in S.RAW_COLUMNS]
 
 
 def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:

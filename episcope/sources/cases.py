@@ -118,7 +118,15 @@ def ingest(spark: SparkSession, raw_path: str, table_root: str, year: int | None
     return meta
 
 
+LOAD_HISTORY_SCHEMA = T.StructType([
+    T.StructField("provider", T.StringType()), T.StructField("source_type", T.StringType()),
+    T.StructField("source_url", T.StringType()), T.StructField("raw_path", T.StringType()),
+    T.StructField("table_path", T.StringType()), T.StructField("rows_processed", T.LongType()),
+    T.StructField("duration_ms", T.DoubleType()), T.StructField("ingested_at", T.StringType()),
+])
+
+
 def write_load_metadata(spark: SparkSession, meta: dict, path: str) -> None:
     """SNK-4: append one metadata row to the load history (JSON lines)."""
-    spark.read.json(spark.sparkContext.parallelize([json.dumps(meta)], 1)) \
-        .write.mode("append").json(path)
+    row = tuple(meta.get(f.name) for f in LOAD_HISTORY_SCHEMA.fields)
+    spark.createDataFrame([row], LOAD_HISTORY_SCHEMA).coalesce(1).write.mode("append").json(path)

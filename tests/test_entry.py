@@ -52,13 +52,14 @@ def test_matches_oracle(spark, duck, name):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(o_cols, res.fetchall())
 
 
-def test_same_result_for_any_shuffle_partitions(spark):
+@pytest.mark.parametrize("name", ["metrics_by_uf", "dedupe_titles", "latest_job_state", "rate_limit"])
+def test_same_result_for_any_shuffle_partitions(spark, name):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         results = []
         for n in (1, 4, 200):
             spark.conf.set("spark.sql.shuffle.partitions", str(n))
-            results.append(sorted(tuple(r) for r in E.queries()["metrics_by_uf"](spark, SMOKE).collect()))
+            results.append(sorted(tuple(r) for r in E.queries()[name](spark, SMOKE).collect()))
         assert results[0] == results[1] == results[2]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)

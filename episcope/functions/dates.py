@@ -1,8 +1,9 @@
 """Feed date parsing (NEWS-2, NEWS-2b) with built-in expressions.
 
-RFC 822 stamps (``[Wed, ]2 Jul 2026 10:00[:00] -0300``) are split with one
-regex: the written day gives the *local* calendar date, and the zone offset
-turns the written time into an instant. Weekdays are dropped before parsing
+RFC 822 stamps (``[Wed, ]2 Jul 2026 10:00[:00] -0300``) are validated with
+one regex and split into fields: the written day gives the *local* calendar
+date, and the zone offset turns the written time into an instant. A zone must
+be separated from the time by blanks. Weekdays are dropped before parsing
 (pattern letter ``E`` is not accepted by the parser). ISO 8601 stamps give a
 date but no sort instant, as in the source, so they sort after every RFC one.
 """
@@ -12,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_RFC = (r"^\s*(?:[A-Za-z]{3},?\s+)?(\d{1,2})\s+([A-Za-z]{3})\s+(\d{4})\s+"
-        r"(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([+-]\d{4}|[A-Za-z]{1,3})?\s*$")
+_RFC = (r"^\s*(?:[A-Za-z]{3},?\s+)?\d{1,2}\s+[A-Za-z]{3}\s+\d{4}\s+"
+        r"\d{1,2}:\d{2}(?::\d{2})?(?:\s+(?:[+-]\d{4}|[A-Za-z]{1,3}))?\s*$")
 _ISO = (r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2})(?::(\d{2})(?::(\d{2})(?:\.\d{1,6})?)?)?"
         r"(?:Z|[+-]\d{2}:?\d{2})?)?$")
 
@@ -22,18 +23,32 @@ ZONE_HOURS = {"UT": 0, "UTC": 0, "GMT": 0, "Z": 0, "EST": -5, "EDT": -4, "CST":
               "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
 
 
-def _g(raw: Column, i: int, pattern: str = _RFC) -> Column:
-    return F.regexp_extract(raw, pattern, i)
+def _rfc_parts(raw: Column) -> tuple[Column, Column, Column]:
+    """(is RFC 822, [day, month, year, time, zone?], [hh, mm, ss?]).
+
+    One validating regex, then plain splits: the fields are positional once the
+    optional weekday is dropped.
+    """
+    body = F.trim(F.regexp_replace(raw, r"^\s*[A-Za-z]{3},?\s+", ""))
+    parts = F.split(body, r"\s+")
+    hms = F.split(F.try_element_at(parts, F.lit(4)), ":")
+    return raw.rlike(_RFC), parts, hms
+
+
+def _part(arr: Column, i: int) -> Column:
+    return F.try_element_at(arr, F.lit(i))
 
 
 def _rfc_local_date(raw: Column) -> Column:
-    day = F.concat_ws(" ", _g(raw, 1), _g(raw, 2), _g(raw, 3))
-    return F.when(raw.rlike(_RFC), F.try_to_date(day, "d MMM yyyy"))
+    ok, parts, _ = _rfc_parts(raw)
+    day = F.concat_ws(" ", _part(parts, 1), _part(parts, 2), _part(parts, 3))
+    return F.when(ok, F.try_to_date(day, "d MMM yyyy"))
 
 
 def _offset_minutes(raw: Column) -> Column:
-    zone = F.upper(_g(raw, 7))
-    numeric = zone.rlike(r"^[+-]\d{4}$")
+    _, parts, _ = _rfc_parts(raw)
+    zone = F.upper(F.coalesce(_part(parts, 5), F.lit("")))
+    numeric = zone.rlike(r"^[+-][0-9]{4}$")
     sign = F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
     mins = sign * (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 4, 2).cast("int"))
     named = F.lit(None).cast("int")
@@ -45,10 +60,11 @@ def _offset_minutes(raw: Column) -> Column:
 
 def sort_instant(raw: Column) -> Column:
     """NEWS-2b: UTC instant of an RFC 822 stamp; NULL otherwise (sorts last)."""
-    secs = F.when(_g(raw, 6) == "", F.lit("00")).otherwise(_g(raw, 6))
+    _, _, hms = _rfc_parts(raw)
     local = F.try_to_timestamp(
         F.concat(F.date_format(_rfc_local_date(raw), "yyyy-MM-dd"), F.lit(" "),
-                 F.lpad(_g(raw, 4), 2, "0"), F.lit(":"), _g(raw, 5), F.lit(":"), secs),
+                 F.lpad(_part(hms, 1), 2, "0"), F.lit(":"), _part(hms, 2), F.lit(":"),
+                 F.coalesce(_part(hms, 3), F.lit("00"))),
         F.lit("yyyy-MM-dd HH:mm:ss"))
     return F.timestamp_add("MINUTE", -_offset_minutes(raw), local)
 
@@ -56,7 +72,7 @@ def sort_instant(raw: Column) -> Column:
 def normalize_date(raw: Column) -> Column:
     """NEWS-2: ``yyyy-MM-dd`` local date of an RFC 822 or ISO 8601 stamp; NULL if neither."""
     rfc = _rfc_local_date(raw)
-    iso = F.when(raw.rlike(_ISO), F.try_to_date(_g(raw, 1, _ISO), "yyyy-MM-dd"))
+    iso = F.when(raw.rlike(_ISO), F.try_to_date(F.substring(raw, 1, 10), "yyyy-MM-dd"))
     return F.date_format(F.coalesce(rfc, iso), "yyyy-MM-dd")
 
 

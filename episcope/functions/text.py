@@ -28,6 +28,17 @@ def fmt_int(x: Column | str) -> Column:
     return F.format_number(_col(x).cast("bigint"), 0)
 
 
+def fill(template: str, *values: Column) -> Column:
+    """``template`` with each ``{}`` replaced by the next column, as one ``concat``."""
+    pieces = template.split("{}")
+    if len(pieces) != len(values) + 1:
+        raise ValueError("template placeholders and values differ in number")
+    parts: list[Column] = [F.lit(pieces[0])]
+    for value, piece in zip(values, pieces[1:]):
+        parts += [value, F.lit(piece)]
+    return F.concat(*parts)
+
+
 def collapse_ws(c: Column | str) -> Column:
     """Runs of whitespace → one blank, then trimmed."""
     return F.trim(F.regexp_replace(_col(c), r"(?U)\s+", " "))

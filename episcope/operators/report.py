@@ -15,35 +15,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episcope import schema as S
-from episcope.functions.text import capitalize, fmt2, fmt_int
+from episcope.functions.text import capitalize, fill, fmt2, fmt_int
 from episcope.operators.risk import findings_array, metric, risk_label, risk_score
 
-# --- fixed values: report text ---
-HEADER = "# Relatório de Monitoramento de SRAG\n## Síndrome Respiratória Aguda Grave - Brasil\n\n"
-METRICS_INTRO = "---\n\n## 1. Métricas Principais\n\n"
-GROWTH_LINE = ("### 1.1 Taxa de Aumento de Casos\n**",
-               "%** nos últimos 30 dias em relação ao período anterior.\n\n")
-MORTALITY_LINE = ("### 1.2 Taxa de Mortalidade\n**", "%** dos casos registrados resultaram em óbito.\n\n")
-ICU_LINE = ("### 1.3 Taxa de Ocupação de UTI\n**",
-            "%** dos casos necessitaram de internação em UTI.\n\n")
-VACC_LINE = ("### 1.4 Taxa de Vacinação\n**",
-             "%** dos pacientes registrados possuíam vacinação prévia.\n\n")
+# --- fixed values: report text; each {} is filled with a value in order ---
+HEADER = ("# Relatório de Monitoramento de SRAG\n## Síndrome Respiratória Aguda Grave - Brasil\n\n"
+          "**Data do Relatório:** {}\n**ID de Execução:** {}\n")
+RISK_LINE = "**Nível de Risco:** {}\n"
+METRICS_INTRO = "\n---\n\n## 1. Métricas Principais\n\n"
+GROWTH_LINE = ("### 1.1 Taxa de Aumento de Casos\n"
+               "**{}%** nos últimos 30 dias em relação ao período anterior.\n\n")
+MORTALITY_LINE = "### 1.2 Taxa de Mortalidade\n**{}%** dos casos registrados resultaram em óbito.\n\n"
+ICU_LINE = "### 1.3 Taxa de Ocupação de UTI\n**{}%** dos casos necessitaram de internação em UTI.\n\n"
+VACC_LINE = ("### 1.4 Taxa de Vacinação\n"
+             "**{}%** dos pacientes registrados possuíam vacinação prévia.\n\n")
 CONTEXT = ("---\n\n## 2. Análise Contextual\n\n### 2.1 Cenário Atual\n\n"
-           "Com base nos dados mais recentes do DATASUS, foram registrados **")
-CONTEXT_END = "** casos de SRAG.\n"
-CONTEXT_END_LEGACY = "** casos de SRAG em 2024.\n"
-GROWTH_UP = ("\nObserva-se uma **tendência de crescimento** de ",
-             "% nos casos, indicando necessidade de atenção reforçada às medidas preventivas.\n")
-GROWTH_DOWN = ("\nObserva-se uma **tendência de redução** de ",
-               "% nos casos, sinalizando possível controle da situação epidemiológica.\n")
+           "Com base nos dados mais recentes do DATASUS, foram registrados **{}** casos de SRAG.\n")
+CONTEXT_LEGACY = ("---\n\n## 2. Análise Contextual\n\n### 2.1 Cenário Atual\n\n"
+                  "Com base nos dados mais recentes do DATASUS, foram registrados **{}** casos de SRAG em 2024.\n")
+GROWTH_UP = ("\nObserva-se uma **tendência de crescimento** de {}% nos casos, indicando necessidade "
+             "de atenção reforçada às medidas preventivas.\n")
+GROWTH_DOWN = ("\nObserva-se uma **tendência de redução** de {}% nos casos, sinalizando "
+               "possível controle da situação epidemiológica.\n")
 GROWTH_FLAT = "\nOs casos mantêm-se **estáveis** em relação ao período anterior.\n"
 FINDINGS_TITLE = "\n### 2.2 Achados Epidemiológicos\n\n"
+FINDING_LINE = "- **{}**: {}\n"
 NEWS_TITLE = "\n### 2.3 Notícias Recentes\n\n"
 NEWS_TITLE_LEGACY = "\n### 2.2 Notícias Recentes\n\n"
+NEWS_ENTRY = "**{}. {}**  \n*{} - {}*  \n{}\n\n"
 NO_NEWS = "Nenhuma notícia recente disponível.\n\n"
 CHARTS_TITLE = "---\n\n## 3. Visualizações\n\n"
-DAILY_CHART = ("### 3.1 Casos Diários (Últimos 30 Dias)\n\n![Casos Diários](", ")\n\n")
-MONTHLY_CHART = ("### 3.2 Casos Mensais (Últimos 12 Meses)\n\n![Casos Mensais](", ")\n\n")
+DAILY_CHART = "### 3.1 Casos Diários (Últimos 30 Dias)\n\n![Casos Diários]({})\n\n"
+MONTHLY_CHART = "### 3.2 Casos Mensais (Últimos 12 Meses)\n\n![Casos Mensais]({})\n\n"
 CONCLUSIONS_TITLE = "---\n\n## 4. Conclusões e Recomendações\n\n"
 MORT_HIGH = ("- A taxa de mortalidade está **acima da média histórica**, "
              "exigindo revisão dos protocolos de atendimento.")
@@ -57,20 +60,22 @@ VACC_LOW = ("- A taxa de vacinação está **abaixo do ideal**, recomenda-se "
             "intensificar campanhas de imunização.")
 VACC_OK = ("- A taxa de vacinação está **satisfatória**, contribuindo para "
            "o controle de casos graves.")
-SOURCE_TITLE = "\n---\n\n## 5. Fonte e Rastreabilidade\n\n"
+SOURCE = ("\n---\n\n## 5. Fonte e Rastreabilidade\n\n- Fonte: {}\n- Tipo de fonte: {}\n"
+          "- Última atualização local: {}\n- Narrativa: {}\n")
 DEFAULT_PROVIDER = "DATASUS/SIVEP-Gripe"
 DEFAULT_SOURCE_TYPE = "não informado"
 DEFAULT_UPDATED = "não informada"
 DETERMINISTIC = "deterministica"
 FOOTER = ("\n---\n\n**Relatório gerado automaticamente pelo Sistema de Monitoramento de SRAG**  \n"
-          "*Fonte de dados: DATASUS/SIVEP-Gripe*  \n*Data de geração: ")
-FOOTER_END = "*\n"
+          "*Fonte de dados: DATASUS/SIVEP-Gripe*  \n*Data de geração: {}*\n")
+HEADER_STAMP = "%d/%m/%Y %H:%M"
+FOOTER_STAMP = "%d/%m/%Y às %H:%M"
 
 
 def growth_text(v: Column) -> Column:
     """REP-1: growth / reduction (absolute value) / stable sentence."""
-    return (F.when(v > 0, F.concat(F.lit(GROWTH_UP[0]), fmt2(v), F.lit(GROWTH_UP[1])))
-            .when(v < 0, F.concat(F.lit(GROWTH_DOWN[0]), fmt2(F.abs(v)), F.lit(GROWTH_DOWN[1])))
+    return (F.when(v > 0, fill(GROWTH_UP, fmt2(v)))
+            .when(v < 0, fill(GROWTH_DOWN, fmt2(F.abs(v))))
             .otherwise(F.lit(GROWTH_FLAT)))
 
 
@@ -93,15 +98,14 @@ def news_block(news: Column | None) -> Column:
 
 def news_entries(news: Column) -> Column:
     """Rendered news entries of a news array; NULL when it is empty or NULL."""
-    entries = F.transform(news, lambda x, i: F.concat(
-        F.lit("**"), (i + 1).cast("string"), F.lit(". "), x["title"], F.lit("**  \n*"),
-        x["source"], F.lit(" - "), x["date"], F.lit("*  \n"), x["summary"], F.lit("\n\n")))
+    entries = F.transform(news, lambda x, i: fill(
+        NEWS_ENTRY, (i + 1).cast("string"), x["title"], x["source"], x["date"], x["summary"]))
     return F.when(F.coalesce(F.size(news), F.lit(0)) > 0, F.array_join(entries, ""))
 
 
 def findings_block() -> Column:
-    items = F.transform(findings_array(), lambda f: F.concat(
-        F.lit("- **"), capitalize(f["severity"]), F.lit("**: "), f["message"], F.lit("\n")))
+    items = F.transform(findings_array(), lambda f: fill(
+        FINDING_LINE, capitalize(f["severity"]), f["message"]))
     return F.array_join(items, "")
 
 
@@ -109,9 +113,9 @@ def charts_block(charts: dict | None) -> str:
     out = ""
     charts = charts or {}
     if charts.get("daily", {}).get("success"):
-        out += DAILY_CHART[0] + charts["daily"]["filename"] + DAILY_CHART[1]
+        out += DAILY_CHART.replace("{}", charts["daily"]["filename"])
     if charts.get("monthly", {}).get("success"):
-        out += MONTHLY_CHART[0] + charts["monthly"]["filename"] + MONTHLY_CHART[1]
+        out += MONTHLY_CHART.replace("{}", charts["monthly"]["filename"])
     return out
 
 
@@ -131,37 +135,28 @@ def render_report(metrics: DataFrame, execution_id: Column, report_time: dt.date
     g, m = metric(S.M_GROWTH), metric(S.M_MORTALITY)
     u, v = metric(S.M_ICU), metric(S.M_VACCINATION)
     total = F.coalesce(F.col(S.M_TOTAL), F.lit(0))
-    stamp = F.lit(report_time.strftime("%d/%m/%Y %H:%M"))
-    stamp_footer = F.lit(report_time.strftime("%d/%m/%Y às %H:%M"))
-    level = F.upper(risk_label(risk_score()))
-    head = [F.lit(HEADER), F.lit("**Data do Relatório:** "), stamp, F.lit("\n**ID de Execução:** "),
-            execution_id, F.lit("\n")]
+    parts = [fill(HEADER, F.lit(report_time.strftime(HEADER_STAMP)), execution_id)]
     if layout == "current":
-        head += [F.lit("**Nível de Risco:** "), level, F.lit("\n")]
-    body = [F.lit("\n" + METRICS_INTRO),
-            F.lit(GROWTH_LINE[0]), fmt2(g), F.lit(GROWTH_LINE[1]),
-            F.lit(MORTALITY_LINE[0]), fmt2(m), F.lit(MORTALITY_LINE[1]),
-            F.lit(ICU_LINE[0]), fmt2(u), F.lit(ICU_LINE[1]),
-            F.lit(VACC_LINE[0]), fmt2(v), F.lit(VACC_LINE[1]),
-            F.lit(CONTEXT), fmt_int(total),
-            F.lit(CONTEXT_END if layout == "current" else CONTEXT_END_LEGACY),
-            growth_text(g)]
+        parts.append(fill(RISK_LINE, F.upper(risk_label(risk_score()))))
+    parts += [F.lit(METRICS_INTRO),
+              fill(GROWTH_LINE, fmt2(g)), fill(MORTALITY_LINE, fmt2(m)),
+              fill(ICU_LINE, fmt2(u)), fill(VACC_LINE, fmt2(v)),
+              fill(CONTEXT if layout == "current" else CONTEXT_LEGACY, fmt_int(total)),
+              growth_text(g)]
     if layout == "current":
-        body += [F.lit(FINDINGS_TITLE), findings_block(), F.lit(NEWS_TITLE)]
+        parts += [F.lit(FINDINGS_TITLE), findings_block(), F.lit(NEWS_TITLE)]
     else:
-        body += [F.lit(NEWS_TITLE_LEGACY)]
-    news_part = news_text if news_text is not None else news_block(news)
-    body += [news_part, F.lit(CHARTS_TITLE + charts_block(charts) + CONCLUSIONS_TITLE),
-             recommendations(m, u, v)]
+        parts.append(F.lit(NEWS_TITLE_LEGACY))
+    parts += [news_text if news_text is not None else news_block(news),
+              F.lit(CHARTS_TITLE + charts_block(charts) + CONCLUSIONS_TITLE),
+              recommendations(m, u, v)]
     if layout == "current":
         src = source or {}
-        body += [F.lit(SOURCE_TITLE
-                       + f"- Fonte: {src.get('provider') or DEFAULT_PROVIDER}\n"
-                       + f"- Tipo de fonte: {src.get('source_type') or DEFAULT_SOURCE_TYPE}\n"
-                       + f"- Última atualização local: {src.get('updated_at') or DEFAULT_UPDATED}\n"
-                       + f"- Narrativa: {DETERMINISTIC}\n")]
-    body += [F.lit(FOOTER), stamp_footer, F.lit(FOOTER_END)]
-    return metrics.select(*keys, F.concat(*head, *body).alias("report"))
+        parts.append(F.lit(SOURCE.format(src.get("provider") or DEFAULT_PROVIDER,
+                                         src.get("source_type") or DEFAULT_SOURCE_TYPE,
+                                         src.get("updated_at") or DEFAULT_UPDATED, DETERMINISTIC)))
+    parts.append(fill(FOOTER, F.lit(report_time.strftime(FOOTER_STAMP))))
+    return metrics.select(*keys, F.concat(*parts).alias("report"))
 
 
 def recommendations_rows(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

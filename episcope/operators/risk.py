@@ -12,15 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episcope import schema as S
-from episcope.functions.text import fmt2
+from episcope.functions.text import fill, fmt2
 
 # --- fixed values: finding messages and risk labels ---
 GROWTH_HIGH = "Crescimento relevante de casos no período recente."
 GROWTH_LOW = "Redução relevante de casos no período recente."
 GROWTH_STABLE = "Casos relativamente estáveis no período recente."
-MORTALITY_MSG = ("Taxa de mortalidade observada: ", "%.")
-ICU_MSG = ("Taxa de internação em UTI observada: ", "%.")
-VACCINATION_MSG = ("Taxa de vacinação observada: ", "%.")
+MORTALITY_MSG = "Taxa de mortalidade observada: {}%."
+ICU_MSG = "Taxa de internação em UTI observada: {}%."
+VACCINATION_MSG = "Taxa de vacinação observada: {}%."
 RISK_HIGH, RISK_MODERATE, RISK_LOW = "alto", "moderado", "baixo"
 
 
@@ -43,20 +43,19 @@ def growth_finding(v: Column) -> Column:
 def mortality_finding(v: Column) -> Column:
     """RISK-2: >10 high, >=5 moderate, else low."""
     sev = F.when(v > 10, "high").when(v >= 5, "moderate").otherwise("low")
-    return _finding("mortality", sev, F.concat(F.lit(MORTALITY_MSG[0]), fmt2(v), F.lit(MORTALITY_MSG[1])))
+    return _finding("mortality", sev, fill(MORTALITY_MSG, fmt2(v)))
 
 
 def icu_finding(v: Column) -> Column:
     """RISK-3: >30 high, >=20 moderate, else low."""
     sev = F.when(v > 30, "high").when(v >= 20, "moderate").otherwise("low")
-    return _finding("uti", sev, F.concat(F.lit(ICU_MSG[0]), fmt2(v), F.lit(ICU_MSG[1])))
+    return _finding("uti", sev, fill(ICU_MSG, fmt2(v)))
 
 
 def vaccination_finding(v: Column) -> Column:
     """RISK-4: <50 high, <70 moderate, else low."""
     sev = F.when(v < 50, "high").when(v < 70, "moderate").otherwise("low")
-    return _finding("vaccination", sev,
-                    F.concat(F.lit(VACCINATION_MSG[0]), fmt2(v), F.lit(VACCINATION_MSG[1])))
+    return _finding("vaccination", sev, fill(VACCINATION_MSG, fmt2(v)))
 
 
 def findings_array() -> Column:

@@ -235,6 +235,15 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def sql_fill(template: str, *values: str) -> str:
+    """SQL twin of ``functions.text.fill``: literal pieces and value expressions joined."""
+    pieces = template.split("{}")
+    out = [q(pieces[0])]
+    for value, piece in zip(values, pieces[1:]):
+        out += [f"({value})", q(piece)]
+    return "(" + " || ".join(out) + ")"
+
+
 def _cap(x: str) -> str:
     return f"(upper(substr({x}, 1, 1)) || lower(substr({x}, 2)))"
 
@@ -249,11 +258,11 @@ f as (
     case when {_G} > 10 then {q(_R.GROWTH_HIGH)} when {_G} < -10 then {q(_R.GROWTH_LOW)}
          else {q(_R.GROWTH_STABLE)} end as m1,
     case when {_MO} > 10 then 'high' when {_MO} >= 5 then 'moderate' else 'low' end as s2,
-    {q(_R.MORTALITY_MSG[0])} || printf('%.2f', {_MO}) || {q(_R.MORTALITY_MSG[1])} as m2,
+    {sql_fill(_R.MORTALITY_MSG, f"printf('%.2f', {_MO})")} as m2,
     case when {_U} > 30 then 'high' when {_U} >= 20 then 'moderate' else 'low' end as s3,
-    {q(_R.ICU_MSG[0])} || printf('%.2f', {_U}) || {q(_R.ICU_MSG[1])} as m3,
+    {sql_fill(_R.ICU_MSG, f"printf('%.2f', {_U})")} as m3,
     case when {_V} < 50 then 'high' when {_V} < 70 then 'moderate' else 'low' end as s4,
-    {q(_R.VACCINATION_MSG[0])} || printf('%.2f', {_V}) || {q(_R.VACCINATION_MSG[1])} as m4,
+    {sql_fill(_R.VACCINATION_MSG, f"printf('%.2f', {_V})")} as m4,
     cast(({_G} > 10)::int * 2 + ({_MO} > 10)::int * 2 + ({_U} > 30)::int + ({_V} < 50)::int as integer)
       as risk_score
   from m
@@ -270,8 +279,8 @@ _LEVEL = "case when risk_score >= 4 then 'alto' when risk_score >= 2 then 'moder
 ORACLE["risk_by_uf"] = metrics_by_uf_cte() + _FINDINGS + f"""
 select sg_uf, risk_score, {_LEVEL} as risk_level from f"""
 
-_GROWTH_TEXT = f"""case when {_G} > 0 then {q(_REP.GROWTH_UP[0])} || printf('%.2f', {_G}) || {q(_REP.GROWTH_UP[1])}
-     when {_G} < 0 then {q(_REP.GROWTH_DOWN[0])} || printf('%.2f', abs({_G})) || {q(_REP.GROWTH_DOWN[1])}
+_GROWTH_TEXT = f"""case when {_G} > 0 then {sql_fill(_REP.GROWTH_UP, f"printf('%.2f', {_G})")}
+     when {_G} < 0 then {sql_fill(_REP.GROWTH_DOWN, f"printf('%.2f', abs({_G}))")}
      else {q(_REP.GROWTH_FLAT)} end"""
 _RECS = f"""(case when {_MO} > 10 then {q(_REP.MORT_HIGH)} when {_MO} < 5 then {q(_REP.MORT_LOW)}
       else {q(_REP.MORT_MID)} end || chr(10) ||
@@ -284,34 +293,28 @@ select sg_uf, {_GROWTH_TEXT} as growth_text, {_RECS} as recommendations from m""
 
 def _report_sql(layout: str, news_sql: str = q(_REP.NO_NEWS), execution: str = "'exec-' || sg_uf",
                 key: str = "sg_uf") -> str:
-    stamp = q(_REP_TIME.strftime("%d/%m/%Y %H:%M"))
-    stamp2 = q(_REP_TIME.strftime("%d/%m/%Y às %H:%M"))
-    parts = [q(_REP.HEADER), q("**Data do Relatório:** "), stamp, q("\n**ID de Execução:** "),
-             execution, q("\n")]
+    parts = [sql_fill(_REP.HEADER, q(_REP_TIME.strftime(_REP.HEADER_STAMP)), execution)]
     if layout == "current":
-        parts += [q("**Nível de Risco:** "), f"upper({_LEVEL})", q("\n")]
-    parts += [q("\n" + _REP.METRICS_INTRO),
-              q(_REP.GROWTH_LINE[0]), f"printf('%.2f', {_G})", q(_REP.GROWTH_LINE[1]),
-              q(_REP.MORTALITY_LINE[0]), f"printf('%.2f', {_MO})", q(_REP.MORTALITY_LINE[1]),
-              q(_REP.ICU_LINE[0]), f"printf('%.2f', {_U})", q(_REP.ICU_LINE[1]),
-              q(_REP.VACC_LINE[0]), f"printf('%.2f', {_V})", q(_REP.VACC_LINE[1]),
-              q(_REP.CONTEXT), "format('{:,}', total_casos)",
-              q(_REP.CONTEXT_END if layout == "current" else _REP.CONTEXT_END_LEGACY),
+        parts.append(sql_fill(_REP.RISK_LINE, f"upper({_LEVEL})"))
+    parts += [q(_REP.METRICS_INTRO),
+              sql_fill(_REP.GROWTH_LINE, f"printf('%.2f', {_G})"),
+              sql_fill(_REP.MORTALITY_LINE, f"printf('%.2f', {_MO})"),
+              sql_fill(_REP.ICU_LINE, f"printf('%.2f', {_U})"),
+              sql_fill(_REP.VACC_LINE, f"printf('%.2f', {_V})"),
+              sql_fill(_REP.CONTEXT if layout == "current" else _REP.CONTEXT_LEGACY,
+                       "format('{:,}', total_casos)"),
               _GROWTH_TEXT]
     if layout == "current":
-        parts += [q(_REP.FINDINGS_TITLE)]
-        for i in range(1, 5):
-            parts += [q("- **"), _cap(f"s{i}"), q("**: "), f"m{i}", q("\n")]
-        parts += [q(_REP.NEWS_TITLE)]
+        parts.append(q(_REP.FINDINGS_TITLE))
+        parts += [sql_fill(_REP.FINDING_LINE, _cap(f"s{i}"), f"m{i}") for i in range(1, 5)]
+        parts.append(q(_REP.NEWS_TITLE))
     else:
-        parts += [q(_REP.NEWS_TITLE_LEGACY)]
+        parts.append(q(_REP.NEWS_TITLE_LEGACY))
     parts += [news_sql, q(_REP.CHARTS_TITLE + _REP.CONCLUSIONS_TITLE), _RECS]
     if layout == "current":
-        parts += [q(_REP.SOURCE_TITLE + f"- Fonte: {_REP.DEFAULT_PROVIDER}\n"
-                    + f"- Tipo de fonte: {_REP.DEFAULT_SOURCE_TYPE}\n"
-                    + f"- Última atualização local: {_REP.DEFAULT_UPDATED}\n"
-                    + f"- Narrativa: {_REP.DETERMINISTIC}\n")]
-    parts += [q(_REP.FOOTER), stamp2, q(_REP.FOOTER_END)]
+        parts.append(q(_REP.SOURCE.format(_REP.DEFAULT_PROVIDER, _REP.DEFAULT_SOURCE_TYPE,
+                                          _REP.DEFAULT_UPDATED, _REP.DETERMINISTIC)))
+    parts.append(sql_fill(_REP.FOOTER, q(_REP_TIME.strftime(_REP.FOOTER_STAMP))))
     return f"select {key + ', ' if key else ''}(" + " || ".join(f"({p})" for p in parts) + ") as report"
 
 
@@ -472,9 +475,9 @@ ranked as (
 ORACLE["rank_news"] = _RANKED + """
 select rank, title, source, date, url, score, summary from ranked"""
 
-_NEWS_TEXT = """coalesce((select string_agg('**' || cast(rank as varchar) || '. ' || title || '**  ' || chr(10)
-    || '*' || source || ' - ' || date || '*  ' || chr(10) || summary || chr(10) || chr(10), '' order by rank)
-    from ranked), """ + q(_REP.NO_NEWS) + ")"
+_NEWS_TEXT = ("coalesce((select string_agg("
+              + sql_fill(_REP.NEWS_ENTRY, "cast(rank as varchar)", "title", "source", "date", "summary")
+              + ", '' order by rank) from ranked), " + q(_REP.NO_NEWS) + ")")
 
 ORACLE["report_with_news"] = (_RANKED + ",\n" + (CASES_CTE + _fact()).removeprefix("with ")
                               + f""",
@@ -486,11 +489,11 @@ f as (
     case when {_G} > 10 then {q(_R.GROWTH_HIGH)} when {_G} < -10 then {q(_R.GROWTH_LOW)}
          else {q(_R.GROWTH_STABLE)} end as m1,
     case when {_MO} > 10 then 'high' when {_MO} >= 5 then 'moderate' else 'low' end as s2,
-    {q(_R.MORTALITY_MSG[0])} || printf('%.2f', {_MO}) || {q(_R.MORTALITY_MSG[1])} as m2,
+    {sql_fill(_R.MORTALITY_MSG, f"printf('%.2f', {_MO})")} as m2,
     case when {_U} > 30 then 'high' when {_U} >= 20 then 'moderate' else 'low' end as s3,
-    {q(_R.ICU_MSG[0])} || printf('%.2f', {_U}) || {q(_R.ICU_MSG[1])} as m3,
+    {sql_fill(_R.ICU_MSG, f"printf('%.2f', {_U})")} as m3,
     case when {_V} < 50 then 'high' when {_V} < 70 then 'moderate' else 'low' end as s4,
-    {q(_R.VACCINATION_MSG[0])} || printf('%.2f', {_V}) || {q(_R.VACCINATION_MSG[1])} as m4,
+    {sql_fill(_R.VACCINATION_MSG, f"printf('%.2f', {_V})")} as m4,
     cast(({_G} > 10)::int * 2 + ({_MO} > 10)::int * 2 + ({_U} > 30)::int + ({_V} < 50)::int as integer)
       as risk_score
   from m

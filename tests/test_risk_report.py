@@ -95,3 +95,86 @@ def test_recommendation_thresholds(spark):
     assert "**elevada**" in r.recommendations
     assert "abaixo do ideal" in r.recommendations  # 55 < 60 although RISK-4 calls it moderate
     assert r.growth_text.strip() == "Os casos mantêm-se **estáveis** em relação ao período anterior."
+
+
+EXPECTED_REPORT = "\n".join([
+    "# Relatório de Monitoramento de SRAG",
+    "## Síndrome Respiratória Aguda Grave - Brasil",
+    "",
+    "**Data do Relatório:** 01/01/2026 12:00",
+    "**ID de Execução:** exec-1",
+    "**Nível de Risco:** MODERADO",
+    "",
+    "---",
+    "",
+    "## 1. Métricas Principais",
+    "",
+    "### 1.1 Taxa de Aumento de Casos",
+    "**-3.50%** nos últimos 30 dias em relação ao período anterior.",
+    "",
+    "### 1.2 Taxa de Mortalidade",
+    "**33.30%** dos casos registrados resultaram em óbito.",
+    "",
+    "### 1.3 Taxa de Ocupação de UTI",
+    "**17.60%** dos casos necessitaram de internação em UTI.",
+    "",
+    "### 1.4 Taxa de Vacinação",
+    "**51.90%** dos pacientes registrados possuíam vacinação prévia.",
+    "",
+    "---",
+    "",
+    "## 2. Análise Contextual",
+    "",
+    "### 2.1 Cenário Atual",
+    "",
+    "Com base nos dados mais recentes do DATASUS, foram registrados **7,848** casos de SRAG.",
+    "",
+    "Observa-se uma **tendência de redução** de 3.50% nos casos, sinalizando possível controle "
+    "da situação epidemiológica.",
+    "",
+    "### 2.2 Achados Epidemiológicos",
+    "",
+    "- **Moderate**: Casos relativamente estáveis no período recente.",
+    "- **High**: Taxa de mortalidade observada: 33.30%.",
+    "- **Low**: Taxa de internação em UTI observada: 17.60%.",
+    "- **Moderate**: Taxa de vacinação observada: 51.90%.",
+    "",
+    "### 2.3 Notícias Recentes",
+    "",
+    "Nenhuma notícia recente disponível.",
+    "",
+    "---",
+    "",
+    "## 3. Visualizações",
+    "",
+    "---",
+    "",
+    "## 4. Conclusões e Recomendações",
+    "",
+    "- A taxa de mortalidade está **acima da média histórica**, exigindo revisão dos protocolos "
+    "de atendimento.",
+    "- A taxa de ocupação de UTI está **controlada**.",
+    "- A taxa de vacinação está **abaixo do ideal**, recomenda-se intensificar campanhas de imunização.",
+    "",
+    "---",
+    "",
+    "## 5. Fonte e Rastreabilidade",
+    "",
+    "- Fonte: DATASUS/SIVEP-Gripe",
+    "- Tipo de fonte: não informado",
+    "- Última atualização local: não informada",
+    "- Narrativa: deterministica",
+    "",
+    "---",
+    "",
+    "**Relatório gerado automaticamente pelo Sistema de Monitoramento de SRAG**  ",
+    "*Fonte de dados: DATASUS/SIVEP-Gripe*  ",
+    "*Data de geração: 01/01/2026 às 12:00*",
+    "",
+])
+
+
+def test_full_report_text(spark):
+    m = metrics(spark, (-3.5, 33.3, 17.6, 51.9, 7848))
+    text = REP.render_report(m, F.lit("exec-1"), dt.datetime(2026, 1, 1, 12, 0)).first().report
+    assert text == EXPECTED_REPORT

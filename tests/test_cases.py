@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from episcope import schema as S
 from episcope.functions.cases import age_years, coerce_date

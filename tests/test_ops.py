@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from episcope.operators import ops as OPS
 from episcope.operators.ratelimit import rate_limit

@@ -8,7 +8,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from episcope.operators import metrics as M
 from episcope.operators import ops as OPS
 from episcope.operators import privacy as PV
 from episcope.operators.ratelimit import rate_limit

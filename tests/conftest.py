@@ -25,7 +25,7 @@ def spark():
 
 @pytest.fixture
 def curated_fixture(spark):
-    """The reference's 12-row case table: one case a day from 2024-12-01."""
+    """A 12-row case table: one case a day from 2024-12-01."""
     base = dt.date(2024, 12, 1)
     rows = [(base + dt.timedelta(days=i), "SP", int(i % 4 == 0), int(i % 3 == 0), int(i % 2 == 0))
             for i in range(12)]

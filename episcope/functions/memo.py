@@ -12,13 +12,19 @@ from collections.abc import Callable, Hashable
 
 from pyspark import SparkContext
 
-_CACHE: dict[tuple[int, Hashable], object] = {}
+_CACHE: dict[tuple[Hashable, Hashable], object] = {}
+
+
+def _context_key() -> Hashable:
+    # Application id and start time identify a context even after another one
+    # replaced it (a Python ``id`` may be reused once the old object is freed).
+    sc = SparkContext._active_spark_context
+    return (sc.applicationId, sc.startTime) if sc is not None else None
 
 
 def columns_once(key: Hashable, build: Callable[[], object]):
     """``build()`` for ``key`` once per live SparkContext."""
-    sc = SparkContext._active_spark_context
-    k = (id(sc), key)
+    k = (_context_key(), key)
     if k not in _CACHE:
         _CACHE[k] = build()
     return _CACHE[k]

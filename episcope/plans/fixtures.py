@@ -31,7 +31,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver test table; the (immutable) scan is listed and resolved once per context."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return columns_once(("table", path), lambda: spark.read.parquet(path))
+    session = spark._jsparkSession.hashCode()
+    return columns_once(("table", session, path), lambda: spark.read.parquet(path))
 
 
 def _ymd(c):

@@ -12,9 +12,9 @@ Segment starts are found without sorting a key's calls:
 
 1. bucket calls by ``floor(t / window)`` and aggregate ``(key, bucket) -> first,
    last`` (partial aggregation, so a hot key costs one row per task and bucket);
-2. a bucket starts a segment iff the previous bucket is empty or its last call
-   is at least one window before this bucket's first call (only a bucket's
-   first call can follow such a gap);
+2. a bucket starts a segment iff the key's previous non-empty bucket ends at
+   least one window before this bucket's first call (``lag`` over the key's
+   buckets; only a bucket's first call can follow such a gap);
 3. each bucket takes the latest segment start at or before it (a running
    ``last`` over the key's *buckets* — at most span/window rows, not calls).
 
@@ -63,14 +63,18 @@ def _admit_batches(batches: Iterator[pd.DataFrame], max_calls: int, window_us: i
 
 
 def segments(keyed: DataFrame, window_us: int) -> DataFrame:
-    """``(key, bucket) -> segment`` where the segment is its start bucket."""
+    """``(key, bucket) -> segment`` where the segment is its start bucket.
+
+    The first call of a bucket follows the last call of the previous non-empty
+    bucket, so ``lag`` over the key's buckets gives its predecessor exactly.
+    """
     buckets = keyed.groupBy(_KEY, _B).agg(F.min(_T).alias("_first"), F.max(_T).alias("_last"))
-    prev = buckets.select(_KEY, (F.col(_B) + 1).alias(_B), F.col("_last").alias("_prev_last"))
-    starts = buckets.join(prev, [_KEY, _B], "left").select(
+    by_bucket = Window.partitionBy(_KEY).orderBy(_B)
+    prev_last = F.lag("_last").over(by_bucket)
+    starts = buckets.select(
         _KEY, _B,
-        F.when(F.col("_prev_last").isNull() | (F.col("_first") - F.col("_prev_last") >= window_us),
-               F.col(_B)).alias("_start"))
-    running = Window.partitionBy(_KEY).orderBy(_B).rowsBetween(Window.unboundedPreceding, 0)
+        F.when(prev_last.isNull() | (F.col("_first") - prev_last >= window_us), F.col(_B)).alias("_start"))
+    running = by_bucket.rowsBetween(Window.unboundedPreceding, 0)
     return starts.select(_KEY, _B, F.last("_start", ignorenulls=True).over(running).alias(_SEG))
 
 

@@ -9,12 +9,14 @@ Timestamp and execution id are parameters, which keeps output deterministic.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episcope import schema as S
+from episcope.functions.memo import columns_once
 from episcope.functions.text import capitalize, fill, fmt2, fmt_int
 from episcope.operators.risk import findings_array, metric, risk_label, risk_score
 
@@ -132,31 +134,40 @@ def render_report(metrics: DataFrame, execution_id: Column, report_time: dt.date
     """
     if layout not in ("current", "legacy"):
         raise ValueError("layout must be 'current' or 'legacy'")
+    key = ("report", layout, report_time.isoformat(), json.dumps(charts or {}, sort_keys=True),
+           json.dumps(source or {}, sort_keys=True))
+    middle, tail = columns_once(key, lambda: _report_parts(layout, report_time, charts, source))
+    parts = [fill(HEADER, F.lit(report_time.strftime(HEADER_STAMP)), execution_id), *middle,
+             news_text if news_text is not None else news_block(news), *tail]
+    return metrics.select(*keys, F.concat(*parts).alias("report"))
+
+
+def _report_parts(layout: str, report_time: dt.datetime, charts: dict | None,
+                  source: dict | None) -> tuple[list[Column], list[Column]]:
+    """The report pieces before and after the news block (fixed per parameters)."""
     g, m = metric(S.M_GROWTH), metric(S.M_MORTALITY)
     u, v = metric(S.M_ICU), metric(S.M_VACCINATION)
     total = F.coalesce(F.col(S.M_TOTAL), F.lit(0))
-    parts = [fill(HEADER, F.lit(report_time.strftime(HEADER_STAMP)), execution_id)]
+    middle: list[Column] = []
     if layout == "current":
-        parts.append(fill(RISK_LINE, F.upper(risk_label(risk_score()))))
-    parts += [F.lit(METRICS_INTRO),
-              fill(GROWTH_LINE, fmt2(g)), fill(MORTALITY_LINE, fmt2(m)),
-              fill(ICU_LINE, fmt2(u)), fill(VACC_LINE, fmt2(v)),
-              fill(CONTEXT if layout == "current" else CONTEXT_LEGACY, fmt_int(total)),
-              growth_text(g)]
+        middle.append(fill(RISK_LINE, F.upper(risk_label(risk_score()))))
+    middle += [F.lit(METRICS_INTRO),
+               fill(GROWTH_LINE, fmt2(g)), fill(MORTALITY_LINE, fmt2(m)),
+               fill(ICU_LINE, fmt2(u)), fill(VACC_LINE, fmt2(v)),
+               fill(CONTEXT if layout == "current" else CONTEXT_LEGACY, fmt_int(total)),
+               growth_text(g)]
     if layout == "current":
-        parts += [F.lit(FINDINGS_TITLE), findings_block(), F.lit(NEWS_TITLE)]
+        middle += [F.lit(FINDINGS_TITLE), findings_block(), F.lit(NEWS_TITLE)]
     else:
-        parts.append(F.lit(NEWS_TITLE_LEGACY))
-    parts += [news_text if news_text is not None else news_block(news),
-              F.lit(CHARTS_TITLE + charts_block(charts) + CONCLUSIONS_TITLE),
-              recommendations(m, u, v)]
+        middle.append(F.lit(NEWS_TITLE_LEGACY))
+    tail = [F.lit(CHARTS_TITLE + charts_block(charts) + CONCLUSIONS_TITLE), recommendations(m, u, v)]
     if layout == "current":
         src = source or {}
-        parts.append(F.lit(SOURCE.format(src.get("provider") or DEFAULT_PROVIDER,
-                                         src.get("source_type") or DEFAULT_SOURCE_TYPE,
-                                         src.get("updated_at") or DEFAULT_UPDATED, DETERMINISTIC)))
-    parts.append(fill(FOOTER, F.lit(report_time.strftime(FOOTER_STAMP))))
-    return metrics.select(*keys, F.concat(*parts).alias("report"))
+        tail.append(F.lit(SOURCE.format(src.get("provider") or DEFAULT_PROVIDER,
+                                        src.get("source_type") or DEFAULT_SOURCE_TYPE,
+                                        src.get("updated_at") or DEFAULT_UPDATED, DETERMINISTIC)))
+    tail.append(fill(FOOTER, F.lit(report_time.strftime(FOOTER_STAMP))))
+    return middle, tail
 
 
 def recommendations_rows(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

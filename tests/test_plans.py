@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 import __spark_entry__ as E
 
 SMOKE = "/root/testdata/sf0.001"
@@ -44,3 +46,15 @@ def test_dedupe_and_job_fold_are_aggregates(spark, capsys):
 def test_top_k_is_take_ordered(spark, capsys):
     text = plan(E.queries()["recent_jobs"](spark, SMOKE), capsys)
     assert "TakeOrderedAndProject" in text
+
+
+def _all_queries():
+    return sorted(E.queries())
+
+
+@pytest.mark.parametrize("name", _all_queries())
+def test_no_cross_join_anywhere(spark, capsys, name):
+    """No registered query plans a Cartesian product or nested-loop join."""
+    text = plan(E.queries()[name](spark, SMOKE), capsys)
+    assert "CartesianProduct" not in text
+    assert "BroadcastNestedLoopJoin" not in text

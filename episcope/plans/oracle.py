@@ -123,10 +123,13 @@ m as ({_metric_finish("sg_uf")} from sums)"""
 
 ORACLE["clean_cases"] = CASES_CTE + """
 select dt_notific::varchar as dt_notific, dt_sin_pri::varchar as dt_sin_pri, sg_uf, co_mun_res,
-       cs_sexo, idade_anos, evolucao, obito, uti, internou_uti,
-       dt_entuti::varchar as dt_entuti, dt_saiduti::varchar as dt_saiduti, vacina, vacina_cov,
+       cs_sexo::varchar as cs_sexo, idade_anos, evolucao::varchar as evolucao, obito,
+       uti::varchar as uti, internou_uti,
+       dt_entuti::varchar as dt_entuti, dt_saiduti::varchar as dt_saiduti,
+       vacina::varchar as vacina, vacina_cov::varchar as vacina_cov,
        vacinado, dt_evoluca::varchar as dt_evoluca, dt_interna::varchar as dt_interna,
-       hospitalizado, febre, tosse, dispneia, saturacao
+       hospitalizado, febre::varchar as febre, tosse::varchar as tosse,
+       dispneia::varchar as dispneia, saturacao::varchar as saturacao
 from cases"""
 
 ORACLE["total_cases"] = CASES_CTE + _fact() + """
@@ -581,7 +584,7 @@ with a as (
 
 ORACLE["flatten_events"] = AUDIT_CTE + f"""
 select event_id, event_type, execution_id, {_ts('ts')} as ts, decision, tool_name, duration_ms,
-       validation_type, valid, message, error_type, error_message from a"""
+       validation_type, valid::varchar as valid, message, error_type, error_message from a"""
 
 ORACLE["execution_summary"] = AUDIT_CTE + """
 select execution_id,

@@ -62,6 +62,17 @@ def dates_as_text(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+# Coded answers may be unknown (NULL). Query outputs carry them as text, like
+# dates, so a NULL reads the same through either engine's pandas conversion
+# (nullable INT would be float/NaN on one side and Int32/<NA> on the other).
+CODE_COLUMNS = ("cs_sexo", "evolucao", "uti", "vacina", "vacina_cov",
+                "febre", "tosse", "dispneia", "saturacao")
+
+
+def codes_as_text(df: DataFrame, columns=CODE_COLUMNS) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c in columns if c in df.columns})
+
+
 # ---------------------------------------------------------------- case family
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +88,7 @@ def fact(spark: SparkSession, sf_dir: str, keys=()) -> DataFrame:
 
 @query("clean_cases")
 def q_clean_cases(spark, sf_dir):
-    return dates_as_text(cases(spark, sf_dir))
+    return codes_as_text(dates_as_text(cases(spark, sf_dir)))
 
 
 @query("sample_rows")
@@ -321,9 +332,9 @@ def audit(spark, sf_dir):
 
 @query("flatten_events")
 def q_flatten_events(spark, sf_dir):
-    return dates_as_text(audit(spark, sf_dir).select(
+    return codes_as_text(dates_as_text(audit(spark, sf_dir).select(
         "event_id", "event_type", "execution_id", "ts", "decision", "tool_name", "duration_ms",
-        "validation_type", "valid", "message", "error_type", "error_message"))
+        "validation_type", "valid", "message", "error_type", "error_message")), ["valid"])
 
 
 @query("execution_summary")
@@ -367,7 +378,7 @@ def q_ingest_csv_cases(spark, sf_dir):
     path = shared_dir(spark, "raw-cases")
     (FX.mapped_cases(spark, sf_dir).write.mode("overwrite").option("sep", ";")
      .option("encoding", "ISO-8859-1").option("header", True).csv(path))
-    return dates_as_text(C.clean_cases(SC.read_cases_csv(spark, path), year=FIXTURE_YEAR))
+    return codes_as_text(dates_as_text(C.clean_cases(SC.read_cases_csv(spark, path), year=FIXTURE_YEAR)))
 
 
 @query("curated_reload_metrics")
@@ -438,7 +449,7 @@ def q_stream_ingest_cases(spark, sf_dir):
     (FX.mapped_cases(spark, sf_dir).write.mode("overwrite").option("sep", ";")
      .option("encoding", "ISO-8859-1").option("header", True).csv(src))
     ST.stream_ingest(spark, src, out, ckpt, year=FIXTURE_YEAR)
-    return dates_as_text(spark.read.parquet(out).drop("year"))
+    return codes_as_text(dates_as_text(spark.read.parquet(out).drop("year")))
 
 
 @query("stream_daily_cases")

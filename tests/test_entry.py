@@ -50,6 +50,10 @@ def test_matches_oracle(spark, duck, name):
     o_cols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(o_cols)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(o_cols, res.fetchall())
+    # Same pandas dtypes on both sides, so a hash over pandas values agrees too.
+    s_types = {c: str(t) for c, t in df.toPandas().dtypes.items()}
+    o_types = {c: str(t) for c, t in duck.execute(E.oracle_sql()[name]).df().dtypes.items()}
+    assert s_types == o_types
 
 
 @pytest.mark.parametrize("name", ["metrics_by_uf", "dedupe_titles", "latest_job_state", "rate_limit"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,10 +65,31 @@ def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else html.unescape(v))
 
 
+# --- fixed values: entities decoded JVM-side, "&amp;" last so nothing decodes twice ---
+COMMON_ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+    ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+)
+
+
 def unescape_entities(c: Column | str) -> Column:
-    """HTML entities → characters; Python only for the rows that hold an ``&``."""
+    """HTML entities → characters, as Python's ``html.unescape``.
+
+    Text whose every ``&`` starts one of the common entities is decoded with
+    JVM-side replaces (with ``&amp;`` last this equals one left-to-right pass).
+    Only text holding other entities (or a bare ``&``) is sent to Python; the
+    others pass NULL to the UDF, so Python sees almost no data.
+    """
     s = _col(c)
-    return F.when(s.contains("&"), _unescape(s)).otherwise(s)
+    rest = s
+    decoded = s
+    for entity, char in COMMON_ENTITIES:
+        rest = F.replace(rest, F.lit(entity), F.lit(""))
+        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    needs_python = s.contains("&") & rest.contains("&")
+    return (F.when(~s.contains("&"), s)
+            .when(needs_python, _unescape(F.when(needs_python, s)))
+            .otherwise(decoded))
 
 
 # Blocks whose text a parser does not report, then comments and the doctype.
@@ -82,23 +103,53 @@ _HIDDEN_BLOCKS = (
 _TAG = r"(?s)<[^>]*>"
 
 
-def html_text(c: Column | str) -> Column:
-    """Visible text of an HTML fragment: hidden blocks dropped, tags → blanks, entities decoded."""
+def strip_markup(c: Column | str) -> Column:
+    """Hidden blocks dropped and tags replaced by blanks (entities still encoded)."""
     s = _col(c)
     for pattern in _HIDDEN_BLOCKS:
         s = F.regexp_replace(s, pattern, " ")
-    s = F.regexp_replace(s, _TAG, " ")
-    return unescape_entities(s)
+    return F.regexp_replace(s, _TAG, " ")
 
 
-def clean_summary(c: Column | str, max_length: int = 320) -> Column:
-    """NEWS-1: visible text, whitespace collapsed; longer than ``max_length`` → cut + ``…``."""
-    text = collapse_ws(html_text(c))
+def html_text(c: Column | str) -> Column:
+    """Visible text of an HTML fragment: hidden blocks dropped, tags → blanks, entities decoded."""
+    return unescape_entities(strip_markup(c))
+
+
+def truncate_summary(text: Column, max_length: int = 320) -> Column:
+    """Cut already collapsed text longer than ``max_length`` and add ``…``."""
     cut = F.concat(F.rtrim(F.substring(text, 1, max_length)), F.lit("…"))
-    out = F.when(F.length(text) > max_length, cut).otherwise(text)
+    return F.when(F.length(text) > max_length, cut).otherwise(text)
+
+
+def clean_summary(c: Column | str, max_length: int = 320) -> Column:
+    """NEWS-1: visible text, whitespace collapsed; longer than ``max_length`` → cut + ``…``.
+
+    For large tables prefer ``with_clean_summary``, which stages the
+    intermediate texts as columns so no regex pass is repeated.
+    """
+    out = truncate_summary(collapse_ws(html_text(c)), max_length)
     return F.when(_col(c).isNull() | (_col(c) == ""), F.lit("")).otherwise(out)
 
 
+def with_clean_summary(df: DataFrame, source: str, out: str, max_length: int = 320,
+                       text_out: str | None = None) -> DataFrame:
+    """NEWS-1 as staged columns: strip → decode → collapse → cut, each pass once.
+
+    ``text_out`` also keeps the whole collapsed text under that name.
+    """
+    src = F.col(source)
+    staged = (df.withColumn("_markup_free", strip_markup(src))
+              .withColumn("_decoded", unescape_entities(F.col("_markup_free")))
+              .withColumn("_collapsed", collapse_ws(F.col("_decoded"))))
+    summary = F.when(src.isNull() | (src == ""), F.lit("")).otherwise(
+        truncate_summary(F.col("_collapsed"), max_length))
+    out_df = staged.withColumn(out, summary)
+    if text_out:
+        out_df = out_df.withColumn(text_out, F.col("_collapsed"))
+    return out_df.drop("_markup_free", "_decoded", "_collapsed")
+
+
 def extract_title(c: Column | str) -> Column:
     """Text of the first ``<title>`` element (empty when absent)."""
     return F.regexp_extract(_col(c), r"(?is)<title[^>]*>(.*?)</title", 1)

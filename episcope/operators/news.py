@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episcope.functions.dates import normalize_date, sort_instant
-from episcope.functions.text import clean_summary, collapse_ws
+from episcope.functions.text import collapse_ws, with_clean_summary
 
 # --- fixed values: the default relevance terms, in order ---
 RELEVANCE_TERMS = (
@@ -68,9 +68,9 @@ def prepare_items(raw: DataFrame) -> DataFrame:
     else:
         date = F.coalesce(F.date_format("instant", "yyyy-MM-dd"), F.lit(""))
         instant = F.col("instant")
-    return drop_navigation(raw).select(
-        "feed_pos", "item_pos", "source", "title",
-        clean_summary(F.col("description")).alias("summary"),
+    items = with_clean_summary(drop_navigation(raw), "description", "summary")
+    return items.select(
+        "feed_pos", "item_pos", "source", "title", "summary",
         date.alias("date"), F.coalesce(F.col("url"), F.lit("")).alias("url"),
         instant.alias("instant"))
 

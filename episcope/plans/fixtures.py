@@ -106,11 +106,13 @@ def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     pid = F.col("page_id")
     instant = F.when(pid % 11 == 0, F.lit(None).cast("timestamp")).otherwise(
         F.timestamp_add("DAY", (pid % 40).cast("int"), F.lit("2026-01-01 00:00:00").cast("timestamp")))
-    return pages.select(
+    # The raw title is staged as a column so its regex runs once per page.
+    titled = pages.withColumn("_title_raw", extract_title(F.col("html")))
+    return titled.select(
         (pid % 3).cast("int").alias("feed_pos"),
         pid.alias("item_pos"),
         F.concat(F.lit("feed-"), (pid % 3).cast("string")).alias("source"),
-        F.trim(unescape_entities(extract_title(F.col("html")))).alias("title"),
+        F.trim(unescape_entities(F.col("_title_raw"))).alias("title"),
         F.col("html").alias("description"),
         F.col("url"),
         instant.alias("instant"),

@@ -248,8 +248,8 @@ def q_sanitize_text(spark, sf_dir):
 @query("clean_html")
 def q_clean_html(spark, sf_dir):
     pages = spread(FX.table(spark, sf_dir, "pages").select("page_id", "html"))
-    return pages.select("page_id", TX.clean_summary(F.col("html"), 320).alias("summary"),
-                        F.length(TX.collapse_ws(TX.html_text(F.col("html")))).alias("text_chars"))
+    out = TX.with_clean_summary(pages, "html", "summary", 320, text_out="_text")
+    return out.select("page_id", "summary", F.length("_text").alias("text_chars"))
 
 
 # ------------------------------------------------------------------------ news

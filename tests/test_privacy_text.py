@@ -42,3 +42,14 @@ def test_clean_summary(spark):
     expected_long = ("palavra " * 100).strip()[:320].rstrip() + "…"
     assert got[1] == expected_long
     assert got[2:] == ["", ""]
+
+
+def test_entity_decoding_matches_python(spark):
+    import html
+    from episcope.functions.text import unescape_entities
+    cases = ["plain", "a &amp; b", "&amp;lt;p&amp;gt;", "&lt;b&gt; &quot;x&quot; &#39;y&#39; &apos;z&apos;",
+             "caf&eacute; &amp; co", "x & y", "&amp", "&am", "&copy; 2026 &middot; site", "&nbsp;&nbsp;",
+             "&#x41;&#66;", "&amp;amp;", None, "", "&lt;&amp;&gt;"]
+    df = spark.createDataFrame([(c,) for c in cases], "s STRING")
+    got = [r[0] for r in df.select(unescape_entities(F.col("s"))).collect()]
+    assert got == [None if c is None else html.unescape(c) for c in cases]

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episcope.llm import language
+from episcope.llm import decontaminate, language, mixing, simhash, token_files
 from episcope.llm.common import table, written
-from episcope.llm.queries import held_out
+from episcope.llm.queries import SOURCE_WEIGHTS, held_out, tokenizer_path
 
 #: Below this probability a text's language counts as not recognised.
 MIN_LANGUAGE_SCORE = 0.3
@@ -25,8 +25,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
 
 
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate group: the one of the smallest doc_id."""
+    return simhash.keep_one_of_each(docs, shingle=4, max_bits=4)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a benchmark item."""
+    return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out documents so that sources reach their weights; a copy is a row."""
+    return mixing.mix(docs, SOURCE_WEIGHTS).select(docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the mix as token shards and return what they hold, one row per copy."""
+    return token_files.token_output(docs, tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
 STAGES = [
     ("language ID", language_id),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("source mix", source_mix),
+    ("token output", token_output),
 ]
 
 #: The stages train a network, hash with XXH64 and tokenize: not SQL. Tested against brute force.

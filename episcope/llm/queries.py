@@ -5,15 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episcope.llm import language, secrets, urls
+from episcope.llm import (
+    decontaminate, exact_dedup, language, licenses, mixing, secrets, simhash, token_counts, token_files, urls,
+)
 from episcope.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary of the token queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    name = lambda m: F.concat_ws(":", m["license"], m["start"], m["end"])
+    return licenses.scan_licenses(docs).select(
+        "doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join(F.transform("matches", name), ",").alias("licenses"),
+        F.aggregate("matches", F.lit(0.0), lambda acc, m: F.greatest(acc, m["aligned"] / m["words"])).alias("best_coverage"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.scan_secrets(docs)
 
 
+# Production weights of the sources in the mix; all others share the rest.
+SOURCE_WEIGHTS = {
+    "src0": 0.20, "src1": 0.08, "src2": 0.08, "src3": 0.08, "src4": 0.08, "src5": 0.06, "src6": 0.06, "src7": 0.06,
+    "src8": 0.06, "src9": 0.06, "src10": 0.04, "src11": 0.04, "rest": 0.10,
+}
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
+
+
 # The production rules (host, path, action).
 URL_RULES = (
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -26,6 +54,27 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, urls.rule_table(spark, URL_RULES)).drop("url")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_output(table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+END_OF_TEXT = 50256  # the vocabulary's end-of-document id
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), END_OF_TEXT).withColumnRenamed("id", "doc_id")
+
+
 def held_out():
     """True for the fold that is never learned from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -37,8 +86,20 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
 
 
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_secret_scan": op2_secret_scan,
+    "op3_source_mix": op3_source_mix,
     "op4_url_filter": op4_url_filter,
+    "op5_decontamination": op5_decontamination,
+    "op6_token_output": op6_token_output,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
+    "op10_simhash_dedup": op10_simhash_dedup,
 }

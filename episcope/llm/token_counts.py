@@ -83,7 +83,7 @@ def separator_scan(spark: SparkSession, folder: str, end_id: int, block_tokens:
     # Files, not blocks, are scanned in one sequence; the blocks of a file follow in another.
     placed = with_starts(blocks, "n_tokens", "n_ends")
     ends = placed.select(
-        (F.col("n_tokens_start") + F.element_at("at", -1)).alias("last"), "n_tokens", "n_ends", "n_tokens_start", "n_ends_start", "at", "part", "seq")
+        (F.col("n_tokens_start") + F.try_element_at("at", F.lit(-1))).alias("last"), "n_tokens", "n_ends", "n_tokens_start", "n_ends_start", "at", "part", "seq")
     # What a block's first document begins with: the token after the last separator before the block.
     file_last = ends.groupBy("part").agg(F.max("last").alias("last"))
     before_file = file_last.select(F.col("part").alias("of_part"), F.max("last").over(

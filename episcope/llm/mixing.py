@@ -14,6 +14,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episcope.llm.common import struct_of
+
 REST = "rest"  # the pool of all sources without a weight of their own, NULL among them
 TAIL = 1e-17  # of the distribution left out above its table: less than a hashed number can tell
 
@@ -82,17 +84,17 @@ def mix(docs: DataFrame, weights: Mapping[str, float], epochs: float = 1.0, seed
     Rows with the same key repeat equally often; a column ``copy`` of the input is replaced.
     """
     rates = repetition_rates(docs, weights, epochs, source, text)
-    tables = rates.select(F.col("pool").alias("_pool_of"), F.col("rate").alias("_rate"), F.when(F.col("rate") > 0, poisson_table(F.col("rate"))).alias("_table"))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "copy"]
-    drawn = docs.withColumn("_pool", _pool(docs, weights, source)).withColumn("_u", hashed_uniform(seed, docs[f"`{key}`"]))
+    tables = rates.select(F.col("pool").alias("pool_of"), "rate", F.when(F.col("rate") > 0, poisson_table(F.col("rate"))).alias("table"))
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c != "copy"]
+    body = docs[f"`{key}`"]
+    drawn = docs.select(struct_of(docs, "row"), body.alias("key"), _pool(docs, weights, source).alias("pool"), hashed_uniform(seed, body).alias("u"))
     # At most one row per weight on the other side.
-    joined = drawn.join(F.broadcast(tables), F.col("_pool") == F.col("_pool_of"))
-    copies = F.when(F.col("_rate") > 0, F.col("_table.first") + F.size(F.filter("_table.cdf", lambda c: c < F.col("_u")))).otherwise(0)
-    out = (joined.withColumn("_copies", copies).where("_copies > 0")
-           .select(*kept, F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("copy")))
+    joined = drawn.join(F.broadcast(tables), F.col("pool") == F.col("pool_of"))
+    copies = F.when(F.col("rate") > 0, F.col("table.first") + F.size(F.filter("table.cdf", lambda c: c < F.col("u")))).otherwise(0)
+    out = (joined.withColumn("copies", copies).where("copies > 0")
+           .select("row", "key", F.explode_outer(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")))
     if shuffled:
         # Hashed keys deal evenly whatever the source; the sort puts each part in random order.
-        place = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), F.col("copy")))
-        out = out.withColumn("_place", place)
-        out = out.repartition("_place").sortWithinPartitions("_place").drop("_place")
-    return out
+        place = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit("null")), F.col("copy")))
+        out = out.withColumn("place", place).repartition("place").sortWithinPartitions("place")
+    return out.select(*kept, "copy")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episcope.llm.common import row_groups, written
+from episcope.llm.common import row_groups, struct_of, written
 
 SEED = 42
 BLOCK = 2048  # postings of one list that a task compares with as many others
@@ -225,6 +225,6 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     found = near_duplicates(docs, id_col, text, shingle, max_bits)
     keepers = written(found.where(F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("row_hash") == F.col("keeper.row_hash")))
                       .select(F.col("id").alias("_keep_id"), F.col("row_hash").alias("_keep_hash")).distinct(), "keepers")
-    kept = docs.withColumn("_row_hash", F.xxhash64(docs[f"`{text}`"]))
-    kept = kept.join(keepers, kept[f"`{id_col}`"].eqNullSafe(keepers["_keep_id"]) & (kept["_row_hash"] == keepers["_keep_hash"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_row_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(struct_of(docs, "row"), docs[f"`{id_col}`"].alias("id"), F.xxhash64(docs[f"`{text}`"]).alias("row_hash"))
+    kept = rows.join(keepers, F.col("id").eqNullSafe(F.col("_keep_id")) & (F.col("row_hash") == F.col("_keep_hash")), "left_semi")
+    return kept.dropDuplicates(["id", "row_hash"]).select("row.*")

@@ -58,13 +58,20 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, folder: str, id_col
         for batch in batches:
             for lo, hi in row_groups(batch.column(1), 1 << 20):
                 flat, counts = encode(batch.column(1).slice(lo, hi - lo).to_pylist())
-                doc_ids += batch.column(0).slice(lo, hi - lo).to_pylist()
-                ids.append(np.insert(flat, np.cumsum(counts), np.uint32(end_id)))
-                lengths.append(counts + 1)
-                held += len(ids[-1])
-                if held >= shard_tokens:
-                    yield shard()
-                    doc_ids, ids, lengths, held, seq = [], [], [], 0, seq + 1
+                flat = np.insert(flat, np.cumsum(counts), np.uint32(end_id))
+                names, counts = batch.column(0).slice(lo, hi - lo).to_pylist(), counts + 1
+                ends = np.concatenate(([0], np.cumsum(counts)))
+                at = 0
+                while at < len(names):
+                    # Up to and with the document that fills the shard.
+                    until = min(int(np.searchsorted(ends, ends[at] + shard_tokens - held)), len(names))
+                    doc_ids += names[at:until]
+                    ids.append(flat[ends[at]:ends[until]])
+                    lengths.append(counts[at:until])
+                    held, at = held + len(ids[-1]), until
+                    if held >= shard_tokens:
+                        yield shard()
+                        doc_ids, ids, lengths, held, seq = [], [], [], 0, seq + 1
         if doc_ids:
             yield shard()
 

@@ -20,5 +20,54 @@ fits AS (
   FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, 'allow') AS verdict
 FROM p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1
+""",
+    "op3_source_mix": r"""
+WITH weights(pool, weight) AS (
+  VALUES ('src0', 0.20), ('src1', 0.08), ('src2', 0.08), ('src3', 0.08), ('src4', 0.08), ('src5', 0.06), ('src6', 0.06), ('src7', 0.06),
+         ('src8', 0.06), ('src9', 0.06), ('src10', 0.04), ('src11', 0.04), ('rest', 0.10)),
+d AS (
+  SELECT documents.*, CASE WHEN source IN (SELECT pool FROM weights WHERE pool <> 'rest') THEN source ELSE 'rest' END AS pool,
+         (('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+  FROM documents),
+sizes AS (SELECT pool, sum(coalesce(strlen(text), 0))::DOUBLE AS b FROM d GROUP BY pool),
+rates AS (
+  SELECT pool, CASE WHEN b = 0 THEN 1.0 ELSE weight::DOUBLE / (sum(weight::DOUBLE) FILTER (WHERE b > 0) OVER ()) * (sum(b) OVER ()) / b END AS rate
+  FROM sizes JOIN weights USING (pool)),
+terms AS (
+  SELECT pool, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p
+  FROM rates, unnest(range(CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT) + 1)) AS t(k)),
+cdf AS (SELECT pool, k, sum(p) OVER (PARTITION BY pool ORDER BY k) AS c FROM terms)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(cdf.k AS INTEGER) AS copy
+FROM d JOIN cdf ON cdf.pool = d.pool AND cdf.c < d.u
+""",
+    "op5_decontamination": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+grams AS (
+  SELECT DISTINCT item, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS gram, least(len(w), 10) AS n
+  FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM grams),
+hits AS (
+  SELECT r, i, lengths.n, g.item
+  FROM docs, lengths, unnest(range(1, len(w) - lengths.n + 2)) AS t(i)
+  JOIN grams g ON g.n = lengths.n AND g.gram = array_to_string(w[i : i + lengths.n - 1], ' ')),
+spots AS (SELECT r, count(DISTINCT j) AS n_hit FROM hits, unnest(range(i, i + n)) AS t(j) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN spots USING (r) LEFT JOIN found USING (r)
+""",
+    "op7_exact_dedup": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (PARTITION BY coalesce(text, ''), doc_id) AS copy FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND copy = 1 AS kept, sha256(t) AS text_sha256
+FROM d JOIN g USING (t)
 """,
 }

@@ -11,14 +11,20 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import cache
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
-MAX_WORDS = 500_000  # words a process keeps; past it, it starts afresh
+MAX_WORDS = 900_000  # words a process keeps, some 200 bytes each; past it, it starts afresh
 _DOUBLE = re.compile(r"\s\s")
 _SPACE_AFTER_TEXT = re.compile(r"(?<=\S) ")
 _TAIL = ".,;:!?"
+_LAST_PLAIN = "\u024f"  # Latin letters, on which all Unicode versions agree
+# The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_SPACE = chr(_BYTE_LETTERS[0x20])
 
 
 class TextEncoder:
@@ -27,13 +33,15 @@ class TextEncoder:
     def __init__(self, tokenizer_json: str, special_as_text: bool):
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
         self._tokenizer.encode_special_tokens = special_as_text
+        self._model = self._tokenizer.model
         self._reset()
 
     def _reset(self) -> None:
         self._known: dict[object, int] = {}
+        self._pieces: dict[str, list[int]] = {}
         self._ids = np.zeros(1 << 16, np.uint32)
         self._used = 0
-        self._bounds: list[int] = [0]
+        self._bounds = np.zeros(1 << 16, np.int64)
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self._known) > MAX_WORDS:
@@ -51,37 +59,61 @@ class TextEncoder:
             self._learn({w for w, k in zip(words, at, strict=True) if k is None})
             at = list(map(known.get, words))
         at = np.array(at, np.int64)
-        bounds = np.array(self._bounds, np.int64)
-        starts, lengths = bounds[at], bounds[at + 1] - bounds[at]
+        starts = self._bounds[at]
+        lengths = self._bounds[at + 1] - starts
         total = np.cumsum(lengths)
         ids = self._ids[np.repeat(starts - total + lengths, lengths) + np.arange(total[-1] if len(total) else 0)]
         until = np.concatenate(([0], total))[np.cumsum([0, *counts])]
         return ids, np.diff(until)
 
     def _learn(self, words: set) -> None:
-        """Encode new words; the punctuation after a plain word is a piece of its own and shared."""
-        words = list(words)
-        texts, tails = [], []
-        for w in words:
-            text, tail = (w[0], "") if isinstance(w, tuple) else (w, "") if w[:1] == "\n" else (f" {w}", "")
-            bare = text.rstrip(_TAIL)
-            if len(bare) < len(text) and bare[-1:] <= "\u024f" and bare[-1:].isalpha():
-                text, tail = bare, text[len(bare):]
-            texts.append(text)
-            tails.append(tail)
-        distinct = list(dict.fromkeys([*texts, *filter(None, tails)]))
-        found = dict(zip(distinct, (e.ids for e in self._tokenizer.encode_batch_fast(distinct, add_special_tokens=False)), strict=True))
-        new = []
-        for w, text, tail in zip(words, texts, tails, strict=True):
-            ids = found[text] + found[tail] if tail else found[text]
-            self._known[w] = len(self._bounds) - 1
-            self._bounds.append(self._bounds[-1] + len(ids))
-            new.extend(ids)
-        need = self._used + len(new)
-        if need > len(self._ids):
-            self._ids = np.concatenate([self._ids, np.zeros(max(need, len(self._ids)), np.uint32)])
-        self._ids[self._used:need] = new
-        self._used = need
+        """Encode new words and keep their ids; plain words go straight to the vocabulary's BPE model."""
+        found = {w: ids for w in words if (ids := self._plain_word(w)) is not None}
+        rest = [w for w in words if w not in found]
+        texts = [w[0] if isinstance(w, tuple) else w if w[:1] == "\n" else f" {w}" for w in rest]
+        found.update(zip(rest, (e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)), strict=True))
+        first = len(self._known)
+        self._known.update(zip(found, range(first, first + len(found)), strict=True))
+        new = np.fromiter(chain.from_iterable(found.values()), np.uint32)
+        ends = self._used + np.cumsum(np.fromiter(map(len, found.values()), np.int64, len(found)))
+        self._ids = _grown(self._ids, self._used + len(new))
+        self._ids[self._used:self._used + len(new)] = new
+        self._bounds = _grown(self._bounds, first + len(found) + 1)
+        self._bounds[first + 1:first + len(found) + 1] = ends
+        self._used += len(new)
+
+    def _plain_word(self, word: object) -> list[int] | None:
+        """Ids of a word of letters, with a space or line break before it and punctuation after.
+
+        Letters, line break and punctuation are pieces of their own to the pre-tokenizer, so
+        the letters go to the model alone, in its byte alphabet. None for any other word.
+        """
+        if isinstance(word, tuple):
+            return None
+        broken = word[:1] == "\n"
+        core = word[1:] if broken else word
+        bare = core.rstrip(_TAIL)
+        if not bare.isalpha() or max(bare) > _LAST_PLAIN:
+            return None
+        at = self._known.get(bare) if not broken and len(bare) < len(core) else None
+        if at is not None:
+            ids = self._ids[self._bounds[at]:self._bounds[at + 1]].tolist()
+        else:
+            piece = bare if bare.isascii() else bare.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = [t.id for t in self._model.tokenize(piece if broken else f"{_SPACE}{piece}")]
+        if broken:
+            ids = self._piece("\n") + ids
+        return ids + self._piece(core[len(bare):]) if len(bare) < len(core) else ids
+
+    def _piece(self, text: str) -> list[int]:
+        if text not in self._pieces:
+            self._pieces[text] = self._tokenizer.encode(text, add_special_tokens=False).ids
+        return self._pieces[text]
+
+
+def _grown(values: np.ndarray, size: int) -> np.ndarray:
+    """``values`` with room for ``size`` entries, at least doubled if it has to grow."""
+    return values if size <= len(values) else np.concatenate([values, np.zeros(max(size, len(values)), values.dtype)])
 
 
 def _words(text: str) -> list:

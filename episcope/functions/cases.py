@@ -35,9 +35,11 @@ def coerce_date(c: Column | str) -> Column:
 def coerce_code(c: Column | str) -> Column:
     """Coded answer -> INT; a dirty value becomes NULL instead of failing.
 
-    Deviation on purpose: text codes are cast, so ``'2'`` counts as 2.
+    Deviation on purpose: text codes are cast, so ``'2'`` counts as 2, and so does the
+    ``2.0`` that a nullable code column becomes in CSV; other fractions are dirty.
     """
-    return _col(c).cast("string").try_cast("int")
+    n = _col(c).cast("string").try_cast("double")
+    return F.when(n == F.floor(n), n.try_cast("int"))
 
 
 def age_years(amount: Column | str, unit: Column | str) -> Column:

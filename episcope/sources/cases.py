@@ -16,6 +16,7 @@ import datetime as dt
 import json
 import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +28,39 @@ from episcope.operators.clean import clean_cases, prune_columns
 
 def read_cases_csv(spark: SparkSession, path: str, sep: str = ";",
                    encoding: str = "ISO-8859-1") -> DataFrame:
-    """SRC-1: the 24 relevant columns of a raw file; a missing column raises."""
-    raw = (spark.read.option("sep", sep).option("encoding", encoding)
-           .option("header", True).option("inferSchema", False).csv(path))
-    return prune_columns(raw)
+    """SRC-1: the 24 relevant columns of the raw files; a missing column raises.
+
+    Yearly layouts differ in columns and their order, so files are grouped by
+    their own header (one short read of each file) and matched by name.
+    """
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for name in input_files(spark, path):
+        layouts.setdefault(tuple(csv_header(spark, name, sep, encoding)), []).append(name)
+    layouts.pop((), None)  # files without even a header
+    if not layouts:
+        return prune_columns(_csv_reader(spark.read, sep, encoding).csv(path))
+    parts = [prune_columns(_csv_reader(spark.read, sep, encoding).schema(text_schema(header)).csv(files))
+             for header, files in layouts.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def input_files(spark: SparkSession, path: str) -> list[str]:
+    """The files under ``path``; only their names are read."""
+    return sorted(r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+
+
+def csv_header(spark: SparkSession, path: str, sep: str = ";", encoding: str = "ISO-8859-1") -> list[str]:
+    """Column names of a CSV file, in file order."""
+    return spark.read.options(sep=sep, encoding=encoding, header=True, escape='"').csv(path).columns
+
+
+def text_schema(names) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def _csv_reader(reader, sep: str, encoding: str):
+    # A backslash is ordinary text; ``enforceSchema`` off makes a file whose header differs fail.
+    return reader.options(sep=sep, encoding=encoding, header=True, inferSchema=False, escape='"', enforceSchema=False)
 
 
 def sample_rows(raw: DataFrame, n: int | None) -> DataFrame:

@@ -26,7 +26,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from episcope import schema as S
 from episcope.functions.dates import epoch_micros
-from episcope.operators.clean import clean_cases
+from episcope.operators.clean import clean_cases, prune_columns
+from episcope.sources.cases import csv_header, input_files, text_schema
 from episcope.operators.ops import execution_summary, flatten_events
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -62,10 +63,21 @@ def read_upsert_log(spark: SparkSession, path: str, keys: Sequence[str]) -> Data
 # ------------------------------------------------------------------ STR-1
 
 def stream_ingest(spark: SparkSession, raw_dir: str, out_dir: str, checkpoint: str,
-                  year: int | None = 2024, available_now: bool = True):
-    """STR-1: new raw CSV files → CLEAN → curated Parquet (append, by year)."""
-    raw = (spark.readStream.schema(S.RAW_SCHEMA).option("sep", ";")
-           .option("encoding", "ISO-8859-1").option("header", True).csv(raw_dir))
+                  year: int | None = 2024, available_now: bool = True,
+                  max_files_per_trigger: int | None = None):
+    """STR-1: new raw CSV files → CLEAN → curated Parquet (append, by year).
+
+    The files' own header gives the column order; the stream fails on a file whose
+    header differs rather than mixing columns. A folder that is still empty is
+    expected in the order of the relevant columns. ``max_files_per_trigger`` bounds a batch.
+    """
+    files = input_files(spark, raw_dir)
+    names = csv_header(spark, files[0]) if files else S.RAW_SCHEMA.names
+    reader = spark.readStream.schema(text_schema(names)).options(
+        sep=";", encoding="ISO-8859-1", header=True, escape='"', enforceSchema=False)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    raw = prune_columns(reader.csv(raw_dir))
     curated = clean_cases(raw, year=year).withColumn("year", F.year("dt_notific"))
     w = (curated.writeStream.format("parquet").option("checkpointLocation", checkpoint)
          .partitionBy("year").outputMode("append"))

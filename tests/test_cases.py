@@ -12,8 +12,8 @@ from episcope.operators import series as TS
 from episcope.sources.cases import read_cases_csv
 
 RAW_CSV = """DT_NOTIFIC;DT_SIN_PRI;SG_UF;CO_MUN_RES;CS_SEXO;NU_IDADE_N;TP_IDADE;EVOLUCAO;UTI;DT_ENTUTI;DT_SAIDUTI;VACINA;VACINA_COV;DOSE_1_COV;DOSE_2_COV;DOSE_REF;CLASSI_FIN;DT_EVOLUCA;DT_INTERNA;HOSPITAL;FEBRE;TOSSE;DISPNEIA;SATURACAO
-2024-01-01;2023-12-30;SP;355030;1;40;4;1;2;;;1;2;;;;5;2024-01-05;2024-01-02;1;1;1;2;2
-2024-01-02;2023-12-31;RJ;330455;2;70;4;2;1;2024-01-03;2024-01-07;2;1;;;;5;2024-01-08;2024-01-02;1;1;1;1;1
+2024-03-11;2024-03-08;SP;350950;2;8;3;1;2;;;2;1;;;;4;2024-03-20;2024-03-11;1;1;2;1;9
+2024-04-02;2024-03-29;RJ;330330;1;81;4;2;1;2024-04-03;2024-04-10;1;2;;;;5;2024-04-11;2024-04-02;1;2;1;1;1
 """
 
 
@@ -58,12 +58,12 @@ def test_raw_csv_clean(spark, tmp_path):
     path.write_bytes(RAW_CSV.encode("latin1"))
     out = C.clean_cases(read_cases_csv(spark, str(path)), year=2024).orderBy("dt_notific").collect()
     assert len(out) == 2
-    assert [r.idade_anos for r in out] == [40.0, 70.0]
+    assert [r.idade_anos for r in out] == [pytest.approx(8 / 12), 81.0]
     assert [r.obito for r in out] == [0, 1]
     assert [r.internou_uti for r in out] == [0, 1]
     assert [r.vacinado for r in out] == [1, 1]
     assert [r.hospitalizado for r in out] == [1, 1]
-    assert [r.co_mun_res for r in out] == ["355030", "330455"]
+    assert [r.co_mun_res for r in out] == ["350950", "330330"]
     m = M.all_metrics(M.daily_fact(C.clean_cases(read_cases_csv(spark, str(path)), year=2024))).first()
     assert (m[S.M_MORTALITY], m[S.M_ICU], m[S.M_VACCINATION]) == (50.0, 50.0, 100.0)
 
@@ -135,3 +135,25 @@ def test_metrics_by_region_share_global_anchor(spark):
     assert got == {"A": -100.0, "B": 0.0}
     roll = {r.sg_uf: r[S.M_TOTAL] for r in M.metrics_rollup(fact).collect()}
     assert roll == {"A": 1, "B": 1, None: 2}
+
+
+def test_files_of_other_layouts_are_matched_by_name(spark, tmp_path):
+    """Extra columns, another column order, nullable codes as 2.0 and a quoted backslash, batch and stream."""
+    from episcope.streaming.jobs import stream_ingest
+    header, first, second = RAW_CSV.strip().split("\n")
+    names = header.split(";")
+    d = tmp_path / "raw"
+    d.mkdir()
+    one = dict(zip(names, first.split(";"), strict=True)) | {"UTI": "1.0", "OBS": '"back\\"'}
+    wide = ["OBS", *names[:5], "EXTRA", *names[5:]]
+    body = ";".join(one.get(n, "x") for n in wide)
+    (d / "2023.csv").write_bytes((";".join(wide) + "\n" + body + "\n").encode("latin1"))
+    out = d.parent / "out"
+    stream_ingest(spark, str(d), str(out), str(tmp_path / "ck"), year=2024)
+    streamed = spark.read.parquet(str(out)).collect()
+    assert [(r.sg_uf, r.co_mun_res, r.internou_uti) for r in streamed] == [("SP", "350950", 1)]
+    two = dict(zip(names, second.split(";"), strict=True))
+    turned = names[::-1]
+    (d / "2024.csv").write_bytes((";".join(turned) + "\n" + ";".join(two[n] for n in turned) + "\n").encode("latin1"))
+    rows = C.clean_cases(read_cases_csv(spark, str(d)), year=2024).orderBy("dt_notific").collect()
+    assert [(r.sg_uf, r.co_mun_res, r.internou_uti) for r in rows] == [("SP", "350950", 1), ("RJ", "330330", 1)]

@@ -87,16 +87,25 @@ def backlog_head(jobs: DataFrame) -> DataFrame:
     return jobs.where(F.col("status") == "queued").orderBy("created_at", "job_id").limit(1)
 
 
-# --- fixed values: payload shape of a report request ---
-PAYLOAD_SCHEMA = "k INT"
+# A payload is any JSON object: its values keep their own types.
+PAYLOAD_SCHEMA = "MAP<STRING, VARIANT>"
 
 
-def retry_plan(jobs: DataFrame, payload_schema: str = PAYLOAD_SCHEMA) -> DataFrame:
-    """OPS-7: failed jobs → retry payload = original payload + ``execution_id`` when set."""
-    p = F.from_json(F.coalesce(F.nullif(F.col("payload"), F.lit("")), F.lit("{}")), payload_schema)
-    failed = jobs.where(F.col("status") == "failed").select("job_id", p.alias("p"), "execution_id")
-    # to_json leaves out NULL fields, so an unset execution id is not added.
-    return failed.select("job_id", F.to_json(F.struct("p.*", "execution_id")).alias("retry_payload"))
+def _payload(schema: str = PAYLOAD_SCHEMA) -> Column:
+    return F.from_json(F.coalesce(F.nullif(F.col("payload"), F.lit("")), F.lit("{}")), schema)
+
+
+def retry_plan(jobs: DataFrame) -> DataFrame:
+    """OPS-7: failed jobs → retry payload = original payload, with ``execution_id`` when set.
+
+    Every key of the payload stays, nested values and explicit NULLs too. A payload that
+    is no JSON object counts as empty.
+    """
+    failed = jobs.where(F.col("status") == "failed").select("job_id", "execution_id", _payload().alias("p"))
+    empty = F.expr("CAST(map() AS MAP<STRING, VARIANT>)")
+    own = F.map_filter(F.coalesce("p", empty), lambda k, v: (k != "execution_id") | F.col("execution_id").isNull())
+    added = F.when(F.col("execution_id").isNull(), empty).otherwise(F.expr("map('execution_id', CAST(execution_id AS VARIANT))"))
+    return failed.select("job_id", F.to_json(F.map_concat(own, added)).alias("retry_payload"))
 
 
 def decode_json_columns(jobs: DataFrame, payload_schema: str = PAYLOAD_SCHEMA,
@@ -129,6 +138,10 @@ AUDIT_DATA_SCHEMA = T.StructType([
     T.StructField("message", T.StringType()), T.StructField("error_type", T.StringType()),
     T.StructField("error_message", T.StringType()), T.StructField("news_count", T.LongType()),
     T.StructField("charts_generated", T.LongType()), T.StructField("report_path", T.StringType()),
+    # Values of any shape stay JSON text.
+    T.StructField("metadata", T.StringType()), T.StructField("inputs", T.StringType()),
+    T.StructField("outputs", T.StringType()), T.StructField("stack_trace", T.StringType()),
+    T.StructField("metrics", T.StringType()),
 ])
 
 
@@ -137,15 +150,18 @@ def flatten_events(audit: DataFrame) -> DataFrame:
     d = F.from_json(F.col("data"), AUDIT_DATA_SCHEMA)
     return audit.select(
         "event_id", "event_type", "execution_id",
-        F.to_timestamp("timestamp").alias("ts"),
+        F.try_to_timestamp("timestamp").alias("ts"),
         *[d.getField(f.name).alias(f.name) for f in AUDIT_DATA_SCHEMA.fields])
 
 
 def execution_summary(events: DataFrame) -> DataFrame:
-    """OPS-5: per execution — duration, tool calls, validations, failures, errors, success."""
+    """OPS-5: per execution — duration, tool calls, validations, failures, errors, success.
+
+    Events without an execution id belong to no execution.
+    """
     et = F.col("event_type")
     errors = F.count_if(et == "error")
-    return events.groupBy("execution_id").agg(
+    return events.where(F.col("execution_id").isNotNull()).groupBy("execution_id").agg(
         ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1000.0).alias("duration_ms"),
         F.count_if(et == "tool_call").alias("total_tool_calls"),
         F.count_if(et == "validation").alias("total_validations"),

@@ -83,13 +83,16 @@ def rate_limit(calls: DataFrame, key: str, ts: str, seq: str, max_calls: int = 6
     """RATE-1: ``calls`` + boolean ``admitted`` per call.
 
     ``seq`` orders calls with the same timestamp. Times are compared in
-    microseconds.
+    microseconds. Calls without a key share one budget; a call without a time lies in
+    no window, is not counted and gets ``admitted`` NULL.
     """
     if max_calls < 1 or window_seconds <= 0:
         raise ValueError("max_calls must be >= 1 and window_seconds > 0")
     window_us = int(round(window_seconds * 1_000_000))
     t_us = epoch_micros(calls.schema, ts)
-    keyed = (calls.select("*", F.col(key).alias(_KEY), t_us.alias(_T))
+    own = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))  # never NULL
+    placed = calls.select("*", own.alias(_KEY), t_us.alias(_T))
+    keyed = (placed.where(F.col(_T).isNotNull())
              .withColumn(_B, F.expr(f"{_T} div {window_us}")))  # exact integer buckets
     # One row per (key, bucket): AQE turns this into a broadcast join when it is small.
     tagged = keyed.join(segments(keyed, window_us), [_KEY, _B])
@@ -98,4 +101,6 @@ def rate_limit(calls: DataFrame, key: str, ts: str, seq: str, max_calls: int = 6
     ordered = parts.sortWithinPartitions(_KEY, _SEG, _T, seq)
     out_schema = T.StructType(calls.schema.fields + [T.StructField("admitted", T.BooleanType())])
     # Rows pass through the fold, so no join back to the input is needed.
-    return ordered.mapInPandas(lambda it: _admit_batches(it, max_calls, window_us), out_schema)
+    judged = ordered.mapInPandas(lambda it: _admit_batches(it, max_calls, window_us), out_schema)
+    untimed = placed.where(F.col(_T).isNull()).select(*calls.columns, F.lit(None).cast("boolean").alias("admitted"))
+    return judged.unionByName(untimed)

@@ -1,6 +1,7 @@
 """Job ledger fold, audit summaries and the rate limiter."""
 
 import datetime as dt
+import json
 
 
 from episcope.operators import ops as OPS
@@ -41,8 +42,8 @@ def test_decode_and_evolve(spark):
     df = spark.createDataFrame([("j", None, "", None), ("k", '["CPF"]', '{"k": 3}', '{"n": "1"}')],
                                "job_id STRING, pii_types STRING, payload STRING, summary STRING")
     out = {r.job_id: r for r in OPS.decode_json_columns(df).collect()}
-    assert out["j"].pii_types == [] and out["j"].payload.k is None and out["j"].summary is None
-    assert out["k"].pii_types == ["CPF"] and out["k"].payload.k == 3 and out["k"].summary == {"n": "1"}
+    assert out["j"].pii_types == [] and out["j"].payload == {} and out["j"].summary is None
+    assert out["k"].pii_types == ["CPF"] and out["k"].payload["k"].toPython() == 3 and out["k"].summary == {"n": "1"}
     old = spark.createDataFrame([("j",)], "job_id STRING")
     assert OPS.evolve_schema(old).first().payload == "{}"
 
@@ -104,3 +105,32 @@ def test_rate_limit_segments_match_brute_force(spark):
     calls = spark.createDataFrame(rows, "seq BIGINT, key STRING, ts TIMESTAMP")
     got = {r.seq: r.admitted for r in rate_limit(calls, "key", "ts", "seq", 3, 60, 5).collect()}
     assert got == expected
+
+
+def test_retry_keeps_every_payload_key(spark):
+    rows = [("a", "failed", "e1", '{"days": 30, "k": 1, "db_path": "x/y.db", "opt": {"a": null, "b": [1, 2]}, "none": null}'),
+            ("b", "failed", "e2", '{"execution_id": "old", "model": "m"}'), ("c", "failed", None, '{"execution_id": "old"}'),
+            ("d", "failed", "e4", "not json"), ("e", "failed", None, None), ("f", "succeeded", "e6", "{}"), ("g", None, "e7", "{}")]
+    jobs = spark.createDataFrame(rows, "job_id STRING, status STRING, execution_id STRING, payload STRING")
+    got = {r.job_id: json.loads(r.retry_payload) for r in OPS.retry_plan(jobs).collect()}
+    assert got == {"a": {"days": 30, "k": 1, "db_path": "x/y.db", "opt": {"a": None, "b": [1, 2]}, "none": None, "execution_id": "e1"},
+                   "b": {"execution_id": "e2", "model": "m"}, "c": {"execution_id": "old"}, "d": {"execution_id": "e4"}, "e": {}}
+
+
+def test_bad_stamp_and_missing_execution(spark):
+    rows = [("1", "tool_call", "e", "no time", '{"tool_name": "t", "inputs": {"q": [1]}, "metadata": {"a": 1}}'),
+            ("2", "error", None, "2026-01-01T00:00:00", '{"stack_trace": "line 1"}')]
+    audit = spark.createDataFrame(rows, "event_id STRING, event_type STRING, execution_id STRING, timestamp STRING, data STRING")
+    events = OPS.flatten_events(audit)
+    first, second = events.orderBy("event_id").collect()
+    assert first.ts is None and json.loads(first.inputs) == {"q": [1]} and json.loads(first.metadata) == {"a": 1}
+    assert second.stack_trace == "line 1"
+    assert [r.execution_id for r in OPS.execution_summary(events).collect()] == ["e"]
+
+
+def test_rate_limit_keeps_calls_without_key_or_time(spark):
+    from episcope.operators.ratelimit import rate_limit
+    rows = [(1, None, T0), (2, None, T0), (3, "u", None), (4, "u", T0)]
+    calls = spark.createDataFrame(rows, "seq INT, user STRING, ts TIMESTAMP")
+    got = {r.seq: r.admitted for r in rate_limit(calls, "user", "ts", "seq", max_calls=1).collect()}
+    assert got == {1: True, 2: False, 3: None, 4: True}

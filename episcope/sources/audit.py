@@ -27,8 +27,12 @@ def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
 
 def write_reports(reports: DataFrame, path: str, key: str = "execution_id",
                   column: str = "report") -> None:
-    """SNK-6: one Markdown text per execution, in a folder per execution id."""
-    reports.select(key, column).write.mode("overwrite").partitionBy(key).text(path)
+    """SNK-6: one Markdown text per execution, in a folder per execution id.
+
+    Only the folders of the executions written are replaced; earlier reports stay.
+    """
+    (reports.select(key, column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(key).text(path))
 
 
 def read_reports(spark: SparkSession, path: str, key: str = "execution_id") -> DataFrame:
@@ -36,4 +40,4 @@ def read_reports(spark: SparkSession, path: str, key: str = "execution_id") -> D
     # The text writer ends each row with a newline; drop exactly that one.
     v = F.col("value")
     body = F.when(v.endswith("\n"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(v)
-    return spark.read.text(path, wholetext=True).select(key, body.alias("report"))
+    return spark.read.schema(f"value STRING, `{key}` STRING").text(path, wholetext=True).select(key, body.alias("report"))

@@ -70,3 +70,12 @@ def test_union_feeds_keeps_order_columns(spark):
     a = spark.createDataFrame([(0, 1, "t1")], "feed_pos INT, item_pos INT, title STRING")
     b = spark.createDataFrame([(1, 0, "t2")], "feed_pos INT, item_pos INT, title STRING")
     assert [tuple(r) for r in union_feeds(a, b).orderBy("feed_pos").collect()] == [(0, 1, "t1"), (1, 0, "t2")]
+
+
+def test_a_second_batch_of_reports_keeps_the_first(spark, tmp_path):
+    from episcope.sources.audit import read_reports, write_reports
+    path = str(tmp_path / "reports")
+    for execution, text in (("20240102", "one\ntext"), ("b", "two"), ("b", "two again")):
+        write_reports(spark.createDataFrame([(execution, text)], "execution_id STRING, report STRING"), path)
+    got = sorted((r.execution_id, r.report) for r in read_reports(spark, path).collect())
+    assert got == [("20240102", "one\ntext"), ("b", "two again")]

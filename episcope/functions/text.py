@@ -94,13 +94,15 @@ def unescape_entities(c: Column | str) -> Column:
 
 # Blocks whose text a parser does not report, then comments and the doctype.
 _HIDDEN_BLOCKS = (
-    r"(?is)<script\b[^>]*>.*?</script\s*>",
-    r"(?is)<style\b[^>]*>.*?</style\s*>",
-    r"(?is)<template\b[^>]*>.*?</template\s*>",
-    r"(?s)<!--.*?-->",
+    r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)",
+    r"(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)",
+    r"(?is)<template\b[^>]*>.*?(?:</template\s*>|\z)",
+    r"(?s)<!--.*?(?:-->|\z)",
     r"(?is)<!doctype[^>]*>",
 )
-_TAG = r"(?s)<[^>]*>"
+# A tag begins with a letter, ``/``, ``!`` or ``?``; quoted attribute values may hold ``>``.
+# Possessive, so that an unclosed tag costs one pass.
+_TAG = r"""(?s)<[/!?a-zA-Z](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>"""
 
 
 def strip_markup(c: Column | str) -> Column:

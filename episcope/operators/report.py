@@ -101,7 +101,7 @@ def news_block(news: Column | None) -> Column:
 def news_entries(news: Column) -> Column:
     """Rendered news entries of a news array; NULL when it is empty or NULL."""
     entries = F.transform(news, lambda x, i: fill(
-        NEWS_ENTRY, (i + 1).cast("string"), x["title"], x["source"], x["date"], x["summary"]))
+        NEWS_ENTRY, (i + 1).cast("string"), *[F.coalesce(x[c], F.lit("")) for c in ("title", "source", "date", "summary")]))
     return F.when(F.coalesce(F.size(news), F.lit(0)) > 0, F.array_join(entries, ""))
 
 
@@ -137,7 +137,7 @@ def render_report(metrics: DataFrame, execution_id: Column, report_time: dt.date
     key = ("report", layout, report_time.isoformat(), json.dumps(charts or {}, sort_keys=True),
            json.dumps(source or {}, sort_keys=True))
     middle, tail = columns_once(key, lambda: _report_parts(layout, report_time, charts, source))
-    parts = [fill(HEADER, F.lit(report_time.strftime(HEADER_STAMP)), execution_id), *middle,
+    parts = [fill(HEADER, F.lit(report_time.strftime(HEADER_STAMP)), F.coalesce(execution_id.cast("string"), F.lit(""))), *middle,
              news_text if news_text is not None else news_block(news), *tail]
     return metrics.select(*keys, F.concat(*parts).alias("report"))
 

@@ -8,6 +8,7 @@ the source's query results.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,11 +74,16 @@ def chart_series(fact: DataFrame, keys: Sequence[str] = (), last_n_days: int = 3
                .groupBy(*keys)
                .agg(F.array_sort(F.collect_list(F.struct("month", "cases"))).alias("monthly")))
     if keys:
-        joined = dgroups.join(mgroups, list(keys), "full")
+        # Null-safe: the group without a key is one group.
+        right = mgroups.select(*[F.col(k).alias(f"_m_{k}") for k in keys], "monthly")
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys])
+        # Every group has a month, so the monthly side holds all of them.
+        joined = right.join(dgroups, same, "left").select(
+            *[F.col(f"_m_{k}").alias(k) for k in keys], "daily", "monthly")
     else:
         # National series: two one-value scalar subqueries on a one-row aggregate.
         joined = fact.agg(F.count(F.lit(1)).alias("_n")).select(
             dgroups.select("daily").scalar().alias("daily"),
             mgroups.select("monthly").scalar().alias("monthly"))
-    return joined.select(*keys, F.to_json("daily").alias("daily_json"),
-                         F.to_json("monthly").alias("monthly_json"))
+    return joined.select(*keys, F.coalesce(F.to_json("daily"), F.lit("[]")).alias("daily_json"),
+                         F.coalesce(F.to_json("monthly"), F.lit("[]")).alias("monthly_json"))

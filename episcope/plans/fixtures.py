@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from episcope import schema as S
 from episcope.functions.memo import columns_once
-from episcope.plans.joins import broadcast_if_small, spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -60,8 +59,7 @@ def mapped_cases(spark: SparkSession, sf_dir: str, year: int | None = None) -> D
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
-                                source=f"{sf_dir}/nation")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
     cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
     oc = orders.join(cust, orders.o_custkey == cust.c_custkey)
@@ -101,8 +99,7 @@ def _mapping_exprs() -> list:
 def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as news items: title from ``<title>``, summary from the page HTML."""
     from episcope.functions.text import extract_title, unescape_entities
-    # Regex and entity work per page is heavy: spread a scan that under-fills the cluster.
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
     pid = F.col("page_id")
     instant = F.when(pid % 11 == 0, F.lit(None).cast("timestamp")).otherwise(
         F.timestamp_add("DAY", (pid % 40).cast("int"), F.lit("2026-01-01 00:00:00").cast("timestamp")))

@@ -402,10 +402,11 @@ def _unescape_sql(x: str) -> str:
 
 
 def _visible_text_sql(x: str) -> str:
-    for pat in (r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>",
-                r"(?is)<template\b[^>]*>.*?</template\s*>", r"(?s)<!--.*?-->", r"(?is)<!doctype[^>]*>"):
+    for pat in (r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)", r"(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)",
+                r"(?is)<template\b[^>]*>.*?(?:</template\s*>|\z)", r"(?s)<!--.*?(?:-->|\z)", r"(?is)<!doctype[^>]*>"):
         x = f"regexp_replace({x}, {q(pat)}, ' ', 'g')"
-    x = f"regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g')"
+    tag = r"""(?s)<[/!?a-zA-Z](?:[^"'>]|"[^"]*"|'[^']*')*>"""
+    x = f"regexp_replace({x}, {q(tag)}, ' ', 'g')"
     return _unescape_sql(x)
 
 
@@ -673,8 +674,9 @@ select sg_uf, cast(count(*) as bigint) as cases, cast(sum(obito) as bigint) as d
 where dt_notific >= (select max(dt_notific) from cases) - interval 30 day group by sg_uf"""
 
 ORACLE["decode_job_columns"] = JOBS_CTE + """
-select job_id, cast(json_extract(payload, '$.k') as integer) as k, 0 as n_pii_types,
-       true as no_summary from jobs"""
+select job_id, cast(json_extract(payload, '$.k') as integer) as k,
+       case when (length(job_id) + length(payload)) % 3 = 0 then 'CPF,E-mail' else '' end as pii_types,
+       case when status = 'failed' then 'failed' else '' end as summary_status from jobs"""
 
 ORACLE["job_snapshots_merged"] = JOBS_CTE + """
 select job_id, status, case when status = 'failed' then '{}' else payload end as payload from jobs"""

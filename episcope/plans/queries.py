@@ -28,7 +28,6 @@ from episcope.operators import report as REP
 from episcope.operators import risk as R
 from episcope.operators import series as TS
 from episcope.plans import fixtures as FX
-from episcope.plans.joins import spread
 from episcope.session import materialize, shared_dir
 from episcope.sources import audit as SA
 from episcope.sources import cases as SC
@@ -86,6 +85,11 @@ def fact(spark: SparkSession, sf_dir: str, keys=()) -> DataFrame:
     return materialize(M.daily_fact(cases(spark, sf_dir), keys))
 
 
+def daily(spark: SparkSession, sf_dir: str, keys=()) -> DataFrame:
+    """The fact for a query that reads it once: nothing runs before the action."""
+    return M.daily_fact(cases(spark, sf_dir), keys)
+
+
 @query("clean_cases")
 def q_clean_cases(spark, sf_dir):
     return codes_as_text(dates_as_text(cases(spark, sf_dir)))
@@ -99,22 +103,22 @@ def q_sample_rows(spark, sf_dir):
 
 @query("total_cases")
 def q_total_cases(spark, sf_dir):
-    return M.total_cases(fact(spark, sf_dir))
+    return M.total_cases(daily(spark, sf_dir))
 
 
 @query("mortality_rate")
 def q_mortality_rate(spark, sf_dir):
-    return M.mortality_rate(fact(spark, sf_dir))
+    return M.mortality_rate(daily(spark, sf_dir))
 
 
 @query("icu_rate")
 def q_icu_rate(spark, sf_dir):
-    return M.icu_rate(fact(spark, sf_dir))
+    return M.icu_rate(daily(spark, sf_dir))
 
 
 @query("vaccination_rate")
 def q_vaccination_rate(spark, sf_dir):
-    return M.vaccination_rate(fact(spark, sf_dir))
+    return M.vaccination_rate(daily(spark, sf_dir))
 
 
 @query("growth_rate")
@@ -159,7 +163,7 @@ def q_daily_cases_by_uf(spark, sf_dir):
 
 @query("monthly_cases")
 def q_monthly_cases(spark, sf_dir):
-    return TS.monthly_cases(fact(spark, sf_dir), 6)
+    return TS.monthly_cases(daily(spark, sf_dir), 6)
 
 
 @query("monthly_cases_calendar")
@@ -247,7 +251,7 @@ def q_sanitize_text(spark, sf_dir):
 
 @query("clean_html")
 def q_clean_html(spark, sf_dir):
-    pages = spread(FX.table(spark, sf_dir, "pages").select("page_id", "html"))
+    pages = FX.table(spark, sf_dir, "pages").select("page_id", "html")
     out = TX.with_clean_summary(pages, "html", "summary", 320, text_out="_text")
     return out.select("page_id", "summary", F.length("_text").alias("text_chars"))
 
@@ -513,11 +517,14 @@ def q_cases_last_30_days(spark, sf_dir):
 @query("decode_job_columns")
 def q_decode_job_columns(spark, sf_dir):
     """OPS-8: JSON text columns of the job rows decoded (NULL pii_types → [], payload struct)."""
-    js = jobs(spark, sf_dir).withColumn("pii_types", F.lit(None).cast("string")) \
-        .withColumn("summary", F.lit(None).cast("string"))
+    n = F.length("job_id") + F.length("payload")
+    js = jobs(spark, sf_dir).withColumns({
+        "pii_types": F.when(n % 3 == 0, F.lit('["CPF", "E-mail"]')).when(n % 3 == 1, F.lit("")),
+        "summary": F.when(F.col("status") == "failed", F.to_json(F.struct("status", "job_id")))})
     out = OPS.decode_json_columns(js)
-    return out.select("job_id", F.col("payload.k").alias("k"),
-                      F.size("pii_types").alias("n_pii_types"), F.col("summary").isNull().alias("no_summary"))
+    return out.select("job_id", F.col("payload")["k"].cast("int").alias("k"),
+                      F.concat_ws(",", "pii_types").alias("pii_types"),
+                      F.coalesce(F.col("summary")["status"], F.lit("")).alias("summary_status"))
 
 
 @query("job_snapshots_merged")

@@ -57,6 +57,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); set one only if unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         # Local tests only: on a cluster the platform names a shared folder.
         root = tempfile.mkdtemp(prefix="episcope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)

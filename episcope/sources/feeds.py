@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from episcope.plans.joins import broadcast_if_small
 
 ITEM = "struct<title:string,link:string,pubDate:string,date:string,description:string>"
 FEED_SCHEMA = f"channel struct<title:string,item:array<{ITEM}>>, item array<{ITEM}>"
@@ -60,7 +59,7 @@ def read_feed_items(spark: SparkSession, path: str, registry: DataFrame | None =
         files = docs.select("file").distinct()
         registry = files.select(F.row_number().over(Window.orderBy("file")).alias("feed_pos"),
                                 F.col("file").alias("name"), "file")
-    reg = broadcast_if_small(registry.select("feed_pos", F.col("name").alias("source"), "file"))
+    reg = registry.select("feed_pos", F.col("name").alias("source"), "file")
     return items.join(reg, "file").drop("file")
 
 

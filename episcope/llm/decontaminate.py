@@ -2,17 +2,20 @@
 
 Benchmark items become windows of consecutive normalised words; their hashes are broadcast
 when the benchmark's measured size is within a bound. Documents give the hash of each of
-their windows to a hash join; a hit is verified word by word in the join itself. Each
-document's hits are folded into counts, and documents or the hit words are removed.
+their windows to a hash join; hits are then verified word by word against the texts that
+have any. Each document's hits are folded into counts, and documents or the hit words are
+removed.
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episcope.llm.common import ascii_lower
+from episcope.llm.common import ascii_lower, struct_of, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words before lower-casing
@@ -31,10 +34,18 @@ def benchmark_windows(benchmark: DataFrame, n: int, item_id: str = "item_id", te
     """
     items = benchmark.select(F.coalesce(benchmark[f"`{item_id}`"].cast("string"), F.lit("null")).alias("item"),
                              words(benchmark[f"`{text}`"]).alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
-    return (items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, n))).alias("grams"))
-            .groupBy("grams").agg(F.sort_array(F.collect_set("item")).alias("items"))
-            .select("grams", F.xxhash64("grams").alias("gram_hash"), "items"))
+    last = F.greatest(F.size("w") - n, F.lit(0))
+    length = F.least(F.size("w"), F.lit(n))
+    window = lambda i: F.transform(F.sequence(i, i + length - 1), lambda j: F.get("w", j))
+    grams = (items.select("item", F.explode_outer(F.transform(F.sequence(F.lit(0), last), window)).alias("grams"))
+             .groupBy("grams").agg(F.sort_array(F.collect_set("item")).alias("items")))
+    hashed = F.coalesce(*[F.when(F.size("grams") == size, _gram_hash("grams", size, F.lit(0))) for size in range(1, n + 1)])
+    return grams.select("grams", hashed.alias("gram_hash"), "items")
+
+
+def _gram_hash(words: str, size: int, start: Column) -> Column:
+    """Hash of ``size`` words from position ``start`` (from 0), each read in place: a slice would copy the whole array."""
+    return F.xxhash64(*[F.get(words, start + j) for j in range(size)])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text: str = "text",
@@ -53,22 +64,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     if held <= MAX_BROADCAST_BYTES:
         windows = F.broadcast(windows)
 
-    rows = docs.select(docs[f"`{id_col}`"].alias("id"), F.xxhash64(docs[f"`{text}`"]).alias("row_hash"), words(docs[f"`{text}`"]).alias("w"))
-    # Position 0 stands for the document itself, so that one without a hit keeps its row.
-    places = [F.array(F.struct(F.lit(0).alias("pos"), F.lit(None).cast("long").alias("hash")))]
+    ids = docs.select(docs[f"`{id_col}`"].alias("id"), F.xxhash64(docs[f"`{text}`"]).alias("row_hash"), docs[f"`{text}`"].alias("text"))
+    # Only hashes are exploded: an exploded row must not carry the words of its whole text. The outer
+    # form keeps Spark from testing the array's size below, where it would split the text for each window.
+    # Place 0 stands for the document itself, so that one without a hit keeps its row.
+    hashes, offset, first_of = [F.array(F.lit(None).cast("long"))], F.lit(1), F.lit(None).cast("int")
     for size in sizes:
-        starts = F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - (size - 1)))
-        places.append(F.coalesce(F.transform(starts, lambda i, size=size: F.struct(
-            i.alias("pos"), F.xxhash64(F.slice("w", i, size)).alias("hash"))), F.array().cast("array<struct<pos:int,hash:bigint>>")))
-    scanned = rows.select("id", "row_hash", "w", F.concat(*places).alias("places")).select("id", "row_hash", "w", F.inline("places"))
-    verified = (F.col("hash") == F.col("gram_hash")) & (F.slice("w", F.greatest("pos", F.lit(1)), F.size("grams")) == F.col("grams"))
-    hits = (scanned.join(windows, verified, "left").where((F.col("pos") == 0) | F.col("grams").isNotNull())
-            .select("id", "row_hash", F.when(F.col("pos") == 0, F.size("w")).alias("n_words"),
-                    F.when(F.col("pos") > 0, F.struct("pos", F.size("grams").alias("len"))).alias("span"), "items"))
-    found = hits.groupBy("id", "row_hash").agg(
-        F.max("n_words").cast("long").alias("n_words"), F.count("n_words").alias("copies"),
-        F.sort_array(F.collect_set("span")).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+        count = F.greatest(F.col("n_words") - (size - 1), F.lit(0))
+        starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        hashes.append(F.transform(starts, partial(_gram_hash, "w", size)))
+        first_of = F.when(F.size("grams") == size, offset).otherwise(first_of)
+        offset = offset + count
+    scanned = (ids.select("id", "row_hash", words(F.col("text")).alias("w")).select("id", "row_hash", "w", F.size("w").alias("n_words"))
+               .select("id", "row_hash", "n_words", F.concat(*hashes).alias("hashes"))
+               .select("id", "row_hash", "n_words", F.posexplode_outer("hashes").alias("place", "hash")))
+    met = scanned.join(windows, F.col("hash") == F.col("gram_hash"), "left").where((F.col("place") == 0) | F.col("grams").isNotNull())
+    pos = F.col("place") - first_of + 1
+    fits = (F.col("place") > 0) & (pos >= 1) & (pos + F.size("grams") - 1 <= F.col("n_words"))
+    per_doc = written(
+        met.select("id", "row_hash", "n_words", "place", F.when(fits, F.struct(pos.alias("pos"), "grams", "items")).alias("hit"))
+        .groupBy("id", "row_hash").agg(
+            F.max("n_words").cast("long").alias("n_words"), F.sum((F.col("place") == 0).cast("int")).alias("copies"), F.collect_set("hit").alias("hits")),
+        "window-hits")
+    no_hits = F.array().cast("array<struct<pos:int,grams:array<string>,items:array<string>>>")
+    clean = (per_doc.where(F.size("hits") == 0)
+             .select("id", "row_hash", "n_words", no_hits.alias("hits"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy"))
+    # Verified word by word against the texts; as a table, Spark knows its size and broadcasts it only if small.
+    doubtful = written(per_doc.where(F.size("hits") > 0).select(F.col("id").alias("of"), F.col("row_hash").alias("of_hash"), "hits"), "hits-to-verify")
+    verified = (ids.join(doubtful, ids["id"].eqNullSafe(doubtful["of"]) & (ids["row_hash"] == doubtful["of_hash"]))
+                .select("id", "row_hash", words(F.col("text")).alias("w"), "hits")
+                .select("id", "row_hash", F.size("w").cast("long").alias("n_words"),
+                        F.filter("hits", lambda h: F.forall(F.sequence(F.lit(0), F.size(h["grams"]) - 1), lambda j: F.get("w", h["pos"] - 1 + j) == F.get(h["grams"], j))).alias("hits")))
+    found = clean.union(verified).select(
+        "id", "row_hash", "n_words",
+        F.sort_array(F.array_distinct(F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), F.size(h["grams"]).alias("len"))))).alias("spans"),
+        F.sort_array(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("item_ids"))
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).alias("n"), F.lit(1).alias("next")),
         lambda acc, s: F.struct(
@@ -76,27 +106,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
             F.greatest(acc["next"], s["pos"] + s["len"]).alias("next")))
     return found.select(
         "id", "row_hash", "n_words", covered["n"].cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
-        "item_ids", "spans", (F.size("spans") > 0).alias("contaminated"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
+        "item_ids", "spans", (F.size("spans") > 0).alias("contaminated"))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold any window of the benchmark."""
-    found = contamination(docs, benchmark, n, id_col, text).where("contaminated").select("id", "row_hash").distinct()
-    rows = docs.withColumn("_row_hash", F.xxhash64(docs[f"`{text}`"]))
-    # Not broadcast by hand: the contaminated rows grow with the corpus.
-    left = rows.join(found, rows[f"`{id_col}`"].eqNullSafe(found["id"]) & (rows["_row_hash"] == found["row_hash"]), "left_anti")
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = written(contamination(docs, benchmark, n, id_col, text).where("contaminated").select("id", "row_hash").distinct(), "contaminated")
+    # A written table of known size: Spark broadcasts it only below its threshold.
+    left = _keyed(docs, id_col, text).join(found, F.col("key_id").eqNullSafe(F.col("id")) & (F.col("key_hash") == F.col("row_hash")), "left_anti")
+    return left.select("row.*")
+
+
+def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(struct_of(docs, "row"), docs[f"`{id_col}`"].alias("key_id"), F.xxhash64(docs[f"`{text}`"]).alias("key_hash"))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the hit words taken out of contaminated texts; what stands between words stays."""
     found = contamination(docs, benchmark, n, id_col, text).where("contaminated").select("id", "row_hash", "spans").distinct()
-    rows = docs.withColumn("_row_hash", F.xxhash64(docs[f"`{text}`"]))
-    joined = rows.join(found, rows[f"`{id_col}`"].eqNullSafe(found["id"]) & (rows["_row_hash"] == found["row_hash"]), "left")
-    body = F.col(f"`{text}`")
+    joined = _keyed(docs, id_col, text).join(found, F.col("key_id").eqNullSafe(F.col("id")) & (F.col("key_hash") == F.col("row_hash")), "left")
+    body = F.col(f"row.`{text}`")
     gaps, own = F.split(body, CASED_WORD), F.regexp_extract_all(body, F.lit(CASED_WORD), F.lit(0))
     in_hit = lambda i: F.exists("spans", lambda s: (s["pos"] <= i + 1) & (i + 1 < s["pos"] + s["len"]))
     kept = F.transform(own, lambda w, i: F.when(in_hit(i), F.lit("")).otherwise(w))
     cleaned = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(kept, i), F.lit("")))), "")
-    out = [F.when(F.col("spans").isNotNull(), cleaned).otherwise(body).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    out = [F.when(F.col("spans").isNotNull(), cleaned).otherwise(body).alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns]
     return joined.select(*out)

@@ -220,9 +220,8 @@ mj as (
   select sg_uf, to_json(list(struct_pack(month := month, cases := cases) order by month)) as monthly_json
   from mr where rn <= 12 group by sg_uf
 )
-select coalesce(dj.sg_uf, mj.sg_uf) as sg_uf, daily_json::varchar as daily_json,
-       monthly_json::varchar as monthly_json
-from dj full join mj on dj.sg_uf = mj.sg_uf"""
+select mj.sg_uf, coalesce(daily_json::varchar, '[]') as daily_json, monthly_json::varchar as monthly_json
+from mj left join dj on dj.sg_uf is not distinct from mj.sg_uf"""
 
 
 # ------------------------------------------------------ risk, reports, checks

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -54,11 +54,11 @@ class TextEncoder:
                 words.extend(_words(text))
             counts.append(len(words) - before)
         known = self._known
-        at = list(map(known.get, words))
-        if None in at:
-            self._learn({w for w, k in zip(words, at, strict=True) if k is None})
-            at = list(map(known.get, words))
-        at = np.array(at, np.int64)
+        at = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            self._learn({words[i] for i in new.tolist()})
+            at[new] = [known[words[i]] for i in new.tolist()]
         starts = self._bounds[at]
         lengths = self._bounds[at + 1] - starts
         total = np.cumsum(lengths)

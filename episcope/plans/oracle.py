@@ -531,7 +531,7 @@ jobs as (
 
 
 def _ts(c: str) -> str:
-    return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
 ORACLE["latest_job_state"] = JOBS_CTE + f"""

@@ -55,7 +55,7 @@ def dates_as_text(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, T.DateType):
             cols.append(F.date_format(f.name, "yyyy-MM-dd").alias(f.name))
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            cols.append(F.date_format(f.name, "yyyy-MM-dd HH:mm:ss").alias(f.name))
+            cols.append(F.date_format(f.name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -532,7 +532,7 @@ def q_job_snapshots_merged(spark, sf_dir):
     """OPS-9: an old snapshot without ``payload`` and a new one with it, read together."""
     base = shared_dir(spark, "job-snapshots")
     js = jobs(spark, sf_dir).select("job_id", "status", "payload")
-    js.where(F.col("status") == "failed").drop("payload").write.parquet(f"{base}/old")
-    js.where(F.col("status") != "failed").write.parquet(f"{base}/new")
+    js.where(F.col("status").eqNullSafe("failed")).drop("payload").write.parquet(f"{base}/old")
+    js.where(~F.col("status").eqNullSafe("failed")).write.parquet(f"{base}/new")
     merged = spark.read.option("mergeSchema", True).parquet(f"{base}/old", f"{base}/new")
     return OPS.evolve_schema(merged).select("job_id", "status", "payload")

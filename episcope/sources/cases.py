@@ -106,16 +106,19 @@ def replace_curated(curated: DataFrame, table_root: str) -> str:
     version = f"{table_root.rstrip('/')}/v={int(time.time() * 1000)}-{uuid.uuid4().hex[:6]}"
     table = _curated_with_year(curated)
     table.write.mode("overwrite").partitionBy("year").parquet(version)
-    # The pointer carries the schema, so an empty reload (no data files) still reads.
-    pointer = json.dumps({"path": version, "schema": table.schema.json()})
-    spark.createDataFrame([(pointer,)], "value STRING").coalesce(1).write.mode("overwrite") \
+    # The pointer carries the schema, so an empty reload (no data files) still reads. Each
+    # reload adds a pointer file; the newest counts, so there is always one to read.
+    pointer = json.dumps({"seq": time.time_ns(), "path": version, "schema": table.schema.json()})
+    spark.createDataFrame([(pointer,)], "value STRING").coalesce(1).write.mode("append") \
         .text(f"{table_root.rstrip('/')}/_current")
     return version
 
 
 def read_curated(spark: SparkSession, table_root: str, year: int | None = None) -> DataFrame:
     """Current version of a reloaded curated table; ``year`` prunes partitions."""
-    pointer = json.loads(spark.read.text(f"{table_root.rstrip('/')}/_current").first()[0])
+    # One short line for each reload.
+    pointers = [json.loads(r[0]) for r in spark.read.text(f"{table_root.rstrip('/')}/_current").collect()]
+    pointer = max(pointers, key=lambda p: p["seq"])
     df = spark.read.schema(T.StructType.fromJson(json.loads(pointer["schema"]))).parquet(pointer["path"])
     return df if year is None else df.where(F.col("year") == year)
 

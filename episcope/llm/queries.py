@@ -72,7 +72,8 @@ END_OF_TEXT = 50256  # the vocabulary's end-of-document id
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), END_OF_TEXT).withColumnRenamed("id", "doc_id")
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), END_OF_TEXT)
+    return counts.select(F.col("id").alias("doc_id"), "n_tokens")
 
 
 def held_out():

@@ -1,6 +1,6 @@
 """Token counts by separator scan over flat token files without an index.
 
-A flat file is nothing but token ids, little-endian unsigned 32-bit; documents end with an
+A flat file is nothing but token ids, little-endian and of one width; documents end with an
 end-of-document id and may run on from one file into the next. Each task searches its
 blocks for that id; a prefix scan over the blocks (tokens so far, documents so far, place
 of the last separator) then stitches documents together across block and file borders.
@@ -18,56 +18,66 @@ from pyspark.sql import functions as F
 
 from episcope.llm.common import row_groups, shared_folder, write_file, written
 from episcope.llm.encoding import encoder, read_tokenizer
-from episcope.llm.token_files import PART_DIGITS, in_id_order, with_starts
+from episcope.llm.token_files import PART_DIGITS, with_starts
 
 FILE_TOKENS = 1 << 20
 BLOCK_TOKENS = 1 << 16
 
 
 def write_flat_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id_col: str = "doc_id", text: str = "text",
-                     file_tokens: int = FILE_TOKENS) -> DataFrame:
-    """Write whole texts, in ascending id order, as flat files ``<part>-<seq>.tok`` of ``file_tokens`` ids each.
+                     width: int = 2, file_tokens: int = FILE_TOKENS) -> DataFrame:
+    """Write whole texts as they are read, as flat files ``<part>-<seq>.tok`` of ``file_tokens`` ids each.
 
     Every document ends with ``end_id``, which no text can produce: special tokens in a
-    text are encoded as text. Files are cut at a token count, wherever documents end. The
-    returned manifest (``file``, ``n_tokens``) is no index: it has nothing on documents.
+    text are encoded as text. Ids take ``width`` bytes; files are cut at a token count,
+    wherever documents end. Nothing is shuffled. Returns, already written, the order of
+    the documents in the files: ``part``, ``place`` and ``id``; it says nothing of where they lie.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
+    kind = np.dtype(f"<u{width}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         encode = encoder(vocabulary.value, True).encode
-        held, seq = np.zeros(0, np.uint32), 0
+        part, held, seq, place = context.partitionId(), np.zeros(0, kind), 0, 0
 
-        def store(ids: np.ndarray) -> pa.RecordBatch:
-            name = f"{context.partitionId():0{PART_DIGITS}d}-{seq:0{PART_DIGITS}d}.tok"
-            write_file(f"{folder}/{name}", ids.astype("<u4").tobytes(), f"attempt-{context.taskAttemptId()}")
-            return pa.RecordBatch.from_pylist([{"file": name, "n_tokens": len(ids)}])
+        def store(ids: np.ndarray) -> None:
+            name = f"{part:0{PART_DIGITS}d}-{seq:0{PART_DIGITS}d}.tok"
+            write_file(f"{folder}/{name}", ids.tobytes(), f"attempt-{context.taskAttemptId()}")
 
         for batch in batches:
             for lo, hi in row_groups(batch.column(1), 1 << 20):
                 flat, counts = encode(batch.column(1).slice(lo, hi - lo).to_pylist())
-                held = np.concatenate([held, np.insert(flat, np.cumsum(counts), np.uint32(end_id))])
+                if len(flat) and int(flat.max()) > np.iinfo(kind).max:
+                    raise ValueError(f"ids do not fit in {width} bytes")
+                held = np.concatenate([held, np.insert(flat, np.cumsum(counts), np.uint32(end_id)).astype(kind)])
                 while len(held) >= file_tokens:
-                    yield store(held[:file_tokens])
+                    store(held[:file_tokens])
                     held, seq = held[file_tokens:], seq + 1
+                n = hi - lo
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * n, pa.int64()), pa.array(range(place, place + n), pa.int64()), batch.column(0).slice(lo, n)],
+                    names=["part", "place", "id"])
+                place += n
         if len(held):
-            yield store(held)
+            store(held)
 
-    return written(in_id_order(docs, id_col, text).mapInArrow(run, "file string, n_tokens long"), "flat-files")
+    rows = docs.select(docs[f"`{id_col}`"].alias("id"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    return written(rows.mapInArrow(run, f"part long, place long, id {id_type}"), "document-order")
 
 
-def separator_scan(spark: SparkSession, folder: str, end_id: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def separator_scan(spark: SparkSession, folder: str, end_id: int, block_tokens: int = BLOCK_TOKENS, width: int = 2) -> DataFrame:
     """Count the tokens of every document in the flat files of ``folder``, taken in order of their names.
 
     Returns ``doc_no`` (0, 1, ... over all files), ``start`` (tokens before it), ``n_tokens``
     (with its separator) and ``ended``; tokens after the last separator form a last document
-    with ``ended`` false. A file whose size is no multiple of four bytes is an error.
+    with ``ended`` false. A file whose size is no multiple of ``width`` is an error.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.frombuffer(data.as_buffer(), "<u4")
+                ids = np.frombuffer(data.as_buffer(), f"<u{width}")
                 for seq, lo in enumerate(range(0, len(ids), block_tokens)):
                     block = ids[lo:lo + block_tokens]
                     at = np.flatnonzero(block == end_id)
@@ -103,31 +113,25 @@ def separator_scan(spark: SparkSession, folder: str, end_id: int, block_tokens:
     return docs.union(open_end)
 
 
-def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``(id, doc_no)``: the place of every row in ascending id order, NULL ids first.
-
-    Ranks within id ranges, then adds the sizes of the ranges before.
-    """
-    ids = docs.select(docs[f"`{id_col}`"].alias("id")).withColumn("place", F.monotonically_increasing_id())
-    ranged = ids.repartitionByRange("id", "place").sortWithinPartitions("id", "place").select("id", F.spark_partition_id().cast("long").alias("part"))
-    ranged = written(ranged.withColumn("order", F.monotonically_increasing_id()), "id-ranges")
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"), F.min("order").alias("first"))
+def numbered(order: DataFrame) -> DataFrame:
+    """``(id, doc_no)``: the place of every document in the stream of all files."""
+    sizes = order.groupBy("part").agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("part").alias("of"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"))
-    # Within a range the ids made above run without gaps, so the offset in it is a difference.
-    return ranged.join(starts, F.col("part") == F.col("of")).select("id", (F.col("rows_before") + F.col("order") - F.col("first")).alias("doc_no"))
+    starts = sizes.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("docs_before"))
+    return order.join(starts, F.col("part") == F.col("of")).select("id", (F.col("docs_before") + F.col("place")).alias("doc_no"))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Write ``docs`` as flat token files, scan them, and give each document's count its id again.
 
-    One row per input row: ``id``, ``doc_no``, ``start`` and ``n_tokens``. Files follow the
-    ids in ascending order, so the n-th document of the scan is the n-th row by id.
+    One row per input row: ``id``, ``doc_no``, ``start`` and ``n_tokens``. The n-th document
+    of the scan is the n-th that was written; that order is the one in which Spark read
+    the rows, so ``doc_no`` and ``start`` belong to this run's files.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "flat-token-files")
-    if write_flat_files(docs, tokenizer_path, folder, end_id, id_col, text).isEmpty():
-        return docs.limit(0).select(docs[f"`{id_col}`"].alias("id"), *[F.lit(0).cast("long").alias(c) for c in ("doc_no", "start", "n_tokens")])
-    counts = separator_scan(spark, folder, end_id).select(F.col("doc_no").alias("of"), "start", "n_tokens")
-    rows = numbered(docs, id_col)
-    return rows.join(counts, F.col("doc_no") == F.col("of")).select("id", "doc_no", "start", "n_tokens")
+    order = write_flat_files(docs, tokenizer_path, folder, end_id, id_col, text)
+    if order.isEmpty():
+        return order.select("id", *[F.lit(0).cast("long").alias(c) for c in ("doc_no", "start", "n_tokens")])
+    counts = separator_scan(spark, folder, end_id).select(F.col("doc_no").alias("of_doc"), "start", "n_tokens")
+    return numbered(order).join(counts, F.col("doc_no") == F.col("of_doc")).select("id", "doc_no", "start", "n_tokens")

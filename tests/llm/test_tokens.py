@@ -95,8 +95,8 @@ def test_output_query_against_the_library(spark):
 def test_counts_query_against_the_library(spark):
     d = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
-    got = sorted(map(tuple, op8_token_counts(spark, d).select("doc_id", "start", "n_tokens").collect()))
-    assert got == [x[:3] for x in expected(docs, END_OF_TEXT, True)]
+    got = sorted(map(tuple, op8_token_counts(spark, d).collect()))
+    assert got == [(x[0], x[2]) for x in expected(docs, END_OF_TEXT, True)]
 
 
 def test_output_of_odd_rows_in_many_shards(spark):
@@ -151,14 +151,21 @@ def test_separator_scan_against_a_plain_scan(spark, block):
             start = i + 1
     if start < len(stream):
         want.append((len(want), start, len(stream) - start, False))
-    assert sorted(map(tuple, token_counts.separator_scan(spark, folder, 0, block).collect())) == want
+    assert sorted(map(tuple, token_counts.separator_scan(spark, folder, 0, block, width=4).collect())) == want
 
 
 def test_counts_of_odd_rows_with_files_cut_anywhere(spark):
     docs = odd_documents(spark).repartition(3)
     folder = shared_folder(spark, "test-cut")
-    token_counts.write_flat_files(docs, tokenizer_path(), folder, END_OF_TEXT, file_tokens=17)
-    got = sorted(map(tuple, token_counts.separator_scan(spark, folder, END_OF_TEXT, 5).select("doc_no", "start", "n_tokens").collect()))
-    want = sorted(x[2] for x in expected([(r["doc_id"], r["text"]) for r in docs.collect()], END_OF_TEXT, True))
-    assert sorted(x[2] for x in got) == want and [x[0] for x in got] == list(range(14))
-    assert rows(token_counts.numbered(docs), "doc_no") == sorted([(k,) for k in range(14)], key=lambda r: str(r[0]))
+    order = token_counts.write_flat_files(docs, tokenizer_path(), folder, END_OF_TEXT, width=4, file_tokens=17)
+    scanned = {r["doc_no"]: (r["start"], r["n_tokens"]) for r in token_counts.separator_scan(spark, folder, END_OF_TEXT, 5, width=4).collect()}
+    got = sorted((str(r["id"]), scanned[r["doc_no"]][1]) for r in token_counts.numbered(order).collect())
+    want = expected([(r["doc_id"], r["text"]) for r in docs.collect()], END_OF_TEXT, True)
+    assert got == sorted((str(x[0]), x[2]) for x in want) and sorted(scanned) == list(range(14))
+    ends = sorted((a, a + n) for a, n in scanned.values())
+    assert ends[0][0] == 0 and all(p[1] == q[0] for p, q in zip(ends, ends[1:]))
+
+
+def test_ids_must_fit_their_width(spark):
+    with pytest.raises(Exception, match="do not fit in 1 bytes"):
+        token_counts.write_flat_files(documents(spark, ["some words"]), tokenizer_path(), shared_folder(spark, "narrow"), 0, width=1)

@@ -78,6 +78,13 @@ def row_groups(values: pa.Array, max_bytes: int) -> Iterator[tuple[int, int]]:
         yield lo, len(lengths)
 
 
+def unused_name(names: list[str], name: str) -> str:
+    """``name``, underscored until no column has it."""
+    while name in names:
+        name = f"_{name}"
+    return name
+
+
 def struct_of(df: DataFrame, alias: str) -> Column:
     """All columns of ``df`` as one struct, so that helper columns cannot clash with them."""
     return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(alias)

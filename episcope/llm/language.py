@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episcope.llm.common import row_groups
+from episcope.llm.common import row_groups, unused_name
 
 UNDETERMINED = "und"
 BATCH_BYTES = 1 << 20  # text that one call of the network sees
@@ -195,7 +195,7 @@ def predict_language(docs: DataFrame, model: ByteConvNet | None, text: str = "te
                 yield pa.RecordBatch.from_arrays(
                     part.columns[1:] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=kept + list(made))
 
-    return docs.select(docs[f"`{text}`"].alias("text"), *[docs[f"`{c}`"] for c in kept]).mapInArrow(run, schema)
+    return docs.select(docs[f"`{text}`"].alias(unused_name(kept, "text")), *[docs[f"`{c}`"] for c in kept]).mapInArrow(run, schema)
 
 
 def classify(model: ByteConvNet | None, texts: list[str | None]) -> tuple[list[str], list[float]]:

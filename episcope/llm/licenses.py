@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from episcope.llm.common import unused_name
+
 # License notices and short license texts, by SPDX identifier and kind.
 TEMPLATES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
@@ -256,4 +258,4 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: Mapping[str, s
                      for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(batch.columns[1:] + [pa.array(found, kind)], names=[*kept, "matches"])
 
-    return docs.select(docs[f"`{text}`"].alias("text"), *[docs[f"`{c}`"] for c in kept]).mapInArrow(run, schema)
+    return docs.select(docs[f"`{text}`"].alias(unused_name(kept, "text")), *[docs[f"`{c}`"] for c in kept]).mapInArrow(run, schema)

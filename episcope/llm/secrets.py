@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from episcope.llm.common import unused_name
+
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(
     r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -142,4 +144,4 @@ def scan_secrets(docs: DataFrame, text: str = "text", novelty: NoveltyScan = Nov
                 pa.array(out[f.name], pa.int64() if f.dataType == T.LongType() else pa.string()) for f in added]
             yield pa.RecordBatch.from_arrays(columns, names=kept + added.names)
 
-    return docs.select(text, *kept).mapInArrow(run, schema)
+    return docs.select(docs[f"`{text}`"].alias(unused_name(kept, "text")), *[docs[f"`{c}`"] for c in kept]).mapInArrow(run, schema)

@@ -91,10 +91,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
              .select("id", "row_hash", "n_words", no_hits.alias("hits"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy"))
     # Verified word by word against the texts; as a table, Spark knows its size and broadcasts it only if small.
     doubtful = written(per_doc.where(F.size("hits") > 0).select(F.col("id").alias("of"), F.col("row_hash").alias("of_hash"), "hits"), "hits-to-verify")
-    verified = (ids.join(doubtful, ids["id"].eqNullSafe(doubtful["of"]) & (ids["row_hash"] == doubtful["of_hash"]))
+    # Written out as well: a filter on the result would otherwise be moved below, into the verification of each word.
+    verified = written(ids.join(doubtful, ids["id"].eqNullSafe(doubtful["of"]) & (ids["row_hash"] == doubtful["of_hash"]))
                 .select("id", "row_hash", words(F.col("text")).alias("w"), "hits")
                 .select("id", "row_hash", F.size("w").cast("long").alias("n_words"),
-                        F.filter("hits", lambda h: F.forall(F.sequence(F.lit(0), F.size(h["grams"]) - 1), lambda j: F.get("w", h["pos"] - 1 + j) == F.get(h["grams"], j))).alias("hits")))
+                        F.filter("hits", lambda h: F.forall(F.sequence(F.lit(0), F.size(h["grams"]) - 1), lambda j: F.get("w", h["pos"] - 1 + j) == F.get(h["grams"], j))).alias("hits")), "verified-hits")
     found = clean.union(verified).select(
         "id", "row_hash", "n_words",
         F.sort_array(F.array_distinct(F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), F.size(h["grams"]).alias("len"))))).alias("spans"),

@@ -150,12 +150,12 @@ def train_language_model(labelled: DataFrame, text: str = "text", lang: str = "l
     rows = labelled.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("y")).where(
         F.col("y").isNotNull() & (F.octet_length("t") > 0))
     rows = rows.withColumn("h", F.xxhash64("t"))
-    # One row for each language: its number of labelled texts.
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    # One row for each language: its number of distinct labelled texts.
+    counts = {r["y"]: r["n"] for r in rows.select("y", "h").distinct().groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     languages = sorted(counts)
-    # Thin out by hash first so that few texts are sorted; three times the quota leaves room for copies.
+    # Thin out by hash first so that few texts are sorted; three times the quota, as hashes do not fall evenly.
     share = F.coalesce(*[F.when(F.col("y") == y, F.lit(min(1.0, 3.0 * p.texts_per_language / counts[y]))) for y in languages])
     drawn = F.pmod(F.col("h"), F.lit(1_000_003)) < share * 1_000_003
     length, part = F.length("t"), F.greatest(F.floor(F.length("t") / p.windows_per_text).cast("int"), F.lit(1))

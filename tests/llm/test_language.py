@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from episcope.llm import language
 from episcope.llm.queries import op9_language_id
-from tests.llm.helpers import SCHEMA, documents, odd_documents, rows
+from tests.llm.helpers import SCHEMA, documents, odd_documents, prose, rows
 
 
 def test_gradients_agree_with_differences():
@@ -56,6 +56,17 @@ def test_learns_from_text_and_label_alone_whatever_the_order(spark):
     assert a.languages == b.languages and all((a.params[k] == b.params[k]).all() for k in a.params)
 
 
+def test_a_hot_group_of_copies_takes_no_place_in_the_sample(spark, monkeypatch):
+    """300 distinct texts and 3,000 copies of one: all 301 are learned, as are the 400 of a language without copies."""
+    seen = []
+    monkeypatch.setattr(language.ByteConvNet, "fit", lambda self, windows, labels, p: seen.append(np.bincount(labels).tolist()))
+    hot = documents(spark, [prose(k, 30) for k in range(300)]).union(documents(spark, [prose(999, 30)] * 3000))
+    language.train_language_model(hot.union(documents(spark, [prose(2000 + k, 30) for k in range(450)], lang="fr")))
+    # A language whose texts all stand in many copies.
+    language.train_language_model(documents(spark, [prose(k % 500, 30) for k in range(500 * 20)]))
+    assert seen == [[301 * 4, 400 * 4], [400 * 4]]
+
+
 def test_odd_rows(spark):
     train = documents(spark, ["the house and the garden " * 5] * 3).union(documents(spark, ["la maison et le jardin é " * 5] * 3, lang="fr"))
     train = train.union(documents(spark, [None, "", "unlabelled"], lang=None))

@@ -72,26 +72,44 @@ class NoveltyScan:
     min_novelty: float = 0.55
     dictionaries: Sequence[str] = field(default=(IDENTIFIERS, ALPHABETS))
 
-    def scanner(self):
-        """A function from text and taken spans to the novel spans ``(start, end)``."""
+    def scanner(self, copies_in_context: bool = True):
+        """A function from text and taken spans to the novel spans ``(start, end)``.
+
+        Unless ``copies_in_context``, what the context holds of the candidate itself
+        (whole, or a part of ``min_length`` characters) is blanked before measuring, so a
+        key that stands twice is as novel as one that stands once.
+        """
         primed = zstandard.ZstdCompressionDict("".join(self.dictionaries).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         compressor = zstandard.ZstdCompressor(level=19, dict_data=primed, write_content_size=False, write_checksum=False)
         candidate = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % self.min_length)
-        mixed = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
         sensitive = re.compile("(?ai:" + "|".join(SENSITIVE) + ")")
 
         def size(text: str) -> int:
             return len(compressor.compress(text.encode("utf-8", "surrogatepass")))
 
+        # A copy that the context's far end cuts in two is seen as far as it takes to know it.
+        beyond = 0 if copies_in_context else self.min_length - 1
+
+        def without(own: str, around: str) -> str:
+            if copies_in_context:
+                return around
+            out, n = list(around), self.min_length
+            for k in range(len(around) - n + 1):
+                if around[k:k + n] in own:
+                    out[k:k + n] = " " * n
+            return "".join(out)
+
         def scan(text: str, taken: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
             found = []
             for m in candidate.finditer(text):
                 a, b = m.span()
-                if not mixed.match(m[0]) or any(s < b and a < e for s, e in taken):
+                if any(s < b and a < e for s, e in taken):
                     continue
                 if not sensitive.search(text, max(0, a - self.sensitive_before), a):
                     continue
-                left, right = text[max(0, a - self.context):a], text[b:b + self.context]
+                first = max(0, a - self.context)
+                left = without(m[0], text[max(0, first - beyond):a])[-(a - first):]
+                right = without(m[0], text[b:b + self.context + beyond])[:self.context]
                 added = size(left + m[0] + right) - size(left + right)
                 if added >= self.min_novelty * (b - a):
                     found.append((a, b))
@@ -128,7 +146,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", novelty: NoveltyScan = Nov
     schema = T.StructType([docs.schema[c] for c in kept] + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = novelty.scanner()
+        scan = novelty.scanner(copies_in_context=False)
         for batch in batches:
             out = {n: [] for n in added.names}
             for value in batch.column(0):

@@ -46,6 +46,34 @@ def test_novelty_reports_random_strings_in_sensitive_contexts():
     assert SCAN(f"# {key}\nsecret is {key}\n", []) == []
 
 
+def novel_spans(spark, *texts):
+    found = secrets.scan_secrets(documents(spark, texts)).orderBy("doc_id").collect()
+    return [[tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s.startswith("novel")] for r in found]
+
+
+def test_a_key_that_stands_again_nearby_is_found_at_every_sensitive_place(spark):
+    r = random.Random(3)
+    key = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
+    texts = [f'login("{key}")\nsigned with private "{key}"\n', f"# {key}\nprivate is {key}\n", f"private auth={key}\nprivate session={key}\n"]
+    # Copies that the end of the context cuts in two, on either side.
+    texts += [f'login("{key}") {"word " * n} login("{key}")' for n in (41, 43, 45, 47, 50)]
+    # The name before the = belongs to the third text's candidates.
+    names = [("", ""), ("", ""), ("auth=", "session=")] + [("", "")] * 5
+    expected = []
+    for text, own in zip(texts, names, strict=True):
+        spans = [(m.start() - len(n), m.end()) for m, n in zip(re.finditer(key, text), own, strict=True)]
+        expected.append(spans[1:] if text.startswith("#") else spans)
+    assert novel_spans(spark, *texts) == expected
+
+
+def test_the_compressed_bytes_decide_not_the_kinds_of_character(spark):
+    r = random.Random(4)
+    upper, digits = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=40)), "".join(r.choices("0123456789", k=40))
+    texts = [f"private key {upper}", f"private key {digits}", "private key " + "=" * 60, "private key configuration_configuration_configuration"]
+    # A random digit holds 0.42 bytes, less than min_novelty.
+    assert novel_spans(spark, *texts) == [[(12, 52)], [], [], []]
+
+
 def test_odd_rows_and_clashing_columns(spark):
     docs = odd_documents(spark).withColumnRenamed("lang", "spans")
     out = secrets.scan_secrets(docs)

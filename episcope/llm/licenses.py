@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from math import ceil
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,45 @@ from pyspark.sql import types as T
 
 from episcope.llm.common import unused_name
 
-# License notices and short license texts, by SPDX identifier and kind.
+# License notices, headers and short license texts, by SPDX identifier and kind.
+_CC_PARTS = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+_CC = [f"BY{k}" for k in ("", "-SA", "-ND", "-NC", "-NC-SA", "-NC-ND")]
+_CC_VERSIONS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+_GNU = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
+_GNU_NAMES = {f"{k}-{v}": (_GNU[k], v.removesuffix(".0")) for k, v in (
+    ("GPL", "1.0"), ("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0"))}
+_GNU_NAMES["LGPL-2.0"] = ("GNU Library General Public License", "2")
+
+
+def _gnu_header(license: str, version: str, later: bool) -> str:
+    of = (f"as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version"
+          if later else f"version {version} as published by the Free Software Foundation")
+    return (f"This program is free software: you can redistribute it and/or modify it under the terms of the {license} {of}. This program is "
+            "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+            f"FITNESS FOR A PARTICULAR PURPOSE. See the {license} for more details.")
+
+
+_BSD_3_CLAUSE = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 TEMPLATES = {
+    f"CC-{k}-{v} notice": f"Licensed under CC {k} {v}." for k in _CC for v in _CC_VERSIONS
+} | {
+    f"CC-{k}-{v} long notice": f"This work is licensed under a Creative Commons {'-'.join(_CC_PARTS[x] for x in k.split('-'))} {v} {area} License."
+    for k in _CC for v, area in _CC_VERSIONS.items()
+} | {
+    f"{n} notice": f"This work is licensed under the {license}, version {v}." for n, (license, v) in _GNU_NAMES.items()
+} | {
+    f"{n} header": _gnu_header(license, v, True) for n, (license, v) in _GNU_NAMES.items()
+} | {
+    f"{n}-only header": _gnu_header(license, v, False) for n, (license, v) in _GNU_NAMES.items()
+} | {
+    "CC0-1.0 notice": "Licensed under CC0 1.0 Universal.",
+    "CC0-1.0 long notice": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    "MPL-1.1 header": (
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except "
+        "in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/ Software distributed under the "
+        "License is distributed on an \"AS IS\" basis, WITHOUT WARRANTY OF ANY KIND, either express or implied. See the License for the specific "
+        "language governing rights and limitations under the License."),
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
@@ -80,6 +118,15 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 }
+TEMPLATES["BSD-3-Clause text"] = TEMPLATES["BSD-2-Clause text"].replace(" THIS SOFTWARE", _BSD_3_CLAUSE + " THIS SOFTWARE", 1)
+
+
+def all_templates() -> dict[str, str]:
+    """``TEMPLATES`` and the full texts of ``license_texts``; read on the driver."""
+    folder = Path(__file__).parent / "license_texts"
+    return TEMPLATES | {f"{f.stem} full text": f.read_text(encoding="utf-8") for f in sorted(folder.glob("*.txt"))}
+
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -163,6 +210,16 @@ def common_subsequence(a: Sequence[int], b: Sequence[int], a0: int, a1: int, b0:
     return pairs
 
 
+def _keep(found: list[tuple[int, int, str, int, int]], n: int) -> tuple[list[tuple[int, int, str, int, int]], np.ndarray]:
+    """Of matches in ``n`` words the ones that stay (see ``Matcher.find``), and which words they hold."""
+    taken, held = [], np.zeros(n, bool)
+    for m in sorted(found, key=lambda m: (-m[3], -m[3] / m[4], m[0], m[2])):
+        if not held[m[0]:m[1]].any():
+            taken.append(m)
+            held[m[0]:m[1]] = True
+    return taken, held
+
+
 class Matcher:
     """Finds templates in texts; built once per task."""
 
@@ -175,6 +232,13 @@ class Matcher:
             slack = max(2, int(p.slack * len(words)))
             if words:
                 self.templates.append((name, words, Counter(words), need, len(words) + slack))
+        # By the words they need: a text can only hold those before the first that needs more than it has.
+        self.templates.sort(key=lambda t: t[3])
+        self.needs = np.array([t[3] for t in self.templates], np.int64)
+        # Distinct words and their numbers, all templates one after the other.
+        self.bounds = np.cumsum([0] + [len(t[2]) for t in self.templates])
+        self.words = np.array([w for t in self.templates for w in t[2]], np.int64)
+        self.numbers = np.array([n for t in self.templates for n in t[2].values()], np.int64)
         self.member = np.zeros((len(self.templates), len(self.vocabulary) + 1), bool)
         for t, (_, words, *_) in enumerate(self.templates):
             self.member[t, words] = True
@@ -193,34 +257,45 @@ class Matcher:
             return []
         present = np.bincount(ids[known], minlength=len(self.vocabulary))
         found = []
-        for t, (name, template, counts, need, width) in enumerate(self.templates):
-            if sum(min(n, int(present[w])) for w, n in counts.items()) < need:
-                continue
-            found += [(a, b, name, n, len(template)) for a, b, n in self._matches(ids, known[self.member[t, ids[known]]], template, counts, need, width)]
+        held = self.bounds[np.searchsorted(self.needs, len(known), side="right")]
+        some = np.searchsorted(self.bounds, held)
+        if not some:
+            return []
+        common = np.add.reduceat(np.minimum(self.numbers[:held], present[self.words[:held]]), self.bounds[:some])
+        # Long templates first: inside a match of more words than a template has, the template cannot stay.
+        for t in sorted(np.flatnonzero(common >= self.needs[:some]).tolist(), key=lambda t: -len(self.templates[t][1])):
+            name, template, counts, need, width = self.templates[t]
+            shut = _keep([m for m in found if m[3] > len(template)], len(ids))[1]
+            found += [(a, b, name, n, len(template)) for a, b, n in self._matches(ids, known[self.member[t, ids[known]]], template, counts, need, width, shut)]
         if not found:
             return []
-        taken: list[tuple[int, int, str, int, int]] = []
-        for m in sorted(found, key=lambda m: (-m[3], -m[3] / m[4], m[0], m[2])):
-            if all(m[1] <= o[0] or o[1] <= m[0] for o in taken):
-                taken.append(m)
+        taken, _ = _keep(found, len(ids))
         spans = [m.span() for m in _WORD.finditer(text if len(low) != len(text) else low)]
         return sorted((spans[a][0], spans[b - 1][1], name, n, size) for a, b, name, n, size in taken)
 
     @staticmethod
-    def _matches(ids: np.ndarray, at: np.ndarray, template: list[int], counts: Counter, need: int, width: int) -> Iterator[tuple[int, int, int]]:
+    def _matches(ids: np.ndarray, at: np.ndarray, template: list[int], counts: Counter, need: int, width: int, shut: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Word ranges that align with the template, from left to right, and their aligned words.
 
-        ``at`` are the places of the template's words. A match of ``need`` words within
+        No match begins at a word that is ``shut``. ``at`` are the places of the template's words. A match of ``need`` words within
         ``width`` begins at one of them that has enough others behind it; these are all tried.
         """
         behind = np.searchsorted(at, at + width)
-        after = 0
+        after = first = last = common = 0
+        here, held = ids[at].tolist(), Counter()
         for k in np.flatnonzero(behind - np.arange(len(at)) >= need).tolist():
             start = int(at[k])
-            if start < after:
+            if start < after or shut[start]:
                 continue
-            held = Counter(ids[at[k:behind[k]]].tolist())
-            if sum(min(n, held[w]) for w, n in counts.items()) < need:
+            # The words between k and behind[k], kept up as k moves on; ``common`` of them are the template's.
+            for w in here[last:behind[k]]:
+                held[w] += 1
+                common += held[w] <= counts[w]
+            for w in here[first:k]:
+                common -= held[w] <= counts[w]
+                held[w] -= 1
+            first, last = k, int(behind[k])
+            if common < need:
                 continue
             best: tuple[int, int, int] | None = None
             lo, hi = start, min(start + width, len(ids))
@@ -240,13 +315,15 @@ class Matcher:
 MATCHES = "array<struct<start:bigint,end:bigint,license:string,aligned:int,words:int>>"
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", templates: Mapping[str, str] = TEMPLATES, p: LicenseScan = LicenseScan()) -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", templates: Mapping[str, str] | None = None, p: LicenseScan = LicenseScan()) -> DataFrame:
     """Every row of ``docs`` without its text, with ``matches``: licenses found in the whole text.
 
     A match gives its code points (end exclusive), the template, the words aligned with it
     and the template's words. NULL and empty texts have none; repeated notices are all
-    listed. ``matches`` replaces an input column of that name.
+    listed. ``matches`` replaces an input column of that name. Without ``templates`` all
+    of this module's are looked for.
     """
+    templates = all_templates() if templates is None else templates
     kept = [c for c in docs.columns if c not in (text, "matches")]
     schema = T.StructType([docs.schema[c] for c in kept] + T.StructType.fromDDL(f"matches {MATCHES}").fields)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("aligned", pa.int32()), ("words", pa.int32())]))

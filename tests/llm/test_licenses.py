@@ -47,6 +47,34 @@ def test_whole_templates_are_found_where_they_stand():
         assert found[0][3] == found[0][4] == len(words)
 
 
+def test_every_template_is_told_from_its_relatives():
+    """All templates, full texts too: each is named as itself."""
+    every = licenses.all_templates()
+    assert len(every) > 80 and {f"{n} full text" for n in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0",
+                                                          "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0")} <= every.keys()
+    matcher = licenses.Matcher(every, P)
+    for name, text in every.items():
+        found = matcher.find(f"{prose(3, 50)}. {text}\n{prose(4, 50)}")
+        assert [(n, aligned == size) for *_, n, aligned, size in found] == [(name, True)], name
+
+
+def test_near_relatives_by_their_own_words(spark):
+    clause = "3. Neither the name of Foo Inc nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    bsd = licenses.TEMPLATES["BSD-2-Clause text"]
+    texts = {
+        "GPL-2.0 header": licenses.TEMPLATES["GPL-3.0 header"].replace("version 3", "version 2"),
+        "GPL-3.0 header": licenses.TEMPLATES["GPL-3.0 header"],
+        "BSD-2-Clause text": bsd.replace("COPYRIGHT HOLDERS", "REGENTS"),
+        "BSD-3-Clause text": bsd.replace("THIS SOFTWARE IS", clause + " THIS SOFTWARE IS", 1),
+        "CC-BY-ND-4.0 notice": "Licensed under CC BY-ND 4.0.",
+        "CC-BY-NC-SA-4.0 notice": "Licensed under CC BY-NC-SA 4.0",
+        "CC-BY-3.0 notice": "Licensed under CC BY 3.0.",
+        "Apache-2.0 full text": licenses.all_templates()["Apache-2.0 full text"].split("END OF TERMS")[0],
+    }
+    found = licenses.scan_licenses(documents(spark, list(texts.values()))).orderBy("doc_id").collect()
+    assert [[m["license"] for m in r["matches"]] for r in found] == [[n] for n in texts]
+
+
 def test_repeated_and_reworded_notices():
     notice = "Released under the MIT License."
     found = MATCHER.find(" ".join([notice] * 3))

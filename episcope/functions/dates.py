@@ -1,79 +1,59 @@
-"""Feed date parsing (NEWS-2, NEWS-2b) with built-in expressions.
-
-RFC 822 stamps (``[Wed, ]2 Jul 2026 10:00[:00] -0300``) are validated with
-one regex and split into fields: the written day gives the *local* calendar
-date, and the zone offset turns the written time into an instant. A zone must
-be separated from the time by blanks. Weekdays are dropped before parsing
-(pattern letter ``E`` is not accepted by the parser). ISO 8601 stamps give a
-date but no sort instant, as in the source, so they sort after every RFC one.
+"""Feed date parsing (NEWS-2, NEWS-2b).
+
+Stamps are read by the parsers that the source uses, ``email.utils`` for RFC 822 and
+``datetime.fromisoformat``, so every shape that they know has its date: two-digit
+years, full weekday and month names, comments after the zone, basic ISO dates. The
+written day gives the *local* calendar date, and the zone offset turns the written
+time into an instant. ISO 8601 stamps give a date but no sort instant, as in the
+source, so they sort after every RFC one.
 """
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+from email.utils import parsedate_to_datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_RFC = (r"^\s*(?:[A-Za-z]{3},?\s+)?\d{1,2}\s+[A-Za-z]{3}\s+\d{4}\s+"
-        r"\d{1,2}:\d{2}(?::\d{2})?(?:\s+(?:[+-]\d{4}|[A-Za-z]{1,3}))?\s*$")
-_ISO = (r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2})(?::(\d{2})(?::(\d{2})(?:\.\d{1,6})?)?)?"
-        r"(?:Z|[+-]\d{2}:?\d{2})?)?$")
-
-# --- fixed values: RFC 822 zone names and their offsets in hours ---
-ZONE_HOURS = {"UT": 0, "UTC": 0, "GMT": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6,
-              "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
-
-
-def _rfc_parts(raw: Column) -> tuple[Column, Column, Column]:
-    """(is RFC 822, [day, month, year, time, zone?], [hh, mm, ss?]).
-
-    One validating regex, then plain splits: the fields are positional once the
-    optional weekday is dropped.
-    """
-    body = F.trim(F.regexp_replace(raw, r"^\s*[A-Za-z]{3},?\s+", ""))
-    parts = F.split(body, r"\s+")
-    hms = F.split(F.try_element_at(parts, F.lit(4)), ":")
-    return raw.rlike(_RFC), parts, hms
+_EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
 
-def _part(arr: Column, i: int) -> Column:
-    return F.try_element_at(arr, F.lit(i))
+def _rfc(raw: str | None) -> datetime | None:
+    if not raw:
+        return None
+    try:
+        return parsedate_to_datetime(raw)
+    except (TypeError, ValueError, IndexError, OverflowError):
+        return None
 
 
-def _rfc_local_date(raw: Column) -> Column:
-    ok, parts, _ = _rfc_parts(raw)
-    day = F.concat_ws(" ", _part(parts, 1), _part(parts, 2), _part(parts, 3))
-    return F.when(ok, F.try_to_date(day, "d MMM yyyy"))
+def _instant_micros(raw: str | None) -> int | None:
+    stamp = _rfc(raw)
+    if stamp is None:
+        return None
+    # A stamp without a zone reads as UTC.
+    return ((stamp if stamp.tzinfo else stamp.replace(tzinfo=UTC)) - _EPOCH) // timedelta(microseconds=1)
 
 
-def _offset_minutes(raw: Column) -> Column:
-    _, parts, _ = _rfc_parts(raw)
-    zone = F.upper(F.coalesce(_part(parts, 5), F.lit("")))
-    numeric = zone.rlike(r"^[+-][0-9]{4}$")
-    sign = F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    mins = sign * (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 4, 2).cast("int"))
-    named = F.lit(None).cast("int")
-    for name, hours in ZONE_HOURS.items():
-        named = F.when(zone == name, F.lit(hours * 60)).otherwise(named)
-    # No zone (or an unknown name) reads as UTC, like a naive stamp.
-    return F.when(numeric, mins).otherwise(F.coalesce(named, F.lit(0)))
+def _local_date(raw: str | None) -> str | None:
+    stamp = _rfc(raw)
+    if stamp is None and raw:
+        try:
+            stamp = datetime.fromisoformat(raw.replace("Z", "+00:00"))
+        except ValueError:
+            return None
+    return stamp.date().isoformat() if stamp else None
 
 
 def sort_instant(raw: Column) -> Column:
     """NEWS-2b: UTC instant of an RFC 822 stamp; NULL otherwise (sorts last)."""
-    _, _, hms = _rfc_parts(raw)
-    local = F.try_to_timestamp(
-        F.concat(F.date_format(_rfc_local_date(raw), "yyyy-MM-dd"), F.lit(" "),
-                 F.lpad(_part(hms, 1), 2, "0"), F.lit(":"), _part(hms, 2), F.lit(":"),
-                 F.coalesce(_part(hms, 3), F.lit("00"))),
-        F.lit("yyyy-MM-dd HH:mm:ss"))
-    return F.timestamp_add("MINUTE", -_offset_minutes(raw), local)
+    return F.timestamp_micros(F.udf(_instant_micros, "bigint", useArrow=False)(raw))
 
 
 def normalize_date(raw: Column) -> Column:
     """NEWS-2: ``yyyy-MM-dd`` local date of an RFC 822 or ISO 8601 stamp; NULL if neither."""
-    rfc = _rfc_local_date(raw)
-    iso = F.when(raw.rlike(_ISO), F.try_to_date(F.substring(raw, 1, 10), "yyyy-MM-dd"))
-    return F.date_format(F.coalesce(rfc, iso), "yyyy-MM-dd")
+    return F.udf(_local_date, "string", useArrow=False)(raw)
 
 
 def epoch_micros(df_schema, column: str) -> Column:

@@ -650,6 +650,13 @@ from pages
 where page_id % 50 <> 7
   and trim({_unescape_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}) <> ''"""
 
+ORACLE["feed_files"] = f"""
+select trim({_unescape_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}) as title, url,
+       'page ' || cast(page_id as varchar) || ' <b>at</b> ' || url as description,
+       strftime(timestamp '2026-01-01' + to_days(cast(page_id % 40 as integer)), '%Y-%m-%d') as date
+from pages
+where trim({_unescape_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}) <> ''"""
+
 
 # ------------------------------------------------------------------ streaming
 

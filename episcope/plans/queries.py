@@ -421,6 +421,31 @@ def q_feed_items(spark, sf_dir):
         F.coalesce(DT.normalize_date(F.col("raw_date")), F.lit("")).alias("date"))
 
 
+@query("feed_files")
+def q_feed_files(spark, sf_dir):
+    """SRC-4 on whole files: feeds with descriptions written from pages, read by ``read_feed_items``."""
+    path = shared_dir(spark, "feed-files")
+    pages = FX.table(spark, sf_dir, "pages")
+    pid = F.col("page_id")
+    title = F.trim(TX.unescape_entities(TX.extract_title(F.col("html"))))
+    stamp = F.date_format(F.timestamp_add("DAY", (pid % 40).cast("int"), F.lit("2026-01-01").cast("timestamp")), "d MMMM yy")
+    # A second title and link do not count; every other item stands one level deeper.
+    item = F.concat(
+        F.lit("<item><title>"), SF.xml_escape(title), F.lit("</title><title>other</title><link>"), SF.xml_escape(F.col("url")),
+        F.lit("</link><link>other</link><description>page "), pid.cast("string"), F.lit(" &lt;b&gt;at&lt;/b&gt; "),
+        SF.xml_escape(F.col("url")), F.lit("</description><pubDate>"), stamp, F.lit(" 10:00 +0000 (UTC)</pubDate></item>"))
+    item = F.when(pid % 2 == 0, item).otherwise(F.concat(F.lit("<section>"), item, F.lit("</section>")))
+    # 50 pages a feed, one line each; Spark writes one file per feed, between a first and a last line.
+    lines = pages.select(F.floor(pid / 50).alias("feed"), pid.alias("at"), item.alias("value"))
+    feeds = lines.select("feed").distinct()
+    ends = (feeds.select("feed", F.lit(-1).cast("bigint").alias("at"), F.lit("<rss><channel><title>feed</title>").alias("value"))
+            .union(feeds.select("feed", F.lit(2 ** 62).cast("bigint").alias("at"), F.lit("</channel></rss>").alias("value"))))
+    (lines.union(ends).repartition("feed").sortWithinPartitions("feed", "at").select("feed", "value")
+     .write.partitionBy("feed").text(path))
+    items = N.drop_navigation(SF.read_feed_items(spark, f"{path}/*"))
+    return items.select("title", "url", "description", DT.normalize_date(F.col("raw_date")).alias("date"))
+
+
 @query("audit_log_roundtrip")
 def q_audit_log_roundtrip(spark, sf_dir):
     """SNK-5 + SRC-5: audit rows appended as daily JSONL, read back, summarised."""

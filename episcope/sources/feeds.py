@@ -1,41 +1,72 @@
 """RSS feeds → news item rows (SRC-4, NEWS-U).
 
-Each feed file is read whole (``wholetext``) and parsed with ``from_xml``: an
-unparsable document yields no items rather than an error, items are matched
-under ``channel`` and directly under the root (RDF style), namespaces are
-ignored (``dc:date`` reads as ``date``), and ``posexplode`` keeps the item
-position for stable ordering. The feed's name and registry position come
-from a small registry table joined on file name (broadcast only after a
-bounded size check). ``layout='lines'`` reads one document per line instead,
-a layout for large harvests that Spark can split.
+Each feed file is read whole as bytes and parsed by Python's ``ElementTree`` (items
+at any depth are beyond a ``from_xml`` schema): the declared encoding holds, an
+unparsable document yields no items rather than an error, namespaces are ignored
+(``dc:date`` reads as ``date``), the first child of a name counts, and
+``posexplode`` keeps the item position for stable ordering. The feed's name and
+registry position come from a small registry table joined on file name (broadcast
+only after a bounded size check). ``layout='lines'`` reads one document per line
+instead, a layout for large harvests that Spark can split.
 """
 
 from __future__ import annotations
 
+import re
+from xml.etree import ElementTree as ET
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+FEED_ITEMS = ("struct<channel_title:string,items:array<struct<title:string,url:string,"
+              "pub_date:string,dc_date:string,description:string>>>")
+_DECLARED = re.compile(rb"""^\s*<\?xml[^>]*?encoding\s*=\s*["']([A-Za-z0-9._-]+)["']""")
+
+
+def _root(content: bytes | str) -> ET.Element | None:
+    """The document's root; None if it cannot be parsed."""
+    try:
+        return ET.fromstring(content)
+    except ET.ParseError:
+        return None
+    except (LookupError, ValueError):
+        # An encoding of several bytes a character is not known to the parser but to Python.
+        declared = _DECLARED.match(content) if isinstance(content, bytes) else None
+    try:
+        return ET.fromstring(content.decode(declared[1].decode())) if declared else None
+    except (ET.ParseError, LookupError, ValueError):
+        return None
+
 
-ITEM = "struct<title:string,link:string,pubDate:string,date:string,description:string>"
-FEED_SCHEMA = f"channel struct<title:string,item:array<{ITEM}>>, item array<{ITEM}>"
+def _child_text(parent: ET.Element, path: str) -> str | None:
+    """Text of the first such element, stripped; None without one."""
+    child = parent.find(path)
+    return None if child is None else (child.text or "").strip()
+
+
+def parse_feed(content: bytes | str | None) -> tuple[str | None, list[tuple]] | None:
+    """Channel title and items (at every depth, in document order) of one document."""
+    root = None if content is None else _root(bytes(content) if isinstance(content, bytearray) else content)
+    if root is None:
+        return None
+    fields = ("title", "link", "pubDate", "date", "description")
+    return _child_text(root, "{*}channel/{*}title"), [
+        tuple(_child_text(item, f"{{*}}{f}") for f in fields) for item in root.findall(".//{*}item")]
 
 
 def parse_feed_documents(docs: DataFrame, value: str = "value") -> DataFrame:
-    """XML documents → one row per item with ``item_pos`` and the channel title."""
-    x = F.from_xml(F.col(value), FEED_SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
-    items = F.concat(F.coalesce(F.col("x.channel.item"), F.array()),
-                     F.coalesce(F.col("x.item"), F.array()))
-    exploded = docs.select("*", x.alias("x")).select(
-        *[c for c in docs.columns if c != value],
-        F.col("x.channel.title").alias("channel_title"),
-        F.posexplode(items).alias("item_pos", "it"))
+    """XML documents (text or bytes) → one row per item with ``item_pos`` and the channel title."""
+    parse = F.udf(parse_feed, FEED_ITEMS, useArrow=False)
+    kept = [c for c in docs.columns if c != value]
+    exploded = docs.select(*kept, parse(F.col(value)).alias("x")).select(
+        *kept, F.col("x.channel_title").alias("channel_title"),
+        F.posexplode("x.items").alias("item_pos", "it"))
     return exploded.select(
-        *[c for c in docs.columns if c != value], "channel_title", "item_pos",
-        F.trim(F.col("it.title")).alias("title"),
-        F.trim(F.col("it.link")).alias("url"),
-        F.coalesce(F.nullif(F.trim(F.col("it.pubDate")), F.lit("")),
-                   F.trim(F.col("it.date"))).alias("raw_date"),
-        F.trim(F.col("it.description")).alias("description"))
+        *kept, "channel_title", "item_pos",
+        F.col("it.title").alias("title"),
+        F.col("it.url").alias("url"),
+        F.coalesce(F.nullif(F.col("it.pub_date"), F.lit("")), F.col("it.dc_date")).alias("raw_date"),
+        F.col("it.description").alias("description"))
 
 
 def read_feed_items(spark: SparkSession, path: str, registry: DataFrame | None = None,
@@ -46,8 +77,8 @@ def read_feed_items(spark: SparkSession, path: str, registry: DataFrame | None =
     name is the source and feeds order by file name.
     """
     if layout == "files":
-        docs = (spark.read.text(path, wholetext=True)
-                .select(F.col("_metadata.file_name").alias("file"), "value"))
+        docs = (spark.read.format("binaryFile").load(path)
+                .select(F.col("_metadata.file_name").alias("file"), F.col("content").alias("value")))
     elif layout == "lines":
         docs = (spark.read.text(path)
                 .select(F.col("_metadata.file_name").alias("file"), "value"))

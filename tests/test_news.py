@@ -42,6 +42,19 @@ def test_feed_parse_and_rank(spark, tmp_path):
     assert first.url.startswith("https://") and first.source == "agencia"
 
 
+def test_feed_depth_encoding_and_repeated_children(spark, tmp_path):
+    latin = '<?xml version="1.0" encoding="ISO-8859-1"?><rss><channel><title>Saúde</title><item><title>Vacinação</title></item></channel></rss>'
+    kanji = '<?xml version="1.0" encoding="Shift_JIS"?><rss><channel><item><title>日本</title></item></channel></rss>'
+    deep = ('<rss xmlns:a="urn:a"><channel><title>c</title><box><a:item><title>one</title><title>two</title><link>u</link><link>v</link>'
+            "<pubDate> </pubDate><a:date>2026-07-02</a:date></a:item></box><item><title/><title>late</title></item></channel><x><y><item><title>y</title></item></y></x></rss>")
+    for name, body, encoding in (("a.xml", latin, "latin-1"), ("b.xml", deep, "utf-16"), ("c.xml", kanji, "shift_jis"), ("d.xml", "<rss><item></rss>", "ascii")):
+        (tmp_path / name).write_bytes(body.encode(encoding))
+    got = read_feed_items(spark, str(tmp_path)).orderBy("feed_pos", "item_pos").collect()
+    assert [(r.source, r.item_pos, r.channel_title, r.title, r.url, r.raw_date) for r in got] == [
+        ("a.xml", 0, "Saúde", "Vacinação", None, None), ("b.xml", 0, "c", "one", "u", "2026-07-02"), ("b.xml", 1, "c", "", None, None),
+        ("b.xml", 2, "c", "y", None, None), ("c.xml", 0, None, "日本", None, None)]
+
+
 def test_dedupe_keeps_first_in_feed_order(spark):
     rows = [(1, 5, "s1", "Same  Title", "a"), (0, 9, "s0", "same title", "b"), (0, 3, "s0", "Other", "c")]
     items = spark.createDataFrame(rows, "feed_pos INT, item_pos INT, source STRING, title STRING, summary STRING")
@@ -67,6 +80,17 @@ def test_feed_dates(spark):
     assert [o.i for o in out] == ["2026-07-03 02:30:00", "2026-07-02 10:00:00", None, None, None, None]
 
 
+def test_feed_dates_of_other_shapes(spark):
+    raw = ["Thursday, 02-Jul-26 23:30:00 -0300", "2 July 2026 10:00 GMT", "Thu, 2 Jul 26 10:00:00 +0000 (UTC)", "20260702T100000Z", "20260702",
+           "2 Jul 2026 10:00 AST", "2 Jul 2026 25:00 GMT", "31 Feb 2026 10:00 GMT"]
+    df = spark.createDataFrame([(r,) for r in raw], "r STRING")
+    out = df.select(normalize_date(F.col("r")).alias("d"),
+                    F.date_format(sort_instant(F.col("r")), "yyyy-MM-dd HH:mm:ss").alias("i")).collect()
+    assert [o.d for o in out] == ["2026-07-02"] * 6 + [None, None]
+    assert [o.i for o in out] == ["2026-07-03 02:30:00", "2026-07-02 10:00:00", "2026-07-02 10:00:00", None, None,
+                                  "2026-07-02 14:00:00", None, None]
+
+
 def test_text_with_angle_brackets_and_unclosed_blocks(spark):
     from episcope.functions.text import clean_summary
     rows = [(1, "a < b and c > d"), (2, '<a title="x > y">t</a>'), (3, "before <script> var x = 1"), (4, "seen <!-- hidden"), (5, "x <b unclosed")]

@@ -28,12 +28,16 @@ def _last_set(column: str, order: Column) -> Column:
     """Value from the last change that set ``column`` (NULL-ordered rows are skipped)."""
     return F.max_by(F.col(column), F.when(F.col(column).isNotNull(), order))
 
+# Columns that a success sets besides the report; NULL in change logs written without them.
+RESULT_COLUMNS = {"pii_detected": "int", "pii_types": "string", "summary": "string"}
+
 
 def latest_job_state(changes: DataFrame, order_cols: Sequence[str] = ORDER_COLUMNS) -> DataFrame:
     """OPS-4: fold state changes into one row per job.
 
-    ``status`` is the last status set; ``execution_id``, ``report_path`` and
-    ``duration_ms`` come from the last change that set them; ``error`` is the
+    ``status`` is the last status set; ``execution_id``, ``report_path``,
+    ``duration_ms``, ``pii_detected``, ``pii_types`` and ``summary`` (JSON text)
+    come from the last change that set them; ``error`` is the
     last failure's message unless a later success cleared it; ``payload`` is
     the creation payload.
     """
@@ -48,6 +52,8 @@ def latest_job_state(changes: DataFrame, order_cols: Sequence[str] = ORDER_COLUM
         _last_set("duration_ms", order).alias("duration_ms"),
         F.max_by(F.col("error"), F.when(ends, order)).alias("error"),
         F.min_by(F.col("payload"), order).alias("payload"),
+        *[(_last_set(c, order) if c in changes.columns else F.lit(None).cast(kind)).alias(c)
+          for c, kind in RESULT_COLUMNS.items()],
     )
 
 

@@ -137,6 +137,9 @@ def job_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(et == "purchase", F.col("value") * 100).alias("duration_ms"),
         F.when(et == "error", F.concat(F.lit("error at event "), eid)).alias("error"),
         F.col("props").alias("payload"),
+        F.when(et == "purchase", (F.col("event_id") % 3 == 0).cast("int")).alias("pii_detected"),
+        F.when(et == "purchase", F.when(F.col("event_id") % 3 == 0, F.lit('["CPF", "E-mail"]')).otherwise(F.lit("[]"))).alias("pii_types"),
+        F.when(et == "purchase", F.concat(F.lit('{"event": "'), eid, F.lit('"}'))).alias("summary"),
     )
 
 

@@ -538,6 +538,14 @@ ORACLE["latest_job_state"] = JOBS_CTE + f"""
 select job_id, {_ts('created_at')} as created_at, {_ts('updated_at')} as updated_at, status,
        execution_id, report_path, duration_ms, error, payload from jobs"""
 
+ORACLE["job_results"] = """
+with last as (select user_id, arg_max(event_id, (ts, event_id)) filter (where event_type = 'purchase') as e
+              from events group by user_id)
+select 'job-' || cast(user_id as varchar) as job_id,
+       case when e is null then '' when e % 3 = 0 then '1' else '0' end as pii_detected,
+       case when e % 3 = 0 then 'CPF,E-mail' else '' end as pii_types,
+       coalesce(cast(e as varchar), '') as summary_event from last"""
+
 ORACLE["status_counts"] = JOBS_CTE + """,
 counts as (select status, count(*) as n from jobs group by status),
 dim as (select * from (values (0, 'queued'), (1, 'running'), (2, 'succeeded'), (3, 'failed')) t(pos, status))

@@ -300,7 +300,16 @@ def jobs(spark, sf_dir):
 
 @query("latest_job_state")
 def q_latest_job_state(spark, sf_dir):
-    return dates_as_text(jobs(spark, sf_dir))
+    return dates_as_text(jobs(spark, sf_dir).drop(*OPS.RESULT_COLUMNS))
+
+
+@query("job_results")
+def q_job_results(spark, sf_dir):
+    """OPS-4 + OPS-8: the columns that a success sets, folded from the change log and decoded."""
+    out = OPS.decode_json_columns(jobs(spark, sf_dir))
+    return out.select("job_id", F.coalesce(F.col("pii_detected").cast("string"), F.lit("")).alias("pii_detected"),
+                      F.concat_ws(",", "pii_types").alias("pii_types"),
+                      F.coalesce(F.col("summary")["event"], F.lit("")).alias("summary_event"))
 
 
 @query("status_counts")

@@ -38,6 +38,22 @@ def test_fold_job_state(spark):
     assert [r.job_id for r in OPS.recent_jobs(OPS.latest_job_state(ch), 500).collect()] == ["b", "a"]
 
 
+def test_fold_keeps_what_a_success_sets(spark):
+    rows = [("a", 1, 0, "queued", None, None, None), ("a", 2, 5, "succeeded", 1, '["CPF"]', '{"n": "1"}'),
+            ("a", 3, 9, "succeeded", 0, "[]", '{"n": "2"}'), ("a", 4, 12, "failed", None, None, None),
+            ("b", 5, 1, "succeeded", 1, '["RG", "CPF"]', '{"n": "3"}'), ("c", 6, 2, "queued", None, None, None)]
+    ch = spark.createDataFrame(
+        [(j, i, T0 + dt.timedelta(seconds=s), st, None, None, None, None, "{}", d, t, m) for j, i, s, st, d, t, m in rows],
+        "job_id STRING, event_id BIGINT, ts TIMESTAMP, status STRING, execution_id STRING, report_path STRING, "
+        "duration_ms DOUBLE, error STRING, payload STRING, pii_detected INT, pii_types STRING, summary STRING")
+    out = {r.job_id: r for r in OPS.decode_json_columns(OPS.latest_job_state(ch)).collect()}
+    assert {j: (r.status, r.pii_detected, r.pii_types, r.summary) for j, r in out.items()} == {
+        "a": ("failed", 0, [], {"n": "2"}), "b": ("succeeded", 1, ["RG", "CPF"], {"n": "3"}), "c": ("queued", None, [], None)}
+    # A change log written without the columns.
+    old = OPS.decode_json_columns(OPS.latest_job_state(ch.drop("pii_detected", "pii_types", "summary"))).where("job_id = 'b'").first()
+    assert (old.pii_detected, old.pii_types, old.summary) == (None, [], None)
+
+
 def test_decode_and_evolve(spark):
     df = spark.createDataFrame([("j", None, "", None), ("k", '["CPF"]', '{"k": 3}', '{"n": "1"}')],
                                "job_id STRING, pii_types STRING, payload STRING, summary STRING")

@@ -236,7 +236,8 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, id_c
     sized = written(members.join(sizes, "group"), "sized-members").select(
         "group", "class", F.col("blocks").alias("n_blocks"), F.col("first.id").alias("of_id"), F.col("first.row_hash").alias("of_hash"))
     rows = docs.select(docs[f"`{id_col}`"].alias("id"), F.xxhash64(docs[f"`{text}`"]).alias("row_hash"), docs[f"`{text}`"].alias("text"))
-    texts = rows.join(sized, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("row_hash") == F.col("of_hash")))
+    # Texts meet their groups in a shuffle at every size: few groups or many, the plan is the same.
+    texts = rows.join(sized.hint("merge"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("row_hash") == F.col("of_hash")))
     dealt = _dealt(texts, ["group"], F.col("n_blocks"), ["class", "text"])
     order = ["group", "i", "j"]
 

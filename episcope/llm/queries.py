@@ -100,13 +100,19 @@ def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def looped(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text``; in a tenth of the documents, by their id's CRC-32, the words repeat periodically from some word on."""
     h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        # Words, their number and the place are bound as variables: each is found once a text.
+        n = F.size(words)
+        a = F.pmod(g, n)
+        bound = F.struct(words.alias("w"), a.alias("a"), (F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))) + 1).alias("p"))
+        word = lambda b: lambda i: F.get(b["w"], F.when(i < b["a"], i.cast("long")).otherwise(b["a"] + F.pmod(i - b["a"], b["p"])).cast("int"))
+        return F.get(F.transform(F.array(bound), lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.size(b["w"]) - 1), word(b)), " ")), 0)
+
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    g, n = F.floor(h / 10), F.size(words)
-    a = F.pmod(g, n)
-    p = F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))) + 1
-    word = lambda i: F.get(words, F.when(i < a, i.cast("long")).otherwise(a + F.pmod(i - a, p)).cast("int"))
-    repeated = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " ")).otherwise(F.col("text"))
-    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+    text = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w))), 0)
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), F.coalesce(text, F.lit(""))).otherwise(F.col("text")).alias("text"))
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

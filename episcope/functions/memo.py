@@ -24,7 +24,11 @@ def _context_key() -> Hashable:
 
 def columns_once(key: Hashable, build: Callable[[], object]):
     """``build()`` for ``key`` once per live SparkContext."""
-    k = (_context_key(), key)
+    context = _context_key()
+    k = (context, key)
     if k not in _CACHE:
+        # Expressions of a context that has ended are of no use any more.
+        for old in [o for o in _CACHE if o[0] != context]:
+            del _CACHE[old]
         _CACHE[k] = build()
     return _CACHE[k]

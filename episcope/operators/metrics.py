@@ -94,9 +94,12 @@ def all_metrics(fact: DataFrame, period_days: int = 30, keys: Sequence[str] = ()
 
 
 def metrics_rollup(fact: DataFrame, key: str = "sg_uf", period_days: int = 30) -> DataFrame:
-    """AGG-8 with a national total row (``key`` NULL) via ``rollup`` on the fact."""
-    agg = fact.rollup(key).agg(*metric_aggregates(anchor_day(fact), period_days))
-    return finish_metrics(agg, [key])
+    """AGG-8 with a national total row via ``rollup`` on the fact.
+
+    ``is_total`` tells that row from the one of cases without a region: ``key`` is NULL in both.
+    """
+    agg = fact.rollup(key).agg(*metric_aggregates(anchor_day(fact), period_days), (F.grouping_id() == 1).alias("is_total"))
+    return finish_metrics(agg, [key, "is_total"])
 
 
 def total_cases(fact: DataFrame) -> DataFrame:
@@ -129,8 +132,8 @@ def growth_rate(fact: DataFrame, period_days: int = 30) -> DataFrame:
     return fact.agg(*aggs).select(growth(F.col("_cur"), F.col("_prev")).alias(S.M_GROWTH))
 
 
-def describe_cases(cases: DataFrame, exact_median: bool = True) -> DataFrame:
-    """AGG-7: counts, rates, mean and median age (NULLs skipped), first and last day.
+def describe_cases(cases: DataFrame, exact_median: bool = True, keys: Sequence[str] = ()) -> DataFrame:
+    """AGG-7: counts, rates, mean and median age (NULLs skipped), first and last day, for each group of ``keys``.
 
     The exact median keeps a value→count map per partial aggregate, so its
     memory follows the number of *distinct* ages (a few thousand), not rows;
@@ -139,7 +142,7 @@ def describe_cases(cases: DataFrame, exact_median: bool = True) -> DataFrame:
     age = F.col("idade_anos")
     median = F.median(age) if exact_median else F.percentile_approx(age, 0.5, 10000)
     n = F.count(F.lit(1))
-    return cases.agg(
+    return cases.groupBy(*keys).agg(
         n.cast("bigint").alias("total_casos"),
         F.coalesce(F.sum("obito"), F.lit(0)).cast("bigint").alias("total_obitos"),
         F.coalesce(F.sum("internou_uti"), F.lit(0)).cast("bigint").alias("total_uti"),

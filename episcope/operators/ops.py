@@ -160,19 +160,31 @@ def flatten_events(audit: DataFrame) -> DataFrame:
         *[d.getField(f.name).alias(f.name) for f in AUDIT_DATA_SCHEMA.fields])
 
 
+def execution_counts(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """What each event adds to its execution: its instant in microseconds and one count of its kind; ``keep`` stays, too."""
+    et = F.col("event_type")
+    at = F.unix_micros("ts")
+    one = lambda test: test.cast("bigint")
+    return events.select(
+        "execution_id", *keep, at.alias("first_us"), at.alias("last_us"),
+        one(et.eqNullSafe("tool_call")).alias("total_tool_calls"), one(et.eqNullSafe("validation")).alias("total_validations"),
+        one(et.eqNullSafe("validation") & ~F.coalesce(F.col("valid"), F.lit(False))).alias("failed_validations"),
+        one(et.eqNullSafe("error")).alias("total_errors"))
+
+
+def execution_record(counts: DataFrame) -> DataFrame:
+    """The summary of executions from their summed counts and first and last instants."""
+    return counts.select(
+        "execution_id", ((F.col("last_us") - F.col("first_us")) / 1000.0).alias("duration_ms"), "total_tool_calls",
+        "total_validations", "failed_validations", "total_errors", (F.col("total_errors") == 0).alias("success"))
+
+
 def execution_summary(events: DataFrame) -> DataFrame:
     """OPS-5: per execution — duration, tool calls, validations, failures, errors, success.
 
     Events without an execution id belong to no execution.
     """
-    et = F.col("event_type")
-    errors = F.count_if(et == "error")
-    return events.where(F.col("execution_id").isNotNull()).groupBy("execution_id").agg(
-        ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1000.0).alias("duration_ms"),
-        F.count_if(et == "tool_call").alias("total_tool_calls"),
-        F.count_if(et == "validation").alias("total_validations"),
-        F.count_if((et == "validation") & ~F.coalesce(F.col("valid"), F.lit(False)))
-        .alias("failed_validations"),
-        errors.alias("total_errors"),
-        (errors == 0).alias("success"),
-    )
+    sums = ("total_tool_calls", "total_validations", "failed_validations", "total_errors")
+    counted = execution_counts(events.where(F.col("execution_id").isNotNull()))
+    return execution_record(counted.groupBy("execution_id").agg(
+        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), *[F.sum(c).alias(c) for c in sums]))

@@ -123,27 +123,33 @@ def charts_block(charts: dict | None) -> str:
 
 def render_report(metrics: DataFrame, execution_id: Column, report_time: dt.datetime,
                   news: Column | None = None, charts: dict | None = None,
-                  source: dict | None = None, layout: str = "current",
+                  source: dict | Column | None = None, layout: str = "current",
                   keys: Sequence[str] = (), news_text: Column | None = None) -> DataFrame:
     """REP-3 (``layout='current'``) / REP-4 (``layout='legacy'``): one report per row.
 
     ``execution_id`` and ``news`` are columns of ``metrics`` (or literals);
     ``news`` is an ARRAY<STRUCT<title, source, date, summary>> column;
     ``news_text`` is an already rendered block (see ``news.ranked_news_text``).
-    ``report_time`` fixes both the header and footer stamps.
+    ``report_time`` fixes both the header and footer stamps. ``source`` fills section 5:
+    ``provider``, ``source_type`` and ``updated_at`` as values, or all three as one scalar
+    column (see ``source_scalar``).
     """
     if layout not in ("current", "legacy"):
         raise ValueError("layout must be 'current' or 'legacy'")
-    key = ("report", layout, report_time.isoformat(), json.dumps(charts or {}, sort_keys=True),
-           json.dumps(source or {}, sort_keys=True))
-    middle, tail = columns_once(key, lambda: _report_parts(layout, report_time, charts, source))
+    if isinstance(source, Column):
+        middle, tail = _report_parts(layout, report_time, charts, source)
+    else:
+        # The pieces do not depend on the report time: it is filled in last.
+        key = ("report", layout, json.dumps(charts or {}, sort_keys=True), json.dumps(source or {}, sort_keys=True))
+        middle, tail = columns_once(key, lambda: _report_parts(layout, None, charts, source))
+        tail = [*tail[:-1], fill(FOOTER, F.lit(report_time.strftime(FOOTER_STAMP)))]
     parts = [fill(HEADER, F.lit(report_time.strftime(HEADER_STAMP)), F.coalesce(execution_id.cast("string"), F.lit(""))), *middle,
              news_text if news_text is not None else news_block(news), *tail]
     return metrics.select(*keys, F.concat(*parts).alias("report"))
 
 
-def _report_parts(layout: str, report_time: dt.datetime, charts: dict | None,
-                  source: dict | None) -> tuple[list[Column], list[Column]]:
+def _report_parts(layout: str, report_time: dt.datetime | None, charts: dict | None,
+                  source: dict | Column | None) -> tuple[list[Column], list[Column]]:
     """The report pieces before and after the news block (fixed per parameters)."""
     g, m = metric(S.M_GROWTH), metric(S.M_MORTALITY)
     u, v = metric(S.M_ICU), metric(S.M_VACCINATION)
@@ -162,11 +168,10 @@ def _report_parts(layout: str, report_time: dt.datetime, charts: dict | None,
         middle.append(F.lit(NEWS_TITLE_LEGACY))
     tail = [F.lit(CHARTS_TITLE + charts_block(charts) + CONCLUSIONS_TITLE), recommendations(m, u, v)]
     if layout == "current":
-        src = source or {}
-        tail.append(F.lit(SOURCE.format(src.get("provider") or DEFAULT_PROVIDER,
-                                        src.get("source_type") or DEFAULT_SOURCE_TYPE,
-                                        src.get("updated_at") or DEFAULT_UPDATED, DETERMINISTIC)))
-    tail.append(fill(FOOTER, F.lit(report_time.strftime(FOOTER_STAMP))))
+        defaults = {"provider": DEFAULT_PROVIDER, "source_type": DEFAULT_SOURCE_TYPE, "updated_at": DEFAULT_UPDATED}
+        own = source if isinstance(source, Column) else F.struct(*[F.lit((source or {}).get(k)).cast("string").alias(k) for k in defaults])
+        tail.append(fill(SOURCE, *[F.coalesce(F.nullif(own[k], F.lit("")), F.lit(v)) for k, v in defaults.items()], F.lit(DETERMINISTIC)))
+    tail.append(fill(FOOTER, F.lit(report_time.strftime(FOOTER_STAMP) if report_time else "")))
     return middle, tail
 
 
@@ -181,3 +186,14 @@ def latest_source(load_history: DataFrame) -> DataFrame:
     """REP-5: the newest load-history row (provider, source type, path, time, url)."""
     return load_history.agg(F.max_by(F.struct(*[c for c in load_history.columns]),
                                      F.col("ingested_at")).alias("s")).select("s.*")
+
+
+def source_metadata(load_history: DataFrame) -> DataFrame:
+    """REP-5: the five fields of the newest load, by their names in the report state; no row without a load."""
+    return latest_source(load_history).where(F.col("ingested_at").isNotNull()).select(
+        "provider", "source_type", F.col("table_path").alias("db_path"), F.col("ingested_at").alias("updated_at"), "source_url")
+
+
+def source_scalar(load_history: DataFrame) -> Column:
+    """The newest load as a scalar struct for section 5 of ``render_report``."""
+    return source_metadata(load_history).select(F.struct("provider", "source_type", "updated_at")).scalar()

@@ -11,8 +11,7 @@ mapping over them (see FIXTURES.md §2):
 
 Joins: lineitem and orders are both fact-sized, so they meet in a shuffle
 join on the order key (AQE splits a hot key). customer joins orders on the
-customer key the same way; nation is a dimension and is broadcast only after
-a bounded row-count check.
+customer key and nation the same way; Spark broadcasts a side by its measured size.
 """
 
 from __future__ import annotations
@@ -96,6 +95,20 @@ def _mapping_exprs() -> list:
     return [(mapped[c] if c in mapped else F.lit(None)).cast("string").alias(c) for c in S.RAW_COLUMNS]
 
 
+def land_cases(rows: DataFrame, path: str, layouts: tuple[int, ...] = (0, 1, 2)) -> None:
+    """Raw case rows as ``;`` Latin-1 CSV files in ``path``, dealt to three yearly layouts by region.
+
+    0: the relevant columns in order, 1: in reverse order behind a column of no interest,
+    2: in alphabetical order with columns of no interest between them.
+    """
+    names = list(S.RAW_COLUMNS)
+    odd = [F.lit("x;y").alias(f"OUTRA_{k}") for k in range(3)]
+    columns = {0: names, 1: [odd[0], *names[::-1]], 2: [odd[1], *sorted(names)[:9], odd[2], *sorted(names)[9:]]}
+    for k in layouts:
+        (rows.where(F.coalesce(F.crc32("SG_UF") % 3, F.lit(0)) == k).select(*columns[k])
+         .write.mode("append").options(sep=";", encoding="ISO-8859-1", header=True, escape='"').csv(path))
+
+
 def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as news items: title from ``<title>``, summary from the page HTML."""
     from episcope.functions.text import extract_title, unescape_entities
@@ -176,6 +189,11 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Titles of the feed fixture: more or fewer of the default terms, and a navigation item.
+FEED_TOPICS = ("Casos de SRAG e gripe em alta", "Vacina contra gripe chega ao SUS", "Nav. mapa", "Jogo de domingo", "UTI lotada por SRAG", "Menu principal",
+               "Feira de livros")
+
+
 def built_pii_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with CPF / RG / phone / e-mail shapes built from customer keys."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")

@@ -6,6 +6,8 @@ CTEs restate FIXTURES.md §2; every computed column carries the Spark name.
 
 from __future__ import annotations
 
+from episcope import schema as _S
+
 ORACLE: dict[str, str] = {}
 
 RAW_CASES = """
@@ -174,8 +176,34 @@ from cases"""
 ORACLE["metrics_by_uf"] = metrics_by_uf_cte() + "\nselect * from m"
 
 ORACLE["metrics_rollup"] = CASES_CTE + _fact("sg_uf") + f""",
-sums as (select sg_uf, {_metric_sums(30)} from fact group by rollup (sg_uf))
+sums as (select sg_uf, grouping(sg_uf) = 1 as is_total, {_metric_sums(30)} from fact group by rollup (sg_uf))
+{_metric_finish("sg_uf, is_total")} from sums"""
+
+ORACLE["metrics_rollup_unknown_region"] = ORACLE["metrics_rollup"].replace(
+    "fact as (\n  select dt_notific as day, sg_uf,", "fact as (\n  select dt_notific as day, nullif(sg_uf, 'CANADA') as sg_uf,").replace(
+    "from cases group by dt_notific, sg_uf", "from cases group by dt_notific, nullif(sg_uf, 'CANADA')")
+
+# Cases of all years, and the same after the year 2000 was reloaded without men.
+_ALL_YEARS = CASES_CTE.replace("""
+    and dt_notific >= date '2000-01-01' and dt_notific < date '2001-01-01'""", "")
+_RELOADED = CASES_CTE.replace("""
+    and dt_notific >= date '2000-01-01' and dt_notific < date '2001-01-01'""", """
+    and (year(dt_notific) <> 2000 or cs_sexo = 1)""")
+_PER_YEAR = """
+select cast(year(dt_notific) as integer) as year, sg_uf, cast(count(*) as bigint) as cases, cast(sum(obito) as bigint) as deaths
+from cases group by year(dt_notific), sg_uf"""
+ORACLE["curated_append"] = _ALL_YEARS + _PER_YEAR
+ORACLE["curated_partial_reload"] = _RELOADED + _PER_YEAR.replace("from cases", "from cases where year(dt_notific) <> 1997")
+ORACLE["maintained_fact_metrics"] = _RELOADED + _fact("sg_uf") + f""",
+sums as (select sg_uf, {_metric_sums(30)} from fact group by sg_uf)
 {_metric_finish("sg_uf")} from sums"""
+ORACLE["describe_by_uf"] = CASES_CTE + ORACLE["describe_cases"].removeprefix(CASES_CTE).replace(
+    "select cast(count(*)", "select sg_uf, true as sketch_in_error, true as same_mean, cast(count(*)").replace(
+    "from cases", "from cases where cs_sexo = 1 group by sg_uf")
+ORACLE["processed_roundtrip"] = ORACLE["clean_cases"]
+ORACLE["sample_rows"] = "with " + RAW_CASES + "\nselect " + ", ".join(
+    c if c in RAW_CASES else f"cast(null as varchar) as {c}" for c in _S.RAW_COLUMNS) + "\nfrom raw order by " + ", ".join(
+    f"{c} nulls first" for c in _S.RAW_COLUMNS if c in RAW_CASES) + " limit 100"
 
 ORACLE["daily_cases"] = CASES_CTE + _fact() + """
 select strftime(day, '%Y-%m-%d') as date, cast(sum(cases) as bigint) as cases
@@ -227,6 +255,8 @@ from mj left join dj on dj.sg_uf is not distinct from mj.sg_uf"""
 # ------------------------------------------------------ risk, reports, checks
 
 from episcope.functions.pii import PII_RULES  # noqa: E402
+from episcope.operators import news as _N  # noqa: E402
+from episcope.plans import fixtures as _FX  # noqa: E402
 from episcope.operators import checks as _CH  # noqa: E402
 from episcope.operators import report as _REP  # noqa: E402
 from episcope.operators import risk as _R  # noqa: E402
@@ -344,6 +374,17 @@ _METRIC_MSG += " else 'OK' end"
 ORACLE["metric_checks"] = metrics_by_uf_cte() + f"""
 select sg_uf, ({_METRIC_MSG}) = 'OK' as valid, {_METRIC_MSG} as message from m"""
 
+_SPOILT_METRICS = ", ".join(
+    f"case when c = {k + 1} then null when c = {k + 5} then ({n} + 1000000) * {(-1) ** k} else {n} end as {n}" for k, n in enumerate(_CH.REQUIRED_METRICS))
+ORACLE["metric_checks_failing"] = metrics_by_uf_cte() + f""",
+s as (select sg_uf, cast(c as integer) as "case", {_SPOILT_METRICS} from m, range(9) as t(c))
+select sg_uf, "case", ({_METRIC_MSG}) = 'OK' as valid, {_METRIC_MSG} as message from s"""
+_SPOILT_REPORT = " ".join(f"when {k + 3} then replace(report, {q(x)}, '-')" for k, x in enumerate(_CH.REQUIRED_SECTIONS))
+ORACLE["report_checks_failing"] = _MF + ",\nr as (" + _report_sql("current") + f""" from mf),
+s as (select sg_uf, cast(c as integer) as "case", case c when 0 then report when 1 then substr(report, 1, 99) {_SPOILT_REPORT} end as report
+      from r, range(7) as t(c))
+select sg_uf, "case", ({_REPORT_MSG}) = 'OK' as valid, {_REPORT_MSG} as message from s"""
+
 
 # ------------------------------------------------------------ text and privacy
 
@@ -676,8 +717,26 @@ ORACLE["stream_execution_summary"] = ORACLE["execution_summary"]
 ORACLE["stream_rate_limit"] = ORACLE["rate_limit"]
 
 ORACLE["load_history_latest"] = CASES_CTE + """
-select 'DATASUS/SIVEP-Gripe' as provider, 'parquet_table' as source_type,
-       cast(count(*) as bigint) as rows_processed from cases"""
+select 'DATASUS/SIVEP-Gripe' as provider, 'parquet_table' as source_type, 'table#0' as db_path, true as updated,
+       'https://example.org/srag-2000.csv' as source_url, cast(count(*) as bigint) as rows_processed from cases"""
+
+_DEFAULT_SOURCE = q(_REP.SOURCE.format(_REP.DEFAULT_PROVIDER, _REP.DEFAULT_SOURCE_TYPE, _REP.DEFAULT_UPDATED, _REP.DETERMINISTIC))
+ORACLE["report_with_source"] = ORACLE["report_with_news"].replace(_NEWS_TEXT, q(_REP.NO_NEWS)).replace(
+    _DEFAULT_SOURCE, q(_REP.SOURCE.format("DATASUS/SIVEP-Gripe", "parquet_table", "load time", _REP.DETERMINISTIC)))
+
+_FEED_RANKED = f"""with items as (
+  select doc_id as item_pos, doc_id % 3 as feed_pos, case when doc_id % 3 = 0 then 'Agência Sul' else 'Boletim Norte' end as source,
+         ([{', '.join(q(t) for t in _FX.FEED_TOPICS)}])[doc_id % {len(_FX.FEED_TOPICS)} + 1] || ' ' || doc_id as title,
+         'Nota ' || doc_id || ' & mais' as summary, timestamp '2026-01-01' + to_minutes(doc_id) as instant
+  from documents where doc_id % 3 <> 2),
+scored as (
+  select *, strftime(instant, '%Y-%m-%d') as date,
+         {' + '.join(f"contains(lower(title || ' ' || summary), {q(t)})::int" for t in _N.RELEVANCE_TERMS)} as score
+  from items where not ({' or '.join(f"starts_with(lower(title), {q(x)})" for x in _N.JUNK_TITLE_PREFIXES)})),
+ranked as (
+  select cast(row_number() over (order by score desc, instant desc nulls last, feed_pos, item_pos) as integer) as rank, *
+  from scored qualify rank <= 5)"""
+ORACLE["feed_report"] = ORACLE["report_with_news"].replace(_RANKED, _FEED_RANKED, 1)
 
 ORACLE["cases_half_open_range"] = CASES_CTE + """
 select sg_uf, cast(count(*) as bigint) as cases from cases

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from episcope import schema as S
 from episcope.functions import dates as DT
 from episcope.functions import text as TX
 from episcope.operators import checks as CH
@@ -31,6 +32,7 @@ from episcope.plans import fixtures as FX
 from episcope.session import materialize, shared_dir
 from episcope.sources import audit as SA
 from episcope.sources import cases as SC
+from episcope.sources import facts as SFA
 from episcope.sources import feeds as SF
 from episcope.streaming import jobs as ST
 
@@ -97,8 +99,8 @@ def q_clean_cases(spark, sf_dir):
 
 @query("sample_rows")
 def q_sample_rows(spark, sf_dir):
-    # SRC-2: the first N raw rows, before cleaning; the limit is the feature.
-    return SC.sample_rows(FX.mapped_cases(spark, sf_dir), 100)
+    # SRC-2: the first N raw rows, before cleaning, in order of their columns; the limit is the feature.
+    return SC.sample_rows(FX.mapped_cases(spark, sf_dir), 100, S.RAW_COLUMNS)
 
 
 @query("total_cases")
@@ -146,6 +148,13 @@ def q_metrics_by_uf(spark, sf_dir):
     return M.all_metrics(fact(spark, sf_dir, ["sg_uf"]), keys=["sg_uf"])
 
 
+@query("metrics_rollup_unknown_region")
+def q_metrics_rollup_unknown_region(spark, sf_dir):
+    """AGG-8: cases without a region have a row of their own beside the national total."""
+    known = F.when(F.col("sg_uf") != "CANADA", F.col("sg_uf"))
+    return M.metrics_rollup(materialize(M.daily_fact(cases(spark, sf_dir).withColumn("sg_uf", known), ["sg_uf"])))
+
+
 @query("metrics_rollup")
 def q_metrics_rollup(spark, sf_dir):
     return M.metrics_rollup(fact(spark, sf_dir, ["sg_uf"]), "sg_uf")
@@ -228,6 +237,29 @@ def q_metric_checks(spark, sf_dir):
     return CH.validate_metrics(metrics_by_uf(spark, sf_dir), ["sg_uf"])
 
 
+@query("metric_checks_failing")
+def q_metric_checks_failing(spark, sf_dir):
+    """GRD-3 on the metrics of regions as they are and spoilt in eight ways, each breaking one rule."""
+    m = metrics_by_uf(spark, sf_dir)
+    names = CH.REQUIRED_METRICS
+    spoilt = F.array(F.struct(F.lit(0).alias("case"), *[F.col(n).alias(n) for n in names]), *[
+        F.struct(F.lit(k + 1).alias("case"), *[(F.lit(None).cast("double") if n == name else F.col(n)).alias(n) for n in names])
+        for k, name in enumerate(names)], *[
+        F.struct(F.lit(k + 5).alias("case"), *[((F.col(n) + 1e6) * (-1) ** k if n == name else F.col(n)).alias(n) for n in names])
+        for k, name in enumerate(names)])
+    return CH.validate_metrics(m.select("sg_uf", F.inline(spoilt)), ["sg_uf", "case"])
+
+
+@query("report_checks_failing")
+def q_report_checks_failing(spark, sf_dir):
+    """GRD-4 on the reports of regions as they are, cut short, missing, and without each required section."""
+    reports = REP.render_report(metrics_by_uf(spark, sf_dir), uf_execution_id(), REPORT_TIME, keys=["sg_uf"])
+    whole = F.col("report")
+    spoilt = [whole, F.substring(whole, 1, 99), F.lit(None).cast("string"), *[F.replace(whole, F.lit(x), F.lit("-")) for x in CH.REQUIRED_SECTIONS]]
+    rows = reports.select("sg_uf", F.posexplode(F.array(*spoilt)).alias("case", "report"))
+    return CH.validate_report(rows, "report", ["sg_uf", "case"])
+
+
 # ------------------------------------------------------------ text and privacy
 
 @query("detect_pii")
@@ -387,13 +419,21 @@ def q_parse_feed_dates(spark, sf_dir):
 
 @query("ingest_csv_cases")
 def q_ingest_csv_cases(spark, sf_dir):
-    """SRC-1 + CLEAN: mapped rows written as ';' Latin-1 CSV, read back and cleaned."""
+    """SRC-1 + CLEAN: mapped rows written as ';' Latin-1 CSV in three layouts, read back by name and cleaned."""
     path = shared_dir(spark, "raw-cases")
-    (FX.mapped_cases(spark, sf_dir).write.mode("overwrite").option("sep", ";")
-     .option("encoding", "ISO-8859-1").option("header", True).csv(path))
+    FX.land_cases(FX.mapped_cases(spark, sf_dir), path)
     return codes_as_text(dates_as_text(C.clean_cases(SC.read_cases_csv(spark, path), year=FIXTURE_YEAR)))
 
 
+@query("processed_roundtrip")
+def q_processed_roundtrip(spark, sf_dir):
+    """SNK-1 + SRC-3: cleaned rows saved as CSV and read back with their types."""
+    path = shared_dir(spark, "processed")
+    SC.write_processed(cases(spark, sf_dir), path, "csv")
+    back = SC.read_processed(spark, path, "csv")
+    return codes_as_text(dates_as_text(back))
+
+
 @query("curated_reload_metrics")
 def q_curated_reload_metrics(spark, sf_dir):
     """SNK-3 + year-partition pruning: atomic reload, then the flagship metrics."""
@@ -403,6 +443,32 @@ def q_curated_reload_metrics(spark, sf_dir):
     return M.all_metrics(materialize(M.daily_fact(curated)))
 
 
+def _per_year_and_region(curated):
+    return (curated.groupBy(F.year("dt_notific").alias("year"), "sg_uf")
+            .agg(F.count(F.lit(1)).alias("cases"), F.sum("obito").cast("bigint").alias("deaths")))
+
+
+@query("curated_append")
+def q_curated_append(spark, sf_dir):
+    """SNK-2: three appends, by region, to the table that readers see; cases of all years."""
+    root = shared_dir(spark, "curated-append")
+    curated = materialize(C.clean_cases(FX.mapped_cases(spark, sf_dir), year=None))
+    for k in range(3):
+        SC.load_curated(curated.where(F.coalesce(F.crc32("sg_uf") % 3, F.lit(0)) == k), root)
+    return _per_year_and_region(SC.read_curated(spark, root))
+
+
+@query("curated_partial_reload")
+def q_curated_partial_reload(spark, sf_dir):
+    """SNK-3 on single years: all years loaded, then one reloaded without men and one emptied."""
+    root = shared_dir(spark, "curated-partial")
+    curated = materialize(C.clean_cases(FX.mapped_cases(spark, sf_dir), year=None))
+    SC.replace_curated(curated, root)
+    # Rows of years that are not reloaded are left out, however many the new data holds.
+    SC.replace_curated(curated.where((F.col("cs_sexo") == 1) & (F.year("dt_notific") != 1997)), root, years=[FIXTURE_YEAR, 1997])
+    return _per_year_and_region(SC.read_curated(spark, root))
+
+
 @query("feed_items")
 def q_feed_items(spark, sf_dir):
     """SRC-4: one RSS document per page (one per line), parsed back into items."""
@@ -455,11 +521,46 @@ def q_feed_files(spark, sf_dir):
     return items.select("title", "url", "description", DT.normalize_date(F.col("raw_date")).alias("date"))
 
 
+# The registry of the fixture's feeds, in order; nothing landed for the third, and the last is cut short.
+FEED_REGISTRY = ((0, "Agência Sul", "sul"), (1, "Boletim Norte", "norte"), (2, "Sem Arquivo", "falta"), (3, "Quebrado", "quebrado"))
+
+
+@query("feed_report")
+def q_feed_report(spark, sf_dir):
+    """NEWS-U, end to end: documents written as feed files, those of one feed broken, read in registry
+    order, united, ranked by the default terms, and set into the national report."""
+    path = shared_dir(spark, "feed-report")
+    did = F.col("doc_id")
+    docs = FX.table(spark, sf_dir, "documents").select("doc_id").where(did % 3 != 2)
+    topic = F.get(F.array(*[F.lit(t) for t in FX.FEED_TOPICS]), (did % len(FX.FEED_TOPICS)).cast("int"))
+    stamp = F.date_format(F.timestamp_add("MINUTE", did.cast("int"), F.lit("2026-01-01").cast("timestamp")), "d MMM yyyy HH:mm")
+    note = F.concat(F.lit("<p>Nota "), did.cast("string"), F.lit(" &amp; mais</p>"))
+    item = F.concat(F.lit("<item><title>"), topic, F.lit(" "), did.cast("string"), F.lit("</title><link>https://example.org/"), did.cast("string"),
+                    F.lit("</link><description>"), SF.xml_escape(note), F.lit("</description><pubDate>"), stamp, F.lit(" GMT</pubDate></item>"))
+    # Each feed comes in files of at most 100 items; the broken one repeats the first feed's items.
+    feeds = F.when(did % 3 == 0, F.array(F.lit("sul"), F.lit("quebrado"))).otherwise(F.array(F.lit("norte")))
+    lines = docs.select(F.explode(feeds).alias("feed"), F.floor(did / 300).alias("part"), did.alias("at"), item.alias("value"))
+    parts = lines.select("feed", "part").distinct()
+    ends = (parts.select("feed", "part", F.lit(-1).cast("bigint").alias("at"), F.lit("<rss><channel><title>f</title>").alias("value"))
+            .union(parts.where("feed <> 'quebrado'").select("feed", "part", F.lit(2 ** 62).cast("bigint").alias("at"), F.lit("</channel></rss>").alias("value"))))
+    (lines.union(ends).repartition("feed", "part").sortWithinPartitions("feed", "part", "at").select("feed", "part", "value")
+     .write.partitionBy("feed", "part").text(path))
+    registry = spark.createDataFrame(FEED_REGISTRY, "feed_pos INT, name STRING, file STRING")
+    landed = SF.read_feed_items(spark, f"{path}/*/*", registry, file_of=F.regexp_extract("path", "feed=([^/]*)/", 1))
+    united = N.union_feeds(*[N.prepare_items(landed.where(F.col("feed_pos") == k)) for k, _, _ in FEED_REGISTRY])
+    news = N.ranked_news_text(N.rank_news(united, 5))
+    return REP.render_report(M.all_metrics(fact(spark, sf_dir)), F.lit("exec-national"), REPORT_TIME, news_text=news)
+
+
 @query("audit_log_roundtrip")
 def q_audit_log_roundtrip(spark, sf_dir):
-    """SNK-5 + SRC-5: audit rows appended as daily JSONL, read back, summarised."""
+    """SNK-5 + SRC-5: audit rows appended as daily JSONL in two batches, one of them twice, read back, summarised."""
     path = shared_dir(spark, "audit")
-    SA.append_audit(FX.audit_events(spark, sf_dir), path)
+    events = FX.audit_events(spark, sf_dir)
+    errors = F.col("event_type") == "error"
+    SA.append_audit(events.where(errors), path, "errors")
+    SA.append_audit(events.where(errors), path, "errors")
+    SA.append_audit(events.where(~errors), path)
     return OPS.execution_summary(OPS.flatten_events(SA.read_audit_log(spark, path)))
 
 
@@ -482,12 +583,13 @@ def _stream_dirs(spark, name):
 
 @query("stream_ingest_cases")
 def q_stream_ingest_cases(spark, sf_dir):
-    """STR-1: landed raw CSV → streaming CLEAN → curated Parquet, read back."""
+    """STR-1: raw CSV of two layouts, then of a third, landed → streaming CLEAN → curated Parquet, read back."""
     src, out, ckpt = _stream_dirs(spark, "stream-ingest")
-    (FX.mapped_cases(spark, sf_dir).write.mode("overwrite").option("sep", ";")
-     .option("encoding", "ISO-8859-1").option("header", True).csv(src))
-    ST.stream_ingest(spark, src, out, ckpt, year=FIXTURE_YEAR)
-    return codes_as_text(dates_as_text(spark.read.parquet(out).drop("year")))
+    raw = materialize(FX.mapped_cases(spark, sf_dir))
+    for landing in ((0, 2), (1,)):
+        FX.land_cases(raw, src, landing)
+        ST.stream_ingest(spark, src, out, ckpt, year=FIXTURE_YEAR)
+    return codes_as_text(dates_as_text(spark.read.parquet(out).drop("batch", "year")))
 
 
 @query("stream_daily_cases")
@@ -502,34 +604,94 @@ def q_stream_daily_cases(spark, sf_dir):
 
 @query("stream_execution_summary")
 def q_stream_execution_summary(spark, sf_dir):
-    """STR-3: audit JSON lines replayed through the streaming execution summary."""
+    """STR-3: audit JSON lines that land in two batches, replayed through the streaming execution summary."""
     src, out, ckpt = _stream_dirs(spark, "stream-audit")
-    SA.append_audit(FX.audit_events(spark, sf_dir), src)
-    ST.stream_execution_summary(spark, src, out, ckpt)
-    return ST.read_upsert_log(spark, out, ["execution_id"])
+    events = FX.audit_events(spark, sf_dir)
+    for k in range(2):
+        # Every execution has events in both; the span of a whole table may be out of order.
+        SA.append_audit(events.where(F.crc32("event_id") % 2 == k), src)
+        ST.stream_execution_summary(spark, src, out, ckpt, watermark="5000 days")
+        ST.compact_upsert_log(spark, out, ["execution_id"])
+    return ST.read_execution_summary(spark, out)
 
 
 @query("stream_rate_limit")
 def q_stream_rate_limit(spark, sf_dir):
-    """STR-4: call files replayed through the stateful streaming rate limiter."""
+    """STR-4: call files replayed through the stateful streaming rate limiter, odd ones after even ones."""
     src, out, ckpt = _stream_dirs(spark, "stream-rate")
     calls = FX.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    calls.write.mode("overwrite").parquet(src)
-    ST.stream_rate_limit(spark, src, calls.schema, "user_id", "ts", "event_id", out, ckpt,
-                         RATE_K, RATE_WINDOW_S)
-    return spark.read.parquet(out).select("event_id", "user_id", "admitted")
+    for k in range(2):
+        calls.where(F.col("event_id") % 2 == k).write.mode("append").parquet(src)
+        ST.stream_rate_limit(spark, src, calls.schema, "user_id", "ts", "event_id", out, ckpt,
+                             RATE_K, RATE_WINDOW_S, watermark="5000 days")
+    return ST.read_upsert_log(spark, out, ["user_id", "event_id"]).select("event_id", "user_id", "admitted")
 
 
-@query("load_history_latest")
-def q_load_history_latest(spark, sf_dir):
-    """SRC-1 → CLEAN → SNK-3 → SNK-4, then REP-5: the newest load-history row."""
+SOURCE_URL = "https://example.org/srag-2000.csv"
+
+
+def _loaded(spark, sf_dir):
+    """Raw files of three layouts ingested; the table's root and the load history."""
     base = shared_dir(spark, "ingest")
     raw, table_root, history = f"{base}/raw", f"{base}/table", f"{base}/history"
-    (FX.mapped_cases(spark, sf_dir).write.mode("overwrite").option("sep", ";")
-     .option("encoding", "ISO-8859-1").option("header", True).csv(raw))
-    SC.ingest(spark, raw, table_root, year=FIXTURE_YEAR, metadata_path=history)
-    latest = REP.latest_source(spark.read.json(history))
-    return latest.select("provider", "source_type", F.col("rows_processed").cast("bigint"))
+    FX.land_cases(FX.mapped_cases(spark, sf_dir), raw)
+    SC.ingest(spark, raw, table_root, year=FIXTURE_YEAR, metadata_path=history, source_url=SOURCE_URL)
+    return table_root, spark.read.schema(SC.LOAD_HISTORY_SCHEMA).json(history)
+
+
+@query("load_history_latest")
+def q_load_history_latest(spark, sf_dir):
+    """SRC-1 → CLEAN → SNK-3 → SNK-4, then REP-5: the newest load-history row and its five fields."""
+    root, history = _loaded(spark, sf_dir)
+    rows = REP.latest_source(history).select(F.col("rows_processed").cast("bigint"))
+    return REP.source_metadata(history).crossJoin(rows).select(
+        "provider", "source_type", F.replace("db_path", F.lit(root), F.lit("table")).alias("db_path"),
+        F.try_to_timestamp("updated_at").isNotNull().alias("updated"), "source_url", "rows_processed")
+
+
+@query("report_with_source")
+def q_report_with_source(spark, sf_dir):
+    """REP-3 + REP-5: the national report from the loaded table, section 5 filled from the load history."""
+    root, history = _loaded(spark, sf_dir)
+    metrics = M.all_metrics(materialize(M.daily_fact(SC.read_curated(spark, root))))
+    report = REP.render_report(metrics, F.lit("exec-national"), REPORT_TIME, source=REP.source_scalar(history))
+    # The time of the load is the one thing that differs from run to run.
+    return report.select(F.regexp_replace("report", r"(local: )\d{4}-\d\d-\d\dT[^\n]*", "$1load time").alias("report"))
+
+
+def _maintained(spark, sf_dir):
+    """All years loaded and their fact computed, then one year reloaded without men and its fact alone computed anew."""
+    base = shared_dir(spark, "maintained")
+    curated = materialize(C.clean_cases(FX.mapped_cases(spark, sf_dir), year=None))
+    SC.replace_curated(curated, f"{base}/cases")
+    SFA.refresh_daily_fact(spark, f"{base}/cases", f"{base}/fact")
+    SC.replace_curated(curated.where(F.col("cs_sexo") == 1), f"{base}/cases", years=[FIXTURE_YEAR])
+    SFA.refresh_daily_fact(spark, f"{base}/cases", f"{base}/fact")
+    return base
+
+
+@query("maintained_fact_metrics")
+def q_maintained_fact_metrics(spark, sf_dir):
+    """AGG-6 by region over all years from the maintained fact: no case is read."""
+    return M.all_metrics(SFA.read_daily_fact(spark, f"{_maintained(spark, sf_dir)}/fact"), keys=["sg_uf"])
+
+
+@query("describe_by_uf")
+def q_describe_by_uf(spark, sf_dir):
+    """AGG-7 by region with the exact median; the maintained fact's sketch lies within its stated error of it."""
+    base = _maintained(spark, sf_dir)
+    curated = SC.read_curated(spark, f"{base}/cases", year=FIXTURE_YEAR)
+    exact = M.describe_cases(curated, keys=["sg_uf"])
+    merged = SFA.describe_fact(SFA.read_daily_fact(spark, f"{base}/fact", FIXTURE_YEAR), ["sg_uf"]).select(
+        F.col("sg_uf").alias("of"), F.col("idade_mediana").alias("near"), F.col("idade_media").alias("mean"))
+    # The share of ages below and up to the sketch's median must hold the middle, but for the error.
+    ages = curated.join(merged, F.col("sg_uf").eqNullSafe(F.col("of"))).groupBy("of").agg(
+        (F.count_if(F.col("idade_anos") < F.col("near")) / F.count("idade_anos")).alias("below"),
+        (F.count_if(F.col("idade_anos") <= F.col("near")) / F.count("idade_anos")).alias("upto"), F.first("mean").alias("mean"))
+    slack = SFA.RANK_ERROR
+    return exact.join(ages, F.col("sg_uf").eqNullSafe(F.col("of"))).select(
+        *exact.columns, ((F.col("below") <= 0.5 + slack) & (F.col("upto") >= 0.5 - slack)).alias("sketch_in_error"),
+        (F.abs(F.col("mean") - F.col("idade_media")) < 1e-5).alias("same_mean"))
 
 
 @query("cases_half_open_range")

@@ -51,6 +51,12 @@ CURATED_COLUMNS = (
 # Raw files are read with every column as text; typing happens in cleaning.
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_COLUMNS])
 
+# Types of cleaned columns (lower-case names of raw, derived and curated ones) for sources that hold text only.
+PROCESSED_TYPES = (
+    {c.lower(): "int" for c in RAW_COLUMNS} | {c: "int" for c, _ in CURATED_COLUMNS}
+    | {c.lower(): "date" for c in DATE_COLUMNS} | {c.lower(): "string" for c in TEXT_COLUMNS} | {"idade_anos": "double", "nu_idade_n": "double"}
+)
+
 # --- fixed values: job status enumeration ---
 JOB_STATUSES = ("queued", "running", "succeeded", "failed")
 

@@ -2,56 +2,114 @@
 
 * Raw notification files are ``;``-separated Latin-1 CSV; every column is read
   as text (never ``inferSchema``: a full extra pass, and it guesses) and typed
-  in ``operators.clean``.
+  in ``operators.clean``. Yearly layouts differ in columns and their order: tasks
+  read the first line of every file, and files of one header are read by one scan.
 * The curated table is Parquet partitioned by notification year, so the year
-  filter of every indicator prunes whole directories.
-* A full reload writes a new version directory and only then moves the
-  ``_current`` pointer, so a failed load never leaves readers with an empty or
-  half-written table (the source deletes first and loads after).
+  filter of every indicator prunes whole directories. Appends, full reloads and
+  reloads of single years each become visible at once (``sources.versions``), so
+  a failed load never leaves readers with an empty or half-written table (the
+  source deletes first and loads after).
 """
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
-import json
+import re
 import time
-import uuid
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from episcope import schema as S
 from episcope.operators.clean import clean_cases, prune_columns
+from episcope.sources import versions
 
+_BLOCK = 1 << 16  # bytes of a file read at a time until its first line ends
 
-def read_cases_csv(spark: SparkSession, path: str, sep: str = ";",
-                   encoding: str = "ISO-8859-1") -> DataFrame:
-    """SRC-1: the 24 relevant columns of the raw files; a missing column raises.
 
-    Yearly layouts differ in columns and their order, so files are grouped by
-    their own header (one short read of each file) and matched by name.
+def read_cases_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:
+    """SRC-1: the 24 relevant columns of the raw files under ``path``; a missing column raises.
+
+    Files may differ in columns and their order: they are matched by name.
     """
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for name in input_files(spark, path):
-        layouts.setdefault(tuple(csv_header(spark, name, sep, encoding)), []).append(name)
-    layouts.pop((), None)  # files without even a header
-    if not layouts:
-        return prune_columns(_csv_reader(spark.read, sep, encoding).csv(path))
-    parts = [prune_columns(_csv_reader(spark.read, sep, encoding).schema(text_schema(header)).csv(files))
-             for header, files in layouts.items()]
-    return reduce(DataFrame.unionByName, parts)
+    return cases_of_files(spark.read.format("binaryFile").load(path), sep, encoding)
+
 
+def cases_of_files(files: DataFrame, sep: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:
+    """The relevant columns of the CSV files listed in ``files`` (column ``path``), whatever their layouts.
 
-def input_files(spark: SparkSession, path: str) -> list[str]:
-    """The files under ``path``; only their names are read."""
-    return sorted(r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    One pass of tasks reads headers; then there is one scan for each layout, so the number
+    of jobs does not grow with the files. Empty files hold no rows.
+    """
+    spark = files.sparkSession
+    parts = [prune_columns(_csv_reader(spark.read, sep, encoding).schema(text_schema(header)).csv(names))
+             for header, names in file_layouts(files, sep, encoding)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], S.RAW_SCHEMA)
 
 
-def csv_header(spark: SparkSession, path: str, sep: str = ";", encoding: str = "ISO-8859-1") -> list[str]:
-    """Column names of a CSV file, in file order."""
-    return spark.read.options(sep=sep, encoding=encoding, header=True, escape='"').csv(path).columns
+def file_layouts(files: DataFrame, sep: str = ";", encoding: str = "ISO-8859-1") -> list[tuple[list[str], list[str]]]:
+    """``(header, file names)`` for each layout among the CSV files listed in ``files``; files without a header are left out.
+
+    Tasks open the files and read no more than their first blocks; the driver gets a row for
+    each layout. For files in a store that only Spark can open, Spark looks through their
+    lines for the one that holds all the names of required columns.
+    """
+    def peek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_first_line(p, encoding) for p in batch.column(0).to_pylist()]
+            header = [None if line is None else next(csv.reader([line], delimiter=sep), []) for line in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(header, pa.list_(pa.string()))], names=["path", "header"])
+
+    headers = files.select("path").mapInArrow(peek, "path string, header array<string>")
+    layouts = {None if r[0] is None else tuple(r[0]): r[1] for r in _by_header(headers)}
+    closed = layouts.pop(None, None)
+    if closed:
+        for r in _by_header(_headers_by_spark(files.sparkSession, closed, sep, encoding)):
+            layouts.setdefault(tuple(r[0]), []).extend(r[1])
+    layouts.pop((), None)
+    return [(list(header), sorted(names)) for header, names in sorted(layouts.items())]
+
+
+def _by_header(headers: DataFrame) -> list:
+    return headers.groupBy("header").agg(F.collect_list("path")).collect()
+
+
+def _headers_by_spark(spark: SparkSession, names: list[str], sep: str, encoding: str) -> DataFrame:
+    needed = [c for c in S.RAW_COLUMNS if c not in S.OPTIONAL_COLUMNS]
+    lines = spark.read.text(names).select(F.col("_metadata.file_path").alias("uri"), F.decode(F.col("value").cast("binary"), encoding).alias("line"))
+    headers = lines.where(reduce(lambda a, b: a & b, [F.contains("line", F.lit(c)) for c in needed]))
+    split = F.transform(F.split("line", re.escape(sep)), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    listed = spark.read.format("binaryFile").load(names).select("path", F.col("_metadata.file_path").alias("of"))
+    return listed.join(headers, F.col("of") == F.col("uri")).groupBy("path").agg(F.first(split).alias("header"))
+
+
+def _first_line(path: str, encoding: str) -> str | None:
+    """A file's first line that is not blank; empty if there is none, None if the file cannot be opened from here."""
+    from pyarrow import fs
+
+    try:
+        if path.startswith("file:") or path.startswith("/"):
+            store, inner = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+        else:
+            store, inner = fs.FileSystem.from_uri(path)
+        with store.open_input_stream(inner, compression="detect") as stream:
+            held = b""
+            while True:
+                block = stream.read(_BLOCK)
+                held += block
+                whole = held if not block else held[:held.rfind(b"\n") + 1]
+                for line in whole.splitlines():
+                    if line.strip():
+                        return line.decode(encoding).removeprefix("\ufeff")
+                if not block:
+                    return ""
+    except (OSError, ValueError, NotImplementedError):
+        return None
 
 
 def text_schema(names) -> T.StructType:
@@ -63,12 +121,15 @@ def _csv_reader(reader, sep: str, encoding: str):
     return reader.options(sep=sep, encoding=encoding, header=True, inferSchema=False, escape='"', enforceSchema=False)
 
 
-def sample_rows(raw: DataFrame, n: int | None) -> DataFrame:
+def sample_rows(raw: DataFrame, n: int | None, order: Sequence[str] = ()) -> DataFrame:
     """SRC-2: the first ``n`` raw rows (before cleaning); ``None`` keeps all.
 
-    Row order is only defined within one file, as with any split file read.
+    Row order is only defined within one file, as with any split file read; with ``order``
+    the rows are the first in order of these columns, NULLs first, the same on every run.
     """
-    return raw if n is None else raw.limit(n)
+    if n is None:
+        return raw
+    return raw.orderBy(*order).limit(n) if order else raw.limit(n)
 
 
 def write_processed(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -81,46 +142,35 @@ def write_processed(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def read_processed(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """SRC-3: re-read a processed table; CSV dates are parsed again."""
+    """SRC-3: re-read a processed table; CSV columns get back the types that cleaning gave them.
+
+    Dates are DATE, coded answers and flags INT, the age DOUBLE, codes of places text; a value
+    that does not fit is NULL. Columns that cleaning does not know stay text.
+    """
     if fmt == "parquet":
         return spark.read.parquet(path)
-    df = spark.read.option("header", True).csv(path)
-    return df.select(*[F.to_date(c).alias(c) if c in S.DATE_COLUMNS else F.col(c) for c in df.columns])
+    df = spark.read.options(header=True, escape='"').csv(path)
+    kinds = S.PROCESSED_TYPES
+    return df.select(*[F.col(c).try_cast(kinds[c.lower()]).alias(c) if c.lower() in kinds else F.col(c) for c in df.columns])
 
 
 def _curated_with_year(curated: DataFrame) -> DataFrame:
     return curated.withColumn("year", F.year("dt_notific"))
 
 
-def load_curated(curated: DataFrame, table_path: str) -> None:
-    """SNK-2: append curated rows, partitioned by notification year."""
-    _curated_with_year(curated).write.mode("append").partitionBy("year").parquet(table_path)
+def load_curated(curated: DataFrame, table_root: str) -> versions.Manifest:
+    """SNK-2: append curated rows, by notification year; readers see all of them or none."""
+    return versions.append(_curated_with_year(curated), table_root, "year")
 
 
-def replace_curated(curated: DataFrame, table_root: str) -> str:
-    """SNK-3: atomic full reload — new version directory, then the pointer moves.
-
-    Returns the version path. Readers use ``read_curated``.
-    """
-    spark = curated.sparkSession
-    version = f"{table_root.rstrip('/')}/v={int(time.time() * 1000)}-{uuid.uuid4().hex[:6]}"
-    table = _curated_with_year(curated)
-    table.write.mode("overwrite").partitionBy("year").parquet(version)
-    # The pointer carries the schema, so an empty reload (no data files) still reads. Each
-    # reload adds a pointer file; the newest counts, so there is always one to read.
-    pointer = json.dumps({"seq": time.time_ns(), "path": version, "schema": table.schema.json()})
-    spark.createDataFrame([(pointer,)], "value STRING").coalesce(1).write.mode("append") \
-        .text(f"{table_root.rstrip('/')}/_current")
-    return version
+def replace_curated(curated: DataFrame, table_root: str, years: Iterable[int] | None = None) -> versions.Manifest:
+    """SNK-3: atomic reload of the whole table, or of ``years`` only; rows of other years are then left out."""
+    return versions.replace(_curated_with_year(curated), table_root, "year", None if years is None else list(years))
 
 
 def read_curated(spark: SparkSession, table_root: str, year: int | None = None) -> DataFrame:
-    """Current version of a reloaded curated table; ``year`` prunes partitions."""
-    # One short line for each reload.
-    pointers = [json.loads(r[0]) for r in spark.read.text(f"{table_root.rstrip('/')}/_current").collect()]
-    pointer = max(pointers, key=lambda p: p["seq"])
-    df = spark.read.schema(T.StructType.fromJson(json.loads(pointer["schema"]))).parquet(pointer["path"])
-    return df if year is None else df.where(F.col("year") == year)
+    """The curated table as its loads and reloads have left it; ``year`` reads that year's folders only."""
+    return versions.read(spark, table_root, None if year is None else [year])
 
 
 def ingest(spark: SparkSession, raw_path: str, table_root: str, year: int | None = 2024,
@@ -135,13 +185,13 @@ def ingest(spark: SparkSession, raw_path: str, table_root: str, year: int | None
     obs = Observation("ingest")
     curated = clean_cases(read_cases_csv(spark, raw_path), year=year).observe(
         obs, F.count(F.lit(1)).alias("rows"))
-    version = replace_curated(curated, table_root)
+    state = replace_curated(curated, table_root)
     meta = {
         "provider": provider,
         "source_type": "parquet_table",
         "source_url": source_url,
         "raw_path": raw_path,
-        "table_path": version,
+        "table_path": f"{table_root.rstrip('/')}#{state.number}",
         "rows_processed": int(obs.get["rows"]),
         "duration_ms": round((time.time() - t0) * 1000, 2),
         "ingested_at": dt.datetime.now(dt.timezone.utc).isoformat(),

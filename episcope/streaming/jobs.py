@@ -4,21 +4,24 @@ Each job reads landed files (CSV, Parquet, JSON lines) as a stream, applies
 the *same* operator functions as the batch path, and runs with a checkpoint in
 the shared folder, so a restarted job resumes where it stopped.
 
-Sinks: keyed aggregations run in ``update`` mode and write each micro-batch's
-changed rows to an append-only *upsert log* (``foreachBatch``, tagged with the
-batch id). Reading folds the log to the latest row per key, which also makes a
-replayed micro-batch harmless.
+Sinks: keyed results run in ``update`` mode and write each micro-batch's
+changed rows to an *upsert log* (``foreachBatch``, a folder for each batch, so a
+replayed micro-batch writes the same folder again). Reading folds the log to the
+latest row per key; ``compact_upsert_log`` folds it for good.
 
 Late data: daily counts keep a 7-day event-time watermark; a row older than
 the watermark when it arrives is dropped (the source has no late-data rule).
+The keyed jobs bound their state by event time as well; see their docstrings.
 """
 
 from __future__ import annotations
 
+import re
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,14 +29,17 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from episcope import schema as S
 from episcope.functions.dates import epoch_micros
-from episcope.operators.clean import clean_cases, prune_columns
-from episcope.sources.cases import csv_header, input_files, text_schema
-from episcope.operators.ops import execution_summary, flatten_events
+from episcope.operators.clean import clean_cases
+from episcope.operators.ops import execution_counts, execution_record, flatten_events
+from episcope.sources import versions
+from episcope.sources.audit import audit_stream
+from episcope.sources.cases import cases_of_files
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 WATERMARK = "7 days"
-# Call time in microseconds, computed JVM-side before the state operator.
-TIME_US = "call_time_us"
+FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+_EVENT_TIME = "event_time"
 
 
 def _run(query_writer, available_now: bool = True):
@@ -45,43 +51,93 @@ def _run(query_writer, available_now: bool = True):
     return q
 
 
+def _session_with_rocksdb(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep their state in RocksDB; the caller's settings stay as they are."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set(PROVIDER, ROCKSDB)
+    return own
+
+
+# ------------------------------------------------------------------ upsert log
+
 def upsert_log(path: str):
-    """``foreachBatch`` function appending a micro-batch's rows tagged with its id."""
+    """``foreachBatch`` function: a micro-batch's rows in a folder named by its id, replaced if the batch runs again."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/tail/_batch={batch_id}")
     return write
 
 
+def _log_state(spark: SparkSession, path: str) -> tuple[int, str | None, list[int]]:
+    """The newest snapshot's last batch (-1 for none) and folder, and the batches after it."""
+    root = path.rstrip("/")
+    snapshots = [int(m[1]) for n in versions.names(spark, f"{root}/snapshots") if (m := re.fullmatch(r"(\d+)\.done", n))]
+    upto = max(snapshots, default=-1)
+    batches = [int(m[1]) for n in versions.names(spark, f"{root}/tail") if (m := re.fullmatch(r"_batch=(\d+)", n))]
+    folder = versions.read_small(spark, f"{root}/snapshots/{upto}.done") if snapshots else None
+    return upto, folder, sorted(b for b in batches if b > upto)
+
+
 def read_upsert_log(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Fold an upsert log to the newest row per key (partial aggregation, no sort)."""
-    log = spark.read.parquet(path)
+    """Fold an upsert log to the newest row per key: the newest snapshot and the batches after it (partial aggregation, no sort)."""
+    upto, snapshot, batches = _log_state(spark, path)
+    parts = [spark.read.parquet(snapshot).withColumn("_batch", F.lit(upto).cast("bigint"))] if snapshot else []
+    if batches:
+        tail = f"{path.rstrip('/')}/tail"
+        folders = [f"{tail}/_batch={b}" for b in batches]
+        parts.append(spark.read.option("basePath", tail).option("mergeSchema", True).parquet(*folders).withColumn("_batch", F.col("_batch").cast("bigint")))
+    if not parts:
+        raise FileNotFoundError(f"no batch was written to {path}")
+    log = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     values = [c for c in log.columns if c not in (*keys, "_batch")]
     newest = F.max_by(F.struct(*values), F.col("_batch")).alias("v")
     return log.groupBy(*keys).agg(newest).select(*keys, "v.*")
 
 
+def compact_upsert_log(spark: SparkSession, path: str, keys: Sequence[str]) -> int | None:
+    """Fold the log's newest snapshot and tail into a new snapshot, so that reading does not grow with finished batches.
+
+    The snapshot counts only once its small ``<last batch>.done`` file names it: a crash
+    before that leaves the old state in force, and the tail stays until a later run of
+    this function finds it covered. Returns the last batch covered, None if nothing was new.
+    Call it between batches, or on a log whose last batch is finished.
+    """
+    root = path.rstrip("/")
+    upto, _, batches = _log_state(spark, path)
+    covered = [int(m[1]) for n in versions.names(spark, f"{root}/tail") if (m := re.fullmatch(r"_batch=(\d+)", n)) and int(m[1]) <= upto]
+    versions.remove(spark, [f"{root}/tail/_batch={b}" for b in covered])
+    if not batches:
+        return None
+    folder = f"{root}/snapshots/upto={batches[-1]}-{versions.fresh()}"
+    read_upsert_log(spark, path, keys).write.parquet(folder)
+    versions.create(spark, f"{root}/snapshots/{batches[-1]}.done", folder)
+    return batches[-1]
+
+
 # ------------------------------------------------------------------ STR-1
 
 def stream_ingest(spark: SparkSession, raw_dir: str, out_dir: str, checkpoint: str,
                   year: int | None = 2024, available_now: bool = True,
                   max_files_per_trigger: int | None = None):
-    """STR-1: new raw CSV files → CLEAN → curated Parquet (append, by year).
+    """STR-1: new raw CSV files → CLEAN → curated Parquet under ``batch=<id>/year=<year>``.
 
-    The files' own header gives the column order; the stream fails on a file whose
-    header differs rather than mixing columns. A folder that is still empty is
-    expected in the order of the relevant columns. ``max_files_per_trigger`` bounds a batch.
+    The stream is one of files, not of rows (their names; no content is read): each
+    micro-batch reads its files by their own headers, so layouts may change from file to
+    file. A batch that runs again replaces its folder. ``max_files_per_trigger`` bounds a
+    batch. A file without a required column stops the stream, as it stops a batch load.
     """
-    files = input_files(spark, raw_dir)
-    names = csv_header(spark, files[0]) if files else S.RAW_SCHEMA.names
-    reader = spark.readStream.schema(text_schema(names)).options(
-        sep=";", encoding="ISO-8859-1", header=True, escape='"', enforceSchema=False)
+    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = prune_columns(reader.csv(raw_dir))
-    curated = clean_cases(raw, year=year).withColumn("year", F.year("dt_notific"))
-    w = (curated.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-         .partitionBy("year").outputMode("append"))
-    return _run(w.option("path", out_dir), available_now)
+
+    def load(files: DataFrame, batch_id: int) -> None:
+        curated = clean_cases(cases_of_files(files), year=year).withColumn("year", F.year("dt_notific"))
+        curated.write.mode("overwrite").partitionBy("year").parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
+
+    w = reader.load(raw_dir).select("path").writeStream.option("checkpointLocation", checkpoint).foreachBatch(load)
+    return _run(w, available_now)
 
 
 # ------------------------------------------------------------------ STR-2
@@ -105,66 +161,200 @@ def stream_daily_cases(spark: SparkSession, curated_dir: str, schema: T.StructTy
 
 # ------------------------------------------------------------------ STR-3
 
+_COUNTS = ("first_us", "last_us", "total_tool_calls", "total_validations", "failed_validations", "total_errors")
+
+
+class ExecutionProcessor(StatefulProcessor):
+    """Counts of an execution, as long as events of it may still come.
+
+    Every batch that holds events of an execution emits its counts so far. A timer stands at
+    the execution's last event; the event-time watermark, which stays ``WATERMARK`` behind
+    the newest event, passes it when no event can follow, and the counts are dropped.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getValueState("counts", ", ".join(f"{c} LONG" for c in _COUNTS))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = list(self.counts.get()) if self.counts.exists() else None
+        before = now[1] if now else None
+        for part in rows:
+            new = [int(part["first_us"].min()), int(part["last_us"].max()), *(int(part[c].sum()) for c in _COUNTS[2:])]
+            now = new if now is None else [min(now[0], new[0]), max(now[1], new[1]), *(a + b for a, b in zip(now[2:], new[2:], strict=True))]
+        if before != now[1]:
+            if before is not None:
+                self.handle.deleteTimer(before // 1000 + 1)
+            self.handle.registerTimer(now[1] // 1000 + 1)
+        self.counts.update(tuple(now))
+        yield pd.DataFrame([[key[0], *now]], columns=["execution_id", *_COUNTS])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.counts.clear()  # the log holds them
+        yield pd.DataFrame({"execution_id": pd.Series(dtype="str")} | {c: pd.Series(dtype="int64") for c in _COUNTS})
+
+    def close(self) -> None:
+        pass
+
+
 def stream_execution_summary(spark: SparkSession, audit_dir: str, log_dir: str, checkpoint: str,
-                             available_now: bool = True):
-    """STR-3: OPS-5 kept up to date over an arriving audit log."""
-    events = spark.readStream.schema(S.AUDIT_SCHEMA).json(audit_dir)
-    summary = execution_summary(flatten_events(events))
-    w = (summary.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-         .foreachBatch(upsert_log(log_dir)))
+                             available_now: bool = True, watermark: str = WATERMARK, max_files_per_trigger: int | None = None):
+    """STR-3: OPS-5 kept up to date over an arriving audit log.
+
+    The state holds only executions whose last event is younger than the watermark; an
+    event later than that is dropped. Events without an execution id or a time belong to
+    no execution. Read the result with ``read_execution_summary``.
+    """
+    own = _session_with_rocksdb(spark)
+    events = flatten_events(audit_stream(own, audit_dir, max_files_per_trigger)).where(F.col("execution_id").isNotNull() & F.col("ts").isNotNull())
+    counted = execution_counts(events.withColumn(_EVENT_TIME, F.col("ts")).withWatermark(_EVENT_TIME, watermark), keep=[_EVENT_TIME])
+    kinds = ", ".join(f"{c} LONG" for c in _COUNTS)
+    summary = counted.groupBy("execution_id").transformWithStateInPandas(
+        statefulProcessor=ExecutionProcessor(), outputStructType=f"execution_id STRING, {kinds}", outputMode="Update", timeMode="EventTime")
+    w = summary.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert_log(log_dir))
     return _run(w, available_now)
 
 
+def read_execution_summary(spark: SparkSession, log_dir: str) -> DataFrame:
+    """The execution summaries of STR-3's log."""
+    return execution_record(read_upsert_log(spark, log_dir, ["execution_id"]))
+
+
 # ------------------------------------------------------------------ STR-4
 
-class RateLimitProcessor(StatefulProcessor):
-    """Per-key admission with the admitted instants of the window as list state.
+# Names without an underscore before them: the state API renames such columns.
+_TIME, _SEQ, _ROW, _BUCKET = "time_us", "seq", "row", "bucket"
+
 
-    Rows of one micro-batch are sorted by time before the fold; a call that
-    arrives in a later batch with an earlier time than the state is judged
-    against the state as it stands (late calls are not re-ordered).
+class RateLimitProcessor(StatefulProcessor):
+    """Admission of a key's calls in event-time order, whatever order they arrive in.
+
+    Calls younger than the watermark are buffered by time bucket (one window each), with
+    the decision last given to them. Calls that arrive put their bucket's decisions, and
+    those after, in question: they are folded again bucket by bucket, and new or changed
+    decisions are emitted. When the watermark passes the end of a bucket (a timer stands
+    there) nothing can precede its calls any more: the bucket is dropped, and at most
+    ``max_calls`` admitted instants of it and those before are kept. One window later
+    they are dropped as well, if the key has no younger calls. Spark drops calls that are
+    older than the watermark when they arrive.
     """
 
-    def __init__(self, max_calls: int, window_us: int, ts: str, seq: str):
-        self.max_calls, self.window_us, self.ts, self.seq = max_calls, window_us, ts, seq
+    def __init__(self, max_calls: int, window_us: int):
+        self.max_calls, self.window_us = max_calls, window_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # At most ``max_calls`` instants per key: older ones are dropped on every
-        # update, so the state stays bounded without a TTL (a processing-time
-        # TTL would also keep an availableNow query scheduling empty batches).
-        self.admitted = handle.getListState("admitted", "t LONG")
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "admitted ARRAY<LONG>")
+        self.buckets = handle.getMapState("buckets", "bucket LONG", "calls BINARY")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values([TIME_US, self.seq], kind="stable")
-        times = pdf[TIME_US].to_numpy()
-        window = deque(t for (t,) in self.admitted.get()) if self.admitted.exists() else deque()
-        flags = []
-        for t in times:
-            t = int(t)
-            while window and t - window[0] >= self.window_us:
-                window.popleft()
-            ok = len(window) < self.max_calls
-            if ok:
-                window.append(t)
-            flags.append(ok)
-        self.admitted.put([(t,) for t in window])
-        yield pdf.drop(columns=[TIME_US]).assign(admitted=flags)
+        touched = None
+        for part in rows:  # frame by frame: of a key's calls one bucket at a time is in memory
+            for bucket, calls in part.groupby(_BUCKET, sort=True):
+                bucket = int(bucket)
+                known = self._calls(bucket)
+                if known is None:
+                    self.handle.registerTimer(self._end_ms(bucket))
+                calls = calls[[_TIME, _SEQ, _ROW]].assign(admitted=pd.array([None] * len(calls), "boolean"))
+                self._store(bucket, calls if known is None else pd.concat([known, calls], ignore_index=True))
+                touched = bucket if touched is None else min(touched, bucket)
+        yield from self._decided(touched)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = self._known()
+        over = [b for b in known if self._end_ms(b) <= expiredTimerInfo.getExpiryTimeInMs()]
+        window = deque(self._settled(), self.max_calls)
+        for bucket in over:
+            window.extend(self._admitted(bucket))
+            self.buckets.removeKey((bucket,))
+        if over:
+            self.settled.update((list(window),))
+            self.handle.registerTimer(self._end_ms(over[-1] + 1))
+        elif not known:
+            self.settled.clear()
+        yield pd.DataFrame({_ROW: pd.Series(dtype="str"), "admitted": pd.Series(dtype="boolean")})
+
+    def _decided(self, touched: int) -> Iterator[pd.DataFrame]:
+        """Fold the buckets from ``touched`` on; yield decisions that are new or differ."""
+        window = deque(self._settled())
+        for bucket in self._known():
+            if bucket < touched:  # decided before, and nothing new precedes it
+                window.extend(self._admitted(bucket))
+                continue
+            calls = self._calls(bucket).sort_values([_TIME, _SEQ], kind="stable", ignore_index=True)
+            flags = pd.array(admit(calls[_TIME].tolist(), window, self.max_calls, self.window_us), "boolean")
+            changed = (calls["admitted"].isna() | (calls["admitted"].fillna(False) != flags)).to_numpy(bool)
+            if changed.any():
+                self._store(bucket, calls.assign(admitted=flags))
+                yield calls.assign(admitted=flags).loc[changed, [_ROW, "admitted"]]
+
+    def _settled(self) -> list[int]:
+        return [int(t) for t in self.settled.get()[0]] if self.settled.exists() else []
+
+    def _admitted(self, bucket: int) -> list[int]:
+        calls = self._calls(bucket)
+        return calls.loc[calls["admitted"].to_numpy(bool), _TIME].tolist()
+
+    def _known(self) -> list[int]:
+        return sorted(int(b[0]) for b in self.buckets.keys())
+
+    def _end_ms(self, bucket: int) -> int:
+        """The first millisecond at which the bucket is over."""
+        return -(-(bucket + 1) * self.window_us // 1000)
+
+    def _calls(self, bucket: int) -> pd.DataFrame | None:
+        if not self.buckets.containsKey((bucket,)):
+            return None
+        calls = pa.ipc.open_stream(self.buckets.getValue((bucket,))[0]).read_pandas()
+        return calls.assign(admitted=calls["admitted"].astype("boolean"))
+
+    def _store(self, bucket: int, calls: pd.DataFrame) -> None:
+        table = pa.Table.from_pandas(calls, preserve_index=False)
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as stream:
+            stream.write_table(table)
+        self.buckets.updateValue((bucket,), (out.getvalue().to_pybytes(),))
 
     def close(self) -> None:
         pass
 
 
+def admit(times: Iterable[int], window: deque, max_calls: int, window_us: int) -> list[bool]:
+    """Decisions on calls in time order; ``window`` holds the admitted instants before them and is moved on."""
+    flags = []
+    for t in times:
+        while window and t - window[0] >= window_us:
+            window.popleft()
+        flags.append(len(window) < max_calls)
+        if flags[-1]:
+            window.append(t)
+    return flags
+
+
 def stream_rate_limit(spark: SparkSession, calls_dir: str, schema: T.StructType, key: str, ts: str,
-                      seq: str, out_dir: str, checkpoint: str, max_calls: int = 60,
-                      window_seconds: float = 60.0, available_now: bool = True):
-    """STR-4: RATE-1 per key over arriving call files (RocksDB state store)."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    calls = (spark.readStream.schema(schema).parquet(calls_dir)
-             .withColumn(TIME_US, epoch_micros(schema, ts)))
-    out_schema = T.StructType(schema.fields + [T.StructField("admitted", T.BooleanType())])
-    flagged = calls.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=RateLimitProcessor(max_calls, int(window_seconds * 1_000_000), ts, seq),
-        outputStructType=out_schema, outputMode="Append", timeMode="None")
-    w = (flagged.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-         .option("path", out_dir).outputMode("append"))
+                      seq: str, log_dir: str, checkpoint: str, max_calls: int = 60,
+                      window_seconds: float = 60.0, available_now: bool = True,
+                      watermark: str = "1 hour", max_files_per_trigger: int | None = None):
+    """STR-4: RATE-1 per key over arriving call files, equal to the batch rule for calls at most ``watermark`` out of order.
+
+    Decisions go to an upsert log keyed by ``key`` and ``seq``, which must tell a key's calls apart:
+    one that a later arrival overturns is written again. State is bounded by the watermark:
+    the calls of that span, in buckets of one window, and ``max_calls`` instants a key.
+    ``max_files_per_trigger`` bounds a batch. Calls without a time are left out.
+    """
+    own = _session_with_rocksdb(spark)
+    window_us = int(window_seconds * 1_000_000)
+    reader = own.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    at = epoch_micros(schema, ts)
+    timed = reader.parquet(calls_dir).where(F.col(ts).isNotNull()).select(
+        F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("limited"), at.alias(_TIME), F.col(seq).alias(_SEQ),
+        F.to_json(F.struct(*[F.col(c) for c in schema.names])).alias(_ROW), F.floor(at / window_us).alias(_BUCKET),
+        F.timestamp_micros(at).alias(_EVENT_TIME)).withWatermark(_EVENT_TIME, watermark)
+    judged = timed.groupBy("limited").transformWithStateInPandas(
+        statefulProcessor=RateLimitProcessor(max_calls, window_us), outputStructType=f"{_ROW} STRING, admitted BOOLEAN",
+        outputMode="Update", timeMode="EventTime")
+    whole = judged.select(F.from_json(_ROW, schema).alias("call"), "admitted").select("call.*", "admitted")
+    w = whole.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert_log(log_dir))
     return _run(w, available_now)

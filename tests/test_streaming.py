@@ -1,10 +1,19 @@
-"""Streaming twins: stream equals batch, and late rows past the watermark drop."""
+"""Streaming twins: stream equals batch, state stays bounded, and late rows past the watermark drop."""
 
 import datetime as dt
+import random
 import uuid
 
+import pytest
+from pyspark.sql import functions as F
+
+from episcope import schema as S
 from episcope.operators import metrics as M
+from episcope.operators import ops as OPS
+from episcope.operators import ratelimit as RL
 from episcope.operators import series as TS
+from episcope.sources import audit as SA
+from episcope.sources import versions
 from episcope.streaming import jobs as ST
 
 SCHEMA = "dt_notific DATE, obito INT, internou_uti INT, vacinado INT"
@@ -31,3 +40,94 @@ def test_stream_daily_counts_and_late_rows(spark, tmp_path):
     second = {r.date: r.cases for r in ST.read_upsert_log(spark, log, ["date"]).collect()}
     assert second["2024-01-05"] == first["2024-01-05"] == 2
     assert second["2024-01-15"] == first["2024-01-15"] + 1
+
+
+def _dirs(tmp_path):
+    base = tmp_path / uuid.uuid4().hex
+    return str(base / "in"), str(base / "log"), str(base / "ckpt")
+
+
+def _audit(spark, path, events):
+    rows = [(str(k), t, kind, execution, data) for k, (t, kind, execution, data) in enumerate(events)]
+    SA.append_audit(spark.createDataFrame(rows, S.AUDIT_SCHEMA).coalesce(1), path)
+
+
+def test_execution_state_is_dropped_behind_the_watermark(spark, tmp_path):
+    src, log, ckpt = _dirs(tmp_path)
+    days = [[(f"2024-01-{d:02d}T{h:02d}:00:00", kind, f"e{d}", '{"valid": false}') for h, kind in enumerate(["tool_call", "validation", "error"])]
+            for d in (1, 2, 20, 25)]
+    states = []
+    for k, events in enumerate(days):
+        # Executions go on in a later batch as long as they are younger than the watermark.
+        more = [(f"2024-01-{d:02d}T05:00:00", "tool_call", f"e{d}", None) for d in (2, 20)[k - 2:k - 1] if k in (2, 3) and d != 2]
+        _audit(spark, src, events + more + [(f"2024-01-{2 + 18 * (k > 1):02d}T04:00:00", "error", None, None)])
+        q = ST.stream_execution_summary(spark, src, log, ckpt, watermark="3 days")
+        states.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = sorted(map(tuple, ST.read_execution_summary(spark, log).collect()))
+    want = sorted(map(tuple, OPS.execution_summary(OPS.flatten_events(SA.read_audit_log(spark, src))).collect()))
+    assert got == want and len(got) == 4
+    # e1 and e2 are gone once e20 has moved the watermark past them.
+    assert states[1] == 2 * states[0] and states[-1] < states[1] + states[0]
+
+
+def test_compaction_keeps_the_newest_rows(spark, tmp_path):
+    log = str(tmp_path / "log")
+    write = ST.upsert_log(log)
+    for batch in range(6):
+        write(spark.createDataFrame([(k, batch * 10 + k) for k in range(batch, batch + 3)], "k LONG, v LONG"), batch)
+        if batch == 1:
+            write(spark.createDataFrame([(9, 9)], "k LONG, v LONG"), batch)  # a replay replaces the batch
+    with pytest.raises(FileNotFoundError):
+        ST.read_upsert_log(spark, str(tmp_path / "none"), ["k"])
+    want = {r.k: r.v for r in ST.read_upsert_log(spark, log, ["k"]).collect()}
+    assert want == {0: 0, 1: 1, 2: 22, 3: 33, 4: 44, 5: 55, 6: 56, 7: 57, 9: 9}
+    # A crash before the marker: a snapshot folder that nothing names.
+    spark.range(1).selectExpr("id AS k", "-1L AS v").write.parquet(f"{log}/snapshots/upto=5-dead")
+    assert ST.compact_upsert_log(spark, log, ["k"]) == 5 and ST.compact_upsert_log(spark, log, ["k"]) is None
+    assert versions.names(spark, f"{log}/tail") == []  # reading costs the snapshot only
+    assert {r.k: r.v for r in ST.read_upsert_log(spark, log, ["k"]).collect()} == want
+    write(spark.createDataFrame([(9, 90)], "k LONG, v LONG"), 6)
+    assert {r.k: r.v for r in ST.read_upsert_log(spark, log, ["k"]).collect()} == want | {9: 90}
+    assert ST.compact_upsert_log(spark, log, ["k"]) == 6
+    assert {r.k: r.v for r in ST.read_upsert_log(spark, log, ["k"]).collect()} == want | {9: 90}
+
+
+CALLS = "call_id LONG, client STRING, at TIMESTAMP"
+
+
+def test_rate_limit_of_calls_out_of_order(spark, tmp_path):
+    src, log, ckpt = _dirs(tmp_path)
+    r = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    calls = [(k, "hot" if k % 3 == 0 else f"c{k % 7}" if k % 11 else None, start + dt.timedelta(seconds=r.randrange(0, 4000), microseconds=r.randrange(10**6)))
+             for k in range(900)]
+    calls += [(900, "late", None)]
+    # Up to ten minutes out of order, over several batches.
+    calls.sort(key=lambda c: (c[2] or start) + dt.timedelta(seconds=r.randrange(0, 600)))
+    for lo in range(0, len(calls), 190):
+        spark.createDataFrame(calls[lo:lo + 190], CALLS).coalesce(2).write.mode("append").parquet(src)
+        q = ST.stream_rate_limit(spark, src, spark.read.parquet(src).schema, "client", "at", "call_id", log, ckpt, 3, 60.0,
+                                 watermark="20 minutes", max_files_per_trigger=1)
+    want = {x.call_id: x.admitted for x in RL.rate_limit(spark.createDataFrame(calls, CALLS), "client", "at", "call_id", 3, 60.0).collect()}
+    got = {x.call_id: x.admitted for x in ST.read_upsert_log(spark, log, ["client", "call_id"]).collect()}
+    assert got == {k: v for k, v in want.items() if k != 900}
+    assert 0 < sum(want.values() if None not in want.values() else [v for v in want.values() if v]) < 900
+    # State holds buckets of the last twenty minutes, not of the whole hour, and the caller's settings stay.
+    rows = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert rows < 9 * 2 * (20 + 2) * 2
+    assert "RocksDB" not in (spark.conf.get(ST.PROVIDER, "") or "")
+
+
+def test_stream_of_mixed_layouts(spark, tmp_path):
+    src, out, ckpt = _dirs(tmp_path)
+    import os
+    os.makedirs(src)
+    names = list(S.RAW_COLUMNS)
+    for k, columns in enumerate([names, ["OUTRA", *names[::-1]], sorted(names)]):
+        row = {"DT_NOTIFIC": f"2024-01-0{k + 1}", "SG_UF": f"S{k}", "EVOLUCAO": "2"}
+        with open(f"{src}/{k}.csv", "w", encoding="latin-1") as f:
+            f.write(";".join(columns) + "\n" + ";".join(row.get(c, "1") for c in columns) + "\n")
+        if k:
+            ST.stream_ingest(spark, src, out, ckpt, max_files_per_trigger=1)
+    got = sorted((str(r.dt_notific), r.sg_uf, r.obito) for r in spark.read.parquet(out).collect())
+    assert got == [("2024-01-01", "S0", 1), ("2024-01-02", "S1", 1), ("2024-01-03", "S2", 1)]

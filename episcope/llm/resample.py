@@ -105,43 +105,27 @@ def feature_buckets(texts: list[bytes], n_buckets: int = N_BUCKETS) -> tuple[np.
     return (grams[left[:, None] > np.arange(3)] % np.uint32(n_buckets)).astype(np.uint16), n_words
 
 
-def hashed_features(docs: DataFrame, text: str = "text", n_buckets: int = N_BUCKETS) -> DataFrame:
-    """``docs`` without ``text``, with ``_words`` and ``_buckets``, two bytes a feature."""
-    if not 0 < n_buckets <= 1 << 16:
-        raise ValueError("n_buckets must be 1 to 65536")
-    rest = [c for c in docs.columns if c != text]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(len(rest)).cast(pa.binary())
-            for lo, hi in row_groups(values, 1 << 20):
-                flat, n_words = feature_buckets([t or b"" for t in values.slice(lo, hi - lo).to_pylist()], n_buckets)
-                until = 2 * np.cumsum(_n_features(n_words))
-                packed = pa.Array.from_buffers(pa.binary(), hi - lo, [
-                    None, pa.py_buffer(np.concatenate(([0], until)).astype(np.int32)), pa.py_buffer(flat.astype("<u2"))])
-                kept = [c.slice(lo, hi - lo) for c in batch.columns[:len(rest)]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words), packed], names=[*rest, "_words", "_buckets"])
-
-    rows = docs.select(*[f"`{c}`" for c in rest], f"`{text}`")
-    schema = rows.select(*[f"`{c}`" for c in rest], F.lit(0).cast("long").alias("_words"), F.lit(b"").alias("_buckets")).schema
-    return rows.mapInArrow(run, schema)
+def _texts_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with the texts of a column, NULL as empty, a bounded number of bytes at a time."""
+    for batch in batches:
+        values = batch.column(column).cast(pa.binary())
+        for lo, hi in row_groups(values, 1 << 18):
+            yield batch.slice(lo, hi - lo), [t or b"" for t in values.slice(lo, hi - lo).to_pylist()]
 
 
-def _n_features(n_words: np.ndarray) -> np.ndarray:
-    return np.maximum(n_words, 0) + np.maximum(n_words - 1, 0) + np.maximum(n_words - 2, 0)
-
-
-def bucket_counts(features: DataFrame, n_buckets: int = N_BUCKETS) -> np.ndarray:
+def bucket_counts(docs: DataFrame, text: str = "text", n_buckets: int = N_BUCKETS) -> np.ndarray:
     """Features in each bucket over all rows; each task counts its own, so a task sends ``n_buckets`` rows at most."""
+    if not 0 < n_buckets <= 1 << 16:
+        raise ValueError("n_buckets must be 1 to 65536")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_buckets, np.int64)
-        for batch in batches:
-            for value in batch.column(0):
-                total += np.bincount(np.frombuffer(value.as_buffer(), "<u2"), minlength=n_buckets)
+        for _, texts in _texts_of(batches, 0):
+            total += np.bincount(feature_buckets(texts, n_buckets)[0], minlength=n_buckets)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["bucket", "n"])
 
-    found = features.select("_buckets").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    found = docs.select(f"`{text}`").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(n_buckets, np.int64)
     for row in found:
         counts[row["bucket"]] = row["n"]
@@ -156,20 +140,23 @@ def bucket_gains(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
                      for s, t in zip(raw.tolist(), target.tolist(), strict=True)], np.int64)
 
 
-def with_weights(features: DataFrame, gains: np.ndarray) -> DataFrame:
-    """``features`` with ``_features`` (their number) and ``_weight`` (the sum of their gains) for ``_buckets``."""
-    rest = [c for c in features.columns if c != "_buckets"]
+def with_weights(docs: DataFrame, gains: np.ndarray, text: str = "text") -> DataFrame:
+    """``docs`` with ``n_words``, ``n_features`` and ``weight`` (the sum of the gains of its features) for ``text``."""
+    rest = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [np.frombuffer(v.as_buffer(), "<u2") for v in batch.column(len(rest))]
-            weights = pa.array([int(gains[b].sum()) for b in held], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(rest)], pa.array([len(b) for b in held], pa.int64()), weights],
-                                             names=[*rest, "_features", "_weight"])
+        for part, texts in _texts_of(batches, len(rest)):
+            flat, n_words = feature_buckets(texts, len(gains))
+            n_features = np.maximum(n_words, 0) + np.maximum(n_words - 1, 0) + np.maximum(n_words - 2, 0)
+            total = np.concatenate(([0], np.cumsum(gains[flat])))
+            until = np.cumsum(n_features)
+            weights = total[until] - total[until - n_features]
+            yield pa.RecordBatch.from_arrays([*part.columns[:len(rest)], pa.array(n_words), pa.array(n_features), pa.array(weights)],
+                                             names=[*rest, "n_words", "n_features", "weight"])
 
-    rows = features.select(*[f"`{c}`" for c in rest], "_buckets")
-    schema = rows.select(*[f"`{c}`" for c in rest], F.lit(0).cast("long").alias("_features"), F.lit(0).cast("long").alias("_weight")).schema
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(*[f"`{c}`" for c in rest], f"`{text}`")
+    counts = [F.lit(0).cast("long").alias(c) for c in ("n_words", "n_features", "weight")]
+    return rows.mapInArrow(run, rows.select(*[f"`{c}`" for c in rest], *counts).schema)
 
 
 def gumbel(id_text: Column, seed: int = SEED) -> Column:
@@ -247,13 +234,11 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text: s
     of documents or of targets are allowed.
     """
     rows = docs.select(docs[f"`{id_col}`"].alias("id"), F.monotonically_increasing_id().alias("place"), docs[f"`{text}`"].alias("text"))
-    features = written(hashed_features(rows, "text", n_buckets), "hashed-features")
-    goal = hashed_features(target.select(target[f"`{text}`"].alias("text")), "text", n_buckets)
-    gains = bucket_gains(bucket_counts(features, n_buckets), bucket_counts(goal, n_buckets))
-    score = F.col("_weight") + gumbel(F.coalesce(F.col("id").cast("string"), F.lit("null")), seed)
-    scored = written(with_weights(features, gains).select(
-        "id", "place", F.col("_words").alias("n_words"), F.col("_features").alias("n_features"), F.col("_weight").alias("weight"),
-        score.alias("score")), "scored")
+    # Texts are hashed twice, once for the counts and once for the weights: no list of features is kept anywhere.
+    goal = target.select(target[f"`{text}`"].alias("text"))
+    gains = bucket_gains(bucket_counts(rows, "text", n_buckets), bucket_counts(goal, "text", n_buckets))
+    score = F.col("weight") + gumbel(F.coalesce(F.col("id").cast("string"), F.lit("null")), seed)
+    scored = written(with_weights(rows, gains).withColumn("score", score), "scored")
     # Ascending integer keys without NULLs: the highest score first, then the smaller id, NULL ids last.
     keyed = scored.select("*", (-F.col("score")).alias("_down"), F.col("id").isNull().cast("int").alias("_no_id"),
                           F.coalesce("id", F.lit(0)).alias("_id"))

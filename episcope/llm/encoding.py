@@ -1,13 +1,16 @@
 """Encode whole texts with the tokenizers library, each distinct word once.
 
-The byte-level pre-tokenizer never lets a piece cross from a character that is not white
+A byte-level pre-tokenizer never lets a piece cross from a character that is not white
 space to a following space, so a text's ids are the ids of its space-led words one after
 the other. Words repeat, so each process keeps the ids of the words it has seen; the
-library itself encodes every word that is new.
+library itself encodes every word that is new, many at a time as one text. A vocabulary
+file with another pre-tokenizer, a normalizer, or added tokens that hold white space gets
+whole texts instead.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from functools import cache
@@ -17,14 +20,20 @@ import numpy as np
 from tokenizers import Tokenizer
 
 MAX_WORDS = 900_000  # words a process keeps, some 200 bytes each; past it, it starts afresh
+JOINED = 500  # new words that the library gets as one text
 _DOUBLE = re.compile(r"\s\s")
 _SPACE_AFTER_TEXT = re.compile(r"(?<=\S) ")
-_TAIL = ".,;:!?"
-_LAST_PLAIN = "\u024f"  # Latin letters, on which all Unicode versions agree
-# The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on.
-_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_SPACE = chr(_BYTE_LETTERS[0x20])
+# How the byte-level alphabet writes a space and a line break.
+_LEADS = {" ": "\u0120", "\n": "\u010a"}
+
+
+def splits_at_spaces(tokenizer_json: str) -> bool:
+    """Whether a vocabulary file's texts may be encoded word by word."""
+    made = json.loads(tokenizer_json)
+    split = made.get("pre_tokenizer") or {}
+    plain = (split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
+             and made.get("normalizer") is None and made.get("model", {}).get("type") == "BPE" and not made["model"].get("ignore_merges"))
+    return plain and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) for t in made.get("added_tokens", ()))
 
 
 class TextEncoder:
@@ -33,17 +42,23 @@ class TextEncoder:
     def __init__(self, tokenizer_json: str, special_as_text: bool):
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
         self._tokenizer.encode_special_tokens = special_as_text
-        self._model = self._tokenizer.model
+        self._by_words = splits_at_spaces(tokenizer_json)
+        pieces = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._leads = {}
+        for first, letter in _LEADS.items():
+            self._leads[first] = np.zeros(max(pieces.values(), default=0) + 1, bool)
+            self._leads[first][[i for piece, i in pieces.items() if piece.startswith(letter)]] = True
         self._reset()
 
     def _reset(self) -> None:
         self._known: dict[object, int] = {}
-        self._pieces: dict[str, list[int]] = {}
         self._ids = np.zeros(1 << 16, np.uint32)
         self._used = 0
         self._bounds = np.zeros(1 << 16, np.int64)
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self._by_words:
+            return _flat([e.ids for e in self._tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)])
         if len(self._known) > MAX_WORDS:
             self._reset()
         words: list[object] = []
@@ -67,48 +82,44 @@ class TextEncoder:
         return ids, np.diff(until)
 
     def _learn(self, words: set) -> None:
-        """Encode new words and keep their ids; plain words go straight to the vocabulary's BPE model."""
-        found = {w: ids for w in words if (ids := self._plain_word(w)) is not None}
-        rest = [w for w in words if w not in found]
-        texts = [w[0] if isinstance(w, tuple) else w if w[:1] == "\n" else f" {w}" for w in rest]
-        found.update(zip(rest, (e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)), strict=True))
+        """Encode new words and keep their ids."""
+        alone, joined = [], {first: [] for first in _LEADS}
+        for w in words:
+            if isinstance(w, tuple):
+                alone.append((w, w[0]))
+                continue
+            text = w if w[:1] == "\n" else f" {w}"
+            if text[1:].split() == [text[1:]]:
+                joined[text[0]].append((w, text))
+            else:
+                alone.append((w, text))
+        found = []  # words with their ids as one array and the number of ids of each
+        for first, pairs in joined.items():
+            parts = [pairs[k:k + JOINED] for k in range(0, len(pairs), JOINED)]
+            for part, e in zip(parts, self._tokenizer.encode_batch_fast(["".join(t for _, t in p) for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                starts = np.flatnonzero(self._leads[first][ids])
+                if len(starts) == len(part) and starts[0] == 0:
+                    found.append(([w for w, _ in part], ids, np.diff(starts, append=len(ids))))
+                else:  # a piece of another kind stands in one of the words
+                    alone += part
+        if alone:
+            ids, lengths = _flat([e.ids for e in self._tokenizer.encode_batch_fast([t for _, t in alone], add_special_tokens=False)])
+            found.append(([w for w, _ in alone], ids, lengths))
         first = len(self._known)
-        self._known.update(zip(found, range(first, first + len(found)), strict=True))
-        new = np.fromiter(chain.from_iterable(found.values()), np.uint32)
-        ends = self._used + np.cumsum(np.fromiter(map(len, found.values()), np.int64, len(found)))
+        self._known.update(zip(chain.from_iterable(f[0] for f in found), range(first, first + len(words)), strict=True))
+        new = np.concatenate([f[1] for f in found])
+        ends = self._used + np.cumsum(np.concatenate([f[2] for f in found]))
         self._ids = _grown(self._ids, self._used + len(new))
         self._ids[self._used:self._used + len(new)] = new
-        self._bounds = _grown(self._bounds, first + len(found) + 1)
-        self._bounds[first + 1:first + len(found) + 1] = ends
+        self._bounds = _grown(self._bounds, first + len(words) + 1)
+        self._bounds[first + 1:first + len(words) + 1] = ends
         self._used += len(new)
 
-    def _plain_word(self, word: object) -> list[int] | None:
-        """Ids of a word of letters, with a space or line break before it and punctuation after.
-
-        Letters, line break and punctuation are pieces of their own to the pre-tokenizer, so
-        the letters go to the model alone, in its byte alphabet. None for any other word.
-        """
-        if isinstance(word, tuple):
-            return None
-        broken = word[:1] == "\n"
-        core = word[1:] if broken else word
-        bare = core.rstrip(_TAIL)
-        if not bare.isalpha() or max(bare) > _LAST_PLAIN:
-            return None
-        at = self._known.get(bare) if not broken and len(bare) < len(core) else None
-        if at is not None:
-            ids = self._ids[self._bounds[at]:self._bounds[at + 1]].tolist()
-        else:
-            piece = bare if bare.isascii() else bare.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            ids = [t.id for t in self._model.tokenize(piece if broken else f"{_SPACE}{piece}")]
-        if broken:
-            ids = self._piece("\n") + ids
-        return ids + self._piece(core[len(bare):]) if len(bare) < len(core) else ids
-
-    def _piece(self, text: str) -> list[int]:
-        if text not in self._pieces:
-            self._pieces[text] = self._tokenizer.encode(text, add_special_tokens=False).ids
-        return self._pieces[text]
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
 
 
 def _grown(values: np.ndarray, size: int) -> np.ndarray:

@@ -7,11 +7,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from episcope.llm import dac, token_counts, token_files
+from episcope.llm import dac, encoding, token_counts, token_files
 from episcope.llm.common import shared_folder
 from episcope.llm.encoding import TextEncoder, read_tokenizer
 from episcope.llm.queries import END_OF_TEXT, op6_token_output, op8_token_counts, tokenizer_path
-from tests.llm.helpers import SCHEMA, documents, odd_documents, rows
+from tests.llm.helpers import SCHEMA, documents, odd_documents, prose, rows
 
 VOCABULARY = read_tokenizer(tokenizer_path())
 LIBRARY = Tokenizer.from_str(VOCABULARY)
@@ -44,6 +44,26 @@ def test_any_text_encodes_like_the_whole_text(texts):
     assert own(texts) == library(texts)
 
 
+def test_other_vocabularies_get_whole_texts():
+    """Normalizers, prefix spaces and other splitters change ids across words; white space in added tokens, too."""
+    import json
+
+    import public_tokenizers
+
+    made = json.loads(VOCABULARY)
+    others = [read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))]
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": made["pre_tokenizer"] | {"add_prefix_space": True}},
+                   {"added_tokens": [*made["added_tokens"], made["added_tokens"][0] | {"id": 50257, "content": "two words", "special": False}]}):
+        others.append(json.dumps(made | change))
+    texts = ["two words AND Two  words", "", "don't\nstop <|endoftext|> x", prose(1, 50)]
+    assert encoding.splits_at_spaces(VOCABULARY)
+    for other in others:
+        assert not encoding.splits_at_spaces(other)
+        flat, counts = TextEncoder(other, False).encode(texts)
+        want = [e.ids for e in Tokenizer.from_str(other).encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == want
+
+
 def test_a_full_cache_starts_afresh(monkeypatch):
     monkeypatch.setattr("episcope.llm.encoding.MAX_WORDS", 20)
     texts = [" ".join(random.Random(k).choices([f"w{i}" for i in range(60)], k=40)) for k in range(30)]

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +31,7 @@ from episcope import schema as S
 from episcope.functions.dates import epoch_micros
 from episcope.operators.clean import clean_cases
 from episcope.operators.ops import execution_counts, execution_record, flatten_events
+from episcope.operators.ratelimit import admit
 from episcope.sources import versions
 from episcope.sources.audit import audit_stream
 from episcope.sources.cases import cases_of_files
@@ -319,18 +320,6 @@ class RateLimitProcessor(StatefulProcessor):
         pass
 
 
-def admit(times: Iterable[int], window: deque, max_calls: int, window_us: int) -> list[bool]:
-    """Decisions on calls in time order; ``window`` holds the admitted instants before them and is moved on."""
-    flags = []
-    for t in times:
-        while window and t - window[0] >= window_us:
-            window.popleft()
-        flags.append(len(window) < max_calls)
-        if flags[-1]:
-            window.append(t)
-    return flags
-
-
 def stream_rate_limit(spark: SparkSession, calls_dir: str, schema: T.StructType, key: str, ts: str,
                       seq: str, log_dir: str, checkpoint: str, max_calls: int = 60,
                       window_seconds: float = 60.0, available_now: bool = True,

@@ -2,10 +2,13 @@
 
 import datetime as dt
 import json
+import random
 
+import pytest
+from pyspark.sql import functions as F
 
 from episcope.operators import ops as OPS
-from episcope.operators.ratelimit import rate_limit
+from episcope.operators.ratelimit import rate_limit, segments
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -150,3 +153,42 @@ def test_rate_limit_keeps_calls_without_key_or_time(spark):
     calls = spark.createDataFrame(rows, "seq INT, user STRING, ts TIMESTAMP")
     got = {r.seq: r.admitted for r in rate_limit(calls, "user", "ts", "seq", max_calls=1).collect()}
     assert got == {1: True, 2: False, 3: None, 4: True}
+
+
+def _brute_rate(calls, max_calls, window_s):
+    """Decisions by ``seq``, one key after the other, straight from the rule."""
+    out, admitted = {}, {}
+    for seq, key, ts in sorted(calls, key=lambda c: (c[2], c[0])):
+        kept = admitted.setdefault(key, [])
+        out[seq] = sum((ts - t).total_seconds() < window_s for t in kept) < max_calls
+        if out[seq]:
+            kept.append(ts)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 40])
+def test_dense_keys_are_folded_in_chunks(spark, chunk):
+    r = random.Random(chunk)
+    start = dt.datetime(2024, 1, 1)
+    calls = []
+    # Keys that never pause: well under the limit, about at it, and far over it; one that pauses.
+    for key, gap in (("calm", 40), ("even", 21), ("over", 3), (None, 20)):
+        at = 0.0
+        for _ in range(220):
+            at += r.uniform(0, 2 * gap)
+            calls.append((len(calls), key, start + dt.timedelta(seconds=round(at, 3))))
+    calls += [(len(calls) + k, "pauses", start + dt.timedelta(seconds=700 * (k // 9) + k % 9)) for k in range(90)]
+    df = spark.createDataFrame(calls, "seq LONG, key STRING, ts TIMESTAMP").repartition(5)
+    out = rate_limit(df, "key", "ts", "seq", 3, 60, chunk_calls=chunk)
+    assert {x.seq: x.admitted for x in out.collect()} == _brute_rate(calls, 3, 60)
+
+
+def test_a_dense_key_is_spread_over_tasks(spark):
+    calls = spark.range(6000).select("id", F.lit("hot").alias("key"), F.timestamp_seconds(F.col("id")).alias("ts"))
+    keyed = calls.select(F.col("key").alias("_rl_key"), (F.col("id") * 1_000_000).alias("_rl_t"), F.expr("id div 7").alias("_rl_bucket"))
+    chunks = segments(keyed, 60_000_000, 500)
+    assert chunks.select("_rl_seg").distinct().count() == 1
+    sizes = [x["count"] for x in keyed.join(chunks, ["_rl_key", "_rl_bucket"]).groupBy("_rl_chunk").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 510
+    out = rate_limit(calls, "key", "ts", "id", 10, 60, chunk_calls=500)
+    assert out.where("admitted").count() == 1000  # ten of every sixty

@@ -1,9 +1,14 @@
 """License scans by patience alignment of documents with license templates.
 
-Windows of a text that hold enough of a template's words are aligned with it: words that
-are unique on both sides anchor the alignment, the longest increasing run of anchors is
-kept, and the gaps between them are aligned the same way. The share of the template's
-words that find a partner is its coverage.
+Stretches of a text that may hold a template are aligned with it: words that are unique on
+both sides anchor the alignment, the longest increasing run of anchors is kept, and the
+gaps between them are aligned the same way. The share of the template's words that find a
+partner is its coverage. The words that name a license and its version must be among them.
+
+Where to align: for a notice, every window that holds enough of its words, but for those that
+cannot pass after the last one failed. For a long template, where the words that stand in
+it once lie on nearly the same diagonal of text and template; each such word is used in
+one alignment at most, so the cost is linear in the text for every template.
 """
 
 from __future__ import annotations
@@ -128,6 +133,24 @@ def all_templates() -> dict[str, str]:
 
 
 _WORD = re.compile(r"[^\W_]+")
+LONG = 60  # words; longer templates are looked for along diagonals
+MAX_TABLE = 1 << 18  # cells of a table for a longest common subsequence; longer gaps are anchored by numbered words
+
+
+def name_words(name: str) -> list[str]:
+    """The words of a notice or header that name the license and its version, from the template's name; texts have none."""
+    license, _, kind = name.partition(" ")
+    family, version = license.removesuffix("-only").rpartition("-")[::2]
+    numbers = version.split(".")
+    if kind.endswith("text") or license == "CC0-1.0" and kind == "long notice":
+        return []
+    if family.startswith("CC-"):
+        parts = family.split("-")[1:]
+        return (["creative", "commons", *[_CC_PARTS[x].lower() for x in parts]] if kind == "long notice" else ["cc", *map(str.lower, parts)]) + numbers
+    if license.removesuffix("-only") in _GNU_NAMES:
+        words, short = _GNU_NAMES[license.removesuffix("-only")]
+        return [*words.lower().split(), *short.split(".")]
+    return {"MPL": ["mozilla", "public", *numbers], "Apache": ["apache", *numbers], "CC0": ["cc0", *numbers]}.get(family, [license.lower()] if license == "MIT" else [])
 
 
 @dataclass(frozen=True)
@@ -143,7 +166,8 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     """Aligned positions of two word sequences, in ascending order on both sides.
 
     Equal ends are paired first. A gap with no word unique on both sides is closed by a
-    longest common subsequence, so no gap is left for want of an anchor.
+    longest common subsequence, so no gap is left for want of an anchor; a long one has its
+    words numbered, which makes them unique.
     """
     pairs: list[tuple[int, int]] = []
     gaps = [(0, len(a), 0, len(b))]
@@ -161,9 +185,21 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
         place = {w: j for j, w in enumerate(b[b0:b1], b0) if seen_b[w] == 1}
         anchors = [(i, place[w]) for i, w in enumerate(a[a0:a1], a0) if seen_a[w] == 1 and w in place]
         if not anchors:
-            if seen_a.keys() & seen_b.keys():
+            if not seen_a.keys() & seen_b.keys():
+                continue
+            if (a1 - a0) * (b1 - b0) <= MAX_TABLE:
                 pairs += common_subsequence(a, b, a0, a1, b0, b1)
-            continue
+                continue
+            # The k-th of a word on one side stands for the k-th on the other.
+            numbered, seen = {}, Counter()
+            for j in range(b0, b1):
+                numbered[b[j], seen[b[j]]] = j
+                seen[b[j]] += 1
+            seen = Counter()
+            for i in range(a0, a1):
+                if (a[i], seen[a[i]]) in numbered:
+                    anchors.append((i, numbered[a[i], seen[a[i]]]))
+                seen[a[i]] += 1
         run = increasing_run(anchors)
         pairs += run
         edges = [(a0 - 1, b0 - 1), *run, (a1, b1)]
@@ -210,44 +246,84 @@ def common_subsequence(a: Sequence[int], b: Sequence[int], a0: int, a1: int, b0:
     return pairs
 
 
+def _score(m: tuple[int, int, str, int, int]) -> int:
+    """Aligned words less the foreign words within a match and the template's words without a partner."""
+    start, end, _, aligned, size = m
+    return aligned - (end - start - aligned) - (size - aligned)
+
+
 def _keep(found: list[tuple[int, int, str, int, int]], n: int) -> tuple[list[tuple[int, int, str, int, int]], np.ndarray]:
     """Of matches in ``n`` words the ones that stay (see ``Matcher.find``), and which words they hold."""
     taken, held = [], np.zeros(n, bool)
-    for m in sorted(found, key=lambda m: (-m[3], -m[3] / m[4], m[0], m[2])):
+    for m in sorted(found, key=lambda m: (-_score(m), -m[3], m[0], m[2])):
         if not held[m[0]:m[1]].any():
             taken.append(m)
             held[m[0]:m[1]] = True
     return taken, held
 
 
+def densest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretch of aligned pairs that holds the most of them for the text words that it spans: no stray words at its ends."""
+    best, best_sum, total, first = (0, 0), 0, 0, 0
+    for k, (_, j) in enumerate(pairs):
+        total += 3 - (j - pairs[k - 1][1] if k > first else 1)
+        if total <= 0:
+            total, first = 0, k + 1
+        elif total > best_sum:
+            best, best_sum = (first, k + 1), total
+    return pairs[best[0]:best[1]]
+
+
+@dataclass(frozen=True)
+class Template:
+    name: str
+    words: list[int]
+    counts: Counter
+    need: int  # words that must align
+    width: int  # text words that a match may span
+    naming: Counter  # words that must be among the aligned ones
+
+    def accepts(self, pairs: list[tuple[int, int]]) -> bool:
+        return (len(pairs) >= self.need and pairs[-1][1] - pairs[0][1] < self.width
+                and not self.naming - Counter(self.words[i] for i, _ in pairs))
+
+
 class Matcher:
     """Finds templates in texts; built once per task."""
 
     def __init__(self, templates: Mapping[str, str], p: LicenseScan):
         self.p, self.vocabulary = p, {}
-        self.templates = []
+        self.templates: list[Template] = []
         for name, text in sorted(templates.items()):
             words = [self.vocabulary.setdefault(w.lower(), len(self.vocabulary)) for w in _WORD.findall(text)]
             need = max(1, ceil(p.min_coverage * len(words) - 1e-9))
             slack = max(2, int(p.slack * len(words)))
+            naming = Counter(self.vocabulary[w] for w in name_words(name) if w in self.vocabulary) & Counter(words)
             if words:
-                self.templates.append((name, words, Counter(words), need, len(words) + slack))
+                self.templates.append(Template(name, words, Counter(words), need, len(words) + slack, naming))
         # By the words they need: a text can only hold those before the first that needs more than it has.
-        self.templates.sort(key=lambda t: t[3])
-        self.needs = np.array([t[3] for t in self.templates], np.int64)
+        self.templates.sort(key=lambda t: t.need)
+        self.needs = np.array([t.need for t in self.templates], np.int64)
         # Distinct words and their numbers, all templates one after the other.
-        self.bounds = np.cumsum([0] + [len(t[2]) for t in self.templates])
-        self.words = np.array([w for t in self.templates for w in t[2]], np.int64)
-        self.numbers = np.array([n for t in self.templates for n in t[2].values()], np.int64)
+        self.bounds = np.cumsum([0] + [len(t.counts) for t in self.templates])
+        self.words = np.array([w for t in self.templates for w in t.counts], np.int64)
+        self.numbers = np.array([n for t in self.templates for n in t.counts.values()], np.int64)
         self.member = np.zeros((len(self.templates), len(self.vocabulary) + 1), bool)
-        for t, (_, words, *_) in enumerate(self.templates):
-            self.member[t, words] = True
+        # Where the words that a long template holds once stand in it; -1 for all others.
+        self.places = {}
+        for t, x in enumerate(self.templates):
+            self.member[t, x.words] = True
+            if len(x.words) > LONG:
+                self.places[t] = np.full(len(self.vocabulary) + 1, -1)
+                once = [j for j, w in enumerate(x.words) if x.counts[w] == 1]
+                self.places[t][[x.words[j] for j in once]] = once
 
     def find(self, text: str) -> list[tuple[int, int, str, int, int]]:
         """``(start, end, template, aligned words, template words)`` of the matches, by start.
 
-        Of matches that overlap, the one with the most aligned words stays, then the one
-        with the higher coverage, then the first by start and name.
+        Of matches that overlap, the one with the most aligned words stays, foreign words
+        within it and words it lacks taken off; then the one with more aligned words, then
+        the first by start and name.
         """
         low = text.lower()
         words = _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
@@ -262,11 +338,15 @@ class Matcher:
         if not some:
             return []
         common = np.add.reduceat(np.minimum(self.numbers[:held], present[self.words[:held]]), self.bounds[:some])
-        # Long templates first: inside a match of more words than a template has, the template cannot stay.
-        for t in sorted(np.flatnonzero(common >= self.needs[:some]).tolist(), key=lambda t: -len(self.templates[t][1])):
-            name, template, counts, need, width = self.templates[t]
-            shut = _keep([m for m in found if m[3] > len(template)], len(ids))[1]
-            found += [(a, b, name, n, len(template)) for a, b, n in self._matches(ids, known[self.member[t, ids[known]]], template, counts, need, width, shut)]
+        # Long templates first: no template can stay inside a match that scores more than its number of words.
+        for t in sorted(np.flatnonzero(common >= self.needs[:some]).tolist(), key=lambda t: -len(self.templates[t].words)):
+            template = self.templates[t]
+            if any(present[w] < n for w, n in template.naming.items()):
+                continue
+            shut = _keep([m for m in found if _score(m) > len(template.words)], len(ids))[1]
+            at = known[self.member[t, ids[known]]]
+            spans = self._regions(ids, at, template, self.places[t], shut) if t in self.places else self._windows(ids, at, template, shut)
+            found += [(a, b, template.name, n, len(template.words)) for a, b, n in spans]
         if not found:
             return []
         taken, _ = _keep(found, len(ids))
@@ -274,42 +354,81 @@ class Matcher:
         return sorted((spans[a][0], spans[b - 1][1], name, n, size) for a, b, name, n, size in taken)
 
     @staticmethod
-    def _matches(ids: np.ndarray, at: np.ndarray, template: list[int], counts: Counter, need: int, width: int, shut: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Word ranges that align with the template, from left to right, and their aligned words.
+    def _regions(ids: np.ndarray, at: np.ndarray, template: Template, places: np.ndarray, shut: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Word ranges that align with a long template, densest diagonals first, and their aligned words.
+
+        A match lacks ``size - need`` words at most and moves on by at most ``width - size``
+        foreign ones: its votes, text places less template places of words that stand in the
+        template once, lie in a band that wide. Narrow bands, where hardly a word is missing,
+        are looked at before wide ones.
+        """
+        size, lack = len(template.words), len(template.words) - template.need
+        place = places[ids[at]]
+        i, d = at[place >= 0], (at - place)[place >= 0]
+        once = int((places >= 0).sum())
+        least = max(2, once - lack, once // 2)
+        order = np.argsort(d, kind="stable")
+        i, d = i[order], d[order]
+        taken = shut.copy()
+        for band in (max(2, size // 20), template.width - size + lack):
+            while len(d) >= least:
+                votes = np.searchsorted(d, d + band, side="right") - np.arange(len(d))
+                k = int(votes.argmax())
+                if votes[k] < least:
+                    break
+                lo, hi = max(0, int(d[k]) - lack), min(len(ids), int(d[k]) + band + size)
+                pairs = densest([(x, y + lo) for x, y in patience(template.words, ids[lo:hi].tolist())])
+                used = np.zeros(len(d), bool)
+                used[k:k + votes[k]] = True
+                if pairs and template.accepts(pairs) and not taken[pairs[0][1]:pairs[-1][1] + 1].any():
+                    a, b = pairs[0][1], pairs[-1][1] + 1
+                    taken[a:b] = True
+                    used |= (i >= a) & (i < b)
+                    yield a, b, len(pairs)
+                i, d = i[~used], d[~used]
+
+    @staticmethod
+    def _windows(ids: np.ndarray, at: np.ndarray, template: Template, shut: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Word ranges that align with a short template, from left to right, and their aligned words.
 
         No match begins at a word that is ``shut``. ``at`` are the places of the template's words. A match of ``need`` words within
-        ``width`` begins at one of them that has enough others behind it; these are all tried.
+        ``width`` begins at one of them that has enough others behind it; these are all tried, but for
+        those whose window has gained fewer words since the last one failed than that one lacked.
         """
+        need, width = template.need, template.width
         behind = np.searchsorted(at, at + width)
         after = first = last = common = 0
         here, held = ids[at].tolist(), Counter()
+        reach = 0  # words of the template that a window must see before it can pass
         for k in np.flatnonzero(behind - np.arange(len(at)) >= need).tolist():
             start = int(at[k])
-            if start < after or shut[start]:
+            if start < after or shut[start] or behind[k] < reach:
                 continue
             # The words between k and behind[k], kept up as k moves on; ``common`` of them are the template's.
             for w in here[last:behind[k]]:
                 held[w] += 1
-                common += held[w] <= counts[w]
+                common += held[w] <= template.counts[w]
             for w in here[first:k]:
-                common -= held[w] <= counts[w]
+                common -= held[w] <= template.counts[w]
                 held[w] -= 1
             first, last = k, int(behind[k])
             if common < need:
                 continue
-            best: tuple[int, int, int] | None = None
+            best: list[tuple[int, int]] = []
             lo, hi = start, min(start + width, len(ids))
             while True:
-                pairs = patience(template, ids[lo:hi].tolist())
-                if len(pairs) < need or best and len(pairs) <= best[2]:
+                pairs = [(i, j + lo) for i, j in patience(template.words, ids[lo:hi].tolist())]
+                if not best and len(pairs) < need:
+                    reach = int(behind[k]) + need - len(pairs) if len(template.words) == len(template.counts) else 0
+                if len(pairs) < need or len(pairs) <= len(best):
                     break
-                best = (lo + pairs[0][1], lo + pairs[-1][1] + 1, len(pairs))
+                best = pairs
                 # Look again where the aligned words say that the template lies.
-                lo = max(after, best[0] - pairs[0][0] - 1)
-                hi = min(len(ids), max(best[1] + len(template) - pairs[-1][0], lo + 1), lo + width)
-            if best:
-                yield best
-                after = best[1]
+                lo = max(after, best[0][1] - best[0][0] - 1)
+                hi = min(len(ids), max(best[-1][1] + 1 + len(template.words) - best[-1][0], lo + 1), lo + width)
+            if best and template.accepts(best):
+                yield best[0][1], best[-1][1] + 1, len(best)
+                after = best[-1][1] + 1
 
 
 MATCHES = "array<struct<start:bigint,end:bigint,license:string,aligned:int,words:int>>"

@@ -1,5 +1,7 @@
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -75,6 +77,65 @@ def test_near_relatives_by_their_own_words(spark):
     assert [[m["license"] for m in r["matches"]] for r in found] == [[n] for n in texts]
 
 
+def test_a_license_needs_the_words_that_name_it():
+    for text in ("Released under the BSD License.", "This page was released under the old license", "Licensed under the European Public License, Version 2.0",
+                 "Educational Community License, Version 2.0", "Licensed under the Apache License, Version 2.1",
+                 "This work is licensed under the GNU General Public License, version 4", "Licensed under CC BY-XX 4.1"):
+        assert MATCHER.find(text) == [], text
+    for text, name in (("Licensed under the Apache License, Version 2.0", "Apache-2.0 notice"), ("It is released under the MIT license", "MIT notice"),
+                       ("work is licensed under the GNU Affero General Public License, version 3", "AGPL-3.0 notice"), ("Licensed under CC BY-NC-ND 2.5", "CC-BY-NC-ND-2.5 notice")):
+        assert [m[2] for m in MATCHER.find(text)] == [name], text
+    for name, text in licenses.TEMPLATES.items():  # the words named are in the template, and it accepts itself
+        words = Counter(w.lower() for w in re.findall(r"[^\W_]+", text))
+        assert not Counter(licenses.name_words(name)) - words, name
+
+
+def test_full_texts_one_behind_the_other():
+    every = licenses.all_templates()
+    full = sorted(n for n in every if n.endswith("full text"))
+    matcher = licenses.Matcher(every, P)
+    r = random.Random(1)
+    pairs = [(a, b) for a in full for b in full if a[:4] == b[:4] or {a[:3], b[:3]} <= {"GPL", "LGP", "AGP"}]
+    pairs += [tuple(r.sample(full, 2)) for _ in range(20)]
+    for a, b in pairs:
+        found = matcher.find(f"{every[a]}\n{every[b]}")
+        assert [(n, aligned == size) for *_, n, aligned, size in found] == [(a, True), (b, True)], (a, b)
+
+
+def test_cost_stays_linear():
+    every = licenses.all_templates()
+    matcher = licenses.Matcher(every, P)
+    full = sorted(n for n in every if n.endswith("full text"))
+    joined, names, r = [], [], random.Random(2)
+    while sum(len(every[n].split()) for n in names) < 50_000:
+        names.append(r.choice(full))
+        joined += [every[names[-1]], prose(len(names), 30)]
+    began = time.time()
+    assert [m[2] for m in matcher.find("\n".join(joined))] == names
+    assert time.time() - began < 60
+    for name in ("GPL-3.0 full text", "Apache-2.0 full text"):  # the same words in no order
+        words = every[name].split()
+        r.shuffle(words)
+        began = time.time()
+        assert name not in [m[2] for m in matcher.find(" ".join(words))]
+        assert time.time() - began < 20
+
+
+def test_long_texts_with_changes_keep_their_span():
+    every = licenses.all_templates()
+    matcher = licenses.Matcher(every, P)
+    r = random.Random(3)
+    for name in ("GPL-2.0 full text", "MPL-2.0 full text", "MIT text"):
+        words = every[name].split()
+        for k in range(len(words) // 15):
+            words[r.randrange(2, len(words) - 2)] = f"other{k}"
+        before = prose(8, 400)
+        text = f"{before} {' '.join(words)} {prose(9, 400)}"
+        (start, end, found, aligned, size), = matcher.find(text)
+        assert found == name and 0.85 * size < aligned < size
+        assert start == len(before) + 1 and abs(end - (len(before) + 1 + len(" ".join(words)))) <= 1
+
+
 def test_repeated_and_reworded_notices():
     notice = "Released under the MIT License."
     found = MATCHER.find(" ".join([notice] * 3))
@@ -90,10 +151,10 @@ def brute(text):
     """Every window of every template's width, by longest common subsequence."""
     words = [w.lower() for w in re.findall(r"[^\W_]+", text)]
     out = set()
-    for name, template, _, need, width in MATCHER.templates:
+    for t in MATCHER.templates:
         ids = [MATCHER.vocabulary.get(w, -1) for w in words]
-        if any(lcs(template, ids[k:k + width]) >= need for k in range(len(ids))):
-            out.add(name)
+        if any(lcs(t.words, ids[k:k + t.width]) >= t.need and not t.naming - Counter(ids[k:k + t.width]) for k in range(len(ids))):
+            out.add(t.name)
     return out
 
 

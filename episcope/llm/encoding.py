@@ -19,7 +19,8 @@ from itertools import chain, repeat
 import numpy as np
 from tokenizers import Tokenizer
 
-MAX_WORDS = 900_000  # words a process keeps, some 200 bytes each; past it, it starts afresh
+MAX_WORDS = 400_000  # words a process keeps, some 300 bytes each; words past it are encoded whenever they come
+STALE = 0.25  # share of a call's words that are not kept ones; from there on the process starts afresh
 JOINED = 500  # new words that the library gets as one text
 _DOUBLE = re.compile(r"\s\s")
 _SPACE_AFTER_TEXT = re.compile(r"(?<=\S) ")
@@ -59,8 +60,6 @@ class TextEncoder:
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         if not self._by_words:
             return _flat([e.ids for e in self._tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)])
-        if len(self._known) > MAX_WORDS:
-            self._reset()
         words: list[object] = []
         counts = []
         for text in texts:
@@ -71,14 +70,23 @@ class TextEncoder:
         known = self._known
         at = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(at < 0)
+        if len(known) >= MAX_WORDS and len(new) > STALE * len(words):
+            self._reset()  # texts of another kind
+            return self.encode(texts)
+        before, used = len(known), self._used
         if len(new):
-            self._learn({words[i] for i in new.tolist()})
+            learned = {words[i] for i in new.tolist()}
+            self._learn(learned)
             at[new] = [known[words[i]] for i in new.tolist()]
         starts = self._bounds[at]
         lengths = self._bounds[at + 1] - starts
         total = np.cumsum(lengths)
         ids = self._ids[np.repeat(starts - total + lengths, lengths) + np.arange(total[-1] if len(total) else 0)]
         until = np.concatenate(([0], total))[np.cumsum([0, *counts])]
+        if len(new) and before >= MAX_WORDS:
+            for w in learned:
+                del known[w]
+            self._used = used
         return ids, np.diff(until)
 
     def _learn(self, words: set) -> None:

@@ -15,7 +15,7 @@ from episcope.llm import dac
 from episcope.llm.common import row_groups, shared_folder, write_file, written
 from episcope.llm.encoding import encoder, read_tokenizer
 
-SHARD_TOKENS = 1 << 23  # some 16 MB a file; a task holds one shard's ids
+SHARD_TOKENS = 1 << 21  # some 4 MB a file; a task holds one shard
 PART_DIGITS = 6
 
 

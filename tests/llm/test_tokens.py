@@ -64,12 +64,15 @@ def test_other_vocabularies_get_whole_texts():
         assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == want
 
 
-def test_a_full_cache_starts_afresh(monkeypatch):
+def test_a_full_cache_keeps_its_words_until_other_texts_come(monkeypatch):
     monkeypatch.setattr("episcope.llm.encoding.MAX_WORDS", 20)
-    texts = [" ".join(random.Random(k).choices([f"w{i}" for i in range(60)], k=40)) for k in range(30)]
-    e = TextEncoder(VOCABULARY, False)
+    texts = [" ".join(random.Random(k).choices([f"w{i}" for i in range(60)], [60 - i for i in range(60)], k=40)) for k in range(30)]
+    texts += [" ".join(random.Random(k).choices([f"other{i}" for i in range(30)], k=40)) for k in range(30)]
+    e, sizes = TextEncoder(VOCABULARY, False), []
     for t, want in zip(texts, library(texts), strict=True):
         assert e.encode([t])[0].tolist() == want
+        sizes.append(len(e._known))
+    assert max(sizes) < 60 and len({n for n in sizes if n >= 20}) < len(sizes) / 2 and "other1" in e._known
 
 
 @settings(max_examples=100, deadline=None)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,24 +19,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Folders made since the innermost ``scratch`` began, one list for each that is open.
+_MADE: list[list[str]] = []
+
+
+def _noted(path: str) -> str:
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back.
 
     Cuts the lineage like a reliable checkpoint, but columnar: later branches read
-    only the columns they use, and the files outlive any executor.
+    only the columns they use, and the files outlive any executor. Inside ``scratch`` they
+    go at its end.
     """
-    path = shared_dir(df.sparkSession, name)
+    path = _noted(shared_dir(df.sparkSession, name))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete, at the end, the folders that ``written`` and ``shared_folder`` have made in between, in that order.
+
+    A frame that still reads them is of no use then: take the folder of a result out of the list.
+    """
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE.pop()
+        for path in made:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all its files."""
+    store, at = _store(spark, path)
+    store.delete(at, True)
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """URI of a fresh folder in ``spark.checkpoint.dir`` for files that tasks write."""
+    """URI of a fresh folder in ``spark.checkpoint.dir`` for files that tasks write.
+
+    A folder without a scheme lies in the session's default file system, as it does for Spark's own writers.
+    """
     checkpoint_root(spark)
-    path = shared_dir(spark, name)
-    if not re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", path):
-        path = f"file://{path}"
-    return path
+    store, at = _store(spark, shared_dir(spark, name))
+    # Local paths come back as ``file:/x``; the writers of tasks want ``file:///x``.
+    return _noted(re.sub(r"^([A-Za-z][A-Za-z0-9+.-]*):/(?!/)", r"\1:///", store.makeQualified(at).toString()))
 
 
 def write_file(uri: str, data: bytes, attempt: str) -> None:

@@ -2,9 +2,9 @@
 
 Benchmark items become windows of consecutive normalised words; their hashes are broadcast
 when the benchmark's measured size is within a bound. Documents give the hash of each of
-their windows to a hash join; hits are then verified word by word against the texts that
-have any. Each document's hits are folded into counts, and documents or the hit words are
-removed.
+their windows to a hash join; hits, as numbers, are then verified word by word against the
+texts that have any, which alone are moved. Each document's hits are folded into counts, and
+documents or the hit words are removed.
 DataFrame functions only.
 """
 
@@ -48,23 +48,17 @@ def _gram_hash(words: str, size: int, start: Column) -> Column:
     return F.xxhash64(*[F.get(words, start + j) for j in range(size)])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text: str = "text",
-                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, ``row_hash``, and what of it occurs in the benchmark.
+def numbered_windows(benchmark: DataFrame, n: int, item_id: str, text: str) -> DataFrame:
+    """``benchmark_windows``, written out with a number each (``window``) and their length (``size``)."""
+    windows = benchmark_windows(benchmark, n, item_id, text).withColumn("size", F.size("grams"))
+    return written(windows.withColumn("window", F.monotonically_increasing_id()), "benchmark-windows")
 
-    ``n_words``; ``n_hit``, the words inside any occurrence of a window; ``n_items`` and
-    ``item_ids`` (sorted as strings) of the items with such windows; ``spans``, the hit word
-    ranges ``(pos, len)`` from 1; ``contaminated``. NULL text has no words. Repeated rows
-    give a row each; ``row_hash`` tells rows of one id apart by their text.
-    """
-    windows = benchmark_windows(benchmark, n, item_id, item_text)
-    # Lengths of windows: n, and fewer where an item is shorter; at most n values.
-    sizes = sorted(r[0] for r in windows.select(F.size("grams")).distinct().collect())
-    held = benchmark.agg(F.coalesce(F.sum(F.octet_length(benchmark[f"`{item_text}`"])), F.lit(0))).first()[0]
-    if held <= MAX_BROADCAST_BYTES:
-        windows = F.broadcast(windows)
 
-    ids = docs.select(docs[f"`{id_col}`"].alias("id"), F.xxhash64(docs[f"`{text}`"]).alias("row_hash"), docs[f"`{text}`"].alias("text"))
+def scan_hits(ids: DataFrame, windows: DataFrame, sizes: list[int], small: bool) -> DataFrame:
+    """One row per ``(id, row_hash)`` of ``ids``: ``n_words``, ``copies`` (rows) and ``hits``, places whose hash is a window's.
+
+    A hit is ``(pos, size, window)``, three numbers. ``small`` says that the windows may be broadcast.
+    """
     # Only hashes are exploded: an exploded row must not carry the words of its whole text. The outer
     # form keeps Spark from testing the array's size below, where it would split the text for each window.
     # Place 0 stands for the document itself, so that one without a hit keeps its row.
@@ -73,39 +67,77 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
         count = F.greatest(F.col("n_words") - (size - 1), F.lit(0))
         starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
         hashes.append(F.transform(starts, partial(_gram_hash, "w", size)))
-        first_of = F.when(F.size("grams") == size, offset).otherwise(first_of)
+        first_of = F.when(F.col("size") == size, offset).otherwise(first_of)
         offset = offset + count
     scanned = (ids.select("id", "row_hash", words(F.col("text")).alias("w")).select("id", "row_hash", "w", F.size("w").alias("n_words"))
                .select("id", "row_hash", "n_words", F.concat(*hashes).alias("hashes"))
                .select("id", "row_hash", "n_words", F.posexplode_outer("hashes").alias("place", "hash")))
-    met = scanned.join(windows, F.col("hash") == F.col("gram_hash"), "left").where((F.col("place") == 0) | F.col("grams").isNotNull())
+    known = windows.select("gram_hash", "size", "window")
+    met = scanned.join(F.broadcast(known) if small else known, F.col("hash") == F.col("gram_hash"), "left").where(
+        (F.col("place") == 0) | F.col("window").isNotNull())
     pos = F.col("place") - first_of + 1
-    fits = (F.col("place") > 0) & (pos >= 1) & (pos + F.size("grams") - 1 <= F.col("n_words"))
-    per_doc = written(
-        met.select("id", "row_hash", "n_words", "place", F.when(fits, F.struct(pos.alias("pos"), "grams", "items")).alias("hit"))
-        .groupBy("id", "row_hash").agg(
-            F.max("n_words").cast("long").alias("n_words"), F.sum((F.col("place") == 0).cast("int")).alias("copies"), F.collect_set("hit").alias("hits")),
-        "window-hits")
-    no_hits = F.array().cast("array<struct<pos:int,grams:array<string>,items:array<string>>>")
-    clean = (per_doc.where(F.size("hits") == 0)
-             .select("id", "row_hash", "n_words", no_hits.alias("hits"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy"))
-    # Verified word by word against the texts; as a table, Spark knows its size and broadcasts it only if small.
-    doubtful = written(per_doc.where(F.size("hits") > 0).select(F.col("id").alias("of"), F.col("row_hash").alias("of_hash"), "hits"), "hits-to-verify")
-    # Written out as well: a filter on the result would otherwise be moved below, into the verification of each word.
-    verified = written(ids.join(doubtful, ids["id"].eqNullSafe(doubtful["of"]) & (ids["row_hash"] == doubtful["of_hash"]))
-                .select("id", "row_hash", words(F.col("text")).alias("w"), "hits")
-                .select("id", "row_hash", F.size("w").cast("long").alias("n_words"),
-                        F.filter("hits", lambda h: F.forall(F.sequence(F.lit(0), F.size(h["grams"]) - 1), lambda j: F.get("w", h["pos"] - 1 + j) == F.get(h["grams"], j))).alias("hits")), "verified-hits")
-    found = clean.union(verified).select(
-        "id", "row_hash", "n_words",
-        F.sort_array(F.array_distinct(F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), F.size(h["grams"]).alias("len"))))).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("item_ids"))
+    fits = (F.col("place") > 0) & (pos >= 1) & (pos + F.col("size") - 1 <= F.col("n_words"))
+    return (met.select("id", "row_hash", "n_words", "place", F.when(fits, F.struct(pos.alias("pos"), "size", "window")).alias("hit"))
+            .groupBy("id", "row_hash").agg(
+                F.max("n_words").cast("long").alias("n_words"), F.sum((F.col("place") == 0).cast("int")).cast("long").alias("copies"),
+                F.collect_set("hit").alias("hits")))
+
+
+def verified_hits(ids: DataFrame, doubtful: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
+    """``(id, row_hash, pos, size, window)`` of the hits in ``doubtful`` whose words are the window's.
+
+    Texts without a hit are left behind by their keys alone, two numbers each, which Spark
+    broadcasts as long as they are few; only the others meet their hits.
+    """
+    keys = doubtful.select(F.col("id").alias("of"), F.col("row_hash").alias("of_hash"))
+    same = lambda left: left["id"].eqNullSafe(F.col("of")) & (left["row_hash"] == F.col("of_hash"))
+    texts = ids.join(keys, same(ids), "left_semi")
+    hits = doubtful.select(F.col("id").alias("of"), F.col("row_hash").alias("of_hash"), "hits")
+    found = texts.join(hits, same(texts)).select("id", "row_hash", words(F.col("text")).alias("w"), "hits")
+    own = found.select("id", "row_hash", "w", F.explode("hits").alias("hit")).select(
+        "id", "row_hash", "hit.*", F.slice("w", F.col("hit.pos"), F.col("hit.size")).alias("own"))
+    known = windows.select(F.col("window").alias("of_window"), "grams")
+    met = own.join(F.broadcast(known) if small else known, (F.col("window") == F.col("of_window")) & (F.col("own") == F.col("grams")))
+    return met.select("id", "row_hash", "pos", "size", "window").distinct()
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text: str = "text",
+                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: the id, ``row_hash``, and what of it occurs in the benchmark.
+
+    ``n_words``; ``n_hit``, the words inside any occurrence of a window; ``n_items`` and
+    ``item_ids`` (sorted as strings) of the items with such windows; ``spans``, the hit word
+    ranges ``(pos, len)`` from 1; ``contaminated``. NULL text has no words. Repeated rows
+    give a row each; ``row_hash`` tells rows of one id apart by their text.
+    """
+    windows = numbered_windows(benchmark, n, item_id, item_text)
+    # Lengths of windows: n, and fewer where an item is shorter; at most n values.
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())
+    held = benchmark.agg(F.coalesce(F.sum(F.octet_length(benchmark[f"`{item_text}`"])), F.lit(0))).first()[0]
+    small = held <= MAX_BROADCAST_BYTES
+
+    ids = docs.select(docs[f"`{id_col}`"].alias("id"), F.xxhash64(docs[f"`{text}`"]).alias("row_hash"), docs[f"`{text}`"].alias("text"))
+    per_doc = written(scan_hits(ids, windows, sizes, small), "window-hits")
+    # Written out, so that Spark knows its size, and so that no filter on the result moves below, into the work on each word.
+    doubtful = written(per_doc.where(F.size("hits") > 0).select("id", "row_hash", "hits"), "hits-to-verify")
+    hits = written(verified_hits(ids, doubtful, windows, small), "verified-hits")
+    spans = hits.groupBy("id", "row_hash").agg(F.sort_array(F.collect_set(F.struct("pos", F.col("size").alias("len")))).alias("spans"))
+    # Items by window, a window once a document.
+    items = (hits.select("id", "row_hash", "window").distinct().join(windows.select(F.col("window").alias("of_window"), "items"), F.col("window") == F.col("of_window"))
+             .select("id", "row_hash", F.explode("items").alias("item")).groupBy("id", "row_hash").agg(F.sort_array(F.collect_set("item")).alias("item_ids")))
+    of = items.select(F.col("id").alias("of"), F.col("row_hash").alias("of_hash"), "item_ids")
+    found = written(spans.join(of, F.col("id").eqNullSafe(F.col("of")) & (F.col("row_hash") == F.col("of_hash")))
+                    .select(F.col("id").alias("of_id"), F.col("row_hash").alias("of_row"), "spans", "item_ids"), "contaminations")
+    rows = per_doc.select("id", "row_hash", "n_words", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    all_rows = rows.join(found, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("row_hash") == F.col("of_row")), "left").select(
+        "id", "row_hash", "n_words", F.coalesce("spans", F.array().cast("array<struct<pos:int,len:int>>")).alias("spans"),
+        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).alias("n"), F.lit(1).alias("next")),
         lambda acc, s: F.struct(
             (acc["n"] + F.greatest(s["pos"] + s["len"] - F.greatest(acc["next"], s["pos"]), F.lit(0))).alias("n"),
             F.greatest(acc["next"], s["pos"] + s["len"]).alias("next")))
-    return found.select(
+    return all_rows.select(
         "id", "row_hash", "n_words", covered["n"].cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
         "item_ids", "spans", (F.size("spans") > 0).alias("contaminated"))
 

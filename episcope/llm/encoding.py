@@ -11,19 +11,25 @@ whole texts instead.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Sequence
 from functools import cache
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-MAX_WORDS = 400_000  # words a process keeps, some 300 bytes each; words past it are encoded whenever they come
+MAX_WORDS = 900_000  # words a process keeps, some 250 bytes each; words past it are encoded whenever they come
 STALE = 0.25  # share of a call's words that are not kept ones; from there on the process starts afresh
 JOINED = 500  # new words that the library gets as one text
-_DOUBLE = re.compile(r"\s\s")
+# White space by Unicode, for RE2, which knows the ASCII kind only.
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD = rf"^$|^{_SPACE}|{_SPACE}{_SPACE}"
 _SPACE_AFTER_TEXT = re.compile(r"(?<=\S) ")
+_AS_IT_STANDS = "\n\n"  # before a piece that no space stands before; words never begin like that
 # How the byte-level alphabet writes a space and a line break.
 _LEADS = {" ": "\u0120", "\n": "\u010a"}
 
@@ -57,72 +63,82 @@ class TextEncoder:
         self._used = 0
         self._bounds = np.zeros(1 << 16, np.int64)
 
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = pa.array(texts, pa.large_string()) if not isinstance(texts, pa.Array) else texts.cast(pa.large_string())
+        texts = pc.fill_null(texts, "")
         if not self._by_words:
-            return _flat([e.ids for e in self._tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)])
-        words: list[object] = []
-        counts = []
-        for text in texts:
-            before = len(words)
-            if text:
-                words.extend(_words(text))
-            counts.append(len(words) - before)
+            return _flat([e.ids for e in self._tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)])
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._encode_words(*_plain_words(texts))
+        plain = self._encode_words(*_plain_words(texts.filter(pa.array(~odd))))
+        rest = self._encode_words(*_odd_words(texts.filter(pa.array(odd)).to_pylist()))
+        # Back into one order.
+        counts = np.empty(len(odd), np.int64)
+        counts[~odd], counts[odd] = plain[1], rest[1]
+        ids = np.empty(int(counts.sum()), np.uint32)
+        of_odd = np.repeat(odd, counts)
+        ids[~of_odd], ids[of_odd] = plain[0], rest[0]
+        return ids, counts
+
+    def _encode_words(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts from their words, one text after the other, and the words of each."""
+        coded = words.dictionary_encode()
+        distinct, codes = coded.dictionary, coded.indices.to_numpy()
         known = self._known
-        at = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(at < 0)
-        if len(known) >= MAX_WORDS and len(new) > STALE * len(words):
+        at = np.fromiter(map(known.get, distinct.to_numpy(zero_copy_only=False).tolist(), repeat(-1)), np.int64, len(distinct))
+        new = at < 0
+        before, used, learned = len(known), self._used, []
+        if before >= MAX_WORDS and np.count_nonzero(new[codes]) > STALE * len(codes):
             self._reset()  # texts of another kind
-            return self.encode(texts)
-        before, used = len(known), self._used
-        if len(new):
-            learned = {words[i] for i in new.tolist()}
-            self._learn(learned)
-            at[new] = [known[words[i]] for i in new.tolist()]
-        starts = self._bounds[at]
-        lengths = self._bounds[at + 1] - starts
+            return self._encode_words(words, counts)
+        if new.any():
+            learned = self._learn(distinct.filter(pa.array(new)))
+            at[new] = [known[w] for w in distinct.filter(pa.array(new)).to_numpy(zero_copy_only=False).tolist()]
+        starts, lengths = self._bounds[at], self._bounds[at + 1] - self._bounds[at]
+        starts, lengths = starts[codes], lengths[codes]
         total = np.cumsum(lengths)
         ids = self._ids[np.repeat(starts - total + lengths, lengths) + np.arange(total[-1] if len(total) else 0)]
-        until = np.concatenate(([0], total))[np.cumsum([0, *counts])]
-        if len(new) and before >= MAX_WORDS:
+        until = np.concatenate(([0], total))[np.concatenate(([0], np.cumsum(counts)))]
+        if learned and before >= MAX_WORDS:
             for w in learned:
                 del known[w]
             self._used = used
         return ids, np.diff(until)
 
-    def _learn(self, words: set) -> None:
-        """Encode new words and keep their ids."""
-        alone, joined = [], {first: [] for first in _LEADS}
-        for w in words:
-            if isinstance(w, tuple):
-                alone.append((w, w[0]))
-                continue
-            text = w if w[:1] == "\n" else f" {w}"
-            if text[1:].split() == [text[1:]]:
-                joined[text[0]].append((w, text))
-            else:
-                alone.append((w, text))
-        found = []  # words with their ids as one array and the number of ids of each
-        for first, pairs in joined.items():
-            parts = [pairs[k:k + JOINED] for k in range(0, len(pairs), JOINED)]
-            for part, e in zip(parts, self._tokenizer.encode_batch_fast(["".join(t for _, t in p) for p in parts], add_special_tokens=False), strict=True):
+    def _learn(self, words: pa.Array) -> list[str]:
+        """Encode new words and keep their ids; returns the words in the order of their ids."""
+        whole, broken = (pc.starts_with(words, x).to_numpy(zero_copy_only=False) for x in (_AS_IT_STANDS, "\n"))
+        # A piece with white space in it, or nothing, is the library's alone; so are the marked ones.
+        alone = whole | pc.match_substring_regex(words, rf"^\n?$|.{_SPACE}|^[^\n]*{_SPACE}").to_numpy(zero_copy_only=False)
+        pieces = words.to_numpy(zero_copy_only=False)
+        found: list[tuple[list[str], np.ndarray, np.ndarray]] = []  # words, their ids as one array, the number of ids of each
+        rest = pieces[alone].tolist()
+        for first, some in ((" ", ~alone & ~broken), ("\n", ~alone & broken)):
+            own = pieces[some].tolist()
+            parts = [own[k:k + JOINED] for k in range(0, len(own), JOINED)]
+            texts = [" " + " ".join(part) if first == " " else "".join(part) for part in parts]
+            for part, e in zip(parts, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, np.uint32)
                 starts = np.flatnonzero(self._leads[first][ids])
                 if len(starts) == len(part) and starts[0] == 0:
-                    found.append(([w for w, _ in part], ids, np.diff(starts, append=len(ids))))
+                    found.append((part, ids, np.diff(starts, append=len(ids))))
                 else:  # a piece of another kind stands in one of the words
-                    alone += part
-        if alone:
-            ids, lengths = _flat([e.ids for e in self._tokenizer.encode_batch_fast([t for _, t in alone], add_special_tokens=False)])
-            found.append(([w for w, _ in alone], ids, lengths))
+                    rest += part
+        if rest:
+            texts = [w[len(_AS_IT_STANDS):] if w.startswith(_AS_IT_STANDS) else w if w[:1] == "\n" else f" {w}" for w in rest]
+            found.append((rest, *_flat([e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)])))
+        order = list(chain.from_iterable(f[0] for f in found))
         first = len(self._known)
-        self._known.update(zip(chain.from_iterable(f[0] for f in found), range(first, first + len(words)), strict=True))
+        self._known.update(zip(order, range(first, first + len(order)), strict=True))
         new = np.concatenate([f[1] for f in found])
         ends = self._used + np.cumsum(np.concatenate([f[2] for f in found]))
         self._ids = _grown(self._ids, self._used + len(new))
         self._ids[self._used:self._used + len(new)] = new
-        self._bounds = _grown(self._bounds, first + len(words) + 1)
-        self._bounds[first + 1:first + len(words) + 1] = ends
+        self._bounds = _grown(self._bounds, first + len(order) + 1)
+        self._bounds[first + 1:first + len(order) + 1] = ends
         self._used += len(new)
+        return order
 
 
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,24 +151,34 @@ def _grown(values: np.ndarray, size: int) -> np.ndarray:
     return values if size <= len(values) else np.concatenate([values, np.zeros(max(size, len(values)), values.dtype)])
 
 
-def _words(text: str) -> list:
-    """Pieces that encode alone as they do in the text.
+def _plain_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Pieces that encode alone as they do in the text, all texts one after the other, and their numbers.
 
-    A string is a word after a space, or with its line break before it; a tuple holds a
-    piece as it stands: the text's first word, or, where white space runs together, each
-    part up to a space that follows other text.
+    For texts that neither begin with white space nor have any of it run together. A piece is a
+    word after a space, a word with its line break before it, or the text's first word, marked.
     """
-    if _DOUBLE.search(text) or text[0].isspace():
+    mark, nothing = (pa.scalar(x, pa.large_string()) for x in (_AS_IT_STANDS, ""))
+    marked = pc.binary_join_element_wise(mark, pc.replace_substring(texts, "\n", " \n"), nothing)
+    words = pc.split_pattern(marked, " ")
+    return words.flatten(), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _odd_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The same for any text: cut at every space that follows other text, each piece as it stands."""
+    pieces, counts = [], []
+    for text in texts:
         cuts = [m.start() for m in _SPACE_AFTER_TEXT.finditer(text)]
-        return [(text[a:b],) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-    words = text.replace("\n", " \n").split(" ")
-    words[0] = (words[0],)
-    return words
+        found = [_AS_IT_STANDS + text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)] if text else []
+        pieces += found
+        counts.append(len(found))
+    return pa.array(pieces, pa.large_string()), np.array(counts, np.int64)
 
 
 @cache
 def encoder(tokenizer_json: str, special_as_text: bool) -> TextEncoder:
     """The process's encoder of a vocabulary, kept over tasks together with its words."""
+    # A task has one core; the library's threads would take those of others.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return TextEncoder(tokenizer_json, special_as_text)
 
 

@@ -176,26 +176,29 @@ def train_language_model(labelled: DataFrame, text: str = "text", lang: str = "l
     return model
 
 
-def predict_language(docs: DataFrame, model: ByteConvNet | None, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """Every row of ``docs`` with ``lang_pred`` and ``score`` (0 to 1).
+def predict_language(docs: DataFrame, model: ByteConvNet | None, text: str = "text", keep_text: bool = False,
+                     names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Every row of ``docs`` with ``lang_pred`` and ``score`` (0 to 1), or what ``names`` calls them.
 
     Text that is NULL or holds no letter, or any text without a model, gets ``und`` and
     score 0. Result columns replace input columns of the same name; the text itself is
     left out unless ``keep_text``.
     """
-    made = ("lang_pred", "score")
-    kept = [c for c in docs.columns if c not in made and (keep_text or c != text)]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kept = [c for c in docs.columns if c not in names and (keep_text or c != text)]
+    # The other columns go through as one struct: their names may be any, with dots too.
+    rest = F.struct(*[docs[f"`{c}`"] for c in kept], F.lit(0).alias(unused_name(kept, "_"))).alias("row")
+    rows = docs.select(docs[f"`{text}`"].alias("text"), rest)
+    schema = T.StructType([rows.schema["row"], T.StructField("lang", T.StringType()), T.StructField("chance", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in row_groups(batch.column(0), BATCH_BYTES):
                 part = batch.slice(lo, hi - lo)
                 langs, scores = classify(model, part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    part.columns[1:] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=kept + list(made))
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang", "chance"])
 
-    return docs.select(docs[f"`{text}`"].alias(unused_name(kept, "text")), *[docs[f"`{c}`"] for c in kept]).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(
+        *[F.col(f"row.`{c}`") for c in kept], F.col("lang").alias(names[0]), F.col("chance").alias(names[1]))
 
 
 def classify(model: ByteConvNet | None, texts: list[str | None]) -> tuple[list[str], list[float]]:

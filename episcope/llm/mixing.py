@@ -75,17 +75,18 @@ def _pool(docs: DataFrame, weights: Mapping[str, float], source: str) -> Column:
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float], epochs: float = 1.0, seed: str = "mix", key: str = "doc_id",
-        source: str = "source", text: str = "text", shuffled: bool = True) -> DataFrame:
-    """Every copy of every document of the mix: the columns of ``docs`` and ``copy`` (from 0).
+        source: str = "source", text: str = "text", shuffled: bool = True, number: str | None = "copy") -> DataFrame:
+    """Every copy of every document of the mix: the columns of ``docs`` and, as ``number``, which copy it is (from 0).
 
     ``weights`` gives sources their share of the mix; ``rest`` stands for all others,
     which get none if it is missing. The mix is expected to hold ``epochs`` times the bytes
     of ``docs``. Copies are dealt and sorted by a hash of key and copy: a global shuffle.
-    Rows with the same key repeat equally often; a column ``copy`` of the input is replaced.
+    Rows with the same key repeat equally often. A column of the input called as ``number``
+    is replaced; without ``number`` all columns keep their content and none is added.
     """
     rates = repetition_rates(docs, weights, epochs, source, text)
     tables = rates.select(F.col("pool").alias("pool_of"), "rate", F.when(F.col("rate") > 0, poisson_table(F.col("rate"))).alias("table"))
-    kept = [F.col(f"row.`{c}`") for c in docs.columns if c != "copy"]
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c != number]
     body = docs[f"`{key}`"]
     drawn = docs.select(struct_of(docs, "row"), body.alias("key"), _pool(docs, weights, source).alias("pool"), hashed_uniform(seed, body).alias("u"))
     # At most one row per weight on the other side.
@@ -97,4 +98,4 @@ def mix(docs: DataFrame, weights: Mapping[str, float], epochs: float = 1.0, seed
         # Hashed keys deal evenly whatever the source; the sort puts each part in random order.
         place = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit("null")), F.col("copy")))
         out = out.withColumn("place", place).repartition("place").sortWithinPartitions("place")
-    return out.select(*kept, "copy")
+    return out.select(*kept, *([F.col("copy").alias(number)] if number else []))

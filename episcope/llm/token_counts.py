@@ -46,8 +46,8 @@ def write_flat_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             write_file(f"{folder}/{name}", ids.tobytes(), f"attempt-{context.taskAttemptId()}")
 
         for batch in batches:
-            for lo, hi in row_groups(batch.column(1), 1 << 20):
-                flat, counts = encode(batch.column(1).slice(lo, hi - lo).to_pylist())
+            for lo, hi in row_groups(batch.column(1), 1 << 21):
+                flat, counts = encode(batch.column(1).slice(lo, hi - lo))
                 if len(flat) and int(flat.max()) > np.iinfo(kind).max:
                     raise ValueError(f"ids do not fit in {width} bytes")
                 held = np.concatenate([held, np.insert(flat, np.cumsum(counts), np.uint32(end_id)).astype(kind)])

@@ -56,8 +56,8 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, folder: str, id_col
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "n_docs": len(doc_ids), "n_tokens": held}])
 
         for batch in batches:
-            for lo, hi in row_groups(batch.column(1), 1 << 20):
-                flat, counts = encode(batch.column(1).slice(lo, hi - lo).to_pylist())
+            for lo, hi in row_groups(batch.column(1), 1 << 21):
+                flat, counts = encode(batch.column(1).slice(lo, hi - lo))
                 flat = np.insert(flat, np.cumsum(counts), np.uint32(end_id))
                 names, counts = batch.column(0).slice(lo, hi - lo).to_pylist(), counts + 1
                 ends = np.concatenate(([0], np.cumsum(counts)))

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from episcope.llm import decontaminate
+from episcope.llm.common import written
 from episcope.llm.queries import op5_decontamination
 from tests.llm.helpers import SCHEMA, documents, odd_documents, prose, rows
 
@@ -81,11 +82,43 @@ def test_removal_of_documents_and_of_spans(spark):
     assert rows(cut, "doc_id", "text") == [(None, None), (5, f"Before, {gaps}! After."), (6, gaps), (6, "clean text")]
 
 
-def test_plan_is_native_with_one_small_shuffle(spark):
+def steps(spark, small=True):
+    """The plans of the two steps that do the work, on the smoke table."""
     d = "/root/testdata/sf0.001"
-    plan = op5_decontamination(spark, d)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    docs, bench = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
+    ids = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("row_hash"), "text")
+    windows = decontaminate.numbered_windows(bench, 10, "item_id", "text")
+    scan = decontaminate.scan_hits(ids, windows, [10], small)
+    doubtful = written(scan.where(F.size("hits") > 0).select("id", "row_hash", "hits"), "test-doubtful")
+    check = decontaminate.verified_hits(ids, doubtful, windows, small)
+    return [df._jdf.queryExecution().executedPlan().toString() for df in (scan, check)], check
+
+
+def test_plans_are_native_and_move_numbers(spark):
+    (scan, check), _ = steps(spark)
+    for plan in (scan, check):
+        assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    # The windows come to the documents; the one exchange of the scan moves hits as numbers, no text.
+    assert scan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in scan
+    moved = [line for line in scan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 1 and "grams" not in scan
+    # Texts without a hit are dropped before anything is exchanged.
+    assert "LeftSemi" in check and check.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in check
+
+
+def test_a_large_benchmark_is_joined_without_a_broadcast(spark, monkeypatch):
+    plans, check = steps(spark, small=False)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", 0)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans, check = steps(spark, small=False)
+        assert all("SortMergeJoin" in p and "Broadcast" not in p and "Python" not in p for p in plans)
+        assert check.count() > 0
+        test_random_texts_against_brute_force(spark)
+        test_repeated_rows_nulls_and_empty_tables(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def test_query_on_the_smoke_table(spark):

@@ -1,8 +1,11 @@
 
+import os
+import re
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from episcope.llm import mixing
+from episcope.llm import common, mixing
 from episcope.llm.queries import SOURCE_WEIGHTS
 from tests.llm import test_decontaminate, test_mixing, test_simhash, test_tokens
 from tests.llm.helpers import odd_documents, rows
@@ -54,9 +57,30 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokens) == expected
 
 
-def test_run_gives_the_last_stage(spark):
+def test_run_gives_the_last_stage_and_leaves_nothing_else(spark, monkeypatch):
+    made = []
+    noted = common._noted
+    monkeypatch.setattr(common, "_noted", lambda path: made.append(path) or noted(path))
     out = corpus_pipeline.run(spark, DIR)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
+    left = [p for p in made if os.path.exists(re.sub("^file:/*", "/", p))]
+    assert len(made) > 10 and len(left) == 1 and "pipeline-4" in left[0]
+
+
+CLASHING = ("score", "lang_pred", "copy", "row", "id", "key", "fp", "row_hash", "hits", "w", "place", "a.b", "doc_id.x", "class")
+
+
+def test_columns_of_any_name_keep_their_content(spark):
+    """Every stage hands on what it got, under names of the operators' own columns and names with dots."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(40)
+    content = lambda c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string"))
+    docs = docs.select("*", *[content(c).alias(c) for c in CLASHING])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(r[c] == f"{c}-{r['doc_id']}" for r in found for c in CLASHING)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DIR).count() == docs.count()
 
 
 def test_stages_on_odd_and_empty_documents(spark):

@@ -92,25 +92,16 @@ def unescape_entities(c: Column | str) -> Column:
             .otherwise(decoded))
 
 
-# Blocks whose text a parser does not report, then comments and the doctype.
-_HIDDEN_BLOCKS = (
-    r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)",
-    r"(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)",
-    r"(?is)<template\b[^>]*>.*?(?:</template\s*>|\z)",
-    r"(?s)<!--.*?(?:-->|\z)",
-    r"(?is)<!doctype[^>]*>",
-)
-# A tag begins with a letter, ``/``, ``!`` or ``?``; quoted attribute values may hold ``>``.
-# Possessive, so that an unclosed tag costs one pass.
-_TAG = r"""(?s)<[/!?a-zA-Z](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>"""
+# In one pass, from left to right as a parser reads: elements whose text it does not report, comments,
+# then any other tag. A tag begins with a letter, ``/``, ``!`` or ``?``; quoted attribute values may hold
+# ``>``. Possessive, so that an unclosed tag costs one pass.
+_HIDDEN = "|".join(rf"<{name}\b[^>]*>.*?(?:</{name}\s*>|\z)" for name in ("script", "style", "template"))
+_MARKUP = rf"""(?is){_HIDDEN}|<!--.*?(?:-->|\z)|<[/!?a-z](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>"""
 
 
 def strip_markup(c: Column | str) -> Column:
-    """Hidden blocks dropped and tags replaced by blanks (entities still encoded)."""
-    s = _col(c)
-    for pattern in _HIDDEN_BLOCKS:
-        s = F.regexp_replace(s, pattern, " ")
-    return F.regexp_replace(s, _TAG, " ")
+    """Hidden blocks and tags replaced by blanks (entities still encoded)."""
+    return F.regexp_replace(_col(c), _MARKUP, " ")
 
 
 def html_text(c: Column | str) -> Column:

@@ -442,11 +442,9 @@ def _unescape_sql(x: str) -> str:
 
 
 def _visible_text_sql(x: str) -> str:
-    for pat in (r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)", r"(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)",
-                r"(?is)<template\b[^>]*>.*?(?:</template\s*>|\z)", r"(?s)<!--.*?(?:-->|\z)", r"(?is)<!doctype[^>]*>"):
-        x = f"regexp_replace({x}, {q(pat)}, ' ', 'g')"
-    tag = r"""(?s)<[/!?a-zA-Z](?:[^"'>]|"[^"]*"|'[^']*')*>"""
-    x = f"regexp_replace({x}, {q(tag)}, ' ', 'g')"
+    hidden = "|".join(rf"<{name}\b[^>]*>.*?(?:</{name}\s*>|\z)" for name in ("script", "style", "template"))
+    markup = rf"""(?is){hidden}|<!--.*?(?:-->|\z)|<[/!?a-z](?:[^"'>]|"[^"]*"|'[^']*')*>"""
+    x = f"regexp_replace({x}, {q(markup)}, ' ', 'g')"
     return _unescape_sql(x)
 
 

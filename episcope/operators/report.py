@@ -188,10 +188,10 @@ def latest_source(load_history: DataFrame) -> DataFrame:
                                      F.col("ingested_at")).alias("s")).select("s.*")
 
 
-def source_metadata(load_history: DataFrame) -> DataFrame:
-    """REP-5: the five fields of the newest load, by their names in the report state; no row without a load."""
+def source_metadata(load_history: DataFrame, *more: str) -> DataFrame:
+    """REP-5: the five fields of the newest load, by their names in the report state, and ``more`` columns; no row without a load."""
     return latest_source(load_history).where(F.col("ingested_at").isNotNull()).select(
-        "provider", "source_type", F.col("table_path").alias("db_path"), F.col("ingested_at").alias("updated_at"), "source_url")
+        "provider", "source_type", F.col("table_path").alias("db_path"), F.col("ingested_at").alias("updated_at"), "source_url", *more)
 
 
 def source_scalar(load_history: DataFrame) -> Column:

@@ -643,8 +643,7 @@ def _loaded(spark, sf_dir):
 def q_load_history_latest(spark, sf_dir):
     """SRC-1 → CLEAN → SNK-3 → SNK-4, then REP-5: the newest load-history row and its five fields."""
     root, history = _loaded(spark, sf_dir)
-    rows = REP.latest_source(history).select(F.col("rows_processed").cast("bigint"))
-    return REP.source_metadata(history).crossJoin(rows).select(
+    return REP.source_metadata(history, "rows_processed").select(
         "provider", "source_type", F.replace("db_path", F.lit(root), F.lit("table")).alias("db_path"),
         F.try_to_timestamp("updated_at").isNotNull().alias("updated"), "source_url", "rows_processed")
 

@@ -46,9 +46,9 @@ def test_stream_summary_equals_batch(spark):
     audit = FX.audit_events(spark, SMOKE)
     SA.append_audit(audit, f"{base}/in")
     ST.stream_execution_summary(spark, f"{base}/in", f"{base}/log", f"{base}/ckpt")
-    stream = sorted(tuple(r) for r in ST.read_upsert_log(spark, f"{base}/log", ["execution_id"]).collect())
+    stream = sorted(tuple(r) for r in ST.read_execution_summary(spark, f"{base}/log").collect())
     batch = OPS.execution_summary(OPS.flatten_events(audit))
-    batch = sorted(tuple(r) for r in batch.select(*ST.read_upsert_log(spark, f"{base}/log", ["execution_id"]).columns).collect())
+    batch = sorted(tuple(r) for r in batch.select(*ST.read_execution_summary(spark, f"{base}/log").columns).collect())
     assert stream == batch
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,8 @@ from episcope.llm.common import row_groups, written
 
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 1) for b in range(256)], np.uint32)
 REACH = 32  # bytes that the rolling hash sees
-MAX_COLLIDED = 100_000  # contents of collided digests that a task may hold
+MAX_COLLIDED = 1000  # contents of collided digests that a task holds; with more of them, digests are made longer
+LONGEST_DIGEST = 64
 
 
 @dataclass(frozen=True)
@@ -95,11 +96,11 @@ def chunk_contents(docs: DataFrame, text: str, p: Chunking) -> DataFrame:
     return docs.select(docs[f"`{text}`"].alias("text")).mapInArrow(run, "digest binary, content binary").distinct()
 
 
-def collided_chunks(docs: DataFrame, text: str, p: Chunking) -> dict[bytes, dict[bytes, int]]:
-    """Digests that name several contents, with a number for each content; normally none.
+def collided_chunks(docs: DataFrame, text: str, p: Chunking) -> dict[bytes, dict[bytes, int]] | None:
+    """Digests that name several contents, with a number for each content; normally none. None if there are too many.
 
     Every chunk's content is compared with the others of its digest, by Spark, in the
-    grouping of ``chunk_contents``. Only collided contents come to the driver.
+    grouping of ``chunk_contents``. Only collided contents come to the driver, ``MAX_COLLIDED`` at most.
     """
     contents = chunk_contents(docs, text, p)
     digests = [r["digest"] for r in contents.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
@@ -107,10 +108,10 @@ def collided_chunks(docs: DataFrame, text: str, p: Chunking) -> dict[bytes, dict
     if not digests:
         return {}
     if len(digests) > MAX_COLLIDED:
-        raise ValueError("too many chunk digests collide: use a longer digest")
+        return None
     rows = contents.where(F.col("digest").isin(digests)).limit(MAX_COLLIDED + 1).collect()
     if len(rows) > MAX_COLLIDED:
-        raise ValueError("too many chunk digests collide: use a longer digest")
+        return None
     found: dict[bytes, dict[bytes, int]] = {}
     for digest, content in sorted((bytes(r["digest"]), bytes(r["content"])) for r in rows):
         numbers = found.setdefault(digest, {})
@@ -118,9 +119,20 @@ def collided_chunks(docs: DataFrame, text: str, p: Chunking) -> dict[bytes, dict
     return found
 
 
+def verified_chunking(docs: DataFrame, text: str, p: Chunking) -> tuple[Chunking, dict[bytes, dict[bytes, int]]]:
+    """``p`` and its collided chunks; with digests twice as long, and again, while there are too many of these."""
+    collided = collided_chunks(docs, text, p)
+    while collided is None:
+        if p.digest_bytes >= LONGEST_DIGEST:
+            raise RuntimeError(f"more than {MAX_COLLIDED} contents share digests of {p.digest_bytes} bytes")
+        p = replace(p, digest_bytes=min(2 * p.digest_bytes, LONGEST_DIGEST))
+        collided = collided_chunks(docs, text, p)
+    return p, collided
+
+
 def recipes(docs: DataFrame, id_col: str, text: str, p: Chunking) -> DataFrame:
     """One row per input row: ``id``, ``text_sha256`` and ``recipe``, the verified chunk identifiers in order."""
-    collided = collided_chunks(docs, text, p)
+    p, collided = verified_chunking(docs, text, p)
 
     def identifier(chunk: bytes) -> bytes:
         digest = _digest(chunk, p)

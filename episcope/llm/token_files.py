@@ -38,6 +38,8 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, folder: str, id_col
     after the document that fills it. NULL text counts as empty: only the end id. Returns
     the manifest, already written: ``part``, ``seq``, ``file``, ``n_docs``, ``n_tokens``.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("shards hold integer ids")
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

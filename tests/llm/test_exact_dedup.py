@@ -49,7 +49,18 @@ def test_groups_against_brute_force_also_with_colliding_digests(spark, p):
     texts = [prose(k % 40, 10 + k % 40 * 7) for k in range(120)] + ["", None, "é", "é", "é"]
     r.shuffle(texts)
     docs = documents(spark, texts).repartition(4)
-    assert bool(exact_dedup.collided_chunks(docs, "text", p)) == (p.digest_bytes == 1)
+    assert exact_dedup.collided_chunks(docs, "text", p) != {} or p.digest_bytes > 1
+    got = exact_dedup.exact_duplicates(docs, p=p)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(enumerate(texts))
+
+
+def test_many_collisions_lengthen_the_digest(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MAX_COLLIDED", 20)
+    texts = [prose(k % 60, 200) for k in range(90)]
+    docs, p = documents(spark, texts), exact_dedup.Chunking(32, 4, 96, digest_bytes=1)
+    assert exact_dedup.collided_chunks(docs, "text", p) is None
+    longer, collided = exact_dedup.verified_chunking(docs, "text", p)
+    assert longer.digest_bytes in (2, 4) and len(collided) <= 20
     got = exact_dedup.exact_duplicates(docs, p=p)
     assert sorted(map(tuple, got.collect()), key=str) == brute(enumerate(texts))
 

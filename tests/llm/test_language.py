@@ -67,6 +67,39 @@ def test_a_hot_group_of_copies_takes_no_place_in_the_sample(spark, monkeypatch):
     assert seen == [[301 * 4, 400 * 4], [400 * 4]]
 
 
+def plain_predictions(model, texts):
+    """Whole texts window by window, position by position and filter by filter."""
+    embed, conv = model.params["embed"].astype(float), model.params["conv"].astype(float).reshape(model.span, model.size, -1)
+    out = []
+    for text in texts:
+        if not text or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        data, total = text.encode(), np.zeros(len(model.languages))
+        for lo in range(0, len(data), model.window):
+            own = data[lo:lo + model.window]
+            padded = own + b"\0" * (model.window - len(own) + model.span - 1)
+            pooled = []
+            for f in range(conv.shape[2]):
+                best = max(sum(embed[padded[at + k]] @ conv[k, :, f] for k in range(model.span)) for at in range(model.window))
+                pooled.append(max(best + float(model.params["conv_bias"][f]), 0.0))
+            scores = np.array(pooled) @ model.params["out"].astype(float) + model.params["out_bias"].astype(float)
+            total += (scores - np.log(np.exp(scores - scores.max()).sum()) - scores.max()) * len(own)
+        chances = np.exp(total / len(data))
+        chances /= chances.sum()
+        out.append((model.languages[int(chances.argmax())], float(chances.max())))
+    return out
+
+
+def test_predictions_against_plain_loops(spark):
+    train = documents(spark, ["the house and the garden " * 5, "of these things"]).union(documents(spark, ["la maison et le jardin é " * 5, "ça va là"], lang="fr"))
+    model = language.train_language_model(train, p=language.Training(window=32, epochs=4))
+    texts = ["the house", "la maison é", "x", "the garden and things " * 4, "é " * 40 + "the", "12 ...", "", None, prose(4, 12), "日本 and"]
+    langs, scores = language.classify(model, texts)
+    for got, want in zip(zip(langs, scores, strict=True), plain_predictions(model, texts), strict=True):
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-3
+
+
 def test_odd_rows(spark):
     train = documents(spark, ["the house and the garden " * 5] * 3).union(documents(spark, ["la maison et le jardin é " * 5] * 3, lang="fr"))
     train = train.union(documents(spark, [None, "", "unlabelled"], lang=None))
@@ -77,7 +110,8 @@ def test_odd_rows(spark):
     assert out.columns == ["doc_id", "lang", "source", "n_chars", "lang_pred", "score"] and out.count() == docs.count()
     by_id = {r["doc_id"]: r for r in out.collect()}
     assert [by_id[k]["lang_pred"] for k in (1, 2, 3)] == ["und"] * 3 and by_id[1]["score"] == 0
-    assert {r["lang_pred"] for r in out.where("doc_id is null").collect()} == {"und", "en"} or by_id[5]["lang_pred"] in ("en", "fr")
+    plain = plain_predictions(model, [r["text"] for r in docs.where("doc_id is null").collect()])
+    assert sorted(r["lang_pred"] for r in out.where("doc_id is null").collect()) == sorted(lang for lang, _ in plain)
     assert language.predict_language(documents(spark, ["12 34 ... ²½", "1é"]), model).orderBy("doc_id").collect()[0]["lang_pred"] == "und"
     assert language.predict_language(docs.limit(0), model).count() == 0
     # Nothing to learn from: everything is undetermined.

@@ -29,7 +29,8 @@ def test_base_spans_equal_the_plain_patterns():
 
 
 def test_consumed_matches_are_dropped_not_retried():
-    assert secrets.base_spans("token=secret:abcdefgh") == [(6, 0, 21)] or secrets.base_spans("token=secret:abcdefgh") == plain_spans("token=secret:abcdefgh")
+    # The first match takes ``secret`` as its value, too short, and the search goes on behind it.
+    assert secrets.base_spans("token=secret:abcdefgh") == plain_spans("token=secret:abcdefgh") == []
     assert secrets.base_spans("token = abc") == []
 
 

@@ -34,6 +34,20 @@ def test_production_rules_on_odd_urls(spark):
         assert found[k] == plain(u, URL_RULES), u
 
 
+def test_more_rules_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MAX_BROADCAST_RULES", 2)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ["http://a.example.org/es/x", "http://com/fr/", "http://b.com/de/", "x://net/", None]
+        pages = spark.createDataFrame([(k, u, None) for k, u in enumerate(found)], SCHEMA)
+        out = urls.judge_urls(pages, urls.rule_table(spark, URL_RULES))
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()} == {k: plain(u, URL_RULES) for k, u in enumerate(found)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_random_rules_against_brute_force(spark):
     r = random.Random(4)
     labels, paths = ["a", "b", "com", "org"], ["/", "/x", "/x/", "/x/y", ""]

@@ -185,17 +185,20 @@ def predict_language(docs: DataFrame, model: ByteConvNet | None, text: str = "te
     left out unless ``keep_text``.
     """
     kept = [c for c in docs.columns if c not in names and (keep_text or c != text)]
-    # The other columns go through as one struct: their names may be any, with dots too.
+    # The other columns go through as one struct: their names may be any, with dots too. A text that
+    # is kept stands in it once and nowhere else.
     rest = F.struct(*[docs[f"`{c}`"] for c in kept], F.lit(0).alias(unused_name(kept, "_"))).alias("row")
-    rows = docs.select(docs[f"`{text}`"].alias("text"), rest)
+    place = kept.index(text) if text in kept else None
+    rows = docs.select(rest, *([docs[f"`{text}`"].alias("text")] if place is None else []))
     schema = T.StructType([rows.schema["row"], T.StructField("lang", T.StringType()), T.StructField("chance", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in row_groups(batch.column(0), BATCH_BYTES):
-                part = batch.slice(lo, hi - lo)
-                langs, scores = classify(model, part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang", "chance"])
+            texts = batch.column(1) if place is None else batch.column(0).field(place)
+            for lo, hi in row_groups(texts, BATCH_BYTES):
+                langs, scores = classify(model, texts.slice(lo, hi - lo).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                                                 names=["row", "lang", "chance"])
 
     return rows.mapInArrow(run, schema).select(
         *[F.col(f"row.`{c}`") for c in kept], F.col("lang").alias(names[0]), F.col("chance").alias(names[1]))

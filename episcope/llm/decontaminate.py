@@ -3,7 +3,7 @@
 Benchmark items become windows of consecutive normalised words; their hashes are broadcast
 when the benchmark's measured size is within a bound. Documents give the hash of each of
 their windows to a hash join; hits, as numbers, are then verified word by word against the
-texts that have any, which alone are moved. Each document's hits are folded into counts, and
+texts that have any. Each document's hits are folded into counts, and
 documents or the hit words are removed.
 DataFrame functions only.
 """
@@ -86,14 +86,12 @@ def scan_hits(ids: DataFrame, windows: DataFrame, sizes: list[int], small: bool)
 def verified_hits(ids: DataFrame, doubtful: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
     """``(id, row_hash, pos, size, window)`` of the hits in ``doubtful`` whose words are the window's.
 
-    Texts without a hit are left behind by their keys alone, two numbers each, which Spark
-    broadcasts as long as they are few; only the others meet their hits.
+    Texts meet their hits, a few numbers each, in a shuffle at every size: few hits or many, the
+    plan is the same.
     """
-    keys = doubtful.select(F.col("id").alias("of"), F.col("row_hash").alias("of_hash"))
-    same = lambda left: left["id"].eqNullSafe(F.col("of")) & (left["row_hash"] == F.col("of_hash"))
-    texts = ids.join(keys, same(ids), "left_semi")
-    hits = doubtful.select(F.col("id").alias("of"), F.col("row_hash").alias("of_hash"), "hits")
-    found = texts.join(hits, same(texts)).select("id", "row_hash", words(F.col("text")).alias("w"), "hits")
+    hits = doubtful.select(F.col("id").alias("of"), F.col("row_hash").alias("of_hash"), "hits").hint("merge")
+    found = ids.join(hits, ids["id"].eqNullSafe(F.col("of")) & (ids["row_hash"] == F.col("of_hash"))).select(
+        "id", "row_hash", words(F.col("text")).alias("w"), "hits")
     own = found.select("id", "row_hash", "w", F.explode("hits").alias("hit")).select(
         "id", "row_hash", "hit.*", F.slice("w", F.col("hit.pos"), F.col("hit.size")).alias("own"))
     known = windows.select(F.col("window").alias("of_window"), "grams")

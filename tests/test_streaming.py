@@ -131,3 +131,83 @@ def test_stream_of_mixed_layouts(spark, tmp_path):
             ST.stream_ingest(spark, src, out, ckpt, max_files_per_trigger=1)
     got = sorted((str(r.dt_notific), r.sg_uf, r.obito) for r in spark.read.parquet(out).collect())
     assert got == [("2024-01-01", "S0", 1), ("2024-01-02", "S1", 1), ("2024-01-03", "S2", 1)]
+
+
+def test_calls_far_apart_share_state_entries(spark, tmp_path):
+    src, log, ckpt = _dirs(tmp_path)
+    start = dt.datetime(2024, 1, 1)
+    calls = [(2 * k + j, "a", start + dt.timedelta(minutes=k, seconds=j)) for k in range(150) for j in range(2)]
+    for half in range(2):
+        spark.createDataFrame([c for c in calls if c[0] // 2 % 2 == half], CALLS).coalesce(1).write.mode("append").parquet(src)
+        q = ST.stream_rate_limit(spark, src, spark.read.parquet(src).schema, "client", "at", "call_id", log, ckpt, 1, 30.0, watermark="1 day")
+    assert {r.call_id: r.admitted for r in ST.read_upsert_log(spark, log, ["client", "call_id"]).collect()} == {c[0]: c[0] % 2 == 0 for c in calls}
+    # 300 windows hold no entry, nor a timer, each.
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < 10
+
+
+class _State:
+    """A key's state and timers, as the state API gives them to a processor."""
+
+    def __init__(self):
+        self.value, self.map, self.timers = None, {}, set()
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def getValue(self, key):
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def removeKey(self, key):
+        del self.map[key]
+
+
+@pytest.mark.parametrize(("stretch", "held", "most", "window_us"), [(4, 7, 3, 60_000_000), (1, 1, 1, 7_000_000), (50, 1000, 5, 600_000_000), (3, 100, 40, 90_000_000)])
+def test_rate_limit_state_of_a_hot_key(stretch, held, most, window_us):
+    from collections import deque
+
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
+    r = random.Random(stretch)
+    calls = [(r.randrange(0, 3000) * 1_000_000 + r.choice([0, 1]), k, str(k)) for k in range(500)]
+    calls.sort(key=lambda c: c[0] + r.randrange(0, 300_000_000))  # at most five minutes out of order
+    calls.append((9_000_000_000, 500, "500"))
+    state, got, seen, watermark = _State(), {}, [], 0
+    while calls:
+        n = r.choice([1, 2, 30, 60])
+        batch, calls = calls[:n], calls[n:]
+        seen += batch
+        p = ST.RateLimitProcessor(most, window_us, stretch, held)
+        p.init(state)
+        parts = [pd.DataFrame(batch[lo:lo + 20], columns=["time_us", "seq", "row"]) for lo in range(0, len(batch), 20)]
+        for out in p.handleInputRows(("k",), iter(parts), TimerValues(0, watermark)):
+            got |= dict(zip(out["row"], out["admitted"].tolist(), strict=True))
+        watermark = max(c[0] for c in seen) // 1000 - 300_000
+        for timer in [t for t in state.timers if t <= watermark]:
+            list(p.handleExpiredTimer(("k",), TimerValues(0, watermark), ExpiredTimerInfo(timer)))
+            state.timers.remove(timer)
+        ordered = sorted(seen)
+        assert got == dict(zip([c[2] for c in ordered], RL.admit([c[0] for c in ordered], deque(), most, window_us), strict=True))
+        settled, firsts, numbers, timer = state.value
+        kept = [(c[0], c[1]) for x in numbers for c in p._calls(x)]
+        assert {(x,) for x in numbers} == set(state.map) and state.timers == {timer} and kept == sorted(kept)
+        assert firsts == [p._calls(x)[0][0] for x in numbers] and len(settled) <= most
+        assert kept == [c[:2] for c in ordered][-len(kept):] and kept[0][0] >= watermark * 1000 - window_us
+    p.handleExpiredTimer(("k",), TimerValues(0, 9_000_000 + 1), ExpiredTimerInfo(0))
+    p.handleExpiredTimer(("k",), TimerValues(0, 10_000_000), ExpiredTimerInfo(0))
+    assert state.value is None and not state.map  # a window later nothing is left

@@ -70,6 +70,26 @@ def test_execution_state_is_dropped_behind_the_watermark(spark, tmp_path):
     assert states[1] == 2 * states[0] and states[-1] < states[1] + states[0]
 
 
+def test_executions_longer_than_a_span_and_late_events(spark, tmp_path):
+    src, log, ckpt = _dirs(tmp_path)
+    # Spans of a day: an execution of four days, in every batch; the last batch has an event that is long over.
+    kinds = ["tool_call", "validation", "error", "decision"]
+    batches = [[(f"2024-01-{d:02d}T{h:02d}:00:00", kinds[h % 4], e, '{"valid": true}') for d in range(1, 5) for h in range(k, 24, 3) for e in ("long", f"e{d}")]
+               for k in range(3)]
+    batches.append([("2024-03-01T00:00:00", "error", "new", None)])
+    batches.append([("2024-01-01T12:30:00", "error", "long", None), ("2024-03-01T01:00:00", "tool_call", "new", None)])
+    for events in batches:
+        _audit(spark, src, events)
+        q = ST.stream_execution_summary(spark, src, log, ckpt, watermark="10 days")
+        ST.compact_upsert_log(spark, log, ST.EXECUTION_KEYS)
+    got = sorted(map(tuple, ST.read_execution_summary(spark, log).collect()))
+    events = OPS.flatten_events(SA.read_audit_log(spark, src)).where(~((F.col("execution_id") == "long") & (F.minute("ts") == 30)))
+    assert got == sorted(map(tuple, OPS.execution_summary(events).collect())) and len(got) == 6
+    # Spark's own aggregation, without Python; the state holds the new execution alone.
+    state = q.lastProgress["stateOperators"][0]
+    assert state["operatorName"] == "stateStoreSave" and state["numRowsTotal"] == 1
+
+
 def test_compaction_keeps_the_newest_rows(spark, tmp_path):
     log = str(tmp_path / "log")
     write = ST.upsert_log(log)

@@ -94,7 +94,8 @@ def links(fps: DataFrame, max_bits: int = 4, block: int = BLOCK) -> DataFrame:
         raise ValueError("max_bits must be 1 to 7: with 8 differing bits no byte is sure to agree")
     keys = index_keys(fps, max_bits)
     lists = keys.groupBy("positions", "shared").agg(F.count("*").alias("n")).where("n > 1")
-    met = keys.join(lists, ["positions", "shared"])
+    # Spark sizes the exploded postings like the fingerprints, many times too low: without the hint it broadcasts them.
+    met = keys.join(lists.hint("merge"), ["positions", "shared"])
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = met.withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
     dealt = (own.select("positions", "shared", "fp", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -206,13 +207,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = written(with_fingerprints(docs, id_col, text, shingle), "fingerprints")
     lowest = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("row_hash"))).alias("low")
     fps = written(rows.groupBy("fp").agg(lowest), "distinct-fingerprints")
-    roots = written(connected_components(links(fps.select("fp"), max_bits)), "roots")
+    # Numbers of every document, in files that pack them closer than a hash table would: never broadcast.
+    roots = written(connected_components(links(fps.select("fp"), max_bits)), "roots").hint("merge")
     placed = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     placed = written(placed, "placed")
-    heads = written(placed.groupBy("root").agg(F.min("low").alias("head")), "heads")
+    heads = written(placed.groupBy("root").agg(F.min("low").alias("head")), "heads").hint("merge")
     of_fp = written(placed.join(heads, "root").select(F.col("fp").alias("of"), "head"), "components")
     # Both sides are plain scans, so a fingerprint that many rows share can be split at run time.
-    return rows.join(of_fp, rows["fp"] == of_fp["of"]).select(
+    return rows.join(of_fp.hint("merge"), rows["fp"] == of_fp["of"]).select(
         "id", "row_hash", "fp", F.col("head.id").alias("component_id"),
         F.struct(F.col("head.id").alias("id"), F.col("head.row_hash").alias("row_hash")).alias("keeper"))
 

@@ -90,6 +90,22 @@ def test_links_stay_linear_in_a_dense_group(spark):
     assert simhash.links(table, 4).count() < 70 * len(fps)
 
 
+def test_tables_of_the_documents_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes exploded postings like the fingerprints before, 70 times too low, and files as they are packed."""
+    plans, write = {}, simhash.written
+
+    def noted(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    out = simhash.near_duplicates(documents(spark, [prose(k % 15, 60) for k in range(20)]))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    # The first edges are the links of the index.
+    for plan in (plans["edges"], plans["placed"], plans["components"], out._jdf.queryExecution().executedPlan().toString()):
+        assert plan.count("SortMergeJoin") == 1 and "Broadcast" not in plan
+
+
 def brute(docs, max_bits=4):
     fps = [plain_fingerprint(t) for _, t in docs]
     label = plain_components(fps, max_bits)

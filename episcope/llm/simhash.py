@@ -226,7 +226,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """
     found = near_duplicates(docs, id_col, text, shingle, max_bits)
     keepers = written(found.where(F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("row_hash") == F.col("keeper.row_hash")))
-                      .select(F.col("id").alias("_keep_id"), F.col("row_hash").alias("_keep_hash")).distinct(), "keepers")
+                      .select(F.col("id").alias("_keep_id"), F.col("row_hash").alias("_keep_hash")).distinct(), "keepers").hint("merge")
     rows = docs.select(struct_of(docs, "row"), docs[f"`{id_col}`"].alias("id"), F.xxhash64(docs[f"`{text}`"]).alias("row_hash"))
     kept = rows.join(keepers, F.col("id").eqNullSafe(F.col("_keep_id")) & (F.col("row_hash") == F.col("_keep_hash")), "left_semi")
     return kept.dropDuplicates(["id", "row_hash"]).select("row.*")

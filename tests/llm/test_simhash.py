@@ -99,10 +99,12 @@ def test_tables_of_the_documents_are_not_broadcast(spark, monkeypatch):
         return write(df, name)
 
     monkeypatch.setattr(simhash, "written", noted)
-    out = simhash.near_duplicates(documents(spark, [prose(k % 15, 60) for k in range(20)]))
+    docs = documents(spark, [prose(k % 15, 60) for k in range(20)])
+    out, kept = simhash.near_duplicates(docs), simhash.keep_one_of_each(docs)
     assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
     # The first edges are the links of the index.
-    for plan in (plans["edges"], plans["placed"], plans["components"], out._jdf.queryExecution().executedPlan().toString()):
+    ends = [df._jdf.queryExecution().executedPlan().toString() for df in (out, kept)]
+    for plan in (plans["edges"], plans["placed"], plans["components"], plans["keepers"], *ends):
         assert plan.count("SortMergeJoin") == 1 and "Broadcast" not in plan
 
 
